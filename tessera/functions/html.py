@@ -25,6 +25,9 @@ def unescape(c) -> Column:
     return _unescape(col(c))
 
 
-def clean_response(c, solution_start: str, solution_end: str) -> Column:
-    """unescape entities, collapse backslash runs, recover an untagged answer."""
-    return recover_untagged_answer(collapse_backslashes(unescape(c)), solution_start, solution_end)
+def clean_responses(df, response: str = "response", solution_start: str = "<SOLUTION>",
+                    solution_end: str = "</SOLUTION>", out: str = "cleaned"):
+    """unescape entities, collapse backslash runs, recover an untagged answer
+    (staged projections: the UDF output is computed once per row)."""
+    staged = df.withColumn("_u", collapse_backslashes(unescape(response)))
+    return staged.withColumn(out, recover_untagged_answer(F.col("_u"), solution_start, solution_end)).drop("_u")

@@ -24,10 +24,20 @@ PD_NUMBER_RE = (rf"(?i)^[+-]?(?:inf(?:inity)?|nan|{_P}(?:\.(?:{_P})?)?(?:e[+-]?{
 _INF_RE = r"(?i)^[+-]?inf(?:inity)?$"
 
 
+_PLAIN = "0123456789.eE+-"
+
+
 def py_float(c) -> Column:
-    """Python ``float(text)``; null where Python raises ``ValueError``."""
+    """Python ``float(text)``; null where Python raises ``ValueError``.
+
+    Text made only of ``[0-9.eE+-]`` has the same grammar in Java and
+    Python, so it is cast directly; anything else (underscores, words,
+    suffixes, hex) goes through the guard regex first.
+    """
     s = strip(c)
-    return F.when(s.rlike(PY_FLOAT_RE), F.replace(s, F.lit("_"), F.lit("")).try_cast("double"))
+    plain = (F.length(F.translate(s, _PLAIN, "")) == 0) & (F.length(s) > 0)
+    return (F.when(plain, s.try_cast("double"))
+             .when(s.rlike(PY_FLOAT_RE), F.replace(s, F.lit("_"), F.lit("")).try_cast("double")))
 
 
 def is_number(c) -> Column:

@@ -28,14 +28,24 @@ def quote_re(s: str) -> str:
     return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+# The same set as single characters (Python str.isspace()).
+WS_CHARS = ([chr(x) for x in range(0x09, 0x0E)] + [chr(x) for x in range(0x1C, 0x21)]
+            + ["\x85", "\xa0", "\u1680"] + [chr(x) for x in range(0x2000, 0x200B)]
+            + ["\u2028", "\u2029", "\u202f", "\u205f", "\u3000"])
+
+
+_WS_STRING = "".join(WS_CHARS)
+
+
 def strip(c) -> Column:
-    """Python ``str.strip()`` (Unicode whitespace both ends)."""
-    return F.regexp_replace(col(c), _STRIP_RE, "")
+    """Python ``str.strip()``: ``btrim`` with the Unicode whitespace set
+    (no regex; the input is referenced once)."""
+    return F.btrim(col(c), F.lit(_WS_STRING))
 
 
 def strip_ascii(c) -> Column:
     """Strip ASCII whitespace only (pandas numeric parsing)."""
-    return F.regexp_replace(col(c), r"^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$", "")
+    return F.btrim(col(c), F.lit(" \t\n\r\f\x0b"))
 
 
 def remove_think_markers(c) -> Column:
@@ -49,6 +59,13 @@ def count_occurrences(c, tag: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(tag), F.lit("")))) / F.lit(len(tag))).cast("int")
 
 
+def occurs_once(c, tag: str) -> Column:
+    """``str.count(tag) == 1`` with two ``locate`` calls (no string copies)."""
+    c = col(c)
+    i = F.instr(c, tag)
+    return (i > 0) & (locate_from(tag, c, i + F.lit(len(tag))) == 0)
+
+
 def contains(c, tag: str) -> Column:
     """substring presence."""
     return F.instr(col(c), tag) > 0
@@ -133,7 +150,8 @@ def recovered_answer(c, phrases=ANSWER_PHRASES) -> Column:
     picks = []
     for p in phrases:
         jp = "(?isdU)" + p.replace(r"\s", _WS[1:-1])
-        picks.append(F.when(c.rlike(jp), strip(F.regexp_extract(c, jp, 1))))
+        # group 1 is ``.+?`` (never empty), so '' means "no match": one regex per phrase
+        picks.append(strip(F.nullif(F.regexp_extract(c, jp, 1), F.lit(""))))
     return F.coalesce(*picks)
 
 

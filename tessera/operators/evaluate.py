@@ -40,17 +40,25 @@ def answer_matches(pred, truth) -> Column:
 
 def evaluate_rows(df: DataFrame, output: str = "output", truth: str = "ground_truth",
                   tags: Tags = DEFAULT_TAGS) -> DataFrame:
-    """Per-row format, answer, reasoning presence and reasoning length."""
-    reasoning = extract_reasoning(output, tags)
-    sol = extract_solution(output, tags)
-    staged = df.withColumns({"_r": reasoning, "_s": sol})
-    return (staged.withColumns({
+    """Per-row format, answer, reasoning presence and reasoning length.
+
+    Intermediates (reasoning, solution, normalized forms, numeric residues)
+    are projected in stages so each is computed once per row.
+    """
+    t = F.col(truth)
+    s1 = df.withColumns({"_r": extract_reasoning(output, tags), "_s": extract_solution(output, tags)})
+    s2 = s1.withColumns({"_pn": normalize_answer(F.col("_s")), "_tn": normalize_answer(t),
+                         "_pr": numeric_residue(F.col("_s")), "_tr": numeric_residue(t)})
+    s3 = s2.withColumns({"_pv": py_float(F.col("_pr")), "_tv": py_float(F.col("_tr"))})
+    numeric = F.coalesce(F.abs(F.col("_pv") - F.col("_tv")) < F.lit(0.001), F.lit(False))
+    text_match = F.coalesce((F.col("_pn") == F.col("_tn")) | (F.instr(F.col("_pn"), F.col("_tn")) > 0),
+                            F.lit(False))
+    return (s3.withColumns({
         "format_correct": F.coalesce(check_format(output, tags), F.lit(False)),
-        "answer_correct": F.coalesce(
-            (F.length("_s") > 0) & answer_matches(F.col("_s"), F.col(truth)), F.lit(False)),
+        "answer_correct": F.coalesce((F.length("_s") > 0) & (text_match | numeric), F.lit(False)),
         "has_reasoning": F.coalesce(F.length("_r") > 0, F.lit(False)),
         "reasoning_length": F.coalesce(F.length("_r"), F.lit(0)),
-    }).drop("_r", "_s"))
+    }).drop("_r", "_s", "_pn", "_tn", "_pr", "_tr", "_pv", "_tv"))
 
 
 def metrics(rows: DataFrame, reward: str | None = None, by: Sequence[str] = ()) -> DataFrame:

@@ -95,6 +95,18 @@ def verdict_json_text(raw, dialect: str = "full") -> Column:
     return brace_slice(after_last_think(t))
 
 
+def with_verdict_json_text(df: DataFrame, raw: str = "raw", dialect: str = "full",
+                           out: str = "json_text") -> DataFrame:
+    """D3/D4 text steps as staged projections (each step computed once per row)."""
+    staged = df.withColumn("_t1", fence_body(strip(raw)))
+    if dialect == "fence":
+        return staged.withColumn(out, strip(F.col("_t1"))).drop("_t1")
+    if dialect != "full":
+        raise ValueError(f"unknown verdict dialect {dialect!r}")
+    staged = staged.withColumn("_t2", after_last_think(F.col("_t1")))
+    return staged.withColumn(out, brace_slice(F.col("_t2"))).drop("_t1", "_t2")
+
+
 def json_error(text: Column) -> Column:
     """Strict JSON check with Python ``json.loads`` rules (Arrow-batched).
 
@@ -143,7 +155,7 @@ def parse_verdicts(df: DataFrame, raw: str = "raw", rubric: str = "3", dialect:
     parser's own message.
     """
     sch = verdict_schema(rubric)
-    staged = df.withColumn("_jt", verdict_json_text(raw, dialect))
+    staged = with_verdict_json_text(df, raw, dialect, "_jt")
     staged = staged.withColumn("_je", json_error(F.col("_jt")))
     parsed = F.from_json(F.col("_jt"), sch)
     staged = staged.withColumn("_pv", F.when(F.col("_je").isNull(), parsed))

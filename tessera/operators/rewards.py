@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions.numeric import py_float
 from tessera.functions.tags import DEFAULT_TAGS, Tags
-from tessera.functions.text import (_WS, between_tags, col, count_occurrences, first_number,
+from tessera.functions.text import (_WS, between_tags, col, first_number, occurs_once,
                                     locate_from, nb_number_after, no_spaces, preview, quote_re,
                                     strip)
 
@@ -71,17 +71,12 @@ def format_approx(c, tags: Tags = DEFAULT_TAGS) -> Column:
     c = col(c)
     total = None
     for t in (tags.reasoning_end, tags.solution_start, tags.solution_end):
-        term = F.when(count_occurrences(c, t) == 1, F.lit(0.5)).otherwise(F.lit(-1.0))
+        term = F.when(occurs_once(c, t), F.lit(0.5)).otherwise(F.lit(-1.0))
         total = term if total is None else total + term
     return F.coalesce(total, F.lit(-3.0))
 
 
-def answer_verdict(c, answer, tags: Tags = DEFAULT_TAGS, sol: Column | None = None) -> Column:
-    """Verdict label of the package ``check_answer``; null if the answer is null."""
-    s = solution(c, tags) if sol is None else sol
-    a = col(answer)
-    x, e = py_float(s), py_float(a)
-    r = F.try_divide(x, e)
+def _verdict_expr(s: Column, a: Column, x: Column, e: Column, r: Column) -> Column:
     return (F.when(s.isNull(), F.lit("NO_MATCH"))
              .when(a.isNull(), F.lit(None).cast("string"))
              .when(s == a, F.lit("EXACT"))
@@ -93,6 +88,17 @@ def answer_verdict(c, answer, tags: Tags = DEFAULT_TAGS, sol: Column | None = No
              .otherwise(F.lit("WRONG")))
 
 
+def answer_verdict(c, answer, tags: Tags = DEFAULT_TAGS, sol: Column | None = None) -> Column:
+    """Verdict label of the package ``check_answer``; null if the answer is null.
+
+    Column form (self-contained); :func:`score` stages the shared parts.
+    """
+    s = solution(c, tags) if sol is None else sol
+    a = col(answer)
+    x, e = py_float(s), py_float(a)
+    return _verdict_expr(s, a, x, e, F.try_divide(x, e))
+
+
 def verdict_score(verdict: Column) -> Column:
     m = F.create_map(*[x for k, v in VERDICT_SCORES.items() for x in (F.lit(k), F.lit(v))])
     return m[verdict]
@@ -103,13 +109,7 @@ def answer_reward(c, answer, tags: Tags = DEFAULT_TAGS, sol: Column | None = Non
     return verdict_score(answer_verdict(c, answer, tags, sol))
 
 
-def numbers_reward(c, answer, tags: Tags = DEFAULT_TAGS, sol: Column | None = None) -> Column:
-    """Package ``check_numbers`` on the first number of the solution."""
-    s = solution(c, tags) if sol is None else sol
-    num = first_number(s)
-    x = num.try_cast("double")
-    e = py_float(answer)
-    r = F.try_divide(x, e)
+def _numbers_expr(s: Column, num: Column, x: Column, e: Column, r: Column) -> Column:
     return (F.when(s.isNull() | num.isNull() | e.isNull(), F.lit(-1.5))
              .when(e == 0, F.when(x == 0, F.lit(4.0)).otherwise(F.lit(-2.0)))
              .when(F.abs(x - e) < F.lit(1e-6), F.lit(4.0))
@@ -118,6 +118,14 @@ def numbers_reward(c, answer, tags: Tags = DEFAULT_TAGS, sol: Column | None = No
              .otherwise(F.lit(-2.0)))
 
 
+def numbers_reward(c, answer, tags: Tags = DEFAULT_TAGS, sol: Column | None = None) -> Column:
+    """Package ``check_numbers`` on the first number of the solution."""
+    s = solution(c, tags) if sol is None else sol
+    num = first_number(s)
+    x, e = num.try_cast("double"), py_float(answer)
+    return _numbers_expr(s, num, x, e, F.try_divide(x, e))
+
+
 # ---- notebook dialect -----------------------------------------------------------
 
 def nb_format_regex(tags: Tags = DEFAULT_TAGS) -> str:
@@ -131,7 +139,8 @@ def nb_body(c, tags: Tags = DEFAULT_TAGS) -> Column:
     """R7 group 1 (unstripped), null when the pattern does not occur."""
     c = col(c)
     p = nb_format_regex(tags)
-    return F.when(c.rlike(p), F.regexp_extract(c, p, 1))
+    # group 1 is ``.+?`` (never empty): '' from regexp_extract means no match
+    return F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
 
 
 def nb_format_exact(c, tags: Tags = DEFAULT_TAGS, body: Column | None = None) -> Column:
@@ -140,57 +149,112 @@ def nb_format_exact(c, tags: Tags = DEFAULT_TAGS, body: Column | None = None) ->
     return F.when(b.isNotNull(), F.lit(3.0)).otherwise(F.lit(0.0))
 
 
-def nb_answer_reward(c, answer, tags: Tags = DEFAULT_TAGS, body: Column | None = None) -> Column:
-    """Notebook ``check_answer``; expected 0 joins the -4.5 branch."""
-    g = nb_body(c, tags) if body is None else body
-    a = col(answer)
-    x, e = py_float(g), py_float(a)
-    r = F.try_divide(x, e)
+def _nb_answer_expr(g: Column, a: Column, gs: Column, as_: Column, x: Column, e: Column,
+                    r: Column) -> Column:
     return (F.when(g.isNull(), F.lit(-2.0))
              .when(a.isNull(), F.lit(None).cast("double"))
              .when(g == a, F.lit(5.0))
-             .when(strip(g) == strip(a), F.lit(3.5))
+             .when(gs == as_, F.lit(3.5))
              .when(x.isNull() | e.isNull() | (e == 0), F.lit(-4.5))
              .when((r >= 0.9) & (r <= 1.1), F.lit(2.0))
              .when((r >= 0.8) & (r <= 1.2), F.lit(1.5))
              .otherwise(F.lit(-2.5)))
 
 
-def nb_numbers_reward(c, answer, tags: Tags = DEFAULT_TAGS) -> Column:
-    """Notebook ``check_numbers``; first ``-?[\\d.,]+`` after the solution tag."""
-    g = nb_number_after(c, tags.solution_start)
-    x = py_float(F.replace(g, F.lit(","), F.lit("")))
-    e = py_float(answer)
+def nb_answer_reward(c, answer, tags: Tags = DEFAULT_TAGS, body: Column | None = None) -> Column:
+    """Notebook ``check_answer``; expected 0 joins the -4.5 branch."""
+    g = nb_body(c, tags) if body is None else body
+    a = col(answer)
+    x, e = py_float(g), py_float(a)
+    return _nb_answer_expr(g, a, strip(g), strip(a), x, e, F.try_divide(x, e))
+
+
+def _nb_numbers_expr(g: Column, x: Column, e: Column) -> Column:
     return (F.when(g.isNull(), F.lit(-2.5))
              .when(x.isNull() | e.isNull(), F.lit(0.0))
              .when(x == e, F.lit(3.5))
              .otherwise(F.lit(-1.5)))
 
 
+def nb_numbers_reward(c, answer, tags: Tags = DEFAULT_TAGS) -> Column:
+    """Notebook ``check_numbers``; first ``-?[\\d.,]+`` after the solution tag."""
+    g = nb_number_after(c, tags.solution_start)
+    return _nb_numbers_expr(g, py_float(F.replace(g, F.lit(","), F.lit(""))), py_float(answer))
+
+
 # ---- registry, totals (R6, A8, U1) ---------------------------------------------
 
 RewardBuilder = Callable[..., Column]
 
 
 def reward_builders(dialect: str = "package") -> dict[str, RewardBuilder]:
-    """Name -> builder(completion, answer, tags, shared) per dialect."""
+    """Name -> builder(completion, answer, tags, ctx) per dialect.
+
+    ``ctx`` maps intermediate names to Columns already projected by
+    :func:`score` (solution, parsed numbers, ratios), so every reward is a
+    flat ``case when`` over column references.
+    """
     if dialect == "package":
         return {
-            "format_exact": lambda c, a, t, sh: format_exact(c, t, sh.get("prepend", False)),
-            "format_approx": lambda c, a, t, sh: format_approx(c, t),
-            "answer": lambda c, a, t, sh: answer_reward(c, a, t, sh["sol"]),
-            "numbers": lambda c, a, t, sh: numbers_reward(c, a, t, sh["sol"]),
+            "format_exact": lambda c, a, t, cx: format_exact(c, t, cx.get("prepend", False)),
+            "format_approx": lambda c, a, t, cx: format_approx(c, t),
+            "answer": lambda c, a, t, cx: verdict_score(
+                _verdict_expr(cx["sol"], a, cx["x"], cx["e"], cx["r"])),
+            "numbers": lambda c, a, t, cx: _numbers_expr(cx["sol"], cx["num"], cx["nx_pkg"], cx["e"],
+                                                         cx["rn"]),
         }
     if dialect == "notebook":
         return {
-            "format_exact": lambda c, a, t, sh: nb_format_exact(c, t, sh["body"]),
-            "format_approx": lambda c, a, t, sh: format_approx(c, t),
-            "answer": lambda c, a, t, sh: nb_answer_reward(c, a, t, sh["body"]),
-            "numbers": lambda c, a, t, sh: nb_numbers_reward(c, a, t),
+            "format_exact": lambda c, a, t, cx: nb_format_exact(c, t, cx["body"]),
+            "format_approx": lambda c, a, t, cx: format_approx(c, t),
+            "answer": lambda c, a, t, cx: _nb_answer_expr(cx["body"], a, cx["bs"], cx["as"], cx["gx"],
+                                                          cx["e"], cx["rg"]),
+            "numbers": lambda c, a, t, cx: _nb_numbers_expr(cx["nbnum"], cx["nx"], cx["e"]),
         }
     raise ValueError(f"unknown dialect {dialect!r}")
 
 
+def _stage_intermediates(df: DataFrame, completion: str, answer: str, rewards: Sequence[str],
+                         dialect: str, tags: Tags) -> tuple[DataFrame, dict, list[str]]:
+    """Project shared intermediates in three narrow stages (each computed once per row)."""
+    c, a = F.col(completion), F.col(answer)
+    s1, s2, s3 = {}, {}, {}
+    need = set(rewards)
+    if dialect == "package" and need & {"answer", "numbers"}:
+        s1["_sol"] = solution(c, tags)
+        s2["_e"] = py_float(a)
+        s2["_x"] = py_float(F.col("_sol"))
+        s2["_num"] = first_number(F.col("_sol"))
+        s3["_r"] = F.try_divide(F.col("_x"), F.col("_e"))
+        s3["_nxp"] = F.col("_num").try_cast("double")
+    if dialect == "notebook":
+        if need & {"format_exact", "answer"}:
+            s1["_body"] = nb_body(c, tags)
+        if "answer" in need:
+            s2["_e"] = py_float(a)
+            s2["_gx"] = py_float(F.col("_body"))
+            s2["_bs"] = strip(F.col("_body"))
+            s2["_as"] = strip(a)
+            s3["_rg"] = F.try_divide(F.col("_gx"), F.col("_e"))
+        if "numbers" in need:
+            s1["_nbnum"] = nb_number_after(c, tags.solution_start)
+            s2["_e"] = py_float(a)
+            s2["_nx"] = py_float(F.replace(F.col("_nbnum"), F.lit(","), F.lit("")))
+    for stage in (s1, s2, s3):
+        if stage:
+            df = df.withColumns(stage)
+    names = [*s1, *s2, *s3]
+    if "_nxp" in s3:
+        s3["_rn"] = F.try_divide(F.col("_nxp"), F.col("_e"))
+        df = df.withColumn("_rn", s3["_rn"])
+        names.append("_rn")
+    alias = {"_sol": "sol", "_e": "e", "_x": "x", "_num": "num", "_r": "r", "_nxp": "nx_pkg",
+             "_rn": "rn", "_body": "body", "_gx": "gx", "_bs": "bs", "_as": "as", "_rg": "rg",
+             "_nbnum": "nbnum", "_nx": "nx"}
+    ctx = {alias[n]: F.col(n) for n in names}
+    return df, ctx, names
+
+
 def enabled_rewards(use_format_exact: bool = True, use_format_approximate: bool = True,
                     use_answer_check: bool = True, use_number_check: bool = True) -> list[str]:
     """Enabled rewards in fixed order; at least one is required."""
@@ -208,25 +272,20 @@ def score(df: DataFrame, completion: str = "completion", answer: str = "answer",
           user_rewards: dict[str, Callable] | None = None) -> DataFrame:
     """Add one column per enabled reward and their row-wise sum.
 
-    The extracted solution / notebook body is projected once and shared by
-    the rewards that need it (no duplicated extraction in the plan).
+    Shared intermediates (extracted solution, parsed numbers, ratios) are
+    projected once in narrow stages; every reward is then a flat ``case when``
+    over column references. All stages stay inside one whole-stage-codegen
+    span with no shuffle.
     """
     builders = reward_builders(dialect)
     unknown = [r for r in rewards if r not in builders]
     if unknown:
         raise ValueError(f"unknown reward(s): {unknown}")
-    shared_cols = {}
-    if dialect == "package" and any(r in ("answer", "numbers") for r in rewards):
-        shared_cols["_sol"] = solution(completion, tags)
-    if dialect == "notebook" and any(r in ("format_exact", "answer") for r in rewards):
-        shared_cols["_body"] = nb_body(completion, tags)
-    staged = df.withColumns(shared_cols) if shared_cols else df
-    sh = {"sol": F.col("_sol") if "_sol" in shared_cols else None,
-          "body": F.col("_body") if "_body" in shared_cols else None,
-          "prepend": prepend_reasoning_start}
+    staged, ctx, tmp = _stage_intermediates(df, completion, answer, rewards, dialect, tags)
+    ctx["prepend"] = prepend_reasoning_start
     out_cols = {}
     for r in rewards:
-        out_cols[prefix + r] = builders[r](F.col(completion), F.col(answer), tags, sh)
+        out_cols[prefix + r] = builders[r](F.col(completion), F.col(answer), tags, ctx)
     for name, fn in (user_rewards or {}).items():
         out_cols[prefix + name] = user_reward_column(fn, completion, answer)
     res = staged.withColumns(out_cols)
@@ -236,7 +295,7 @@ def score(df: DataFrame, completion: str = "completion", answer: str = "answer",
         for n in names[1:]:
             tot = tot + F.col(n)
         res = res.withColumn(total, tot)
-    return res.drop(*shared_cols.keys())
+    return res.drop(*tmp)
 
 
 def user_reward_column(fn: Callable, completion: str = "completion", answer: str = "answer",
@@ -295,17 +354,27 @@ def hash_bucket(key_cols: Sequence[str], seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(k), 1, 8), 16, 10).cast("bigint")
 
 
+def with_answer_verdict(df: DataFrame, completion: str = "completion", answer: str = "answer",
+                        tags: Tags = DEFAULT_TAGS, out: str = "verdict",
+                        solution_out: str | None = None) -> DataFrame:
+    """R5 as a staged projection (solution, numbers, then the label)."""
+    staged, ctx, tmp = _stage_intermediates(df, completion, answer, ["answer"], "package", tags)
+    res = staged.withColumn(out, _verdict_expr(ctx["sol"], F.col(answer), ctx["x"], ctx["e"], ctx["r"]))
+    if solution_out:
+        res = res.withColumn(solution_out, ctx["sol"])
+    return res.drop(*tmp)
+
+
 def debug_sample(df: DataFrame, every: int, key_cols: Sequence[str], completion: str = "completion",
                  answer: str = "answer", tags: Tags = DEFAULT_TAGS, seed: int = 0) -> DataFrame:
     """W2 re-aimed: a deterministic 1-in-``every`` sample with verdict, extracted,
     expected and a 200-character preview; hash-selected, so it needs no
     global ordering and no single-partition window.
     """
-    sol = solution(completion, tags)
-    return (df.where(F.pmod(hash_bucket(key_cols, seed), F.lit(every)) == 0)
-              .select(*key_cols, answer_verdict(completion, answer, tags).alias("verdict"),
-                      sol.alias("extracted"), F.col(answer).alias("expected"),
-                      preview(completion, 200).alias("preview")))
+    picked = df.where(F.pmod(hash_bucket(key_cols, seed), F.lit(every)) == 0)
+    v = with_answer_verdict(picked, completion, answer, tags, "verdict", "extracted")
+    return v.select(*key_cols, "verdict", "extracted", F.col(answer).alias("expected"),
+                    preview(completion, 200).alias("preview"))
 
 
 def rank_in_group(df: DataFrame, key: str, order: Sequence[str], out: str = "rank") -> DataFrame:

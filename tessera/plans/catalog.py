@@ -223,9 +223,8 @@ def reward_numbers(spark, d):
 @query
 def reward_verdicts(spark, d):
     """Verdict label counts of the answer check."""
-    c = _completions(spark, d)
-    return (c.select(R.answer_verdict("completion", "answer", TG).alias("verdict"))
-             .groupBy("verdict").agg(F.count(F.lit(1)).alias("n")))
+    v = R.with_answer_verdict(_completions(spark, d), "completion", "answer", TG, "verdict")
+    return v.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -420,28 +419,26 @@ def rubric_audit(spark, d):
 @query
 def answer_recovery(spark, d):
     """F13 + F14: backslash collapse and untagged-answer recovery."""
-    r = fixture(spark, d, "responses")
-    cleaned = TX.recover_untagged_answer(TX.collapse_backslashes("response"), TG.solution_start,
-                                         TG.solution_end)
+    r = fixture(spark, d, "responses").withColumn("_c", TX.collapse_backslashes("response"))
+    cleaned = TX.recover_untagged_answer(F.col("_c"), TG.solution_start, TG.solution_end)
     return r.select("problem_id", "model", cleaned.alias("cleaned"))
 
 
 @query
 def think_strip(spark, d):
     """F1 + F2 on solutions; F17 on judge replies."""
-    v = fixture(spark, d, "verdicts")
-    return v.select("problem_id", TX.after_last_think(TX.strip("raw")).alias("after_think"),
-                    TX.fence_body(TX.strip("raw")).alias("fence"),
-                    TX.brace_slice(TX.after_last_think(TX.fence_body(TX.strip("raw")))).alias("json_text"))
+    v = fixture(spark, d, "verdicts").withColumn("_t0", TX.strip("raw"))
+    v = v.withColumns({"after_think": TX.after_last_think(F.col("_t0")), "fence": TX.fence_body(F.col("_t0"))})
+    v = J.with_verdict_json_text(v, "raw", "full", "json_text")
+    return v.select("problem_id", "after_think", "fence", "json_text")
 
 
 @query
 def answer_normalize(spark, d):
     """F9 + F11 on extracted solutions."""
-    r = fixture(spark, d, "responses")
-    sol = R.solution("response", TG)
-    return r.select("problem_id", "model", TX.normalize_answer(sol).alias("normalized"),
-                    TX.numeric_residue(sol).alias("residue"))
+    r = fixture(spark, d, "responses").withColumn("_sol", R.solution("response", TG))
+    return r.select("problem_id", "model", TX.normalize_answer(F.col("_sol")).alias("normalized"),
+                    TX.numeric_residue(F.col("_sol")).alias("residue"))
 
 
 @query

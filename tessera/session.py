@@ -28,13 +28,34 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.driver.memory", "16g"))
+         .config("spark.driver.memory", "16g")
+         # let the JIT compile large generated methods (local JVM we start here)
+         .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    configure(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
 
+# Runtime SQL settings the operators are tuned for; safe to apply to any
+# existing session (cluster sessions keep their resource settings).
+RECOMMENDED_SQL_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Scoring fuses many string expressions into one stage; above ~8 KB of
+    # bytecode HotSpot stops JIT-compiling a method, so split earlier.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    for k, v in RECOMMENDED_SQL_CONF.items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set a local one only when unset (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
