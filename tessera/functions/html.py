@@ -11,11 +11,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.functions.text import col, collapse_backslashes, recover_untagged_answer
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     import html
     return s.map(lambda x: html.unescape(x) if isinstance(x, str) and "&" in x else x)
