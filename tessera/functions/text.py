@@ -111,16 +111,25 @@ def nb_number_after(c, start: str) -> Column:
     return F.regexp_substr(after_first(c, start), F.lit(r"-?[\d.,]+"))
 
 
+_WS_NOT_SPACE = "".join(ch for ch in WS_CHARS if ch != " ")
+
+
 def normalize_answer(c) -> Column:
-    """strip, lower, drop ``.,!?;:``, collapse whitespace runs to one space."""
-    s = F.lower(strip(c))
-    s = F.regexp_replace(s, r"[.,!?;:]", "")
-    return F.regexp_replace(s, rf"(?U){_WS}+", " ")
+    """strip, lower, drop ``.,!?;:``, collapse whitespace runs to one space.
+
+    Punctuation goes with ``translate``; the whitespace regex runs only when
+    the text holds a double space or a non-space whitespace character.
+    """
+    s = F.translate(F.lower(strip(c)), ".,!?;:", "")
+    clean = (F.instr(s, "  ") == 0) & (F.length(F.translate(s, _WS_NOT_SPACE, "")) == F.length(s))
+    return F.when(clean, s).otherwise(F.regexp_replace(s, rf"(?U){_WS}+", " "))
 
 
 def numeric_residue(c) -> Column:
-    """keep only digits, ``.`` and ``-``."""
-    return F.regexp_replace(col(c), r"[^\d.-]", "")
+    """keep only digits, ``.`` and ``-`` (regex only when other characters occur)."""
+    c = col(c)
+    plain = F.length(F.translate(c, "0123456789.-", "")) == 0
+    return F.when(plain, c).otherwise(F.regexp_replace(c, r"[^\d.-]", ""))
 
 
 def collapse_backslashes(c) -> Column:

@@ -46,14 +46,12 @@ def pair_models(results: DataFrame, base: str = "base", tuned: str = "tuned",
     ``results`` is the long table ``(key, model, ...)``; N-model pairings are
     the same join repeated per model name.
     """
-    def side(name: str, tag: str) -> DataFrame:
-        return (results.where(F.col(model) == name)
-                       .select(key, *[F.col(v).alias(f"{tag}_{v}") for v in value_cols]))
     extra = [c for c in results.columns if c not in (key, model, *value_cols)]
-    left = side(base, "base")
-    if extra:
-        left = left.join(results.where(F.col(model) == base).select(key, *extra), key)
-    return left.join(side(tuned, "sft"), key, "inner")
+
+    def side(name: str, tag: str, carry=()) -> DataFrame:
+        return (results.where(F.col(model) == name)
+                       .select(key, *carry, *[F.col(v).alias(f"{tag}_{v}") for v in value_cols]))
+    return side(base, "base", extra).join(side(tuned, "sft"), key, "inner")
 
 
 def pair_outcome(base_ok, tuned_ok) -> Column:

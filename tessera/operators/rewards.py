@@ -317,6 +317,18 @@ def user_reward_column(fn: Callable, completion: str = "completion", answer: str
     return _udf(F.col(completion), F.col(answer), pcol)
 
 
+# ---- pairing completions with prompts (J3) ---------------------------------------
+
+def attach_answers(completions: DataFrame, prompts: DataFrame, key: str = "prompt_id",
+                   answer: str = "answer") -> DataFrame:
+    """Give each completion its prompt's expected answer (1:N inner join).
+
+    Prompts are one row per key; Spark/AQE picks broadcast when that side is
+    small at run time, otherwise a sort-merge join with skew splitting.
+    """
+    return completions.join(prompts.select(key, answer), on=key, how="inner")
+
+
 # ---- group statistics (A9, W3) and debug sampling (W2) ---------------------------
 
 def group_stats(df: DataFrame, key: str | Sequence[str] = "prompt_id", reward: str = "total",

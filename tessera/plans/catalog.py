@@ -462,3 +462,52 @@ def judge_report(spark, d):
     """Markdown judge report lines (rows-only check)."""
     from tessera.sources.report import judge_report_lines
     return judge_report_lines(_judged(spark, d), "base-model", "tuned-model", "judge-model")
+
+
+# ---- numbering, window filter, budgets, second rubric, fence dialect, lookup --------
+
+@query
+def problem_numbers(spark, d):
+    """Dense 1-based numbering by (length, id) without a single-partition window."""
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    return C.number_rows(docs, ["n_chars", "doc_id"], "problem_number").select("doc_id", "problem_number")
+
+
+@query
+def window_filter(spark, d):
+    """P4 + P7 + P16 + P12: proof rows that fit the full window."""
+    m = M.proof_messages(fixture(spark, d, "exercises"), TG)
+    n = L.with_length(m.select("doc_id", M.render("Messages", TG).alias("text")), "text", "N")
+    return L.window_filter(n, "N", MAX_SEQ).select("doc_id", "N")
+
+
+@query
+def sequence_budget_nb(spark, d):
+    """P14, notebook form: one extra token of prompt headroom."""
+    thr = L.percentile_threshold(_rl_lengths(spark, d), "prompt_length", PERCENTILE)
+    return L.sequence_budget(thr, MAX_SEQ, pad=1)
+
+
+@query
+def judge_prompt_4(spark, d):
+    """Four-criteria judge prompt per problem."""
+    return J.judge_prompts(_with_truth(spark, d), rubric="4").select("problem_id", "judge_prompt")
+
+
+@query
+def verdict_parse_fence(spark, d):
+    """D3 + D5: fence-only parsing dialect."""
+    p = J.parse_verdicts(fixture(spark, d, "verdicts"), "raw", "3", "fence")
+    v = F.col("verdict")
+    return p.select("problem_id", F.col("parse_error").isNull().alias("parsed_ok"),
+                    v["winner"].alias("winner"), v["model_a_scores"]["total"].alias("a_total"),
+                    v["model_b_scores"]["total"].alias("b_total"), v["reason"].alias("reason"))
+
+
+@query
+def point_lookup(spark, d):
+    """T2 + W1 + T4: the fourth of the ten shortest exercises, by index."""
+    _, test = S.shortest_split(_exercise_lengths(spark, d), "approx_length", "doc_id", SHORTEST_N)
+    numbered = C.number_rows(test.select("doc_id", "exercise_number", "approx_length"),
+                             ["approx_length", "doc_id"], "problem_number", partitions=2)
+    return S.point_lookup(numbered, 3).select("problem_number", "doc_id", "exercise_number")

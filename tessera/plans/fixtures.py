@@ -47,7 +47,7 @@ from @documents@""",
     "exercises": """
 select doc_id, 'ex.'||doc_id as exercise_number, text as exercise_text, source||':'||lang||':'||doc_id as solution_text
 from @documents@ where doc_id%4 <> 0""",
-    # one row per problem and model
+    # one row per problem and model (two projections of documents, no cross join)
     "responses": """
 select doc_id as problem_id, model, text as problem,
   case (doc_id*3+m*2)%7
@@ -58,7 +58,9 @@ select doc_id as problem_id, model, text as problem,
     when 4 then 'a &lt; b &amp;amp; c. Thus '||n_chars
     when 5 then '<SOLUTION>'||n_chars||'</SOLUTION>'
     else '<start_working_out>r<end_working_out><SOLUTION>about '||n_chars||'!</SOLUTION>' end as response
-from @documents@ cross join (select 'base' as model, 0 as m union all select 'tuned' as model, 1 as m) mm""",
+from (select doc_id, text, n_chars, 'base' as model, 0 as m from @documents@
+      union all
+      select doc_id, text, n_chars, 'tuned' as model, 1 as m from @documents@) dm""",
     # raw judge replies: plain, fenced, think preamble, prose-wrapped, unparsable, no totals
     "verdicts": """
 select doc_id as problem_id,

@@ -392,3 +392,44 @@ from b""")
 sql("answer_normalize", cte("responses") + f""", s as (
   select problem_id, model, {between('response', SS, SE)} as sol from responses)
 select problem_id, model, {normalize('sol')} as normalized, {residue('sol')} as residue from s""")
+
+
+# ---- numbering, window filter, budgets, second rubric, fence dialect, lookup --------
+
+sql("problem_numbers", "select doc_id, row_number() over (order by n_chars, doc_id) as problem_number from documents")
+
+sql("window_filter", cte("exercises") + f""", t as (
+  select doc_id, {q(SYS + EOS)} || exercise_text || {q(RS)} || solution_text || {q(RE + SS + 'Proven.' + SE + EOS)} as text
+  from exercises),
+n as (select doc_id, cast({tokens('text')} as integer) as N from t)
+select doc_id, N from n where N <= {K.MAX_SEQ}""")
+
+sql("sequence_budget_nb", _RL_T + f"""
+select m + 1 as max_prompt_length, {K.MAX_SEQ} - (m + 1) as max_completion_length, {K.MAX_SEQ} as max_seq_length from thr""")
+
+
+def _prompt4_sql():
+    from tessera.functions.prompts import JUDGE_PROMPT_4
+    t = JUDGE_PROMPT_4
+    for ph, c in (("<<problem>>", "problem"), ("<<ground_truth>>", "ground_truth"),
+                  ("<<base_response>>", "base_response"), ("<<sft_response>>", "sft_response")):
+        pre, t = t.split(ph, 1)
+        yield q(pre)
+        yield c
+    yield q(t)
+
+
+sql("judge_prompt_4", _GT + f"select problem_id, {' || '.join(_prompt4_sql())} as judge_prompt from g")
+
+_FENCE = _VP_BODY.replace(
+    "v4 as (select problem_id, t1, t2,",
+    "v4_full as (select problem_id, t1, t2,").replace(
+    "       when a > 0 and rb > 0 then '' else t2 end as t3 from v3),",
+    "       when a > 0 and rb > 0 then '' else t2 end as t3 from v3),\n"
+    f"v4 as (select problem_id, t1, t1 as t2, {strip('t1')} as t3 from v1),")
+sql("verdict_parse_fence", "with " + _FENCE + "\nselect problem_id, ok as parsed_ok, winner, a_total, b_total, reason from pv")
+
+sql("point_lookup", _EX_T + f""", tt as (
+  select doc_id, exercise_number, row_number() over (order by approx_length, doc_id) as problem_number
+  from t where doc_id in (select doc_id from test))
+select problem_number, doc_id, exercise_number from tt where problem_number = 4""")

@@ -158,3 +158,12 @@ def test_debug_sample_is_deterministic(spark):
     a = sorted(r.k for r in R.debug_sample(df, 5, ["k"]).collect())
     b = sorted(r.k for r in R.debug_sample(df.repartition(3), 5, ["k"]).collect())
     assert a == b and 0 < len(a) < 500
+
+
+def test_attach_answers_one_to_many(spark):
+    comps = spark.createDataFrame([(1, 1, W + "<SOLUTION>5</SOLUTION>"), (1, 2, "x"), (2, 1, W + "<SOLUTION>7</SOLUTION>"),
+                                   (3, 1, "orphan")], "prompt_id long, gen_id int, completion string")
+    prompts = spark.createDataFrame([(1, "5"), (2, "8")], "prompt_id long, answer string")
+    got = {(r.prompt_id, r.gen_id): r.reward_answer for r in
+           R.score(R.attach_answers(comps, prompts), rewards=["answer"]).collect()}
+    assert got == {(1, 1): 5.0, (1, 2): -2.0, (2, 1): 1.5}
