@@ -57,9 +57,17 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; set a local one only when unset (tests)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    """Use the cluster's ``spark.checkpoint.dir`` (a shared, reliable folder).
+
+    Only a local-mode session without the setting (tests, bench) gets a
+    fresh temporary folder; on a cluster the setting is required.
+    """
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's "
+                               "distributed file system) before running operators that checkpoint")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
