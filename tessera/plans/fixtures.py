@@ -38,15 +38,18 @@ from (select l_orderkey, l_linenumber, cast(l_quantity as bigint) as q,
              (l_orderkey*7+l_linenumber)%12 as v from @lineitem@) x""",
     # ten answer spellings, half not numeric under the pandas rule
     "sft_raw": """
-select doc_id, substr(text,1,200) as problem,
+select doc_id, text as problem,
   case doc_id%10 when 0 then '42' when 1 then ' 7 ' when 2 then '-3.5' when 3 then '1e3' when 4 then 'nan'
     when 5 then '1,000' when 6 then '1/2' when 7 then '1.5d' when 8 then '' else cast(n_chars as varchar(20)) end as expected_answer,
   '<think>'||chr(10)||text||chr(10)||'</think>' as generated_solution
 from @documents@""",
-    # exercises with repeated texts (last doc_id wins) and a lookup missing every fourth row
+    # exercises over all documents: repeated texts (last doc_id wins); every fourth text is a
+    # revised wording, so the exact-text ground-truth lookup misses for it
     "exercises": """
-select doc_id, 'ex.'||doc_id as exercise_number, text as exercise_text, source||':'||lang||':'||doc_id as solution_text
-from @documents@ where doc_id%4 <> 0""",
+select doc_id, 'ex.'||doc_id as exercise_number,
+  case when doc_id%4 = 0 then text||' [revised]' else text end as exercise_text,
+  source||':'||lang||':'||doc_id as solution_text
+from @documents@""",
     # one row per problem and model (two projections of documents, no cross join)
     "responses": """
 select doc_id as problem_id, model, text as problem,

@@ -98,3 +98,28 @@ def test_entry_contract(spark):
         if name in ("exact_split_members", "exact_split_sizes"):
             continue  # run jobs while planning; covered in test_split
         assert fn(spark, "/root/testdata/sf0.001").columns, name
+
+
+def test_single_model_and_training_set_writers(spark):
+    d = tempfile.mkdtemp(prefix="tessera-io-")
+    res = C.with_format_check(spark.createDataFrame(
+        [(1, "p", "<end_working_out><SOLUTION>1</SOLUTION>"), (2, "q", "none")],
+        "problem_id long, problem string, response string"))
+    IO.write_single_model(res, C.single_summary(res), f"{d}/single", "org/m", "third_party")
+    back = spark.read.json(f"{d}/single/results")
+    assert back.count() == 2 and spark.read.json(f"{d}/single/summary").first().correct_format == 1
+    IO.write_training_set(spark.createDataFrame([("t",)], "text string"), f"{d}/train")
+    with pytest.raises(ValueError):
+        IO.write_training_set(spark.createDataFrame([("t",)], "other string"), f"{d}/bad")
+
+
+def test_guards_head_and_first_content(spark):
+    from tessera.operators.lengths import require_non_empty
+    from tessera.operators.messages import MSG_TYPE, first_content
+    from tessera.operators.split import head
+    with pytest.raises(ValueError):
+        require_non_empty(spark.createDataFrame([], "a int"))
+    df = spark.createDataFrame([(2,), (1,), (3,)], "a int")
+    assert [r.a for r in head(df, ["a"], 2).collect()] == [1, 2]
+    m = spark.createDataFrame([([{"role": "assistant", "content": "hi"}],), ([],)], f"c {MSG_TYPE}")
+    assert [r.x for r in m.select(first_content("c").alias("x")).collect()] == ["hi", None]
