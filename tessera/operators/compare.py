@@ -38,14 +38,29 @@ def with_format_check(df: DataFrame, response: str = "response", out: str = "for
     return df.withColumn(out, format_check(response, tags))
 
 
+def require_unique(df: DataFrame, keys: Sequence[str], what: str = "table") -> DataFrame:
+    """Raise if any key occurs twice (one partial aggregate; at most one row to the driver).
+
+    Key joins below assume unique keys, so they never emit all pairs of a group.
+    """
+    dup = df.groupBy(*keys).count().where(F.col("count") > 1).limit(1).collect()
+    if dup:
+        raise ValueError(f"{what}: key {tuple(dup[0][k] for k in keys)} occurs {dup[0]['count']} times")
+    return df
+
+
 def pair_models(results: DataFrame, base: str = "base", tuned: str = "tuned",
                 key: str = "problem_id", model: str = "model",
-                value_cols: Sequence[str] = ("response", "format_check")) -> DataFrame:
+                value_cols: Sequence[str] = ("response", "format_check"),
+                check_unique: bool = True) -> DataFrame:
     """Pair two models' rows on the problem key (inner, like ``zip`` truncation).
 
-    ``results`` is the long table ``(key, model, ...)``; N-model pairings are
-    the same join repeated per model name.
+    ``results`` is the long table ``(key, model, ...)`` with one row per
+    (key, model), verified unless ``check_unique=False``; N-model pairings
+    are the same join repeated per model name.
     """
+    if check_unique:
+        require_unique(results.where(F.col(model).isin(base, tuned)), [key, model], "model results")
     extra = [c for c in results.columns if c not in (key, model, *value_cols)]
 
     def side(name: str, tag: str, carry=()) -> DataFrame:

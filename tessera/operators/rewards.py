@@ -320,13 +320,18 @@ def user_reward_column(fn: Callable, completion: str = "completion", answer: str
 # ---- pairing completions with prompts (J3) ---------------------------------------
 
 def attach_answers(completions: DataFrame, prompts: DataFrame, key: str = "prompt_id",
-                   answer: str = "answer") -> DataFrame:
+                   answer: str = "answer", check_unique: bool = True) -> DataFrame:
     """Give each completion its prompt's expected answer (1:N inner join).
 
-    Prompts are one row per key; Spark/AQE picks broadcast when that side is
-    small at run time, otherwise a sort-merge join with skew splitting.
+    Prompts are one row per key (verified unless ``check_unique=False``);
+    Spark/AQE picks broadcast when that side is small at run time, otherwise
+    a sort-merge join whose skewed partitions AQE splits.
     """
-    return completions.join(prompts.select(key, answer), on=key, how="inner")
+    p = prompts.select(key, answer)
+    if check_unique:
+        from tessera.operators.compare import require_unique
+        require_unique(p, [key], "prompts")
+    return completions.join(p, on=key, how="inner")
 
 
 # ---- group statistics (A9, W3) and debug sampling (W2) ---------------------------

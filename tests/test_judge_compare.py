@@ -112,3 +112,10 @@ def test_number_rows_dense_and_ordered(spark, sf):
     want = sorted((r.n_chars, r.doc_id) for r in docs.collect())
     assert [g[0] for g in got] == list(range(1, len(want) + 1))
     assert [(g[1], g[2]) for g in got] == want
+
+
+def test_pairing_rejects_duplicate_keys(spark):
+    rows = [(1, "base", "p", "a"), (1, "base", "p", "b"), (1, "tuned", "p", "c")]
+    res = C.with_format_check(spark.createDataFrame(rows, "problem_id long, model string, problem string, response string"))
+    with pytest.raises(ValueError):
+        C.pair_models(res)
