@@ -338,10 +338,13 @@ def attach_answers(completions: DataFrame, prompts: DataFrame, key: str = "promp
 
 def group_stats(df: DataFrame, key: str | Sequence[str] = "prompt_id", reward: str = "total",
                 ddof: int = 0) -> DataFrame:
-    """Per-group count, mean and spread of a reward (partial + final aggregate)."""
+    """Per-group count, null count, mean and spread of a reward (partial + final
+    aggregate); null rewards (null answers) are excluded from the statistics."""
     keys = [key] if isinstance(key, str) else list(key)
     std = F.stddev_pop(reward) if ddof == 0 else F.stddev_samp(reward)
-    return df.groupBy(*keys).agg(F.count(reward).alias("n"), F.avg(reward).alias("reward_mean"),
+    return df.groupBy(*keys).agg(F.count(reward).alias("n"),
+                                 (F.count(F.lit(1)) - F.count(reward)).alias("n_null"),
+                                 F.avg(reward).alias("reward_mean"),
                                  std.alias("reward_std"), F.min(reward).alias("reward_min"),
                                  F.max(reward).alias("reward_max"))
 

@@ -240,7 +240,7 @@ def reward_group_stats(spark, d):
     """Reward mean / spread per prompt."""
     s = R.score(_completions(spark, d))
     g = R.group_stats(s, "prompt_id", "total")
-    return g.select("prompt_id", "n", "reward_mean", F.col("reward_std").cast(DEC).alias("reward_std"),
+    return g.select("prompt_id", "n", "n_null", "reward_mean", F.col("reward_std").cast(DEC).alias("reward_std"),
                     "reward_min", "reward_max")
 
 
@@ -511,3 +511,17 @@ def point_lookup(spark, d):
     numbered = C.number_rows(test.select("doc_id", "exercise_number", "approx_length"),
                              ["approx_length", "doc_id"], "problem_number", partitions=2)
     return S.point_lookup(numbered, 3).select("problem_number", "doc_id", "exercise_number")
+
+
+@query
+def sft_training_set(spark, d):
+    """The SFT trainer input table (rendered text and its length, filtered)."""
+    return L.length_filter(_sft_lengths(spark, d), "N", MAX_SEQ, TRUNCATE_RATIO).select("doc_id", "text", "N")
+
+
+@query
+def response_cleanup(spark, d):
+    """unescape, backslash collapse, answer recovery (Arrow UDF; rows-only check)."""
+    from tessera.functions.html import clean_responses
+    r = clean_responses(fixture(spark, d, "responses"), "response", TG.solution_start, TG.solution_end)
+    return r.select("problem_id", "model", "cleaned")

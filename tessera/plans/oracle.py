@@ -183,7 +183,7 @@ sql("reward_total", _RW + """
 select prompt_id, gen_id, reward_format_exact, reward_format_approx, reward_answer, reward_numbers, total from tot""")
 
 sql("reward_group_stats", _RW + f"""
-select prompt_id, count(total) as n, avg(total) as reward_mean, {DEC('stddev_pop(total)')} as reward_std,
+select prompt_id, count(total) as n, count(*) - count(total) as n_null, avg(total) as reward_mean, {DEC('stddev_pop(total)')} as reward_std,
   min(total) as reward_min, max(total) as reward_max from tot group by prompt_id""")
 
 sql("group_advantage", _RW + f""", g as (
@@ -433,3 +433,6 @@ sql("point_lookup", _EX_T + f""", tt as (
   select doc_id, exercise_number, row_number() over (order by approx_length, doc_id) as problem_number
   from t where doc_id in (select doc_id from test))
 select problem_number, doc_id, exercise_number from tt where problem_number = 4""")
+
+sql("sft_training_set", _SFT_T.replace("n as (select doc_id,", "n as (select doc_id, text,") +
+    f"select doc_id, text, N from n where N <= {int(K.MAX_SEQ * K.TRUNCATE_RATIO)}")

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as E
 
 SF01 = "/root/testdata/sf0.01"
-PYTHON_OK = {"html_unescape", "verdict_parse", "verdict_flatten", "judge_outcomes", "judge_averages",
+PYTHON_OK = {"html_unescape", "response_cleanup", "verdict_parse", "verdict_flatten", "judge_outcomes", "judge_averages",
              "judge_margin", "rubric_audit", "judge_report", "verdict_parse_fence"}
 
 
