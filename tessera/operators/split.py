@@ -49,17 +49,16 @@ def split_hash(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def split_boundary(df: DataFrame, key: str, k: int, seed: int = 42, digits: int = 3,
-                   final_rows: int = 50_000) -> tuple[str, object] | None:
-    """The k-th smallest ``(md5 hash, key)`` (1-based); None when k <= 0."""
-    if k <= 0:
-        return None
-    h = df.select(split_hash(key, seed).alias("_h"), F.col(key).alias("_k"))
-    remaining, plen, cand = k, 0, h
+def _prefix_counts(cand: DataFrame, plen: int) -> list[tuple[str, int]]:
+    pref = F.substring("_h", 1, plen)
+    return sorted((r[0], r[1]) for r in cand.groupBy(pref.alias("_p")).count().collect())
+
+
+def _boundary(cand: DataFrame, counts: list[tuple[str, int]], plen: int, k: int, digits: int,
+              final_rows: int) -> tuple[str, object]:
+    """Descend hex prefixes until the bucket holding the k-th row is small, then rank in it."""
+    remaining = k
     while True:
-        plen = min(plen + digits, 32)
-        pref = F.substring("_h", 1, plen)
-        counts = sorted((r[0], r[1]) for r in cand.groupBy(pref.alias("_p")).count().collect())
         below = 0
         for p, c in counts:
             if below + c >= remaining:
@@ -72,43 +71,58 @@ def split_boundary(df: DataFrame, key: str, k: int, seed: int = 42, digits: int
         cand = cand.where(F.substring("_h", 1, plen) == F.lit(cut))
         if size <= final_rows or plen >= 32:
             break
-    w = Window.orderBy("_h", "_k")
+        plen = min(plen + digits, 32)
+        counts = _prefix_counts(cand, plen)
+    w = Window.orderBy("_h", "_k")  # one small bucket (<= final_rows rows)
     row = (cand.withColumn("_r", F.row_number().over(w))
                .where(F.col("_r") == remaining).select("_h", "_k").first())
     return row[0], row[1]
 
 
-def exact_split(df: DataFrame, key: str, train_ratio: float = 0.9, seed: int = 42,
-                n: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _hashed(df: DataFrame, key: str, seed: int) -> DataFrame:
+    return df.select(split_hash(key, seed).alias("_h"), F.col(key).alias("_k"))
+
+
+def split_boundary(df: DataFrame, key: str, k: int, seed: int = 42, digits: int = 3,
+                   final_rows: int = 50_000) -> tuple[str, object] | None:
+    """The k-th smallest ``(md5 hash, key)`` (1-based); None when k <= 0."""
+    if k <= 0:
+        return None
+    cand = _hashed(df, key, seed)
+    return _boundary(cand, _prefix_counts(cand, digits), digits, k, digits, final_rows)
+
+
+def _membership(df: DataFrame, key: str, train_ratio: float, seed: int, digits: int = 3,
+                final_rows: int = 50_000) -> Column:
+    """Train predicate for an exact ``int(n * ratio)`` split; the first prefix round
+    also yields ``n`` (sum of bucket counts), so no separate count pass."""
+    cand = _hashed(df, key, seed)
+    counts = _prefix_counts(cand, digits)
+    total = sum(c for _, c in counts)
+    k = int(total * train_ratio)
+    if k <= 0:
+        return F.lit(False)
+    if k >= total:
+        return F.lit(True)
+    hk, kk = _boundary(cand, counts, digits, k, digits, final_rows)
+    h = split_hash(key, seed)
+    return (h < F.lit(hk)) | ((h == F.lit(hk)) & (F.col(key) <= F.lit(kk)))
+
+
+def exact_split(df: DataFrame, key: str, train_ratio: float = 0.9, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Seeded split with exactly ``int(n * train_ratio)`` training rows.
 
     ``key`` must be unique. Row membership is not the reference's shuffle;
     size, determinism and completeness are the contract.
     """
-    total = df.count() if n is None else n
-    k = int(total * train_ratio)
-    h = split_hash(key, seed)
-    if k <= 0:
-        return df.where(F.lit(False)), df
-    if k >= total:
-        return df, df.where(F.lit(False))
-    hk, kk = split_boundary(df, key, k, seed)
-    in_train = (h < F.lit(hk)) | ((h == F.lit(hk)) & (F.col(key) <= F.lit(kk)))
+    in_train = _membership(df, key, train_ratio, seed)
     return df.where(in_train), df.where(~in_train)
 
 
 def label_split(df: DataFrame, key: str, train_ratio: float = 0.9, seed: int = 42,
                 out: str = "split") -> DataFrame:
     """T3 as one table with a ``train`` / ``test`` label column."""
-    total = df.count()
-    k = int(total * train_ratio)
-    h = split_hash(key, seed)
-    if k <= 0:
-        return df.withColumn(out, F.lit("test"))
-    if k >= total:
-        return df.withColumn(out, F.lit("train"))
-    hk, kk = split_boundary(df, key, k, seed)
-    in_train = (h < F.lit(hk)) | ((h == F.lit(hk)) & (F.col(key) <= F.lit(kk)))
+    in_train = _membership(df, key, train_ratio, seed)
     return df.withColumn(out, F.when(in_train, F.lit("train")).otherwise(F.lit("test")))
 
 

@@ -18,23 +18,15 @@ def to_float(s):
 
 
 def first_between(text, a, b):
-    i = text.find(a)
-    if i < 0:
-        return None
-    j = text.find(b, i + len(a))
-    if j < 0:
-        return None
-    return text[i + len(a):j]
+    m = re.search(re.escape(a) + r"(.*?)" + re.escape(b), text, re.DOTALL)
+    return m.group(1) if m else None
+
+
+EXACT = re.compile(re.escape(RS) + r".*?" + re.escape(RE_) + re.escape(SS) + r".*?" + re.escape(SE), re.DOTALL)
 
 
 def exact_format(text):
-    i = text.find(RS)
-    if i < 0:
-        return 0.0
-    j = text.find(RE_ + SS, i + len(RS))
-    if j < 0:
-        return 0.0
-    return 3.0 if text.find(SE, j + len(RE_ + SS)) >= 0 else 0.0
+    return 3.0 if EXACT.search(text) else 0.0
 
 
 def approx_format(text):
