@@ -221,36 +221,36 @@ def _stage_intermediates(df: DataFrame, completion: str, answer: str, rewards: S
     s1, s2, s3 = {}, {}, {}
     need = set(rewards)
     if dialect == "package" and need & {"answer", "numbers"}:
-        s1["_sol"] = solution(c, tags)
-        s2["_e"] = py_float(a)
-        s2["_x"] = py_float(F.col("_sol"))
-        s2["_num"] = first_number(F.col("_sol"))
-        s3["_r"] = F.try_divide(F.col("_x"), F.col("_e"))
-        s3["_nxp"] = F.col("_num").try_cast("double")
+        s1["__t_sol"] = solution(c, tags)
+        s2["__t_e"] = py_float(a)
+        s2["__t_x"] = py_float(F.col("__t_sol"))
+        s2["__t_num"] = first_number(F.col("__t_sol"))
+        s3["__t_r"] = F.try_divide(F.col("__t_x"), F.col("__t_e"))
+        s3["__t_nxp"] = F.col("__t_num").try_cast("double")
     if dialect == "notebook":
         if need & {"format_exact", "answer"}:
-            s1["_body"] = nb_body(c, tags)
+            s1["__t_body"] = nb_body(c, tags)
         if "answer" in need:
-            s2["_e"] = py_float(a)
-            s2["_gx"] = py_float(F.col("_body"))
-            s2["_bs"] = strip(F.col("_body"))
-            s2["_as"] = strip(a)
-            s3["_rg"] = F.try_divide(F.col("_gx"), F.col("_e"))
+            s2["__t_e"] = py_float(a)
+            s2["__t_gx"] = py_float(F.col("__t_body"))
+            s2["__t_bs"] = strip(F.col("__t_body"))
+            s2["__t_as"] = strip(a)
+            s3["__t_rg"] = F.try_divide(F.col("__t_gx"), F.col("__t_e"))
         if "numbers" in need:
-            s1["_nbnum"] = nb_number_after(c, tags.solution_start)
-            s2["_e"] = py_float(a)
-            s2["_nx"] = py_float(F.replace(F.col("_nbnum"), F.lit(","), F.lit("")))
+            s1["__t_nbnum"] = nb_number_after(c, tags.solution_start)
+            s2["__t_e"] = py_float(a)
+            s2["__t_nx"] = py_float(F.replace(F.col("__t_nbnum"), F.lit(","), F.lit("")))
     for stage in (s1, s2, s3):
         if stage:
             df = df.withColumns(stage)
     names = [*s1, *s2, *s3]
-    if "_nxp" in s3:
-        s3["_rn"] = F.try_divide(F.col("_nxp"), F.col("_e"))
-        df = df.withColumn("_rn", s3["_rn"])
-        names.append("_rn")
-    alias = {"_sol": "sol", "_e": "e", "_x": "x", "_num": "num", "_r": "r", "_nxp": "nx_pkg",
-             "_rn": "rn", "_body": "body", "_gx": "gx", "_bs": "bs", "_as": "as", "_rg": "rg",
-             "_nbnum": "nbnum", "_nx": "nx"}
+    if "__t_nxp" in s3:
+        s3["__t_rn"] = F.try_divide(F.col("__t_nxp"), F.col("__t_e"))
+        df = df.withColumn("__t_rn", s3["__t_rn"])
+        names.append("__t_rn")
+    alias = {"__t_sol": "sol", "__t_e": "e", "__t_x": "x", "__t_num": "num", "__t_r": "r", "__t_nxp": "nx_pkg",
+             "__t_rn": "rn", "__t_body": "body", "__t_gx": "gx", "__t_bs": "bs", "__t_as": "as", "__t_rg": "rg",
+             "__t_nbnum": "nbnum", "__t_nx": "nx"}
     ctx = {alias[n]: F.col(n) for n in names}
     return df, ctx, names
 
