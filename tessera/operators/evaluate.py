@@ -46,19 +46,19 @@ def evaluate_rows(df: DataFrame, output: str = "output", truth: str = "ground_tr
     are projected in stages so each is computed once per row.
     """
     t = F.col(truth)
-    s1 = df.withColumns({"_r": extract_reasoning(output, tags), "_s": extract_solution(output, tags)})
-    s2 = s1.withColumns({"_pn": normalize_answer(F.col("_s")), "_tn": normalize_answer(t),
-                         "_pr": numeric_residue(F.col("_s")), "_tr": numeric_residue(t)})
-    s3 = s2.withColumns({"_pv": py_float(F.col("_pr")), "_tv": py_float(F.col("_tr"))})
-    numeric = F.coalesce(F.abs(F.col("_pv") - F.col("_tv")) < F.lit(0.001), F.lit(False))
-    text_match = F.coalesce((F.col("_pn") == F.col("_tn")) | (F.instr(F.col("_pn"), F.col("_tn")) > 0),
+    s1 = df.withColumns({"__t_r": extract_reasoning(output, tags), "__t_s": extract_solution(output, tags)})
+    s2 = s1.withColumns({"__t_pn": normalize_answer(F.col("__t_s")), "__t_tn": normalize_answer(t),
+                         "__t_pr": numeric_residue(F.col("__t_s")), "__t_tr": numeric_residue(t)})
+    s3 = s2.withColumns({"__t_pv": py_float(F.col("__t_pr")), "__t_tv": py_float(F.col("__t_tr"))})
+    numeric = F.coalesce(F.abs(F.col("__t_pv") - F.col("__t_tv")) < F.lit(0.001), F.lit(False))
+    text_match = F.coalesce((F.col("__t_pn") == F.col("__t_tn")) | (F.instr(F.col("__t_pn"), F.col("__t_tn")) > 0),
                             F.lit(False))
     return (s3.withColumns({
         "format_correct": F.coalesce(check_format(output, tags), F.lit(False)),
-        "answer_correct": F.coalesce((F.length("_s") > 0) & (text_match | numeric), F.lit(False)),
-        "has_reasoning": F.coalesce(F.length("_r") > 0, F.lit(False)),
-        "reasoning_length": F.coalesce(F.length("_r"), F.lit(0)),
-    }).drop("_r", "_s", "_pn", "_tn", "_pr", "_tr", "_pv", "_tv"))
+        "answer_correct": F.coalesce((F.length("__t_s") > 0) & (text_match | numeric), F.lit(False)),
+        "has_reasoning": F.coalesce(F.length("__t_r") > 0, F.lit(False)),
+        "reasoning_length": F.coalesce(F.length("__t_r"), F.lit(0)),
+    }).drop("__t_r", "__t_s", "__t_pn", "__t_tn", "__t_pr", "__t_tr", "__t_pv", "__t_tv"))
 
 
 def metrics(rows: DataFrame, reward: str | None = None, by: Sequence[str] = ()) -> DataFrame:

@@ -63,11 +63,11 @@ def with_ground_truth(results: DataFrame, lookup: DataFrame, text: str = "proble
     long, not on long strings; Spark (AQE) picks broadcast or sort-merge from
     runtime sizes, and splits a skewed hot text on the results side.
     """
-    lk = lookup.select(F.xxhash64(key).alias("_h"), F.col(key).alias("_t"), F.col(value).alias("_v"))
-    r = results.withColumn("_h", F.xxhash64(text))
-    j = r.join(lk, (r["_h"] == lk["_h"]) & (r[text] == lk["_t"]), "left")
-    return (j.withColumn(out, F.coalesce(F.col("_v"), F.lit(GT_NOT_FOUND)))
-             .drop("_h", "_t", "_v"))
+    lk = lookup.select(F.xxhash64(key).alias("__t_h"), F.col(key).alias("__t_t"), F.col(value).alias("__t_v"))
+    r = results.withColumn("__t_h", F.xxhash64(text))
+    j = r.join(lk, (r["__t_h"] == lk["__t_h"]) & (r[text] == lk["__t_t"]), "left")
+    return (j.withColumn(out, F.coalesce(F.col("__t_v"), F.lit(GT_NOT_FOUND)))
+             .drop("__t_h", "__t_t", "__t_v"))
 
 
 # ---- prompts (D1, D2) -----------------------------------------------------------
@@ -98,13 +98,13 @@ def verdict_json_text(raw, dialect: str = "full") -> Column:
 def with_verdict_json_text(df: DataFrame, raw: str = "raw", dialect: str = "full",
                            out: str = "json_text") -> DataFrame:
     """D3/D4 text steps as staged projections (each step computed once per row)."""
-    staged = df.withColumn("_t1", fence_body(strip(raw)))
+    staged = df.withColumn("__t_t1", fence_body(strip(raw)))
     if dialect == "fence":
-        return staged.withColumn(out, strip(F.col("_t1"))).drop("_t1")
+        return staged.withColumn(out, strip(F.col("__t_t1"))).drop("__t_t1")
     if dialect != "full":
         raise ValueError(f"unknown verdict dialect {dialect!r}")
-    staged = staged.withColumn("_t2", after_last_think(F.col("_t1")))
-    return staged.withColumn(out, brace_slice(F.col("_t2"))).drop("_t1", "_t2")
+    staged = staged.withColumn("__t_t2", after_last_think(F.col("__t_t1")))
+    return staged.withColumn(out, brace_slice(F.col("__t_t2"))).drop("__t_t1", "__t_t2")
 
 
 def json_error(text: Column) -> Column:
@@ -155,19 +155,19 @@ def parse_verdicts(df: DataFrame, raw: str = "raw", rubric: str = "3", dialect:
     parser's own message.
     """
     sch = verdict_schema(rubric)
-    staged = with_verdict_json_text(df, raw, dialect, "_jt")
-    staged = staged.withColumn("_je", json_error(F.col("_jt")))
-    parsed = F.from_json(F.col("_jt"), sch)
-    staged = staged.withColumn("_pv", F.when(F.col("_je").isNull(), parsed))
-    missing = (F.col("_pv.winner").isNull() | F.col("_pv.model_a_scores.total").isNull()
-               | F.col("_pv.model_b_scores.total").isNull())
-    kind = (F.when(F.col("_je").isNotNull(), F.lit("invalid JSON"))
+    staged = with_verdict_json_text(df, raw, dialect, "__t_jt")
+    staged = staged.withColumn("__t_je", json_error(F.col("__t_jt")))
+    parsed = F.from_json(F.col("__t_jt"), sch)
+    staged = staged.withColumn("__t_pv", F.when(F.col("__t_je").isNull(), parsed))
+    missing = (F.col("__t_pv.winner").isNull() | F.col("__t_pv.model_a_scores.total").isNull()
+               | F.col("__t_pv.model_b_scores.total").isNull())
+    kind = (F.when(F.col("__t_je").isNotNull(), F.lit("invalid JSON"))
              .when(missing, F.lit("missing 'winner' or 'total'")))
-    detail = F.when(F.col("_je").isNotNull(), F.col("_je")).when(missing, kind)
+    detail = F.when(F.col("__t_je").isNotNull(), F.col("__t_je")).when(missing, kind)
     return (staged.withColumn("parse_error", detail)
-                  .withColumn(out, F.when(kind.isNull(), F.col("_pv"))
+                  .withColumn(out, F.when(kind.isNull(), F.col("__t_pv"))
                               .otherwise(default_verdict(kind, rubric)))
-                  .drop("_jt", "_je", "_pv"))
+                  .drop("__t_jt", "__t_je", "__t_pv"))
 
 
 def flatten_verdicts(df: DataFrame, verdict: str = "verdict", problem_id: str = "problem_id",
