@@ -203,7 +203,8 @@ def judge_outcomes(judged: DataFrame, winner: str = "winner", by: Sequence[str]
         F.count_if(F.col(winner) == WINNER_TIE).alias("ties"),
         F.count_if(F.col(winner) == ERROR_WINNER).alias("errors"),
         n.alias("total_problems"))
-    pct = lambda c: F.try_divide(F.col(c) * F.lit(100.0), F.col("total_problems"))
+    # reference order: count / total * 100
+    pct = lambda c: F.try_divide(F.col(c).cast("double"), F.col("total_problems")) * F.lit(100.0)
     return agg.select("*", *[pct(c).alias(f"{c}_pct") for c in ("sft_wins", "base_wins", "ties", "errors")])
 
 
@@ -221,7 +222,7 @@ def judge_margin(outcomes: DataFrame) -> DataFrame:
     margin = F.when(s > b, s - b).when(b > s, b - s).otherwise(F.lit(0)).cast("bigint")
     finding = F.when(s > b, F.lit("tuned")).when(b > s, F.lit("base")).otherwise(F.lit("equal"))
     return outcomes.select("*", margin.alias("margin"), finding.alias("finding"),
-                           F.try_divide(margin * F.lit(100.0), n).alias("margin_pct"))
+                           (F.try_divide(margin.cast("double"), n) * F.lit(100.0)).alias("margin_pct"))
 
 
 def rubric_audit(judged: DataFrame, rubric: str = "3") -> DataFrame:
@@ -249,7 +250,8 @@ def judge_summary(judged: DataFrame, winner: str = "winner", base_total: str = "
         F.count_if(F.col(winner) == ERROR_WINNER).alias("errors"),
         n.alias("total_problems"),
         F.avg(base_total).alias("avg_base_score"), F.avg(sft_total).alias("avg_sft_score"))
-    pct = lambda c: F.try_divide(F.col(c) * F.lit(100.0), F.col("total_problems"))
+    # reference order: count / total * 100
+    pct = lambda c: F.try_divide(F.col(c).cast("double"), F.col("total_problems")) * F.lit(100.0)
     out = agg.select("*", *[pct(c).alias(f"{c}_pct") for c in ("sft_wins", "base_wins", "ties", "errors")],
                      (F.col("avg_sft_score") - F.col("avg_base_score")).alias("score_difference"))
     return judge_margin(out)

@@ -347,8 +347,8 @@ sql("verdict_flatten", _JD + "select * from jd")
 _OUT = f"""cast(count_if(winner = 'Model B') as bigint) as sft_wins, cast(count_if(winner = 'Model A') as bigint) as base_wins,
   cast(count_if(winner = 'Tie') as bigint) as ties, cast(count_if(winner = 'Error') as bigint) as errors, count(*) as total_problems"""
 sql("judge_outcomes", _JD + f""", o as (select {_OUT} from jd)
-select *, sft_wins * {D(100.0)} / total_problems as sft_wins_pct, base_wins * {D(100.0)} / total_problems as base_wins_pct,
-  ties * {D(100.0)} / total_problems as ties_pct, errors * {D(100.0)} / total_problems as errors_pct from o""")
+select *, {D('sft_wins')} / total_problems * 100 as sft_wins_pct, {D('base_wins')} / total_problems * 100 as base_wins_pct,
+  {D('ties')} / total_problems * 100 as ties_pct, {D('errors')} / total_problems * 100 as errors_pct from o""")
 
 sql("judge_averages", _JD + """
 select avg(base_total_score) as avg_base_score, avg(sft_total_score) as avg_sft_score,
@@ -359,7 +359,7 @@ m as (select *, case when sft_wins > base_wins then sft_wins - base_wins when ba
   then base_wins - sft_wins else 0 end as margin from o)
 select sft_wins, base_wins, total_problems, margin,
   case when sft_wins > base_wins then 'tuned' when base_wins > sft_wins then 'base' else 'equal' end as finding,
-  margin * {D(100.0)} / total_problems as margin_pct from m""")
+  {D('margin')} / total_problems * 100 as margin_pct from m""")
 
 sql("rubric_audit", _JD + f"""
 select problem_id,

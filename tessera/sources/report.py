@@ -67,8 +67,8 @@ def comparison_report_lines(pairs: DataFrame, base_name: str, sft_name: str,
                     F.lit(""), F.lit("---"), F.lit("")).alias("text"))
     s = C.pair_summary(pairs)
     n = F.col("num_problems")
-    pct = lambda c: fmt(F.try_divide(F.col(c) * 100.0, n), "0.0")
-    imp_pct = fmt(F.try_divide(F.col("improvement") * 100.0, n), "0.0")
+    pct = lambda c: fmt(F.try_divide(F.col(c).cast("double"), n) * 100.0, "0.0")
+    imp_pct = fmt(F.try_divide(F.col("improvement").cast("double"), n) * 100.0, "0.0")
     summary = _block(s, SUMMARY, F.concat_ws("\n",
         F.lit("## Summary Statistics"), F.lit(""),
         F.lit("| Metric | Base Model | SFT Model | Improvement |"),
