@@ -350,14 +350,22 @@ def group_stats(df: DataFrame, key: str | Sequence[str] = "prompt_id", reward: s
 
 
 def group_advantage(df: DataFrame, key: str | Sequence[str] = "prompt_id", reward: str = "total",
-                    out: str = "advantage", ddof: int = 0) -> DataFrame:
+                    out: str = "advantage", ddof: int = 0, materialize: bool = False) -> DataFrame:
     """Group-relative advantage ``(r - mean) / std`` per prompt; std 0 -> 0.
 
     Statistics come from a partial (map-side combined) aggregate joined back
     on the group key, not from a window: a window would move every row of a
     hot prompt into one task, while the join's big side is split by AQE's
     skew handling and the stats side is one row per group.
+
+    ``materialize=True`` first checkpoints ``df`` into ``spark.checkpoint.dir``
+    (lineage cut, survives executor loss) so both branches read the written
+    rows instead of recomputing an expensive input such as scoring.
     """
+    if materialize:
+        from tessera.session import checkpoint_dir
+        checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     keys = [key] if isinstance(key, str) else list(key)
     std = F.stddev_pop(reward) if ddof == 0 else F.stddev_samp(reward)
     stats = df.groupBy(*keys).agg(F.avg(reward).alias("_mean"), std.alias("_std"))

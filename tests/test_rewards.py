@@ -167,3 +167,12 @@ def test_attach_answers_one_to_many(spark):
     got = {(r.prompt_id, r.gen_id): r.reward_answer for r in
            R.score(R.attach_answers(comps, prompts), rewards=["answer"]).collect()}
     assert got == {(1, 1): 5.0, (1, 2): -2.0, (2, 1): 1.5}
+
+
+def test_group_advantage_materialized_equals_lazy(spark):
+    df = spark.createDataFrame(_random_completions(400, 9), "completion string, answer string") \
+              .withColumn("prompt_id", F.pmod(F.xxhash64("completion"), F.lit(37)))
+    s = R.score(df)
+    a = sorted((r.prompt_id, r.total, r.advantage) for r in R.group_advantage(s).collect())
+    b = sorted((r.prompt_id, r.total, r.advantage) for r in R.group_advantage(s, materialize=True).collect())
+    assert a == b
