@@ -43,6 +43,18 @@ def with_length(df: DataFrame, text: str = "text", out: str = "N",
     return df.withColumn(out, fn(F.col(text)).cast("int"))
 
 
+def compute_once(df: DataFrame) -> DataFrame:
+    """Keep computed columns from being re-evaluated by a later filter.
+
+    Catalyst pushes a filter on a computed column (say a token count) below
+    its projection by inlining the expression, so the text would be
+    tokenized twice, possibly before a repartition. Passing rows through a
+    one-element ``inline`` stops that: a filter on generator output is not
+    pushed below the generator, so the expression runs once, where it stands.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def numeric_answer_filter(df: DataFrame, answer: str = "expected_answer") -> DataFrame:
     """Keep rows whose answer parses as a number (pandas rules)."""
     return df.where(is_number(answer))
@@ -55,13 +67,13 @@ def sft_max_length(max_seq_length: int = 2048, truncate_ratio: float = 0.5) -> i
 
 def length_filter(df: DataFrame, n: str = "N", max_seq_length: int = 2048,
                   truncate_ratio: float = 0.5) -> DataFrame:
-    """``N <= int(max_seq_length * truncate_ratio)``."""
-    return df.where(F.col(n) <= F.lit(sft_max_length(max_seq_length, truncate_ratio)))
+    """``N <= int(max_seq_length * truncate_ratio)`` (length computed once)."""
+    return compute_once(df).where(F.col(n) <= F.lit(sft_max_length(max_seq_length, truncate_ratio)))
 
 
 def window_filter(df: DataFrame, n: str = "N", max_seq_length: int = 2048) -> DataFrame:
-    """Full-window filter ``N <= max_seq_length``."""
-    return df.where(F.col(n) <= F.lit(max_seq_length))
+    """Full-window filter ``N <= max_seq_length`` (length computed once)."""
+    return compute_once(df).where(F.col(n) <= F.lit(max_seq_length))
 
 
 def approx_length(a, b) -> Column:
@@ -82,7 +94,7 @@ def percentile_filter(df: DataFrame, n: str = "prompt_length", p: float = 90) ->
     """Keep ``n <= int(percentile(n, p))``; the threshold is a scalar subquery
     (one aggregate, then a filter), so no join and nothing collected."""
     thr = percentile_threshold(df, n, p).scalar()
-    return df.where(F.col(n) <= thr)
+    return compute_once(df).where(F.col(n) <= thr)
 
 
 def sequence_budget(threshold: DataFrame, max_seq_length: int = 2048, pad: int = 0) -> DataFrame:

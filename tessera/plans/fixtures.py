@@ -98,8 +98,28 @@ def cte(*views: str) -> str:
     return "with " + ",\n".join(f"{v} as ({duckdb_view_sql(v)})" for v in views) + "\n"
 
 
+# Inputs below this size are spread over the cluster's cores after the scan.
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
+
+
+def spread_small(df: DataFrame, threshold_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
+    """Round-robin a small input over ``defaultParallelism`` partitions.
+
+    A file written as one Parquet row group scans as one task, which would
+    leave every later narrow step (scoring, rendering) on one core. Only
+    inputs under ``threshold_bytes`` (planner estimate from file sizes, no
+    job) are redistributed; large inputs keep their scan partitioning, so no
+    shuffle is added at scale.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(size)) < threshold_bytes and par > 1:
+        return df.repartition(par)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_small(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def _view_name(sf_dir: str, name: str) -> str:
