@@ -247,8 +247,8 @@ def reward_group_stats(spark, d):
 @query
 def group_advantage(spark, d):
     """Group-relative advantage per completion."""
-    s = R.score(_completions(spark, d))
-    a = R.group_advantage(s, "prompt_id", "total")
+    s = R.score(_completions(spark, d)).select("prompt_id", "gen_id", "total")
+    a = R.group_advantage(s, "prompt_id", "total", materialize=True)
     return a.select("prompt_id", "gen_id", "total", F.col("advantage").cast(DEC).alias("advantage"))
 
 

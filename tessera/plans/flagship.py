@@ -1,5 +1,7 @@
 """Flagship: score every completion with the four package rewards, sum them,
-and add the group-relative advantage over each prompt's generations."""
+and add the group-relative advantage over each prompt's generations.
+
+Scoring is checkpointed once and read twice (statistics, join back)."""
 
 from __future__ import annotations
 
@@ -11,6 +13,8 @@ from tessera.plans.fixtures import fixture
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = R.score(fixture(spark, sf_dir, "completions"), rewards=R.enabled_rewards())
-    adv = R.group_advantage(scored, "prompt_id", "total")
+    # score once: the scored rows are checkpointed (shared checkpoint folder, lineage cut)
+    # and read by both the per-prompt statistics and the join back
+    adv = R.group_advantage(scored, "prompt_id", "total", materialize=True)
     return adv.select("prompt_id", "gen_id", "answer", "reward_format_exact", "reward_format_approx",
                       "reward_answer", "reward_numbers", "total", "advantage")

@@ -28,6 +28,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
+         # drop checkpoint files once their DataFrames are garbage-collected
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
          .config("spark.driver.memory", "16g")
          # let the JIT compile large generated methods (local JVM we start here)
          .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods"))
