@@ -1,7 +1,6 @@
 """Exact-size split properties and top-k."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.operators import split as S
 
