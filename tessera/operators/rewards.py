@@ -350,7 +350,8 @@ def group_stats(df: DataFrame, key: str | Sequence[str] = "prompt_id", reward: s
 
 
 def group_advantage(df: DataFrame, key: str | Sequence[str] = "prompt_id", reward: str = "total",
-                    out: str = "advantage", ddof: int = 0, materialize: bool = False) -> DataFrame:
+                    out: str = "advantage", ddof: int = 0, materialize: bool = False,
+                    eps: float = 0.0) -> DataFrame:
     """Group-relative advantage ``(r - mean) / std`` per prompt; std 0 -> 0.
 
     Statistics come from a partial (map-side combined) aggregate joined back
@@ -358,6 +359,9 @@ def group_advantage(df: DataFrame, key: str | Sequence[str] = "prompt_id", rewar
     hot prompt into one task, while the join's big side is split by AQE's
     skew handling and the stats side is one row per group.
 
+    ``eps`` is added to the standard deviation (some GRPO trainers use a
+    small constant); with the default 0 a zero spread gives advantage 0.
+
     ``materialize=True`` first checkpoints ``df`` into ``spark.checkpoint.dir``
     (lineage cut, survives executor loss) so both branches read the written
     rows instead of recomputing an expensive input such as scoring.
@@ -368,12 +372,12 @@ def group_advantage(df: DataFrame, key: str | Sequence[str] = "prompt_id", rewar
         df = df.checkpoint(eager=True)
     keys = [key] if isinstance(key, str) else list(key)
     std = F.stddev_pop(reward) if ddof == 0 else F.stddev_samp(reward)
-    stats = df.groupBy(*keys).agg(F.avg(reward).alias("_mean"), std.alias("_std"))
+    stats = df.groupBy(*keys).agg(F.avg(reward).alias("__t_mean"), std.alias("__t_std"))
     joined = df.join(stats, on=keys, how="left")
     adv = F.when(F.col(reward).isNull(), F.lit(None).cast("double")) \
-           .when(F.coalesce(F.col("_std"), F.lit(0.0)) == 0, F.lit(0.0)) \
-           .otherwise((F.col(reward) - F.col("_mean")) / F.col("_std"))
-    return joined.withColumn(out, adv).drop("_mean", "_std")
+           .when(F.coalesce(F.col("__t_std"), F.lit(0.0)) == 0, F.lit(0.0)) \
+           .otherwise((F.col(reward) - F.col("__t_mean")) / (F.col("__t_std") + F.lit(eps)))
+    return joined.withColumn(out, adv).drop("__t_mean", "__t_std")
 
 
 def hash_bucket(key_cols: Sequence[str], seed: int = 0) -> Column:

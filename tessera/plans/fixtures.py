@@ -111,9 +111,12 @@ def spread_small(df: DataFrame, threshold_bytes: int = SMALL_INPUT_BYTES) -> Dat
     job) are redistributed; large inputs keep their scan partitioning, so no
     shuffle is added at scale.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if int(str(size)) < threshold_bytes and par > 1:
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        par = df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no plan statistics (e.g. a remote session): leave as is
+        return df
+    if size < threshold_bytes and par > 1:
         return df.repartition(par)
     return df
 

@@ -176,3 +176,9 @@ def test_group_advantage_materialized_equals_lazy(spark):
     a = sorted((r.prompt_id, r.total, r.advantage) for r in R.group_advantage(s).collect())
     b = sorted((r.prompt_id, r.total, r.advantage) for r in R.group_advantage(s, materialize=True).collect())
     assert a == b
+
+
+def test_group_advantage_eps(spark):
+    df = spark.createDataFrame([(1, 1, 1.0), (1, 2, 3.0)], "prompt_id long, gen_id int, total double")
+    got = sorted(r.advantage for r in R.group_advantage(df, eps=1.0).collect())
+    assert got == [-0.5, 0.5]
