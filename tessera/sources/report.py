@@ -4,10 +4,15 @@ A report is a DataFrame ``(block, problem_id, text)``: header and summary
 blocks are one row each, problem sections one row per problem. Writing it
 with :func:`write_report` sorts by ``(block, problem_id)`` and emits text
 parts in that order, so no step gathers the report into one task.
+
+Report texts are templates with ``{name}`` placeholders; :func:`fill`
+turns a template into one ``concat`` of literals and columns.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +20,142 @@ from tessera.functions.tags import DEFAULT_TAGS, Tags
 from tessera.operators import compare as C
 from tessera.operators import judge as J
 
-# Block order: comparison report = header, sections, summary;
-# judge report = header, summary, sections, conclusion.
-HEADER, SECTION, SUMMARY, CONCLUSION = 0, 1, 2, 3
+# --- fixed values: report texts -------------------------------------------------
+CMP_HEADER = """# Base vs SFT Model Comparison Results
+
+**Generated:** {generated}
+
+**Models Compared:**
+- Base Model: {base_name}
+- Fine-tuned Model: {sft_name}
+
+---
+"""
+CMP_SIDE = """### {title} Response
+
+```
+{response}
+```
+
+**Format Check:** {status}
+- Has `{reasoning_end}`: {has_reasoning_end}
+- Has `{solution_start}`: {has_solution_start}
+- Has `{solution_end}`: {has_solution_end}
+"""
+CMP_SECTION = """## Problem {problem_id}
+
+### Problem Statement
+
+```
+{problem}
+```
+
+{base_side}
+{sft_side}
+### Comparison Result
+
+**{outcome}**
+
+---
+"""
+CMP_SUMMARY = """## Summary Statistics
+
+| Metric | Base Model | SFT Model | Improvement |
+|--------|------------|-----------|-------------|
+| Correct Format | {base_correct}/{n} ({base_pct}%) | {sft_correct}/{n} ({sft_pct}%) | +{improvement} ({improvement_pct}%) |
+
+### Key Findings
+
+{finding}
+"""
+JUDGE_HEADER = """# LLM Judge Evaluation Report: Base vs Fine-tuned Model
+
+**Generated:** {generated}
+
+## Models Evaluated
+
+- **Base Model:** {base_name}
+- **Fine-tuned Model:** {sft_name}
+- **Judge Model:** {judge_name}
+"""
+JUDGE_SUMMARY = """## Summary Statistics
+
+| Outcome | Count | Percentage |
+|---------|-------|------------|
+| **SFT Model Wins** | {sft_wins} | {sft_wins_pct}% |
+| Base Model Wins | {base_wins} | {base_wins_pct}% |
+| Ties | {ties} | {ties_pct}% |
+{error_row}| **Total Problems** | {total} | 100% |
+
+## Key Findings
+
+{finding}
+
+## Average Scores (0-10 scale)
+
+- **Base Model:** {avg_base}
+- **Fine-tuned Model:** {avg_sft}
+- **Difference:** {difference}
+
+---
+
+## Detailed Problem-by-Problem Results
+"""
+JUDGE_ERROR_ROW = "| Errors | {errors} | {errors_pct}% |\n"
+JUDGE_FINDING = {
+    "tuned": "**Fine-tuned model outperformed base model** by {margin} problems ({margin_pct}% margin).",
+    "base": "**Base model outperformed fine-tuned model** by {margin} problems ({margin_pct}% margin). "
+            "This is unexpected.",
+    "equal": "**Models performed equally** with {sft_wins} wins each.",
+}
+JUDGE_SECTION = """### Problem {problem_id}
+
+**Problem:**
+```
+{question_preview}...
+```
+
+**Scores:**
+
+| Model | Correctness (50%) | Brevity (25%) | Clarity (25%) | **Total** |
+|-------|-------------------|---------------|---------------|--------|
+| Base | {base_correctness} | {base_brevity} | {base_clear_explanation} | **{base_total}** |
+| SFT | {sft_correctness} | {sft_brevity} | {sft_clear_explanation} | **{sft_total}** |
+
+**Winner:** {winner}
+
+**Base Model Feedback:** {judge_response_base}
+
+**SFT Model Feedback:** {judge_response_sft}
+
+**Reason:** {reason}
+
+---
+"""
+JUDGE_CONCLUSION = {
+    "tuned": "## Conclusion\n\nThe fine-tuned model demonstrates clear improvement over the base model, "
+             "winning {sft_wins}/{total} comparisons ({sft_wins_pct}%).\n",
+    "base": "## Conclusion\n\nThe fine-tuned model performed worse than the base model, winning only "
+            "{sft_wins}/{total} comparisons ({sft_wins_pct}%). This suggests the fine-tuning may need "
+            "adjustment.\n",
+    "equal": "## Conclusion\n\nThe models performed comparably, each winning {sft_wins}/{total} comparisons.\n",
+}
+PREVIEW_CHARS = 200
+# ---------------------------------------------------------------------------------
+
+_PLACEHOLDER = re.compile(r"\{(\w+)\}")
+
+
+def fill(template: str, **values) -> Column:
+    """Literal pieces of ``template`` and the named values (Columns or str), concatenated."""
+    parts, pos = [], 0
+    for m in _PLACEHOLDER.finditer(template):
+        parts.append(F.lit(template[pos:m.start()]))
+        v = values[m.group(1)]
+        parts.append(v if isinstance(v, Column) else F.lit(str(v)))
+        pos = m.end()
+    parts.append(F.lit(template[pos:]))
+    return F.concat(*parts)
 
 
 def fmt(c, pattern: str) -> Column:
@@ -31,121 +169,84 @@ def fmt_signed(c, pattern: str = "0.00") -> Column:
     return F.concat(F.when(c >= 0, F.lit("+")).otherwise(F.lit("")), fmt(c, pattern))
 
 
-def _block(df: DataFrame, block: int, text: Column) -> DataFrame:
-    return df.select(F.lit(block).alias("block"), F.lit(0).cast("bigint").alias("problem_id"),
-                     text.alias("text"))
+def _s(c) -> Column:
+    return (c if isinstance(c, Column) else F.col(c)).cast("string")
+
+
+def _choose(key: Column, templates: dict[str, str], **values) -> Column:
+    out = None
+    for k, t in templates.items():
+        out = F.when(key == k, fill(t, **values)) if out is None else out.when(key == k, fill(t, **values))
+    return out
+
+
+def _row(df: DataFrame, block: int, text: Column, problem_id: Column | None = None) -> DataFrame:
+    pid = F.lit(0).cast("bigint") if problem_id is None else problem_id.cast("bigint")
+    return df.select(F.lit(block).alias("block"), pid.alias("problem_id"), text.alias("text"))
 
 
 def comparison_report_lines(pairs: DataFrame, base_name: str, sft_name: str,
                             tags: Tags = DEFAULT_TAGS, generated: str = "") -> DataFrame:
-    """Per-problem sections plus the summary table and finding."""
-    spark = pairs.sparkSession
-    head = spark.createDataFrame([(HEADER, 0, "\n".join([
-        "# Base vs SFT Model Comparison Results", "", f"**Generated:** {generated}", "",
-        "**Models Compared:**", f"- Base Model: {base_name}", f"- Fine-tuned Model: {sft_name}",
-        "", "---", ""]))], "block int, problem_id bigint, text string")
+    """Header, per-problem sections, summary table and finding (blocks 0, 1, 2)."""
+    s = C.pair_summary(pairs)
+    head = _row(s, 0, fill(CMP_HEADER, generated=generated, base_name=base_name, sft_name=sft_name))
 
     def side(prefix: str, title: str) -> Column:
         fc = F.col(f"{prefix}_format_check")
-        return F.concat_ws("\n",
-            F.lit(f"### {title} Response"), F.lit(""), F.lit("```"), F.col(f"{prefix}_response"),
-            F.lit("```"), F.lit(""),
-            F.concat(F.lit("**Format Check:** "), F.when(fc["format_ok"], "PASS").otherwise("FAIL")),
-            F.concat(F.lit(f"- Has `{tags.reasoning_end}`: "), fc["has_reasoning_end"].cast("string")),
-            F.concat(F.lit(f"- Has `{tags.solution_start}`: "), fc["has_solution_start"].cast("string")),
-            F.concat(F.lit(f"- Has `{tags.solution_end}`: "), fc["has_solution_end"].cast("string")),
-            F.lit(""))
+        return fill(CMP_SIDE, title=title, response=F.col(f"{prefix}_response"),
+                    status=F.when(fc["format_ok"], "PASS").otherwise("FAIL"),
+                    reasoning_end=tags.reasoning_end, solution_start=tags.solution_start,
+                    solution_end=tags.solution_end, has_reasoning_end=_s(fc["has_reasoning_end"]),
+                    has_solution_start=_s(fc["has_solution_start"]),
+                    has_solution_end=_s(fc["has_solution_end"]))
 
     outcome = C.outcome_text(C.pair_outcome(F.col("base_format_check.format_ok"),
                                             F.col("sft_format_check.format_ok")))
-    sections = pairs.select(
-        F.lit(SECTION).alias("block"), F.col("problem_id").cast("bigint").alias("problem_id"),
-        F.concat_ws("\n", F.concat(F.lit("## Problem "), F.col("problem_id").cast("string")), F.lit(""),
-                    F.lit("### Problem Statement"), F.lit(""), F.lit("```"), F.col("problem"), F.lit("```"),
-                    F.lit(""), side("base", "BASE MODEL"), side("sft", "SFT MODEL"),
-                    F.lit("### Comparison Result"), F.lit(""), F.concat(F.lit("**"), outcome, F.lit("**")),
-                    F.lit(""), F.lit("---"), F.lit("")).alias("text"))
-    s = C.pair_summary(pairs)
+    sections = _row(pairs, 1, fill(CMP_SECTION, problem_id=_s("problem_id"), problem=F.col("problem"),
+                                   base_side=side("base", "BASE MODEL"), sft_side=side("sft", "SFT MODEL"),
+                                   outcome=outcome), F.col("problem_id"))
     n = F.col("num_problems")
     pct = lambda c: fmt(F.try_divide(F.col(c).cast("double"), n) * 100.0, "0.0")
-    imp_pct = fmt(F.try_divide(F.col("improvement").cast("double"), n) * 100.0, "0.0")
-    summary = _block(s, SUMMARY, F.concat_ws("\n",
-        F.lit("## Summary Statistics"), F.lit(""),
-        F.lit("| Metric | Base Model | SFT Model | Improvement |"),
-        F.lit("|--------|------------|-----------|-------------|"),
-        F.concat(F.lit("| Correct Format | "), F.col("base_model_correct").cast("string"), F.lit("/"),
-                 n.cast("string"), F.lit(" ("), pct("base_model_correct"), F.lit("%) | "),
-                 F.col("sft_model_correct").cast("string"), F.lit("/"), n.cast("string"), F.lit(" ("),
-                 pct("sft_model_correct"), F.lit("%) | +"), F.col("improvement").cast("string"),
-                 F.lit(" ("), imp_pct, F.lit("%) |")),
-        F.lit(""), F.lit("### Key Findings"), F.lit(""),
-        F.create_map(*[x for k, v in C.FINDING_TEXT.items() for x in (F.lit(k), F.lit(v))])[F.col("finding")]))
+    finding = F.create_map(*[x for k, v in C.FINDING_TEXT.items() for x in (F.lit(k), F.lit(v))])[F.col("finding")]
+    summary = _row(s, 2, fill(CMP_SUMMARY, base_correct=_s("base_model_correct"), n=_s(n),
+                              base_pct=pct("base_model_correct"), sft_correct=_s("sft_model_correct"),
+                              sft_pct=pct("sft_model_correct"), improvement=_s("improvement"),
+                              improvement_pct=pct("improvement"), finding=finding))
     return head.unionByName(sections).unionByName(summary)
 
 
 def judge_report_lines(judged: DataFrame, base_name: str, sft_name: str, judge_name: str,
                        generated: str = "") -> DataFrame:
-    """Models, outcome table, key finding, averages, details, conclusion."""
-    spark = judged.sparkSession
-    head = spark.createDataFrame([(HEADER, 0, "\n".join([
-        "# LLM Judge Evaluation Report: Base vs Fine-tuned Model", "", f"**Generated:** {generated}", "",
-        "## Models Evaluated", "", f"- **Base Model:** {base_name}", f"- **Fine-tuned Model:** {sft_name}",
-        f"- **Judge Model:** {judge_name}", ""]))], "block int, problem_id bigint, text string")
-    stats = J.judge_summary(judged)
-    tot = F.col("total_problems")
-
-    def row(label: str, c: str) -> Column:
-        return F.concat(F.lit(f"| {label} | "), F.col(c).cast("string"), F.lit(" | "),
-                        fmt(F.col(f"{c}_pct"), "0.0"), F.lit("% |"))
-    finding = (F.when(F.col("finding") == "tuned", F.concat(
-                   F.lit("**Fine-tuned model outperformed base model** by "), F.col("margin").cast("string"),
-                   F.lit(" problems ("), fmt("margin_pct", "0.0"), F.lit("% margin).")))
-                .when(F.col("finding") == "base", F.concat(
-                   F.lit("**Base model outperformed fine-tuned model** by "), F.col("margin").cast("string"),
-                   F.lit(" problems ("), fmt("margin_pct", "0.0"), F.lit("% margin). This is unexpected.")))
-                .otherwise(F.concat(F.lit("**Models performed equally** with "),
-                                    F.col("sft_wins").cast("string"), F.lit(" wins each."))))
-    summary = _block(stats, 1, F.concat_ws("\n",
-        F.lit("## Summary Statistics"), F.lit(""), F.lit("| Outcome | Count | Percentage |"),
-        F.lit("|---------|-------|------------|"), row("**SFT Model Wins**", "sft_wins"),
-        row("Base Model Wins", "base_wins"), row("Ties", "ties"),
-        F.when(F.col("errors") > 0, row("Errors", "errors")),
-        F.concat(F.lit("| **Total Problems** | "), tot.cast("string"), F.lit(" | 100% |")), F.lit(""),
-        F.lit("## Key Findings"), F.lit(""), finding, F.lit(""),
-        F.lit("## Average Scores (0-10 scale)"), F.lit(""),
-        F.concat(F.lit("- **Base Model:** "), fmt("avg_base_score", "0.00")),
-        F.concat(F.lit("- **Fine-tuned Model:** "), fmt("avg_sft_score", "0.00")),
-        F.concat(F.lit("- **Difference:** "), fmt_signed("score_difference")), F.lit(""),
-        F.lit("---"), F.lit(""), F.lit("## Detailed Problem-by-Problem Results"), F.lit("")))
-    na = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(J.NA))
-    sections = judged.select(
-        F.lit(2).alias("block"), F.col("problem_id").cast("bigint").alias("problem_id"),
-        F.concat_ws("\n",
-            F.concat(F.lit("### Problem "), F.col("problem_id").cast("string")), F.lit(""),
-            F.lit("**Problem:**"), F.lit("```"), F.concat(F.substring("question", 1, 200), F.lit("...")),
-            F.lit("```"), F.lit(""), F.lit("**Scores:**"), F.lit(""),
-            F.lit("| Model | Correctness (50%) | Brevity (25%) | Clarity (25%) | **Total** |"),
-            F.lit("|-------|-------------------|---------------|---------------|--------|"),
-            F.concat(F.lit("| Base | "), na("base_correctness"), F.lit(" | "), na("base_brevity"), F.lit(" | "),
-                     na("base_clear_explanation"), F.lit(" | **"), fmt("base_total_score", "0.0"), F.lit("** |")),
-            F.concat(F.lit("| SFT | "), na("sft_correctness"), F.lit(" | "), na("sft_brevity"), F.lit(" | "),
-                     na("sft_clear_explanation"), F.lit(" | **"), fmt("sft_total_score", "0.0"), F.lit("** |")),
-            F.lit(""), F.concat(F.lit("**Winner:** "), F.col("winner")), F.lit(""),
-            F.concat(F.lit("**Base Model Feedback:** "), F.col("judge_response_base")), F.lit(""),
-            F.concat(F.lit("**SFT Model Feedback:** "), F.col("judge_response_sft")), F.lit(""),
-            F.concat(F.lit("**Reason:** "), F.col("reason")), F.lit(""), F.lit("---"), F.lit("")).alias("text"))
-    s, b = F.col("sft_wins"), F.col("base_wins")
-    concl = _block(stats, 3, F.concat_ws("\n", F.lit("## Conclusion"), F.lit(""),
-        F.when(s > b, F.concat(F.lit("The fine-tuned model demonstrates clear improvement over the base model, "
-                                     "winning "), s.cast("string"), F.lit("/"), tot.cast("string"),
-                               F.lit(" comparisons ("), fmt("sft_wins_pct", "0.0"), F.lit("%).")))
-         .when(b > s, F.concat(F.lit("The fine-tuned model performed worse than the base model, winning only "),
-                               s.cast("string"), F.lit("/"), tot.cast("string"), F.lit(" comparisons ("),
-                               fmt("sft_wins_pct", "0.0"),
-                               F.lit("%). This suggests the fine-tuning may need adjustment.")))
-         .otherwise(F.concat(F.lit("The models performed comparably, each winning "), s.cast("string"),
-                             F.lit("/"), tot.cast("string"), F.lit(" comparisons.")))))
-    return head.unionByName(summary).unionByName(sections).unionByName(concl)
+    """Header, summary (outcomes, finding, averages), sections, conclusion (blocks 0-3)."""
+    st = J.judge_summary(judged)
+    head = _row(st, 0, fill(JUDGE_HEADER, generated=generated, base_name=base_name, sft_name=sft_name,
+                            judge_name=judge_name))
+    p1 = lambda c: fmt(c, "0.0")
+    counts = dict(sft_wins=_s("sft_wins"), base_wins=_s("base_wins"), ties=_s("ties"),
+                  errors=_s("errors"), total=_s("total_problems"), sft_wins_pct=p1("sft_wins_pct"),
+                  base_wins_pct=p1("base_wins_pct"), ties_pct=p1("ties_pct"), errors_pct=p1("errors_pct"),
+                  margin=_s("margin"), margin_pct=p1("margin_pct"))
+    error_row = F.when(F.col("errors") > 0, fill(JUDGE_ERROR_ROW, **counts)).otherwise(F.lit(""))
+    summary = _row(st, 1, fill(JUDGE_SUMMARY, error_row=error_row,
+                               finding=_choose(F.col("finding"), JUDGE_FINDING, **counts),
+                               avg_base=fmt("avg_base_score", "0.00"), avg_sft=fmt("avg_sft_score", "0.00"),
+                               difference=fmt_signed("score_difference"), **counts))
+    def na(c: str) -> Column:
+        # scores print like the JSON values they came from: 8 -> "8", 7.5 -> "7.5"
+        v = F.col(c)
+        txt = F.when(v == F.floor(v), v.cast("bigint").cast("string")).otherwise(v.cast("string"))
+        return F.coalesce(txt, F.lit(J.NA))
+    sections = _row(judged, 2, fill(
+        JUDGE_SECTION, problem_id=_s("problem_id"),
+        question_preview=F.substring("question", 1, PREVIEW_CHARS),
+        base_correctness=na("base_correctness"), base_brevity=na("base_brevity"),
+        base_clear_explanation=na("base_clear_explanation"), base_total=fmt("base_total_score", "0.0"),
+        sft_correctness=na("sft_correctness"), sft_brevity=na("sft_brevity"),
+        sft_clear_explanation=na("sft_clear_explanation"), sft_total=fmt("sft_total_score", "0.0"),
+        winner=F.col("winner"), judge_response_base=F.col("judge_response_base"),
+        judge_response_sft=F.col("judge_response_sft"), reason=F.col("reason")), F.col("problem_id"))
+    conclusion = _row(st, 3, _choose(F.col("finding"), JUDGE_CONCLUSION, **counts))
+    return head.unionByName(summary).unionByName(sections).unionByName(conclusion)
 
 
 def write_report(lines: DataFrame, path: str) -> None:
