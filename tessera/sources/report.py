@@ -173,6 +173,11 @@ def _s(c) -> Column:
     return (c if isinstance(c, Column) else F.col(c)).cast("string")
 
 
+def _py_bool(c: Column) -> Column:
+    """Booleans as Python prints them."""
+    return F.when(c, F.lit("True")).when(~c, F.lit("False"))
+
+
 def _choose(key: Column, templates: dict[str, str], **values) -> Column:
     out = None
     for k, t in templates.items():
@@ -196,9 +201,9 @@ def comparison_report_lines(pairs: DataFrame, base_name: str, sft_name: str,
         return fill(CMP_SIDE, title=title, response=F.col(f"{prefix}_response"),
                     status=F.when(fc["format_ok"], "PASS").otherwise("FAIL"),
                     reasoning_end=tags.reasoning_end, solution_start=tags.solution_start,
-                    solution_end=tags.solution_end, has_reasoning_end=_s(fc["has_reasoning_end"]),
-                    has_solution_start=_s(fc["has_solution_start"]),
-                    has_solution_end=_s(fc["has_solution_end"]))
+                    solution_end=tags.solution_end, has_reasoning_end=_py_bool(fc["has_reasoning_end"]),
+                    has_solution_start=_py_bool(fc["has_solution_start"]),
+                    has_solution_end=_py_bool(fc["has_solution_end"]))
 
     outcome = C.outcome_text(C.pair_outcome(F.col("base_format_check.format_ok"),
                                             F.col("sft_format_check.format_ok")))
