@@ -97,9 +97,17 @@ def between_tags(c, start: str, end: str, do_strip: bool = True) -> Column:
     return strip(body) if do_strip else body
 
 
+# --- fixed values: number patterns --------------------------------------------
+#   package rule (F7): first  -?\d+\.?\d*
+#   notebook rule (F8): first  -?[\d.,]+  after the solution-start tag (commas removed later)
+NUMBER_RE = r"-?\d+\.?\d*"
+NB_NUMBER_RE = r"-?[\d.,]+"
+# ---------------------------------------------------------------------------------
+
+
 def first_number(c) -> Column:
-    """first ``-?\\d+\\.?\\d*`` match (text), null when absent."""
-    return F.regexp_substr(col(c), F.lit(r"-?\d+\.?\d*"))
+    """first ``NUMBER_RE`` match (text), null when absent."""
+    return F.regexp_substr(col(c), F.lit(NUMBER_RE))
 
 
 def nb_number_after(c, start: str) -> Column:
@@ -108,7 +116,7 @@ def nb_number_after(c, start: str) -> Column:
     The lazy prefix means the group is the first ``-?[\\d.,]+`` run after the
     first ``start``; found with one ``regexp_substr`` on the suffix.
     """
-    return F.regexp_substr(after_first(c, start), F.lit(r"-?[\d.,]+"))
+    return F.regexp_substr(after_first(c, start), F.lit(NB_NUMBER_RE))
 
 
 _WS_NOT_SPACE = "".join(ch for ch in WS_CHARS if ch != " ")
