@@ -96,3 +96,37 @@ def pair_outputs_truths(outputs: DataFrame, truths: DataFrame, key: str = "id",
         if not bad.isEmpty():
             raise ValueError("Outputs and ground truths must have same length")
     return joined.drop("_o", "_t")
+
+
+# --- fixed values: metric log names and summary text ------------------------------
+LOG_NAMES = {
+    "format_accuracy": "eval/format_accuracy",
+    "answer_accuracy": "eval/answer_accuracy",
+    "reasoning_present": "eval/reasoning_present",
+    "avg_reasoning_length": "eval/avg_reasoning_length",
+    "avg_total_reward": "eval/avg_total_reward",
+    "num_samples": "eval/num_samples",
+}
+METRICS_TEXT = ("Evaluation Metrics (n={n}):\n"
+                "  Format Accuracy:    {fa}%\n"
+                "  Answer Accuracy:    {aa}%\n"
+                "  Reasoning Present:  {rp}%\n"
+                "  Avg Reasoning Len:  {rl} chars\n"
+                "  Avg Total Reward:   {tr}")
+# ------------------------------------------------------------------------------------
+
+
+def metrics_log(m: DataFrame) -> DataFrame:
+    """Metrics under their logging names (all values double, as logged)."""
+    keep = [c for c in m.columns if c not in LOG_NAMES]
+    return m.select(*keep, *[F.col(c).cast("double").alias(n) for c, n in LOG_NAMES.items()])
+
+
+def metrics_text(m: DataFrame, out: str = "summary") -> DataFrame:
+    """Printable summary per metrics row (``.1f`` percentages, ``.0f`` length, ``.2f`` reward)."""
+    from tessera.sources.report import fill, fmt
+    txt = fill(METRICS_TEXT, n=F.col("num_samples").cast("string"),
+               fa=fmt("format_accuracy", "0.0"), aa=fmt("answer_accuracy", "0.0"),
+               rp=fmt("reasoning_present", "0.0"), rl=fmt("avg_reasoning_length", "0"),
+               tr=fmt("avg_total_reward", "0.00"))
+    return m.withColumn(out, txt)

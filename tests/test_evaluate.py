@@ -51,3 +51,14 @@ def test_strict_pairing(spark):
     with pytest.raises(ValueError):
         E.pair_outputs_truths(o, t)
     assert E.pair_outputs_truths(o, t, strict=False).count() == 2
+
+
+def test_metrics_log_and_text(spark):
+    df = spark.createDataFrame(list(zip(range(4), OUTPUTS, TRUTHS, REWARDS)),
+                               "id long, output string, ground_truth string, reward double")
+    m = E.metrics(E.evaluate_rows(df), reward="reward")
+    log = E.metrics_log(m).first().asDict()
+    assert log["eval/num_samples"] == 4.0 and log["eval/format_accuracy"] == 75.0
+    text = E.metrics_text(m).first().summary
+    assert text == ("Evaluation Metrics (n=4):\n  Format Accuracy:    75.0%\n  Answer Accuracy:    50.0%\n"
+                    "  Reasoning Present:  75.0%\n  Avg Reasoning Len:  10 chars\n  Avg Total Reward:   3.38")
