@@ -56,3 +56,13 @@ def test_judge_jobs(spark, sf):
     report = "".join(open(os.path.join(f"{d}/out/report", p)).read()
                      for p in sorted(os.listdir(f"{d}/out/report")) if p.startswith("part-"))
     assert report.startswith("# LLM Judge Evaluation Report") and "## Conclusion" in report
+
+
+def test_cli_score(spark, sf, capsys):
+    from tessera.__main__ import main
+    d = tempfile.mkdtemp(prefix="tessera-cli-")
+    fixture(spark, sf, "completions").write.parquet(f"{d}/in")
+    assert main(["score", "--source", f"{d}/in", "--out", f"{d}/out", "--advantage-key", "prompt_id"]) == 0
+    out = spark.read.parquet(f"{d}/out")
+    assert {"total", "advantage", "reward_answer"} <= set(out.columns)
+    assert out.count() == spark.read.parquet(f"{d}/in").count()
