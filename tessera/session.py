@@ -59,23 +59,26 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir`` (a shared, reliable folder).
+    """The shared, reliable folder for ``checkpoint()``: ``spark.checkpoint.dir``.
 
-    Only a local-mode session without the setting (tests, bench) gets a
-    fresh temporary folder; on a cluster the setting is required.
+    Uses the context's checkpoint dir when set (Spark applies the setting at
+    start-up), else the session setting. Only a local-mode session without
+    either (tests, bench) gets a fresh temporary folder; on a cluster the
+    setting is required.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster's "
                                "distributed file system) before running operators that checkpoint")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    return d if d else ensure_checkpoint_dir(spark)
+    return ensure_checkpoint_dir(spark)
