@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from tessera.functions.numeric import py_float
@@ -272,6 +273,9 @@ def score(df: DataFrame, completion: str = "completion", answer: str = "answer",
           user_rewards: dict[str, Callable] | None = None) -> DataFrame:
     """Add one column per enabled reward and their row-wise sum.
 
+    ``completion`` may be text or the reference's message list (the first
+    message's content is scored).
+
     Shared intermediates (extracted solution, parsed numbers, ratios) are
     projected once in narrow stages; every reward is then a flat ``case when``
     over column references. All stages stay inside one whole-stage-codegen
@@ -281,7 +285,13 @@ def score(df: DataFrame, completion: str = "completion", answer: str = "answer",
     unknown = [r for r in rewards if r not in builders]
     if unknown:
         raise ValueError(f"unknown reward(s): {unknown}")
+    adapted = []
+    if isinstance(df.schema[completion].dataType, ArrayType):
+        # message-list completions: score completion[0]["content"]
+        df = df.withColumn("__t_text", F.get(F.col(completion), 0)["content"])
+        completion, adapted = "__t_text", ["__t_text"]
     staged, ctx, tmp = _stage_intermediates(df, completion, answer, rewards, dialect, tags)
+    tmp = tmp + adapted
     ctx["prepend"] = prepend_reasoning_start
     out_cols = {}
     for r in rewards:

@@ -182,3 +182,11 @@ def test_group_advantage_eps(spark):
     df = spark.createDataFrame([(1, 1, 1.0), (1, 2, 3.0)], "prompt_id long, gen_id int, total double")
     got = sorted(r.advantage for r in R.group_advantage(df, eps=1.0).collect())
     assert got == [-0.5, 0.5]
+
+
+def test_message_list_completions(spark):
+    from tessera.operators.messages import MSG_TYPE
+    df = spark.createDataFrame([([{"role": "assistant", "content": W + "<SOLUTION>42</SOLUTION>"}], "42")],
+                               f"completion {MSG_TYPE}, answer string")
+    r = R.score(df).first()
+    assert r.total == 13.5 and isinstance(r.completion, list)
