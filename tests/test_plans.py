@@ -42,3 +42,16 @@ def test_chat_render_splits_hot_conversations(spark):
     exchanges = [l for l in plan.splitlines() if "Exchange hashpartitioning" in l]
     # first (lower) exchange is keyed by (conversation, chunk), the second by conversation
     assert len(exchanges) == 2 and "_c#" in exchanges[1] and "_c#" not in exchanges[0]
+
+
+@pytest.mark.parametrize("name", ["reward_exact", "reward_approx", "reward_answer", "reward_numbers",
+                                  "reward_total", "reward_exact_nb", "reward_answer_nb", "reward_numbers_nb"])
+def test_scoring_is_narrow(spark, name):
+    plan = plan_of(spark, name)
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan and "SinglePartition" not in plan
+
+
+def test_text_join_leads_with_hash(spark):
+    plan = plan_of(spark, "ground_truth_lookup")
+    join = [l for l in plan.splitlines() if "LeftOuter" in l][0]
+    assert "_h#" in join.split("[")[1]
