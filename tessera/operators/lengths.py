@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,35 @@ def char_length(c) -> Column:
     return F.length(col(c))
 
 
+_TOKENIZERS: dict = {}
+
+
+def tokenizer_length(tokenizer_file: str, add_special_tokens: bool = True) -> Callable[[Column], Column]:
+    """P16 with a real tokenizer: a ``tokenizer.json`` (Hugging Face ``tokenizers``
+    format) counted in an Arrow UDF. The file is loaded once per worker
+    process and each Arrow batch is encoded in one ``encode_batch`` call.
+    The path must be readable from every executor (shared storage).
+    """
+    from pyspark.sql.types import IntegerType
+
+    @F.pandas_udf(IntegerType())
+    def _count(texts: pd.Series) -> pd.Series:
+        tok = _TOKENIZERS.get(tokenizer_file)
+        if tok is None:
+            from tokenizers import Tokenizer
+            tok = _TOKENIZERS[tokenizer_file] = Tokenizer.from_file(tokenizer_file)
+        vals = texts.tolist()
+        present = [i for i, t in enumerate(vals) if t is not None]
+        counts = [None] * len(vals)
+        if present:
+            enc = tok.encode_batch([vals[i] for i in present], add_special_tokens=add_special_tokens)
+            for i, e in zip(present, enc):
+                counts[i] = len(e.ids)
+        return pd.Series(counts, dtype="Int32")
+
+    return lambda c: _count(col(c))
+
+
 LENGTH_FUNCTIONS: dict[str, Callable[[Column], Column]] = {
     "regex_tokens": regex_tokens,
     "chars": char_length,

@@ -66,3 +66,15 @@ def test_cli_score(spark, sf, capsys):
     out = spark.read.parquet(f"{d}/out")
     assert {"total", "advantage", "reward_answer"} <= set(out.columns)
     assert out.count() == spark.read.parquet(f"{d}/in").count()
+
+
+def test_tokenizer_length(spark):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+    from tessera.operators import lengths as L
+    d = tempfile.mkdtemp(prefix="tessera-tok-")
+    tok = Tokenizer(models.WordLevel({"[UNK]": 0, "hello": 1, "world": 2}, unk_token="[UNK]"))
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    tok.save(f"{d}/tokenizer.json")
+    df = spark.createDataFrame([("hello world",), ("hello, big world!",), (None,)], "text string")
+    got = [r.N for r in L.with_length(df, "text", "N", L.tokenizer_length(f"{d}/tokenizer.json")).collect()]
+    assert got == [2, 5, None]
