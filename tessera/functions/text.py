@@ -122,17 +122,24 @@ def nb_number_after(c, start: str) -> Column:
 _WS_NOT_SPACE = "".join(ch for ch in WS_CHARS if ch != " ")
 
 
-def normalize_answer(c) -> Column:
-    """strip, lower, drop ``.,!?;:``, collapse whitespace runs to one space.
+def normalize_base(c) -> Column:
+    """F9, first part: strip, lower, drop ``.,!?;:`` (``translate``, no regex)."""
+    return F.translate(F.lower(strip(c)), ".,!?;:", "")
 
-    Punctuation goes with ``translate``; the whitespace regex runs only when
-    the text holds a double space or a non-space whitespace character.
-    """
-    s = F.translate(F.lower(strip(c)), ".,!?;:", "")
+
+def collapse_whitespace(c) -> Column:
+    """F9, second part: whitespace runs to one space; the regex runs only when the
+    text holds a double space or a non-space whitespace character."""
+    s = col(c)
     clean = (F.instr(s, "  ") == 0) & (F.length(F.translate(s, _WS_NOT_SPACE, "")) == F.length(s))
     return F.when(clean, s).otherwise(F.regexp_replace(s, rf"(?U){_WS}+", " "))
 
 
+def normalize_answer(c) -> Column:
+    """strip, lower, drop ``.,!?;:``, collapse whitespace runs to one space."""
+    return collapse_whitespace(normalize_base(c))
+
+
 def numeric_residue(c) -> Column:
     """keep only digits, ``.`` and ``-`` (regex only when other characters occur)."""
     c = col(c)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numeric import py_float
 from tessera.functions.tags import DEFAULT_TAGS, Tags
-from tessera.functions.text import between_tags, col, contains, normalize_answer, numeric_residue
+from tessera.functions.text import (between_tags, col, collapse_whitespace, contains, normalize_answer,
+                                    normalize_base, numeric_residue)
 
 
 def check_format(c, tags: Tags = DEFAULT_TAGS) -> Column:
@@ -47,8 +48,10 @@ def evaluate_rows(df: DataFrame, output: str = "output", truth: str = "ground_tr
     """
     t = F.col(truth)
     s1 = df.withColumns({"__t_r": extract_reasoning(output, tags), "__t_s": extract_solution(output, tags)})
-    s2 = s1.withColumns({"__t_pn": normalize_answer(F.col("__t_s")), "__t_tn": normalize_answer(t),
-                         "__t_pr": numeric_residue(F.col("__t_s")), "__t_tr": numeric_residue(t)})
+    s1b = s1.withColumns({"__t_pb": normalize_base(F.col("__t_s")), "__t_tb": normalize_base(t)})
+    s2 = s1b.withColumns({"__t_pn": collapse_whitespace(F.col("__t_pb")),
+                          "__t_tn": collapse_whitespace(F.col("__t_tb")),
+                          "__t_pr": numeric_residue(F.col("__t_s")), "__t_tr": numeric_residue(t)})
     s3 = s2.withColumns({"__t_pv": py_float(F.col("__t_pr")), "__t_tv": py_float(F.col("__t_tr"))})
     numeric = F.coalesce(F.abs(F.col("__t_pv") - F.col("__t_tv")) < F.lit(0.001), F.lit(False))
     text_match = F.coalesce((F.col("__t_pn") == F.col("__t_tn")) | (F.instr(F.col("__t_pn"), F.col("__t_tn")) > 0),
@@ -58,7 +61,8 @@ def evaluate_rows(df: DataFrame, output: str = "output", truth: str = "ground_tr
         "answer_correct": F.coalesce((F.length("__t_s") > 0) & (text_match | numeric), F.lit(False)),
         "has_reasoning": F.coalesce(F.length("__t_r") > 0, F.lit(False)),
         "reasoning_length": F.coalesce(F.length("__t_r"), F.lit(0)),
-    }).drop("__t_r", "__t_s", "__t_pn", "__t_tn", "__t_pr", "__t_tr", "__t_pv", "__t_tv"))
+    }).drop("__t_r", "__t_s", "__t_pb", "__t_tb", "__t_pn", "__t_tn", "__t_pr", "__t_tr", "__t_pv",
+            "__t_tv"))
 
 
 def metrics(rows: DataFrame, reward: str | None = None, by: Sequence[str] = ()) -> DataFrame:
