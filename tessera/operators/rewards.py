@@ -140,8 +140,11 @@ def nb_body(c, tags: Tags = DEFAULT_TAGS) -> Column:
     """R7 group 1 (unstripped), null when the pattern does not occur."""
     c = col(c)
     p = nb_format_regex(tags)
+    # the pattern needs all three tags: three instr calls skip the regex otherwise
+    tagged = ((F.instr(c, tags.reasoning_end) > 0) & (F.instr(c, tags.solution_start) > 0)
+              & (F.instr(c, tags.solution_end) > 0))
     # group 1 is ``.+?`` (never empty): '' from regexp_extract means no match
-    return F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
+    return F.when(tagged, F.nullif(F.regexp_extract(c, p, 1), F.lit("")))
 
 
 def nb_format_exact(c, tags: Tags = DEFAULT_TAGS, body: Column | None = None) -> Column:
