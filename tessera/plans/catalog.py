@@ -525,3 +525,11 @@ def response_cleanup(spark, d):
     from tessera.functions.html import clean_responses
     r = clean_responses(fixture(spark, d, "responses"), "response", TG.solution_start, TG.solution_end)
     return r.select("problem_id", "model", "cleaned")
+
+
+@query
+def length_stats_by_lang(spark, d):
+    """A2 grouped: token-length statistics of whole documents per language."""
+    n = L.with_length(table(spark, d, "documents").select("lang", "text"), "text", "N")
+    return L.length_stats(n, "N", by=["lang"]).select(
+        "lang", "min_len", "max_len", "mean_len", F.col("median_len").cast("double").alias("median_len"))

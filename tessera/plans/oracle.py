@@ -436,3 +436,8 @@ select problem_number, doc_id, exercise_number from tt where problem_number = 4"
 
 sql("sft_training_set", _SFT_T.replace("n as (select doc_id,", "n as (select doc_id, text,") +
     f"select doc_id, text, N from n where N <= {int(K.MAX_SEQ * K.TRUNCATE_RATIO)}")
+
+sql("length_stats_by_lang", f"""
+with n as (select lang, cast({tokens('text')} as integer) as N from documents)
+select lang, min(N) as min_len, max(N) as max_len, avg(N) as mean_len, cast(median(N) as double) as median_len
+from n group by lang""")

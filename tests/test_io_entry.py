@@ -123,3 +123,14 @@ def test_guards_head_and_first_content(spark):
     assert [r.a for r in head(df, ["a"], 2).collect()] == [1, 2]
     m = spark.createDataFrame([([{"role": "assistant", "content": "hi"}],), ([],)], f"c {MSG_TYPE}")
     assert [r.x for r in m.select(first_content("c").alias("x")).collect()] == ["hi", None]
+
+
+def test_streaming_available_now(spark):
+    from tessera.streaming.scoring import score_stream
+    d = tempfile.mkdtemp(prefix="tessera-stream-")
+    spark.createDataFrame([(1, 1, "0", "no formatting here")],
+                          "prompt_id long, gen_id int, answer string, completion string").write.parquet(f"{d}/in")
+    q = score_stream(spark, f"{d}/in", f"{d}/out", f"{d}/ckpt", dialect="notebook", available_now=True)
+    q.awaitTermination(120)
+    r = spark.read.parquet(f"{d}/out").first()
+    assert r.reward_format_exact == 0.0 and r.reward_answer == -2.0
