@@ -78,3 +78,12 @@ def test_tokenizer_length(spark):
     df = spark.createDataFrame([("hello world",), ("hello, big world!",), (None,)], "text string")
     got = [r.N for r in L.with_length(df, "text", "N", L.tokenizer_length(f"{d}/tokenizer.json")).collect()]
     assert got == [2, 5, None]
+
+
+def test_rl_set_job_without_split(spark, sf):
+    d = tempfile.mkdtemp(prefix="tessera-job-")
+    spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("text").alias("prompt"),
+                                                         F.lit("1").alias("answer")).write.parquet(f"{d}/src")
+    budget = jobs.rl_set_job(spark, f"{d}/src", f"{d}/out", percentile=50)
+    out = spark.read.parquet(f"{d}/out")
+    assert out.count() >= 1 and all(r.prompt_length <= budget["max_prompt_length"] for r in out.collect())
