@@ -11,7 +11,7 @@ import pyrules as P
 ALPHABET = "0123456789+-._eEinfatyINFd xX\t\xa0"
 
 
-@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.text(alphabet=ALPHABET, max_size=8), min_size=50, max_size=300))
 def test_py_float_and_is_number_generated(spark, vals):
     df = spark.createDataFrame([(v,) for v in vals], "s string")
