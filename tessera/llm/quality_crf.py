@@ -36,7 +36,7 @@ BINS = 8
 ROUNDS = 150
 THRESHOLD = 0.5
 
-MEASURES = ("symbols", "capitals", "digits", "shouts", "word_length", "length", "repeats", "line_repeats", "stops", "low_words")
+MEASURES = ("symbols", "capitals", "digits", "shouts", "word_length", "length", "repeats", "line_repeats", "stops", "low_words", "stutter")
 N = len(MEASURES)
 PAD = N * BINS  # the feature "no such neighbour"
 WIDTH = 3 * (PAD + 1)
@@ -71,10 +71,11 @@ def _line_measures(data: bytes) -> np.ndarray:
     first[1:] = (h[order][1:] != h[order][:-1]) | (line[order][1:] != line[order][:-1])
     distinct = np.bincount(line[order][first], minlength=len(start)).astype(float)
     starts_low = np.bincount(line[kind[at] == 1], minlength=len(start)).astype(float)
+    again = np.bincount(line[1:][(h[1:] == h[:-1]) & (line[1:] == line[:-1])], minlength=len(start)).astype(float)
     w, letters = np.maximum(words, 1), np.maximum(lower + upper, 1)
     whole = H.spans(H.running(buf), start, end)
     out = np.stack([symbols / w, upper / letters, digits / w, shouts / w, (lower + upper) / w, np.log1p(words), 1 - distinct / w,
-                    np.zeros(len(start)), stops / w, starts_low / w, (end - start).astype(float)], axis=1)
+                    np.zeros(len(start)), stops / w, starts_low / w, again / w, (end - start).astype(float)], axis=1)
     return np.column_stack([out, whole.view(np.float64), words])
 
 
@@ -116,6 +117,12 @@ def features(lines: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.hstack([own, before + PAD + 1, after + 2 * (PAD + 1)])
 
 
+def bin_edges(values: np.ndarray) -> np.ndarray:
+    """Zero has a bin of its own; the others hold equal parts of the positive values."""
+    positive = values[values > 0]
+    return np.concatenate([[1e-12], np.quantile(positive, np.arange(1, BINS - 1) / (BINS - 1)) if len(positive) else np.full(BINS - 2, np.inf)])
+
+
 class Chains:
     """Documents' lines, laid out so that step t holds the t-th lines of all documents that have one."""
 
@@ -163,7 +170,7 @@ class QualityField:
     @classmethod
     def train(cls, docs: list[np.ndarray], labels: np.ndarray, penalty: float = 1.0, rounds: int = ROUNDS) -> QualityField:
         every = np.concatenate(docs)
-        edges = np.stack([np.quantile(every[:, k], np.arange(1, BINS) / BINS) for k in range(N)])
+        edges = np.stack([bin_edges(every[:, k]) for k in range(N)])
         chains = Chains(docs)
         f = np.concatenate([features(d, edges) for d in docs])
         y = np.repeat(labels, chains.sizes).astype(float)

@@ -6,9 +6,9 @@
    letters also form the trie.
 2. *Matching*. A word of a text that is not in the lexicon is compiled to a Levenshtein
    automaton of distance 1, which is run along the trie; only the branches that the
-   automaton can still accept are followed. (A word that has neither the first nor the second half
-   of a term cannot be within distance 1 and skips the trie.) Results are remembered
-   for a bounded number of words.
+   automaton can still accept are followed. One edit leaves
+   a half of the term whole, so the trie is entered at that half. Results are remembered for
+   a bounded number of words.
 3. *Context*. A match counts by the window around it: inside quotation marks or next to a
    word of reporting it is a quotation, next to a word of address it is
    aimed at someone.
@@ -50,6 +50,7 @@ THRESHOLD = 0.7
 
 TOKEN = re.compile(r"[^\W_]+")
 QUOTES = re.compile("[\"“”„«»]")
+MARKED = re.compile("[^\\W_]+|[\"“”„«»\n]")
 #: fixed values: words of reporting and of address, in four languages
 REPORTING = frozenset("said says say called calls wrote quoted quote word term slur insult sagte nannte schrieb wort "
                       "dit appela écrit mot dijo llamó escribió palabra".split())
@@ -95,9 +96,14 @@ class Trie:
                 node = node.setdefault(ch, {})
             node[""] = t
 
-    def intersect(self, automaton: LevenshteinAutomaton):
-        """(term, edits) of the terms that the automaton accepts."""
-        stack = [(self.root, automaton.start())]
+    def intersect(self, automaton: LevenshteinAutomaton, known: str = ""):
+        """(term, edits) of the terms that begin with ``known`` and that the automaton accepts."""
+        node, state = self.root, automaton.start()
+        for ch in known:
+            node, state = node.get(ch), automaton.step(state, ch)
+            if node is None or not state:
+                return
+        stack = [(node, state)]
         while stack:
             node, state = stack.pop()
             for ch, child in node.items():
@@ -109,16 +115,33 @@ class Trie:
 
 
 class Matcher(dict):
-    """word -> (term, weight, edits) or None; filled as words come, of bounded size."""
+    """word -> (term, weight, edits) or None; filled as words come, of bounded size.
+
+    One edit leaves the first or the second half of a term whole: the trie is entered at the
+    first half, the trie of the reversed terms at the reversed second half.
+    """
 
     def __init__(self, lexicon: dict[str, float], fuzzy: int = FUZZY):
         super().__init__()
         self.lexicon = lexicon
         strong = sorted((t for t in lexicon if len(t) >= MIN_LETTERS), key=lambda t: (-lexicon[t], t))[:fuzzy]
-        self.trie = Trie(strong)
-        self.heads, self.tails = {t[:len(t) // 2] for t in strong}, {t[len(t) // 2:] for t in strong}
-        self.head_sizes, self.tail_sizes = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
-        self.longest = max(map(len, strong), default=0)
+        self.tries = Trie(strong), Trie(t[::-1] for t in strong)
+        self.starts = {(len(t) + k, t[:len(t) // 2]) for t in strong for k in (-1, 0, 1)}, {(len(t) + k, t[len(t) // 2:][::-1]) for t in strong for k in (-1, 0, 1)}
+        self.sizes: tuple[dict, dict] = ({}, {})
+        for starts, sizes in zip(self.starts, self.sizes):
+            for n, half in sorted(starts):
+                if len(half) not in sizes.setdefault(n, []):
+                    sizes[n].append(len(half))
+
+    def near(self, word: str) -> list[tuple[float, str, int]]:
+        found, n = [], len(word)
+        for way, w in enumerate((word, word[::-1])):
+            halves = [w[:k] for k in self.sizes[way].get(n, ()) if (n, w[:k]) in self.starts[way]]
+            if halves:
+                automaton = LevenshteinAutomaton(w)
+                for half in halves:
+                    found += [(t[::-1] if way else t, e) for t, e in self.tries[way].intersect(automaton, half)]
+        return [(-self.lexicon[t], t, e) for t, e in found]
 
     def __missing__(self, word: str):
         if len(self) >= MEMORY:
@@ -126,16 +149,28 @@ class Matcher(dict):
         found = None
         if word in self.lexicon:
             found = (word, self.lexicon[word], 0)
-        elif MIN_LETTERS - 1 <= len(word) <= self.longest + 1 and (
-                any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)):
-            near = [(-self.lexicon[t], t, n) for t, n in self.trie.intersect(LevenshteinAutomaton(word))]
-            if near:
-                w, t, n = min(near)
-                found = (t, -w, n)
+        elif near := self.near(word):
+            w, t, n = min(near)
+            found = (t, -w, n)
         self[word] = found
         return found
 
 
+def quoted_tokens(text: str, n: int) -> bytearray:
+    """1 for the tokens after an odd number of quotation marks of their line."""
+    out, i, opened = bytearray(n), 0, 0
+    for m in MARKED.finditer(text):
+        ch = m.group()
+        if ch == "\n":
+            opened = 0
+        elif len(ch) == 1 and QUOTES.match(ch):
+            opened ^= 1
+        else:
+            out[i] = opened
+            i += 1
+    return out
+
+
 def evidence(text: str | None, matcher: Matcher) -> list[float]:
     """The features of one whole text."""
     if not isinstance(text, str):
@@ -145,15 +180,13 @@ def evidence(text: str | None, matcher: Matcher) -> list[float]:
     hits = [(i, m) for i, m in enumerate(map(matcher.__getitem__, tokens)) if m]
     if not hits:
         return [0.0] * len(FEATURES)
-    places = {i: m.start() for i, m in enumerate(TOKEN.finditer(text))}
+    inside = quoted_tokens(text, len(tokens)) if QUOTES.search(text) else None
     strongest = plain = quoted = addressed = misspelled = total = 0.0
     terms = set()
     for i, (term, weight, edits) in hits:
         near = tokens[max(0, i - WINDOW):i + WINDOW + 1]
-        line = text.rfind("\n", 0, places[i]) + 1
-        opened = len(QUOTES.findall(text, line, places[i])) % 2
         terms.add(term)
-        if opened or not REPORTING.isdisjoint(near):
+        if (inside is not None and inside[i]) or not REPORTING.isdisjoint(near):
             quoted += weight
             continue
         total += weight
