@@ -11,6 +11,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
+import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,3 +99,18 @@ def keep_rows(docs: DataFrame, kept: DataFrame, rid: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 3 = 1; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 3 == 1
+
+
+def utf8(text) -> bytes:
+    """The bytes of a text in a task; null is empty."""
+    return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
+
+
+def packed_texts(source: DataFrame) -> DataFrame:
+    """row_id and the compressed UTF-8 bytes of ``text``, for shuffles that carry whole texts."""
+    def pack(batches):
+        z = zstandard.ZstdCompressor(level=1)
+        for pdf in batches:
+            yield pd.DataFrame({"row_id": pdf["row_id"], "packed": [z.compress(utf8(t)) for t in pdf["text"]]})
+
+    return source.select("row_id", "text").mapInPandas(pack, "row_id long, packed binary")

@@ -3,14 +3,16 @@
 A document's set holds the hashes of its distinct n-word shingles. Documents with equal
 sets form one class; links are sought between classes, so thousands of copies cost one row.
 
-1. *Order*. All shingles of all texts are counted in a sketch of fixed size (2**18
+1. *Order*. All shingles of all texts are counted in a sketch of fixed size (2**20
    counters); shingles are ordered by estimated frequency, rare ones first. Any order
    gives right results, the sketch only makes prefixes selective.
 2. *Prefixes*. Two sets with Jaccard >= t share at least l tokens of their prefixes of
-   length n - ceil(t n) + l, for every l. The first prefix (l = 1) of each class goes to
-   the token index: classes that share a token of it get an edge to the least class of
-   that token (linear in the token's rows, never all pairs), and the components of these
-   edges are the *neighbourhoods*: no link leaves one.
+   length n - ceil(t n) + l, for every l, and the smaller has at least t times the
+   tokens of the larger. The first prefix (l = 1) of each class goes to the token index.
+   Classes that share a token and a size class get an edge to the least class there, and the
+   least classes of neighbouring size classes get one (linear in the token's rows, never
+   all pairs); sizes that fit are in the same or in neighbouring size classes. The components
+   of these edges are the *neighbourhoods*: no link leaves one.
 3. *Adaptive multi-match*. Inside a neighbourhood every class lengthens its prefix by its
    estimated candidate cost: of l = 1..MAX_MATCH it takes the one for which the classes
    met in the longer prefix plus the candidates expected to remain are fewest. A pair is
@@ -40,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,18 +50,14 @@ from tessera.llm import common as C
 from tessera.llm import hashing as H
 from tessera.llm.components import components
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 MAX_MATCH = 8
 UNIT_CLASSES = 768
 UNIT_BYTES = 12 << 20
 
 
-def _text_bytes(column: pd.Series) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in column]
-
-
 def _sets(column: pd.Series, words: int) -> Iterator[np.ndarray]:
-    for w in H.text_words(_text_bytes(column)):
+    for w in H.text_words([C.utf8(t) for t in column]):
         yield H.shingles(w, words)
 
 
@@ -67,28 +66,38 @@ def _bucket(tokens: np.ndarray) -> np.ndarray:
 
 
 def frequency_sketch(docs: DataFrame, words: int) -> np.ndarray:
-    """2**18 counters of the shingles of all texts; partial sums meet in a tree of two levels."""
-    step = 1 << 12
+    """2**20 counters of the shingles of all texts; partial sums meet in a tree of two levels."""
+    step, size = 1 << 12, 1 << SKETCH_BITS
+    most = np.iinfo(np.uint32).max
 
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        total = np.zeros(size, dtype=np.int64)
         for pdf in batches:
+            held, n = [], 0
             for s in _sets(pdf["text"], words):
-                if len(s):
-                    np.add.at(total, _bucket(s), 1) if len(s) < 4096 else np.add(total, np.bincount(_bucket(s), minlength=len(total)), out=total)
+                held.append(s)
+                n += len(s)
+                if n > size:
+                    total += np.bincount(_bucket(np.concatenate(held)), minlength=size)
+                    held, n = [], 0
+            if n:
+                total += np.bincount(_bucket(np.concatenate(held)), minlength=size)
         part = hash(total.tobytes()) % 64
-        yield pd.DataFrame([(k, part, total[k * step:(k + 1) * step].tobytes()) for k in range(len(total) // step)], columns=["chunk", "part", "counts"])
+        total = np.minimum(total, most).astype(np.uint32)
+        yield pd.DataFrame([(k, part, total[k * step:(k + 1) * step].tobytes()) for k in range(size // step)], columns=["chunk", "part", "counts"])
 
     def add(key, pdf):
-        total = sum(np.frombuffer(c, np.int64) for c in pdf["counts"])
-        return pd.DataFrame([(*key, total.tobytes())], columns=["chunk", "part", "counts"][:len(key)] + ["counts"])
+        total = np.zeros(step, dtype=np.int64)
+        for c in pdf["counts"]:
+            total += np.frombuffer(c, np.uint32)
+        return pd.DataFrame([(*key, np.minimum(total, most).astype(np.uint32).tobytes())], columns=["chunk", "part"][:len(key)] + ["counts"])
 
     partial = docs.select("text").mapInPandas(count, "chunk int, part int, counts binary")
     partial = partial.groupBy("chunk", "part").applyInPandas(add, "chunk int, part int, counts binary")
-    rows = partial.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()  # 2**18 counters whatever the input
-    total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    rows = partial.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()  # 4 MB whatever the input
+    total = np.zeros(size, dtype=np.uint32)
     for r in rows:
-        total[r["chunk"] * step:(r["chunk"] + 1) * step] = np.frombuffer(r["counts"], np.int64)
+        total[r["chunk"] * step:(r["chunk"] + 1) * step] = np.frombuffer(r["counts"], np.uint32)
     return total
 
 
@@ -109,7 +118,7 @@ def matches_wanted(ordered: np.ndarray, sketch: np.ndarray, percent: int) -> int
     the whole set.
     """
     n = len(ordered)
-    reach = np.cumsum(sketch[_bucket(ordered[:prefix_length(n, percent, MAX_MATCH)])])
+    reach = np.cumsum(sketch[_bucket(ordered[:prefix_length(n, percent, MAX_MATCH)])].astype(np.float64))
     first = reach[prefix_length(n, percent) - 1]
     cost = [reach[prefix_length(n, percent, k) - 1] + first * n / 2 ** (k - 1) for k in range(1, MAX_MATCH + 1)]
     return 1 + int(np.argmin(cost))
@@ -193,7 +202,7 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, text: str = "text", do
     scratch = scratch or C.Scratch(spark, "jaccard-join")
     source = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"),
                          F.col(text).cast("string").alias("text"))
-    sketch = spark.sparkContext.broadcast(frequency_sketch(source, words))  # 2 MB whatever the input
+    sketch = spark.sparkContext.broadcast(frequency_sketch(source, words))  # 4 MB whatever the input
 
     def describe(batches):
         for pdf in batches:
@@ -210,15 +219,23 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, text: str = "text", do
     classes = described.where("digest is not null").groupBy("digest").agg(F.min("row_id").alias("row_id"))
     members = described.select("row_id", "n_shingles", "prefix").join(classes, "row_id").withColumn("class_id", class_id)
 
+    width = math.log(100 / percent) * (1 + 1e-9)  # sizes that fit differ by less than one band
+
     def tokens(batches):
         for pdf in batches:
             if len(pdf):
                 arrays = [np.frombuffer(p, np.int64) for p in pdf["prefix"]]
-                yield pd.DataFrame({"token": np.concatenate(arrays), "class_id": np.repeat(pdf["class_id"].to_numpy(), [len(a) for a in arrays])})
-
-    index = members.select("class_id", "prefix").mapInPandas(tokens, "token long, class_id long")
-    least = index.groupBy("token").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a < z").select("token", "a")
-    edges = index.join(least, "token").where("class_id <> a").select("a", F.col("class_id").alias("b")).distinct()
+                n = [len(a) for a in arrays]
+                band = (np.log(pdf["n_shingles"].to_numpy()) / width).astype(np.int32)
+                yield pd.DataFrame({"token": np.concatenate(arrays), "band": np.repeat(band, n), "class_id": np.repeat(pdf["class_id"].to_numpy(), n)})
+
+    index = members.select("class_id", "n_shingles", "prefix").mapInPandas(tokens, "token long, band int, class_id long")
+    several = index.groupBy("token").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a < z").select("token")
+    shared = scratch.write(index.join(several, "token"), "shared")
+    least = shared.groupBy("token", "band").agg(F.min("class_id").alias("a"))
+    above = least.select("token", (F.col("band") - 1).alias("band"), F.col("a").alias("b"))
+    edges = shared.join(least, ["token", "band"]).where("class_id <> a").select("a", F.col("class_id").alias("b"))
+    edges = edges.unionAll(least.join(above, ["token", "band"]).select("a", "b")).distinct()
     near = components(edges, scratch)
     near = scratch.write(near.unionAll(near.select("root", "root").distinct()), "neighbourhoods")
 
@@ -236,19 +253,10 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, text: str = "text", do
         F.concat_ws(":", F.col("root").cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string")))
     dealt = dealt.select("row_id", "class_id", "block", (F.col("block") == F.col("other")).alias("own"), unit.alias("unit"))
 
-    # the sets of the classes that have neighbours, once; their texts are read again
-    wanted = sized.select("row_id")
-    texts = source.select("row_id", "text").join(wanted, "row_id")
-
-    def whole(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"row_id": pdf["row_id"], "tokens": [s.tobytes() for s in _sets(pdf["text"], words)]})
-
-    sets = texts.mapInPandas(whole, "row_id long, tokens binary")
-
     def verify(key, pdf):
         pdf = pdf.sort_values("class_id")
-        held = [np.frombuffer(t, np.uint64) for t in pdf["tokens"]]
+        z = zstandard.ZstdDecompressor()
+        held = [H.shingles(w, words) for w in H.text_words([z.decompress(p) for p in pdf["packed"]])]
         ordered = [in_order(s, sketch.value) for s in held]
         need = np.array([matches_wanted(o, sketch.value, percent) for o in ordered])
         prefixes = [o[:prefix_length(len(o), percent, k)] for o, k in zip(ordered, need)]
@@ -256,7 +264,8 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, text: str = "text", do
         ids = pdf["class_id"].to_numpy()
         return pd.DataFrame([(ids[x], ids[y]) for x, y in _forest(held, need, prefixes, percent, apart)], columns=["a", "b"])
 
-    links = dealt.join(sets, "row_id").groupBy("unit").applyInPandas(verify, "a long, b long")
+    # the texts of the classes that have neighbours are read again; their sets are made where they are compared
+    links = C.packed_texts(source).join(dealt, "row_id").groupBy("unit").applyInPandas(verify, "a long, b long")
     return rows, components(links, scratch)
 
 

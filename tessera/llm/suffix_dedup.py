@@ -88,10 +88,6 @@ def _columns(names: str, arrays) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(names.split(), arrays)))
 
 
-def _bytes(text) -> bytes:
-    return text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
-
-
 def _runs_of_ones(flag: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last index of the maximal runs of true values within a group."""
     n = len(flag)
@@ -138,7 +134,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, text: str = "text", doc
         for pdf in batches:
             rows = []
             for rid, t in zip(pdf["row_id"], pdf["text"]):
-                data = _bytes(t)
+                data = C.utf8(t)
                 for anchor, at, low, high, whole in runs(data, length):
                     rows.append((np.full(len(at), rid), at, low * 65536 + high, anchor.view(np.int64), whole.view(np.int64)))
             if rows:
@@ -173,7 +169,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, text: str = "text", doc
 
     todo = undecided.groupBy("row_id").agg(F.collect_list(F.struct(*names[1:])).alias("todo"))  # at most a run for each byte of one text
     kinds = "row_id long, at long, low long, high long, anchor long, hot boolean, equal boolean, content binary"
-    contents = packed_texts(source).join(todo, "row_id").mapInPandas(cut, kinds)
+    contents = C.packed_texts(source).join(todo, "row_id").mapInPandas(cut, kinds)
     contents = scratch.write(contents, "contents")
 
     def sort_unit(pdf):
@@ -205,16 +201,6 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, text: str = "text", doc
     return source, decided.unionAll(cold).unionAll(hot)
 
 
-def packed_texts(source: DataFrame) -> DataFrame:
-    """row_id and the compressed UTF-8 bytes of each text."""
-    def pack(batches):
-        z = zstandard.ZstdCompressor(level=1)
-        for pdf in batches:
-            yield pd.DataFrame({"row_id": pdf["row_id"], "packed": [z.compress(_bytes(t)) for t in pdf["text"]]})
-
-    return source.select("row_id", "text").mapInPandas(pack, "row_id long, packed binary")
-
-
 def removed(starts, length: int, size: int) -> list[tuple[int, int]]:
     """Maximal [from, to) that the windows at the given runs of starts cover."""
     out: list[list[int]] = []
@@ -230,7 +216,7 @@ def dedup_texts(spark: SparkSession, docs: DataFrame, text: str = "text", doc_id
     """row_id, n_bytes, spans (removed [from, to) byte ranges) and kept (remaining bytes) of each document."""
     source, starts = repeated_spans(spark, docs, text, doc_id, length)
     starts = starts.groupBy("row_id").agg(F.collect_list(F.struct("first", "last")).alias("starts"))  # of one text
-    joined = packed_texts(source).join(starts, "row_id", "left")
+    joined = C.packed_texts(source).join(starts, "row_id", "left")
 
     def strip(batches):
         z = zstandard.ZstdDecompressor()
