@@ -6,27 +6,26 @@ sets form one class; links are sought between classes, so thousands of copies co
 1. *Order*. All shingles of all texts are counted in a sketch of fixed size (2**20
    counters); shingles are ordered by estimated frequency, rare ones first. Any order
    gives right results, the sketch only makes prefixes selective.
-2. *Prefixes*. Two sets with Jaccard >= t share at least l tokens of their prefixes of
-   length n - ceil(t n) + l, for every l, and the smaller has at least t times the
-   tokens of the larger. The first prefix (l = 1) of each class goes to the token index.
-   Classes that share a token and a size class get an edge to the least class there, and the
-   least classes of neighbouring size classes get one (linear in the token's rows, never
-   all pairs); sizes that fit are in the same or in neighbouring size classes. The components
-   of these edges are the *neighbourhoods*: no link leaves one.
-3. *Adaptive multi-match*. Inside a neighbourhood every class lengthens its prefix by its
-   estimated candidate cost: of l = 1..MAX_MATCH it takes the one for which the classes
-   met in the longer prefix plus the candidates expected to remain are fewest. A pair is
-   verified only if it shares min(l, l') tokens and its sizes allow the threshold.
-4. *Verification* counts the whole intersection and compares
-   100 * intersection >= percent * union in integers. Pairs whose classes are already
-   connected are skipped; a task returns the links that connect (a forest), so its
-   output is linear in its classes.
-5. Neighbourhoods are packed into units of bounded size; one that is larger is cut into
-   blocks, and each pair of blocks is a unit. The forests of all units are joined by
-   connected components.
-
-Class, token and shingle identities are 64-bit hashes (128 bits for the equality of sets);
-for n classes two collide with probability below n**2 / 2**65.
+2. *Adaptive multi-match prefixes*. Two sets with Jaccard >= t share at least l tokens of their
+   prefixes of length n - ceil(t n) + l, for every l. Each class takes the l = 1..MAX_MATCH
+   that is expected to cost least: the classes met in the longer prefix, plus the verification
+   of the candidates expected to remain. Its prefix goes to the token index; a pair is a
+   candidate only if it shares min(l, l') tokens there and its sizes fit.
+3. *Short lists*. The pairs of the classes in a token's list of at most ``LIST`` rows are counted
+   by pair; that is at most ``LIST`` / 2 rows for a row of the index. Candidates are packed into
+   units of bounded size that hold their texts.
+4. *Long lists* (a family of near copies, a passage) are never paired up. A class gets an edge to
+   the least class of its list and size band, and the least classes of neighbouring bands
+   get one (sizes that fit are in the same or in neighbouring bands). No pair that shares a
+   long list leaves a component of these edges, so these pairs need no count from step 3. A component
+   is a unit; a larger one is cut into blocks, and each pair of blocks is a unit.
+   Shared prefix tokens are counted within the unit.
+5. *Verification* counts the whole intersection and compares
+   100 * intersection >= percent * union in integers. A unit returns the links that connect its
+   classes (a forest, linear in the classes); the forests are joined by connected components.
+
+Shingles and tokens are 64-bit hashes, sets are equal if 128-bit digests are. A row of a class
+stands for it, so classes cannot collide.
 
 Defined results: null, empty and white texts have no shingles and link with nothing; their
 component is their own doc_id. Null doc_ids count as larger than all others; a group whose
@@ -51,7 +50,8 @@ from tessera.llm import hashing as H
 from tessera.llm.components import components
 
 SKETCH_BITS = 20
-MAX_MATCH = 8
+MAX_MATCH = 16
+LIST = 64
 UNIT_CLASSES = 768
 UNIT_BYTES = 12 << 20
 
@@ -118,14 +118,22 @@ def matches_wanted(ordered: np.ndarray, sketch: np.ndarray, percent: int) -> int
     the whole set.
     """
     n = len(ordered)
-    reach = np.cumsum(sketch[_bucket(ordered[:prefix_length(n, percent, MAX_MATCH)])].astype(np.float64))
+    most = min(MAX_MATCH, -(-percent * n // 100))  # a prefix holds the whole set then
+    reach = np.cumsum(sketch[_bucket(ordered[:prefix_length(n, percent, most)])].astype(np.float64))
     first = reach[prefix_length(n, percent) - 1]
-    cost = [reach[prefix_length(n, percent, k) - 1] + first * n / 2 ** (k - 1) for k in range(1, MAX_MATCH + 1)]
+    cost = [reach[prefix_length(n, percent, k) - 1] + first * n / 2 ** (k - 1) for k in range(1, most + 1)]
     return 1 + int(np.argmin(cost))
 
 
-def _pairs_by_count(prefixes: list[np.ndarray], need: np.ndarray) -> Iterator[np.ndarray]:
-    """Codes i * len + j (i < j) of the classes that share min(need) prefix tokens, in chunks."""
+def matched_prefix(tokens: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
+    """The l of a set and the prefix that goes with it."""
+    ordered = in_order(tokens, sketch)
+    match = matches_wanted(ordered, sketch, percent)
+    return match, ordered[:prefix_length(len(ordered), percent, match)]
+
+
+def _pairs_by_count(prefixes, need: np.ndarray) -> np.ndarray:
+    """Codes i * len + j (i < j) of the classes that share min(need) prefix tokens."""
     d = len(prefixes)
     token, owner = np.concatenate(prefixes), np.repeat(np.arange(d), [len(p) for p in prefixes])
     order = np.lexsort((owner, token))
@@ -147,17 +155,21 @@ def _pairs_by_count(prefixes: list[np.ndarray], need: np.ndarray) -> Iterator[np
     return found[shared[found] >= np.minimum(need[found // d], need[found % d])]
 
 
-def _forest(sets: list[np.ndarray], need: np.ndarray, prefixes: list[np.ndarray], percent: int, apart: np.ndarray | None) -> list[tuple[int, int]]:
-    """Links among the classes of a unit that connect them; ``apart``: only pairs of two blocks."""
-    d, n = len(sets), np.array([len(s) for s in sets])
-    if d < 2:
-        return []
+def _candidates(prefixes, need: np.ndarray, n: np.ndarray, percent: int, apart: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a unit's classes to verify; ``apart``: only pairs of two blocks."""
+    if len(n) < 2:
+        return n[:0], n[:0]
     code = _pairs_by_count(prefixes, need)
-    i, j = code // d, code % d
+    i, j = code // len(n), code % len(n)
     fits = np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])
     if apart is not None:
         fits &= apart[i] != apart[j]
-    i, j = i[fits], j[fits]
+    return i[fits], j[fits]
+
+
+def _forest(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Of the pairs (i, j), links that connect what all links connect."""
+    d, n = len(sets), np.array([len(s) for s in sets])
     parent = list(range(d))
 
     def root(x):
@@ -209,16 +221,16 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, text: str = "text", do
             out = []
             for rid, did, s in zip(pdf["row_id"], pdf["doc_id"], _sets(pdf["text"], words)):
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-                prefix = in_order(s, sketch.value)[:prefix_length(len(s), percent)].tobytes() if len(s) else None
-                out.append((rid, did, len(s), digest, prefix))
-            yield pd.DataFrame(out, columns=["row_id", "doc_id", "n_shingles", "digest", "prefix"]).astype({"doc_id": "Int64"})
-
-    described = scratch.write(source.mapInPandas(describe, "row_id long, doc_id long, n_shingles long, digest binary, prefix binary"), "sets")
-    class_id = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
-    rows = described.select("row_id", "doc_id", "n_shingles", F.when(F.col("digest").isNotNull(), class_id).alias("class_id"))
-    classes = described.where("digest is not null").groupBy("digest").agg(F.min("row_id").alias("row_id"))
-    members = described.select("row_id", "n_shingles", "prefix").join(classes, "row_id").withColumn("class_id", class_id)
-
+                match, prefix = matched_prefix(s, sketch.value, percent) if len(s) else (0, s)
+                out.append((rid, did, len(s), digest, match, prefix.tobytes()))
+            yield pd.DataFrame(out, columns=["row_id", "doc_id", "n_shingles", "digest", "match", "prefix"]).astype({"doc_id": "Int64"})
+
+    described = scratch.write(source.mapInPandas(describe, "row_id long, doc_id long, n_shingles long, digest binary, match int, prefix binary"), "sets")
+    # a class is known by its first row
+    classes = described.where("digest is not null").groupBy("digest").agg(F.min("row_id").alias("class_id"))
+    classes = scratch.write(classes, "classes")
+    rows = described.select("row_id", "doc_id", "n_shingles", "digest").join(classes, "digest", "left").drop("digest")
+    members = described.select(F.col("row_id").alias("class_id"), "n_shingles", "match", "prefix").join(classes.select("class_id"), "class_id")
     width = math.log(100 / percent) * (1 + 1e-9)  # sizes that fit differ by less than one band
 
     def tokens(batches):
@@ -226,43 +238,61 @@ def jaccard_classes(spark: SparkSession, docs: DataFrame, text: str = "text", do
             if len(pdf):
                 arrays = [np.frombuffer(p, np.int64) for p in pdf["prefix"]]
                 n = [len(a) for a in arrays]
-                band = (np.log(pdf["n_shingles"].to_numpy()) / width).astype(np.int32)
-                yield pd.DataFrame({"token": np.concatenate(arrays), "band": np.repeat(band, n), "class_id": np.repeat(pdf["class_id"].to_numpy(), n)})
-
-    index = members.select("class_id", "n_shingles", "prefix").mapInPandas(tokens, "token long, band int, class_id long")
-    several = index.groupBy("token").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).where("a < z").select("token")
-    shared = scratch.write(index.join(several, "token"), "shared")
-    least = shared.groupBy("token", "band").agg(F.min("class_id").alias("a"))
+                yield pd.DataFrame({"token": np.concatenate(arrays), **{k: np.repeat(pdf[k].to_numpy(), n) for k in ("class_id", "n_shingles", "match")}})
+
+    index = members.mapInPandas(tokens, "token long, class_id long, n_shingles long, match int")
+    lists = index.groupBy("token").agg(F.count(F.lit(1)).alias("n_list")).where("n_list > 1")
+    shared = scratch.write(index.join(lists, "token"), "shared")
+
+    # short lists: pairs, counted
+    short = shared.where(f"n_list <= {LIST}").select("token", "class_id", "n_shingles", "match")
+    other = short.select("token", F.col("class_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("match").alias("match_b"))
+    fits = (F.least("n_shingles", "n_b") * 100 >= percent * F.greatest("n_shingles", "n_b")) & (F.col("class_id") < F.col("b"))
+    pairs = short.join(other, "token").where(fits).groupBy(F.col("class_id").alias("a"), "b").agg(
+        F.count(F.lit(1)).alias("n"), F.first(F.least("match", "match_b")).alias("need"), F.first(F.col("n_shingles") + F.col("n_b")).alias("size"))
+    pairs = scratch.write(pairs.where("n >= need").select("a", "b", "size"), "pairs")
+    total = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size") * 8).alias("bytes")).first()
+    units = max(1, math.ceil((total["n"] or 0) / UNIT_CLASSES), math.ceil((total["bytes"] or 0) / UNIT_BYTES))
+    unit = F.concat(F.lit("p"), F.pmod(F.xxhash64("a"), F.lit(units)).cast("string")).alias("unit")
+    lists_of = pairs.groupBy("a").agg(F.collect_list("b").alias("partners"))  # each shares a short list with it
+    none = F.lit(None).cast("array<bigint>")
+    paired = lists_of.select(F.col("a").alias("row_id"), unit, "partners").unionAll(
+        pairs.select(F.col("b").alias("row_id"), unit, none.alias("partners")).distinct())
+    paired = paired.select("row_id", F.lit(0).alias("block"), F.lit(True).alias("own"), "unit", "partners")
+
+    # long lists: components of the edges to the least classes
+    long = shared.where(f"n_list > {LIST}").select("token", "class_id", "n_shingles", F.floor(F.log("n_shingles") / width).alias("band"))
+    least = long.groupBy("token", "band").agg(F.min("class_id").alias("a"))
     above = least.select("token", (F.col("band") - 1).alias("band"), F.col("a").alias("b"))
-    edges = shared.join(least, ["token", "band"]).where("class_id <> a").select("a", F.col("class_id").alias("b"))
+    edges = long.join(least, ["token", "band"]).where("class_id <> a").select("a", F.col("class_id").alias("b"))
     edges = edges.unionAll(least.join(above, ["token", "band"]).select("a", "b")).distinct()
     near = components(edges, scratch)
-    near = scratch.write(near.unionAll(near.select("root", "root").distinct()), "neighbourhoods")
-
-    # units of bounded size; larger neighbourhoods as pairs of blocks
-    sized = near.join(members.select("class_id", "row_id", "n_shingles"), near["node"] == F.col("class_id")).select("class_id", "root", "row_id", "n_shingles")
-    sized = scratch.write(sized, "sized")
+    near = near.unionAll(near.select("root", "root").distinct())
+    sized = scratch.write(near.join(long.select("class_id", "n_shingles").distinct(), near["node"] == F.col("class_id")).select("class_id", "root", "n_shingles"), "families")
     load = sized.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("n_shingles") * 8).alias("bytes"))
-    load = load.withColumn("blocks", F.greatest(F.ceil(F.col("n") / UNIT_CLASSES), F.ceil(F.col("bytes") / UNIT_BYTES)).cast("int"))
-    total = load.where("blocks = 1").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
-    units = max(1, math.ceil(2 * (total["n"] or 0) / UNIT_CLASSES), math.ceil(2 * (total["bytes"] or 0) / UNIT_BYTES))
-    dealt = sized.join(load.select("root", "blocks"), "root")
+    load = load.select("root", F.greatest(F.ceil(F.col("n") / UNIT_CLASSES), F.ceil(F.col("bytes") / UNIT_BYTES)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = F.when(F.col("blocks") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(units)).cast("string"))).otherwise(
-        F.concat_ws(":", F.col("root").cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string")))
-    dealt = dealt.select("row_id", "class_id", "block", (F.col("block") == F.col("other")).alias("own"), unit.alias("unit"))
+    blocks = sized.join(load, "root").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.concat_ws(":", F.col("root").cast("string"), F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))
+    families = blocks.select(F.col("class_id").alias("row_id"), "block", (F.col("block") == F.col("other")).alias("own"), unit.alias("unit"), none.alias("partners"))
+    dealt = paired.unionAll(families)
 
     def verify(key, pdf):
-        pdf = pdf.sort_values("class_id")
         z = zstandard.ZstdDecompressor()
+        if key[0][0] == "p":
+            wanted = {row: partners for row, partners in zip(pdf["row_id"], pdf["partners"]) if partners is not None}
+            pdf = pdf.drop_duplicates("row_id")
+        pdf = pdf.sort_values("row_id")
+        ids = pdf["row_id"].to_numpy()
         held = [H.shingles(w, words) for w in H.text_words([z.decompress(p) for p in pdf["packed"]])]
-        ordered = [in_order(s, sketch.value) for s in held]
-        need = np.array([matches_wanted(o, sketch.value, percent) for o in ordered])
-        prefixes = [o[:prefix_length(len(o), percent, k)] for o, k in zip(ordered, need)]
-        apart = None if pdf["own"].all() else pdf["block"].to_numpy()
-        ids = pdf["class_id"].to_numpy()
-        return pd.DataFrame([(ids[x], ids[y]) for x, y in _forest(held, need, prefixes, percent, apart)], columns=["a", "b"])
+        if key[0][0] == "p":
+            at = {row: k for k, row in enumerate(ids.tolist())}
+            ends = [(at[a], at[b]) for a, bs in wanted.items() for b in bs]
+            i, j = np.array(ends, dtype=np.int64).reshape(-1, 2).T
+        else:
+            need, prefixes = zip(*(matched_prefix(s, sketch.value, percent) for s in held))
+            i, j = _candidates(prefixes, np.array(need), np.array([len(s) for s in held]), percent, None if pdf["own"].all() else pdf["block"].to_numpy())
+        return pd.DataFrame([(ids[x], ids[y]) for x, y in _forest(held, i, j, percent)], columns=["a", "b"])
 
     # the texts of the classes that have neighbours are read again; their sets are made where they are compared
     links = C.packed_texts(source).join(dealt, "row_id").groupBy("unit").applyInPandas(verify, "a long, b long")
