@@ -39,6 +39,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import common as C
+
 MIN_PAGES = 3
 MIN_TEXT_PAGES = 8
 
@@ -243,7 +245,9 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"))
     own = own.withColumn("host", host(F.col("url")))
     salt = F.monotonically_increasing_id()
-    found = templates(occurrence_vectors(own.select("host", "html", salt.alias("salt"))))
+    scratch = C.Scratch(pages.sparkSession, "html-template")
+    vectors = scratch.write(occurrence_vectors(own.select("host", "html", salt.alias("salt"))), "vectors")
+    found = scratch.write(templates(vectors), "templates")
     pooled = found.where("host is null").select(F.col("template").alias("pooled"))
     per_host = found.where("host is not null").select(F.col("host").alias("of"), "n_pages", "template")
     # one row of pooled tokens, bounded by what one page holds

@@ -5,12 +5,13 @@ the tokenizer is rebuilt: the normaliser (a compiled character map, if any), the
 white-space marker, unigram scores or, for BPE models, the merges in the order
 of the scores, and byte fallback. Batches are encoded by the library's own threads.
 
-Units. If no piece continues past a marker, the text can be cut before each run of markers,
-and equal units have equal ids; a task encodes each unit once and remembers a bounded number of
-them. Other models encode whole texts.
+Units. If no piece continues past a marker, the text can be cut before each run of markers:
+the ids of a text are those of its units in order, and so is the decoded text. A task encodes each
+unit once and remembers a bounded number of them. Other models encode whole texts.
 
-Parity. ``verify`` encodes with the sentencepiece library as well and counts the texts with
-other ids; the registered query does so for every document.
+Parity. ``verify`` encodes each unit (or whole text) with the sentencepiece library as well and decodes
+its ids; a text has parity and makes the round trip if all its units do. The registered
+query does so for every document; the tests compare whole texts.
 
 Defined results: null and empty texts have no ids and decode to the empty text; decoding
 undoes encoding up to the model's own normalisation; repeated rows are encoded alike; an
@@ -20,7 +21,6 @@ empty table gives no rows. Only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import os
 import struct
 from collections.abc import Iterator
@@ -35,7 +35,7 @@ from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 MARKER = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
-MEMORY = 200_000
+MEMORY = 600_000
 GROUP_CHARS = 1 << 21
 
 
@@ -131,7 +131,9 @@ class Codec:
         marks = [decoders.Replace(MARKER, " ")] if m.escape else []
         strip = [decoders.Strip(" ", 1, 0)] if m.dummy_prefix else []
         self.tokenizer.decoder = decoders.Sequence([*marks, decoders.ByteFallback(), decoders.Fuse(), *strip])
-        self.units: dict[str, list[int]] = {}
+        self.units: dict[str, bytes] = {}  # unit -> its ids
+        self.other_ids: set[str] = set()  # of these, units for which the reference has other ids
+        self.other_text: set[str] = set()  # and units that decode to something else
         self.by_unit = m.by_unit()
 
     def prepared(self, text: str) -> str:
@@ -147,23 +149,50 @@ class Codec:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, units: list[str], reference=None) -> None:
+        """Encodes new units and, with a reference, verifies them."""
+        found = self._encode(units)
+        self.units.update((u, np.array(x, dtype=np.int32).tobytes()) for u, x in zip(units, found))
+        if reference is not None:
+            # the dummy prefix gives a unit its first marker again
+            plain = [u.replace(MARKER, " ")[1 if self.model.dummy_prefix else 0:] for u in units]
+            self.other_ids.update(u for u, x, y in zip(units, found, reference.encode(plain, num_threads=1)) if x != y)
+            self.other_text.update(u for u, t, x in zip(units, plain, self.tokenizer.decode_batch(found, skip_special_tokens=False)) if t != x)
+
+    def cut(self, texts: list[str], reference=None) -> Iterator[list[str]]:
+        """The units of each text, all of them learnt."""
+        cut = [_units(self.prepared(t)) for t in texts]
+        missing = {u for units in cut for u in units if u not in self.units}
+        if missing:
+            if len(self.units) + len(missing) > MEMORY:
+                missing = {u for units in cut for u in units}
+                self.units, self.other_ids, self.other_text = {}, set(), set()
+            self.learn(sorted(missing), reference)
+        return iter(cut)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         out: list[np.ndarray] = []
         for lo, hi in _groups(texts):
-            group = [self.prepared(t) for t in texts[lo:hi]]
+            if self.by_unit:
+                out += [np.frombuffer(b"".join(map(self.units.__getitem__, units)), np.int32) for units in self.cut(texts[lo:hi])]
+            else:
+                out += [np.array(x, dtype=np.int32) for x in self._encode([self.prepared(t) for t in texts[lo:hi]])]
+        return out
+
+    def verified(self, texts: list[str], reference) -> Iterator[tuple[np.ndarray, bool, bool]]:
+        """(ids, parity, round trip) of each text."""
+        for lo, hi in _groups(texts):
+            part = texts[lo:hi]
             if not self.by_unit:
-                out += [np.array(x, dtype=np.int32) for x in self._encode(group)]
+                ids = self.encode(part)
+                same = [np.array_equal(a, b) for a, b in zip(ids, reference.encode(part, num_threads=1))]
+                yield from zip(ids, same, [a == b for a, b in zip(self.decode(ids), part)])
                 continue
-            cut = [_units(t) for t in group]
-            missing = {u for units in cut for u in units if u not in self.units}
-            if len(self.units) + len(missing) > MEMORY:
-                missing = {u for units in cut for u in units}
-                self.units = {}
-            missing = sorted(missing)
-            self.units.update(zip(missing, self._encode(missing)))
-            out += [np.fromiter(itertools.chain.from_iterable(map(self.units.__getitem__, units)), dtype=np.int32) for units in cut]
-        return out
+            for text, units in zip(part, self.cut(part, reference)):
+                ids = np.frombuffer(b"".join(map(self.units.__getitem__, units)), np.int32)
+                whole = MARKER not in text and (self.normaliser is None or self.normaliser.normalize_str(text) == text)
+                yield ids, not self.other_ids or self.other_ids.isdisjoint(units), whole and (not self.other_text or self.other_text.isdisjoint(units))
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
@@ -234,12 +263,9 @@ def digests(docs: DataFrame, model: str, text: str = "text", doc_id: str = "doc_
     """doc_id, n_ids, ids_sha256 (little-endian 32-bit ids), round_trip (decoding gives the text) and, if verified, parity."""
     @F.pandas_udf("n_ids long, ids_sha256 string, round_trip boolean, parity boolean")
     def check(column: pd.Series) -> pd.DataFrame:
-        own, texts, rows = codec(model), _strings(column), []
-        for lo, hi in _groups(texts):
-            part = texts[lo:hi]
-            ids = own.encode(part)
-            same = [np.array_equal(a, np.array(b, dtype=np.int32)) for a, b in zip(ids, reference(model).encode(part, num_threads=1))] if verify else [None] * len(part)
-            rows += [(len(x), hashlib.sha256(x.astype("<i4").tobytes()).hexdigest(), b == t, s) for x, b, t, s in zip(ids, own.decode(ids), part, same)]
+        own, texts = codec(model), _strings(column)
+        found = own.verified(texts, reference(model)) if verify else ((x, None, None) for x in own.encode(texts))
+        rows = [(len(ids), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), back, same) for ids, same, back in found]
         return pd.DataFrame(rows, columns=["n_ids", "ids_sha256", "round_trip", "parity"])
 
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
