@@ -35,8 +35,9 @@ from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 MARKER = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
-MEMORY = 600_000
-GROUP_CHARS = 1 << 21
+MEMORY = 400_000
+LEARN = 8_192
+GROUP_CHARS = 1 << 20
 
 
 def wire(data: bytes) -> Iterator[tuple[int, object]]:
@@ -167,7 +168,9 @@ class Codec:
             if len(self.units) + len(missing) > MEMORY:
                 missing = {u for units in cut for u in units}
                 self.units, self.other_ids, self.other_text = {}, set(), set()
-            self.learn(sorted(missing), reference)
+            missing = sorted(missing)
+            for lo in range(0, len(missing), LEARN):
+                self.learn(missing[lo:lo + LEARN], reference)
         return iter(cut)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
