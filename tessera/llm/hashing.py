@@ -13,7 +13,7 @@ import numpy as np
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -11,7 +11,7 @@ ascent of the conditional likelihood with an L2 penalty, over all lines of these
 documents at once; the recursions run over all documents in step.
 
 Scoring is one narrow pass over whole texts. Lines are \\n-split; lines without a word do
-not count, and a line of over a megabyte counts as several.
+not count, and a line of over 256 kB counts as several.
 
 Defined results: null, empty and word-less texts have score 0; without labelled documents of
 both kinds every score is 0; repeated rows get equal scores; an empty table gives no

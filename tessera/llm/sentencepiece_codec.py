@@ -35,8 +35,8 @@ from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 MARKER = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
-MEMORY = 400_000
-LEARN = 8_192
+MEMORY = 600_000
+LEARN = 2_048
 GROUP_CHARS = 1 << 20
 
 
@@ -154,11 +154,15 @@ class Codec:
         """Encodes new units and, with a reference, verifies them."""
         found = self._encode(units)
         self.units.update((u, np.array(x, dtype=np.int32).tobytes()) for u, x in zip(units, found))
-        if reference is not None:
-            # the dummy prefix gives a unit its first marker again
-            plain = [u.replace(MARKER, " ")[1 if self.model.dummy_prefix else 0:] for u in units]
-            self.other_ids.update(u for u, x, y in zip(units, found, reference.encode(plain, num_threads=1)) if x != y)
-            self.other_text.update(u for u, t, x in zip(units, plain, self.tokenizer.decode_batch(found, skip_special_tokens=False)) if t != x)
+        if reference is None:
+            return
+        # the units in one text: cutting it must not matter either; only if it does, unit by unit
+        start = 1 if self.model.dummy_prefix else 0  # the dummy prefix gives the first unit its marker again
+        plain, ids = "".join(units).replace(MARKER, " ")[start:], [i for x in found for i in x]
+        if reference.encode(plain) != ids:
+            self.other_ids.update(u for u, x in zip(units, found) if reference.encode(u.replace(MARKER, " ")[start:]) != x)
+        if self.decode([ids]) != [plain]:
+            self.other_text.update(u for u, x in zip(units, found) if self.decode([x]) != [u.replace(MARKER, " ")[start:]])
 
     def cut(self, texts: list[str], reference=None) -> Iterator[list[str]]:
         """The units of each text, all of them learnt."""
@@ -197,8 +201,8 @@ class Codec:
                 whole = MARKER not in text and (self.normaliser is None or self.normaliser.normalize_str(text) == text)
                 yield ids, not self.other_ids or self.other_ids.isdisjoint(units), whole and (not self.other_text or self.other_text.isdisjoint(units))
 
-    def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+    def decode(self, ids: list) -> list[str]:
+        return self.tokenizer.decode_batch([list(x) for x in ids], skip_special_tokens=False)
 
 
 def _units(text: str) -> list[str]:
@@ -246,11 +250,14 @@ def _strings(column: pd.Series) -> list[str]:
 
 def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """``docs`` with the column ids (array of int)."""
-    @F.pandas_udf("array<int>")
-    def ids(column: pd.Series) -> pd.Series:
-        return pd.Series(codec(model).encode(_strings(column)))
-
-    return docs.withColumn("ids", ids(F.col(text).cast("string")))
+    def ids(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = codec(model)
+        for column in series:
+            texts = _strings(column)
+            for lo, hi in _groups(texts):  # small batches out
+                yield pd.Series(own.encode(texts[lo:hi]))
+
+    return docs.withColumn("ids", F.pandas_udf(ids, "array<int>")(F.col(text).cast("string")))
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:

@@ -45,7 +45,7 @@ LENGTH = 200
 ANCHOR = 40
 HOT = 4096
 UNIT_RUNS = 16_384
-STEP = 1 << 20
+STEP = 1 << 18
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:

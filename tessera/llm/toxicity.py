@@ -45,7 +45,7 @@ FUZZY = 400
 MIN_DOCS = 3
 MIN_LETTERS = 5
 WINDOW = 6
-MEMORY = 300_000
+MEMORY = 100_000
 THRESHOLD = 0.7
 
 TOKEN = re.compile(r"[^\W_]+")
