@@ -164,6 +164,9 @@ class Codec:
         if self.decode([ids]) != [plain]:
             self.other_text.update(u for u, x in zip(units, found) if self.decode([x]) != [u.replace(MARKER, " ")[start:]])
 
+    def forget(self) -> None:
+        self.units, self.other_ids, self.other_text = {}, set(), set()
+
     def cut(self, texts: list[str], reference=None) -> Iterator[list[str]]:
         """The units of each text, all of them learnt."""
         cut = [_units(self.prepared(t)) for t in texts]
@@ -171,7 +174,7 @@ class Codec:
         if missing:
             if len(self.units) + len(missing) > MEMORY:
                 missing = {u for units in cut for u in units}
-                self.units, self.other_ids, self.other_text = {}, set(), set()
+                self.forget()
             missing = sorted(missing)
             for lo in range(0, len(missing), LEARN):
                 self.learn(missing[lo:lo + LEARN], reference)
@@ -256,6 +259,7 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
             texts = _strings(column)
             for lo, hi in _groups(texts):  # small batches out
                 yield pd.Series(own.encode(texts[lo:hi]))
+        own.forget()
 
     return docs.withColumn("ids", F.pandas_udf(ids, "array<int>")(F.col(text).cast("string")))
 

@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -239,17 +240,26 @@ def lexicon_of(train: DataFrame, size: int = LEXICON) -> dict[str, float]:
     return {w: weight[w] for w in strong}
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Weights and, last, the intercept, by Newton's method with a ridge on the weights."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 100) -> np.ndarray:
+    """Weights and, last, the intercept: Newton's method with a ridge; a step is halved until the penalised likelihood grows."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, r = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     r[-1] = 1e-3
+
+    def value(w):
+        z = x @ w
+        return (y * z - np.logaddexp(0, z)).sum() - (r * w * w).sum() / 2
+
+    best = value(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(r), x.T @ (y - p) - r * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        while np.abs(step).max() > 1e-8 and not value(w + step) > best:
+            step = step / 2
+        if np.abs(step).max() <= 1e-8:
             break
+        w = w + step
+        best = value(w)
     return w
 
 
@@ -281,39 +291,27 @@ class Toxicity:
         lexicon, weights = self.lexicon, self.weights
         source = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
-        @F.pandas_udf("double")
-        def probability(texts: pd.Series) -> pd.Series:
-            matcher = _matcher(lexicon)
-            if weights is None:
-                return pd.Series(np.zeros(len(texts)))
-            x = np.array([evidence(t, matcher) for t in texts]).reshape(-1, len(FEATURES))
-            return pd.Series(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))
-
+        probability = F.pandas_udf(probabilities(lexicon, weights), "double")
         scored = source.select("row_id", "doc_id", C.held_out(F.col("doc_id")).alias("held_out"), probability("text").alias("score"))
         return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-_LAST: list = []
-
+def probabilities(lexicon: dict[str, float], weights: np.ndarray | None):
+    """The scoring function of a task; what it remembers goes with the task."""
+    def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher = Matcher(lexicon)
+        for texts in series:
+            if weights is None:
+                yield pd.Series(np.zeros(len(texts)))
+            else:
+                x = np.array([evidence(t, matcher) for t in texts]).reshape(-1, len(FEATURES))
+                yield pd.Series(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))
 
-def _matcher(lexicon: dict[str, float]) -> Matcher:
-    """The worker's matcher, kept between batches of one model."""
-    if not _LAST or _LAST[0] != lexicon:
-        _LAST[:] = [lexicon, Matcher(lexicon)]
-    return _LAST[1]
+    return score
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
     model = Toxicity.fit(docs, labels)
-    lexicon, weights = model.lexicon, model.weights
-    if weights is None:
-        return docs
-
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        matcher = _matcher(lexicon)
-        x = np.array([evidence(t, matcher) for t in texts]).reshape(-1, len(FEATURES))
-        return pd.Series(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))) < threshold)
-
-    return docs.where(clean(F.col("text").cast("string")))
+    score = F.pandas_udf(probabilities(model.lexicon, model.weights), "double")
+    return docs.where(score(F.col("text").cast("string")) < threshold)
