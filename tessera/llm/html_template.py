@@ -19,7 +19,8 @@ hold is the main text.
 A slot belongs to the article if an ``article`` or ``main`` element is open there; pages
 without one use the body. Elements of navigation, headers and footers, asides, forms, scripts,
 styles, and elements whose class, id or role names an advert, a notice, a menu or comments,
-never belong to it. On pages without an article, blocks that are mostly links are left out too.
+never belong to it. On pages without an article, template text and blocks that are mostly links are
+left out too; inside a marked article nothing else is dropped, for a paragraph may well be on every page.
 
 Defined results: a null or empty page has an empty text; a null or unusual url is the host "";
 unclosed and misplaced tags are closed as far as needed; repeated rows are pages like any
@@ -150,7 +151,7 @@ def is_block_edge(token: str) -> bool:
 
 
 def main_text(page: str | None, template: frozenset | set) -> str:
-    """The blocks of the article's slots that are not template text, joined by two \\n."""
+    """The blocks of the article's slots, joined by two \\n; without an article, those that are not template text."""
     if not page:
         return ""
     blocks: list[tuple[str, bool, float]] = []  # text, in main, share of link characters
@@ -173,7 +174,7 @@ def main_text(page: str | None, template: frozenset | set) -> str:
             continue
         if boiler or (not main and not path.startswith("html") and "body" not in path and not path == "" and path.split(".")[0] == "head"):
             continue
-        if token and template and token_id(path, token) in template:
+        if token and not main and token_id(path, token) in template:
             continue
         in_main = main
         parts.append(text)
