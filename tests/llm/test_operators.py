@@ -270,9 +270,9 @@ def test_html_extraction(spark):
     assert len(got) == len(rows)
     assert got[3]["text"] == "Head 3\n\nOne & 3 two\n\nThree four3" and got[3]["n_chars"] == len(got[3]["text"])
     assert got[90]["text"] == got[91]["text"] == "" and got[92]["text"] == "No article <x>"
-    bare = [(i, f"https://c.example/{i}", f"<html><body><div><p>Same words</p><p>Own words {i} <a href='/'>x</a></p><p><a href='/y'>All links</a></p></div></body></html>", "x") for i in range(12)]
+    bare = [(i, f"https://c.example/{i}", f"<html><body><div><p>Same words</p><p>Own words {i} <a href='/'>x{i}</a></p><p><a href='/y'>All links</a></p></div></body></html>", "x") for i in range(12)]
     texts = {r["text"] for r in html_template.extract(spark.createDataFrame(bare, "page_id long, url string, html string, host string")).collect()}
-    assert texts == {f"Own words {i} x" for i in range(12)}
+    assert texts == {f"Own words {i} x{i}" for i in range(12)}
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_template.extract(none).collect() == []
 
