@@ -38,10 +38,12 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "4")
     os.environ["BENCH_CPUS"] = cpus
     from tessera.plans.catalog import QUERIES
+    from tessera.plans.fixtures import set_input_partitions
     from tessera.plans.flagship import flagship
     from tessera.session import get_session
 
     spark = get_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    set_input_partitions(int(cpus))  # each table is one row group
     queries = dict(QUERIES)
     queries["flagship"] = flagship
     # JVM / JIT / Python-worker warm-up: every headline query once on the smallest

@@ -109,7 +109,7 @@ def single_summary(results: DataFrame, ok: str = "format_check.format_ok",
 
 
 def number_rows(df: DataFrame, order: Sequence[str], out: str = "problem_number",
-                partitions: int | None = None, map_limit: int = 1000) -> DataFrame:
+                partitions: int | None = None) -> DataFrame:
     """1-based dense numbering in ``order`` without a single-partition window.
 
     Range-partition and sort, materialize with ``checkpoint()`` (so the
@@ -133,10 +133,7 @@ def number_rows(df: DataFrame, order: Sequence[str], out: str = "problem_number"
     if not offsets:
         return staged.drop("_mid").withColumn(out, F.lit(None).cast("bigint"))
     pos = F.col("_mid") - F.shiftleft(pid, 33)
-    if len(offsets) <= map_limit:
-        off_map = F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v))])
-        return staged.withColumn(out, (off_map[pid] + pos + 1).cast("bigint")).drop("_mid")
-    # many partitions: a broadcast offsets table (one row per partition, size known)
+    # one row per partition
     offs = spark.createDataFrame(list(offsets.items()), "_pid long, _off long")
-    joined = staged.withColumn("_pid", pid).join(F.broadcast(offs), "_pid")
+    joined = staged.withColumn("_pid", pid).join(offs, "_pid")
     return joined.withColumn(out, (F.col("_off") + pos + 1).cast("bigint")).drop("_mid", "_pid", "_off")

@@ -89,17 +89,17 @@ def metrics(rows: DataFrame, reward: str | None = None, by: Sequence[str] = ())
 
 def pair_outputs_truths(outputs: DataFrame, truths: DataFrame, key: str = "id",
                         strict: bool = True) -> DataFrame:
-    """Pair outputs with truths on a key; strict mode raises on any unmatched row.
+    """Pair outputs with truths on a key; strict mode raises unless each key is once on both sides.
 
-    The check is one ``limit 1`` job over the full-outer join (no collect of rows).
+    The check counts the keys of both sides (one aggregate) before the join.
     """
-    joined = (outputs.withColumn("_o", F.lit(True))
-                     .join(truths.withColumn("_t", F.lit(True)), on=key, how="full_outer"))
     if strict:
-        bad = joined.where(F.col("_o").isNull() | F.col("_t").isNull())
-        if not bad.isEmpty():
+        sides = outputs.select(key, F.lit(1).alias("_o"), F.lit(0).alias("_t")).unionAll(
+            truths.select(key, F.lit(0).alias("_o"), F.lit(1).alias("_t")))
+        counts = sides.groupBy(key).agg(F.sum("_o").alias("_o"), F.sum("_t").alias("_t"))
+        if not counts.where("_o <> 1 or _t <> 1").isEmpty():
             raise ValueError("Outputs and ground truths must have same length")
-    return joined.drop("_o", "_t")
+    return outputs.join(truths, on=key, how="inner" if strict else "full_outer")
 
 
 # --- fixed values: metric log names and summary text ------------------------------

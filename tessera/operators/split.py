@@ -18,31 +18,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Above this many rows a "small" side is not broadcast.
-BROADCAST_ROWS = 100_000
-
-
 def shortest_n(df: DataFrame, length: str, key: str, n: int = 10) -> DataFrame:
     """The ``n`` shortest rows (ties by key) -> TakeOrderedAndProject."""
     return df.orderBy(F.col(length).asc(), F.col(key).asc()).limit(n)
 
 
-def remainder(df: DataFrame, taken: DataFrame, key: str, taken_rows: int | None = None) -> DataFrame:
-    """Rows not in ``taken`` (left anti join on the key).
-
-    ``taken`` is broadcast only when its row bound is known and small
-    (e.g. a top-k); otherwise Spark/AQE chooses from runtime sizes.
-    """
-    right = taken.select(key)
-    if taken_rows is not None and taken_rows <= BROADCAST_ROWS:
-        right = F.broadcast(right)
-    return df.join(right, on=key, how="left_anti")
+def remainder(df: DataFrame, taken: DataFrame, key: str) -> DataFrame:
+    """Rows not in ``taken`` (left anti join on the key; Spark chooses from runtime sizes)."""
+    return df.join(taken.select(key), on=key, how="left_anti")
 
 
 def shortest_split(df: DataFrame, length: str, key: str, n: int = 10) -> tuple[DataFrame, DataFrame]:
     """test = ``n`` shortest, train = the rest."""
     test = shortest_n(df, length, key, n)
-    return remainder(df, test, key, taken_rows=n), test
+    return remainder(df, test, key), test
 
 
 def split_hash(key: str, seed: int = 42) -> Column:

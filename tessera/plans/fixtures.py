@@ -98,31 +98,19 @@ def cte(*views: str) -> str:
     return "with " + ",\n".join(f"{v} as ({duckdb_view_sql(v)})" for v in views) + "\n"
 
 
-# Inputs below this size are spread over the cluster's cores after the scan.
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
+# Partitions to deal every input table to; None leaves the scan's own. The caller's choice
+# (the bench sets it: each of its tables is one row group, which would scan as one task).
+_OPTIONS: dict[str, int | None] = {"input_partitions": None}
 
 
-def spread_small(df: DataFrame, threshold_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Round-robin a small input over ``defaultParallelism`` partitions.
-
-    A file written as one Parquet row group scans as one task, which would
-    leave every later narrow step (scoring, rendering) on one core. Only
-    inputs under ``threshold_bytes`` (planner estimate from file sizes, no
-    job) are redistributed; large inputs keep their scan partitioning, so no
-    shuffle is added at scale.
-    """
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        par = df.sparkSession.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - no plan statistics (e.g. a remote session): leave as is
-        return df
-    if size < threshold_bytes and par > 1:
-        return df.repartition(par)
-    return df
+def set_input_partitions(n: int | None) -> None:
+    _OPTIONS["input_partitions"] = n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread_small(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    n = _OPTIONS["input_partitions"]
+    return df.repartition(n) if n else df
 
 
 def _view_name(sf_dir: str, name: str) -> str:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,10 +68,9 @@ def load_rl(spark: SparkSession, path: str, config: str | None = None, split: st
             fmt: str = "parquet") -> DataFrame:
     """Read the RL prompt table; ``config``/``split`` become partition filters."""
     df = _reader(spark, fmt).load(path)
-    if config is not None and "config" in df.columns:
-        df = df.where(F.col("config") == config)
-    if split is not None and "split" in df.columns:
-        df = df.where(F.col("split") == split)
+    for name, value in (("config", config), ("split", split)):
+        if value is not None:
+            df = require_columns(df, (name,), "RL dataset").where(F.col(name) == value)
     return require_columns(df, ("prompt",), "RL dataset")
 
 
@@ -86,11 +86,26 @@ def read_exercises(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_comparison(spark: SparkSession, path: str) -> DataFrame:
-    """Nested comparison JSON -> long table ``(problem_id, model, ...)``."""
-    doc = spark.read.schema(COMPARISON_SCHEMA).option("multiLine", True).json(path)
-    ex = doc.select(F.col("metadata.base_model").alias("base_name"),
-                    F.col("metadata.sft_model").alias("sft_name"),
-                    F.posexplode("results").alias("pos", "r"))
+    """Comparison results -> long table ``(problem_id, model, ...)``.
+
+    Reads the distributed layout (``results/`` and one-row ``metadata/``) or one JSON document
+    with ``metadata`` and ``results``; a document without ``results`` raises.
+    """
+    try:
+        lines = spark.read.schema(COMPARISON_SCHEMA["results"].dataType.elementType).json(f"{path.rstrip('/')}/results")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        doc = spark.read.schema(COMPARISON_SCHEMA).option("multiLine", True).json(path)
+        results = F.coalesce(F.col("results"), F.raise_error(F.lit("no results in the comparison file")))
+        ex = doc.select(F.col("metadata.base_model").alias("base_name"),
+                        F.col("metadata.sft_model").alias("sft_name"),
+                        F.posexplode(results).alias("pos", "r"))
+    else:
+        names = spark.read.schema("base_model string, sft_model string").json(f"{path.rstrip('/')}/metadata")
+        one = names.first()  # the layout's one row
+        ex = lines.select(F.lit(one.base_model).alias("base_name"), F.lit(one.sft_model).alias("sft_name"),
+                          F.lit(None).cast("int").alias("pos"), F.struct("*").alias("r"))
     pid = F.coalesce(F.col("r.problem_id"), F.col("pos") + 1)
     base = ex.select(pid.alias("problem_id"), F.col("r.problem").alias("problem"),
                      F.lit("base").alias("model"), F.col("base_name").alias("model_name"),
@@ -143,7 +158,8 @@ def write_comparison(pairs: DataFrame, summary: DataFrame, path: str, base_name:
     res.write.mode("overwrite").json(f"{path}/results")
     summ.write.mode("overwrite").json(f"{path}/summary")
     pairs.sparkSession.createDataFrame(
-        [(ts, base_name, sft_name)], "timestamp string, base_model string, sft_model string") \
+        [(ts, base_name, sft_name, pairs.count())],
+        "timestamp string, base_model string, sft_model string, num_problems long") \
         .write.mode("overwrite").json(f"{path}/metadata")
 
 
@@ -155,7 +171,8 @@ def write_single_model(results: DataFrame, summary: DataFrame, path: str, model_
         .write.mode("overwrite").json(f"{path}/results")
     summary.write.mode("overwrite").json(f"{path}/summary")
     results.sparkSession.createDataFrame(
-        [(ts, model_name, model_type)], "timestamp string, model_name string, model_type string") \
+        [(ts, model_name, model_type, results.count())],
+        "timestamp string, model_name string, model_type string, num_problems long") \
         .write.mode("overwrite").json(f"{path}/metadata")
 
 

@@ -31,6 +31,24 @@ def test_comparison_roundtrip(spark):
     assert doc["metadata"]["num_problems"] == 2 and doc["summary"]["improvement"] == 0
     IO.write_comparison(pairs, C.pair_summary(pairs), f"{d}/dist", "b", "t")
     assert spark.read.json(f"{d}/dist/results").count() == 2
+    assert spark.read.json(f"{d}/dist/metadata").first().num_problems == 2
+    dist = sorted((r.problem_id, r.model, r.response, r.format_check.format_ok) for r in IO.read_comparison(spark, f"{d}/dist").collect())
+    assert dist == got
+
+
+def test_readers_raise_instead_of_losing_rows(spark):
+    import pytest
+    from tessera.operators import evaluate as EV
+    d = tempfile.mkdtemp(prefix="tessera-io-")
+    spark.createDataFrame([("p",)], "prompt string").write.parquet(f"{d}/rl")
+    with pytest.raises(ValueError):
+        IO.load_rl(spark, f"{d}/rl", split="test")
+    spark.createDataFrame([(1,)], "other long").write.json(f"{d}/none")
+    with pytest.raises(Exception, match="no results"):
+        IO.read_comparison(spark, f"{d}/none").collect()
+    twice = spark.createDataFrame([(1, "a"), (1, "b")], "id long, x string")
+    with pytest.raises(ValueError):
+        EV.pair_outputs_truths(twice, twice.withColumnRenamed("x", "y"))
 
 
 def test_csv_and_table_roundtrip(spark):

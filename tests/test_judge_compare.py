@@ -124,6 +124,6 @@ def test_pairing_rejects_duplicate_keys(spark):
 def test_number_rows_many_partitions(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")
     got = sorted((r.problem_number, r.doc_id) for r in
-                 C.number_rows(docs, ["doc_id"], partitions=40, map_limit=5).collect())
+                 C.number_rows(docs, ["doc_id"], partitions=40).collect())
     assert [g[0] for g in got] == list(range(1, docs.count() + 1))
     assert [g[1] for g in got] == sorted(r.doc_id for r in docs.collect())

@@ -44,9 +44,7 @@ def main():
     print("Shuffles = hash/range exchanges; single = single-partition exchanges (all above partial "
           "aggregates, checked by tests/test_plans.py); broadcasts are Spark's size-checked choices at "
           "this scale (they become sort-merge joins when the small side grows, and AQE re-plans from "
-          "runtime sizes). Spread = round-robin exchanges that `spread_small` adds for inputs under "
-          "256 MB (the test tables are single Parquet row groups, which scan as one task); inputs "
-          "above that keep their scan partitioning, so at scale this column is 0.\n")
+          "runtime sizes). Spread = round-robin exchanges of a caller's `input_partitions` (none by default).\n")
     print("| query | shuffles | spread | single | broadcasts | joins | aggregates | python | scans |")
     print("|---|---|---|---|---|---|---|---|---|")
     for name, fn in E.queries().items():
