@@ -2,8 +2,7 @@
 
 HTML5 defines over two thousand named references plus numeric-reference
 repair rules; re-spelling them as Spark expressions would be a table copy,
-so this one step is a vectorized pandas UDF. Rows without ``&`` pass
-through untouched inside the batch.
+so this one step is a vectorized pandas UDF, fed only with texts that hold ``&``.
 """
 
 from __future__ import annotations
@@ -19,11 +18,13 @@ from tessera.functions.text import col, collapse_backslashes, recover_untagged_a
 @F.pandas_udf(StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     import html
-    return s.map(lambda x: html.unescape(x) if isinstance(x, str) and "&" in x else x)
+    return s.map(lambda x: html.unescape(x) if isinstance(x, str) else x)
 
 
 def unescape(c) -> Column:
-    return _unescape(col(c))
+    """Only texts with ``&`` reach Python; the others are passed on by Spark."""
+    marked = F.instr(col(c), "&") > 0
+    return F.when(marked, _unescape(F.when(marked, col(c)))).otherwise(col(c))
 
 
 def clean_responses(df, response: str = "response", solution_start: str = "<SOLUTION>",

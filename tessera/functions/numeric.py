@@ -50,23 +50,3 @@ def is_number(c) -> Column:
     v = s.try_cast("double")
     ok = s.rlike(PD_NUMBER_RE) & ~F.isnan(v)
     return F.coalesce(ok & (s.rlike(_INF_RE) | ~F.abs(v).eqNullSafe(F.lit(float("inf")))), F.lit(False))
-
-
-def ratio_band(x: Column, y: Column, bands, otherwise) -> Column:
-    """score by ``x / y`` falling in inclusive bands; caller guards ``y = 0``."""
-    r = F.try_divide(x, y)
-    expr = None
-    for lo, hi, score in bands:
-        cond = (r >= lo) & (r <= hi)
-        expr = F.when(cond, score) if expr is None else expr.when(cond, score)
-    return expr.otherwise(otherwise)
-
-
-def close(a: Column, b: Column, tol: float) -> Column:
-    """absolute tolerance."""
-    return F.abs(a - b) < F.lit(tol)
-
-
-def trunc_int(c) -> Column:
-    """Python ``int(x)`` truncation toward zero."""
-    return col(c).cast("bigint")

@@ -19,10 +19,6 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def lit_str(s: str) -> Column:
-    return F.lit(s)
-
-
 def quote_re(s: str) -> str:
     """literal-escape a tag for use inside a Java regex."""
     return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
@@ -153,11 +149,6 @@ def collapse_backslashes(c) -> Column:
 
 
 # --- fixed values: untagged-answer phrases, in priority order (F14) --------
-#   The final answer is[:\s]+(.+?)(?:\.|$)
-#   Therefore[,\s]+(.+?)(?:\.|$)
-#   Thus[,\s]+(.+?)(?:\.|$)
-#   The (?:dual cone|answer|solution) is[:\s]+(.+?)(?:\.|$)
-#   In conclusion[,\s]+(.+?)(?:\.|$)
 ANSWER_PHRASES = [
     r"The final answer is[:\s]+(.+?)(?:\.|$)",
     r"Therefore[,\s]+(.+?)(?:\.|$)",

@@ -12,15 +12,15 @@ from tessera.functions.text import col, contains
 
 # --- fixed values: pair outcome texts (C2) and summary findings (C3) --------
 OUTCOME_TEXT = {
-    "tuned_only": "SFT model successfully learned the format!",
-    "both": "Both models follow format (compare proof quality manually)",
-    "neither": "Neither model follows format correctly",
-    "base_only": "Base model better than SFT (unexpected)",
+    "tuned_only": "**SFT model successfully learned the format!**",
+    "both": "**Both models follow format** (compare proof quality manually)",
+    "neither": "**Neither model follows format correctly**",
+    "base_only": "**Base model better than SFT** (unexpected)",
 }
 FINDING_TEXT = {
-    "improved": "Fine-tuning improved format adherence",
-    "equal": "Both models performed equally on format adherence",
-    "decreased": "Fine-tuning decreased format adherence (needs investigation)",
+    "improved": "Fine-tuning **improved** format adherence by {improvement} examples.",
+    "equal": "Both models performed **equally** on format adherence.",
+    "decreased": "Fine-tuning **decreased** format adherence (needs investigation).",
 }
 # -----------------------------------------------------------------------------
 
@@ -38,15 +38,10 @@ def with_format_check(df: DataFrame, response: str = "response", out: str = "for
     return df.withColumn(out, format_check(response, tags))
 
 
-def require_unique(df: DataFrame, keys: Sequence[str], what: str = "table") -> DataFrame:
-    """Raise if any key occurs twice (one partial aggregate; at most one row to the driver).
-
-    Key joins below assume unique keys, so they never emit all pairs of a group.
-    """
-    dup = df.groupBy(*keys).count().where(F.col("count") > 1).limit(1).collect()
-    if dup:
-        raise ValueError(f"{what}: key {tuple(dup[0][k] for k in keys)} occurs {dup[0]['count']} times")
-    return df
+def once(n: Column, what: str) -> Column:
+    """``n == 1`` as a filter that raises, when the query runs, where ``n`` is larger."""
+    more = F.raise_error(F.concat(F.lit(f"{what}: a key occurs "), n.cast("string"), F.lit(" times"))).cast("boolean")
+    return F.when(n > 1, more).otherwise(n == 1)
 
 
 def pair_models(results: DataFrame, base: str = "base", tuned: str = "tuned",
@@ -55,18 +50,22 @@ def pair_models(results: DataFrame, base: str = "base", tuned: str = "tuned",
                 check_unique: bool = True) -> DataFrame:
     """Pair two models' rows on the problem key (inner, like ``zip`` truncation).
 
-    ``results`` is the long table ``(key, model, ...)`` with one row per
-    (key, model), verified unless ``check_unique=False``; N-model pairings
-    are the same join repeated per model name.
+    ``results`` is the long table ``(key, model, ...)`` with one row per (key, model); a second
+    row raises when the query runs, unless ``check_unique=False`` (then any one counts). One
+    aggregate on the key gathers both sides, so the input is read and shuffled once.
     """
-    if check_unique:
-        require_unique(results.where(F.col(model).isin(base, tuned)), [key, model], "model results")
     extra = [c for c in results.columns if c not in (key, model, *value_cols)]
-
-    def side(name: str, tag: str, carry=()) -> DataFrame:
-        return (results.where(F.col(model) == name)
-                       .select(key, *carry, *[F.col(v).alias(f"{tag}_{v}") for v in value_cols]))
-    return side(base, "base", extra).join(side(tuned, "sft"), key, "inner")
+    is_base, is_tuned = F.col(model) == base, F.col(model) == tuned
+    sides = results.where(is_base | is_tuned).groupBy(key).agg(
+        F.first(F.when(is_base, F.struct(*extra, *value_cols)), ignorenulls=True).alias("_b"),
+        F.first(F.when(is_tuned, F.struct(*value_cols)), ignorenulls=True).alias("_t"),
+        F.count_if(is_base).alias("_nb"), F.count_if(is_tuned).alias("_nt"))
+    if check_unique:
+        sides = sides.where(once(F.col("_nb"), "model results") & once(F.col("_nt"), "model results"))
+    else:
+        sides = sides.where("_nb > 0 and _nt > 0")
+    return sides.select(key, *[F.col("_b")[c].alias(c) for c in extra], *[F.col("_b")[v].alias(f"base_{v}") for v in value_cols],
+                        *[F.col("_t")[v].alias(f"sft_{v}") for v in value_cols])
 
 
 def pair_outcome(base_ok, tuned_ok) -> Column:

@@ -84,20 +84,13 @@ def judge_prompts(pairs: DataFrame, problem: str = "problem", ground_truth: str
 
 # ---- verdict parsing (D3-D6) ----------------------------------------------------
 
-def verdict_json_text(raw, dialect: str = "full") -> Column:
-    """D4 (``full``): strip -> fence body -> after last think -> brace slice.
-    D3 (``fence``): strip -> fence body -> strip."""
-    t = fence_body(strip(raw))
-    if dialect == "fence":
-        return strip(t)
-    if dialect != "full":
-        raise ValueError(f"unknown verdict dialect {dialect!r}")
-    return brace_slice(after_last_think(t))
-
-
 def with_verdict_json_text(df: DataFrame, raw: str = "raw", dialect: str = "full",
                            out: str = "json_text") -> DataFrame:
-    """D3/D4 text steps as staged projections (each step computed once per row)."""
+    """The JSON text of a reply, as staged projections (each step computed once per row).
+
+    D4 (``full``): strip -> fence body -> after last think -> brace slice.
+    D3 (``fence``): strip -> fence body -> strip.
+    """
     staged = df.withColumn("__t_t1", fence_body(strip(raw)))
     if dialect == "fence":
         return staged.withColumn(out, strip(F.col("__t_t1"))).drop("__t_t1")
@@ -107,12 +100,27 @@ def with_verdict_json_text(df: DataFrame, raw: str = "raw", dialect: str = "full
     return staged.withColumn(out, brace_slice(F.col("__t_t2"))).drop("__t_t1", "__t_t2")
 
 
+#: Second element of the array that the JSON check builds around a text.
+_MARK = "end of the verdict"
+
+
+def is_json_object(text: Column) -> Column:
+    """Whether ``text`` is one strict JSON object, checked by Spark's variant parser.
+
+    Spark's JSON reader accepts trailing text, so the text is made the first element of an array: the
+    mark is the second one only if the text is one whole value. The variant parser refuses ``NaN`` and
+    repeated keys, which Python accepts; :func:`json_error` decides on refused texts.
+    """
+    array = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_MARK}"]')))
+    whole = (F.instr(text, _MARK) == 0) & (F.try_variant_get(array, "$[1]", "string") == _MARK)
+    return F.coalesce(F.btrim(text, F.lit(" \t\r\n")).startswith("{") & whole, F.lit(False))
+
+
 def json_error(text: Column) -> Column:
     """Strict JSON check with Python ``json.loads`` rules (Arrow-batched).
 
-    Returns null for a JSON object, else the parser's message. Spark's JSON
-    reader accepts trailing text and other leniencies, so validity is the
-    one step delegated to Python; parsing itself stays in ``from_json``.
+    Returns null for a JSON object, else the parser's message. Only texts that
+    :func:`is_json_object` refuses are worth sending here; parsing itself stays in ``from_json``.
     """
     @F.pandas_udf("string")
     def _err(s: pd.Series) -> pd.Series:
@@ -149,14 +157,18 @@ def parse_verdicts(df: DataFrame, raw: str = "raw", rubric: str = "3", dialect:
     """D3/D4 + D5: parse raw judge replies into a verdict struct.
 
     A reply is valid when the extracted text is a JSON object (Python rules)
-    holding ``winner`` and both ``total`` scores (X8); otherwise the default
-    error verdict is used. Its reason names the failure class ("invalid
-    JSON" / "missing 'winner' or 'total'"); ``parse_error`` keeps the
-    parser's own message.
+    holding ``winner`` and both ``total`` scores (X8). Without these keys the winner
+    is ``Error`` and a missing total 0; criteria, feedback and reason stay as given. A text
+    that is no JSON object gets the default error verdict. An absent reason names the
+    failure class ("invalid JSON" / "missing 'winner' or 'total'"); ``parse_error`` keeps
+    the class or the parser's own message.
     """
     sch = verdict_schema(rubric)
     staged = with_verdict_json_text(df, raw, dialect, "__t_jt")
-    staged = staged.withColumn("__t_je", json_error(F.col("__t_jt")))
+    staged = staged.withColumn("__t_ok", is_json_object(F.col("__t_jt")))
+    # the UDF gets refused texts only; the others reach it as null
+    staged = staged.withColumn("__t_je", json_error(F.when(~F.col("__t_ok"), F.col("__t_jt"))))
+    staged = staged.withColumn("__t_je", F.when(~F.col("__t_ok"), F.col("__t_je")))
     parsed = F.from_json(F.col("__t_jt"), sch)
     staged = staged.withColumn("__t_pv", F.when(F.col("__t_je").isNull(), parsed))
     missing = (F.col("__t_pv.winner").isNull() | F.col("__t_pv.model_a_scores.total").isNull()
@@ -164,32 +176,50 @@ def parse_verdicts(df: DataFrame, raw: str = "raw", rubric: str = "3", dialect:
     kind = (F.when(F.col("__t_je").isNotNull(), F.lit("invalid JSON"))
              .when(missing, F.lit("missing 'winner' or 'total'")))
     detail = F.when(F.col("__t_je").isNotNull(), F.col("__t_je")).when(missing, kind)
+    p = F.col("__t_pv")
+
+    def scores(side: str) -> Column:
+        return F.struct(*[p[side][c].alias(c) for c in CRITERIA[rubric]],
+                        F.coalesce(p[side]["total"], F.lit(0.0)).alias("total")).alias(side)
+
+    partial = F.struct(scores("model_a_scores"), scores("model_b_scores"),
+                       p["model_a_feedback"].alias("model_a_feedback"), p["model_b_feedback"].alias("model_b_feedback"),
+                       F.lit(ERROR_WINNER).alias("winner"),
+                       F.coalesce(p["reason"], F.concat(F.lit(ERROR_PREFIX), kind)).alias("reason"))
     return (staged.withColumn("parse_error", detail)
-                  .withColumn(out, F.when(kind.isNull(), F.col("__t_pv"))
+                  .withColumn(out, F.when(kind.isNull(), p).when(F.col("__t_je").isNull(), partial)
                               .otherwise(default_verdict(kind, rubric)))
-                  .drop("__t_jt", "__t_je", "__t_pv"))
+                  .drop("__t_jt", "__t_ok", "__t_je", "__t_pv"))
 
 
 def flatten_verdicts(df: DataFrame, verdict: str = "verdict", problem_id: str = "problem_id",
                      question: str = "problem", ground_truth: str = "ground_truth",
                      base: str = "base_response", tuned: str = "sft_response",
-                     rubric: str = "3") -> DataFrame:
-    """The judged table; missing scores 0, missing texts ``N/A``."""
+                     rubric: str = "3", fill: bool = True) -> DataFrame:
+    """The judged table; missing scores 0, missing texts ``N/A``.
+
+    ``fill=False`` leaves the missing ones null, as the report needs them (:func:`fill_missing` later).
+    """
     v = F.col(verdict)
-    sc = [F.coalesce(v["model_a_scores"][c], F.lit(0.0)).alias(f"base_{c}") for c in CRITERIA[rubric]]
-    sc.append(F.coalesce(v["model_a_scores"]["total"], F.lit(0.0)).alias("base_total_score"))
-    sc += [F.coalesce(v["model_b_scores"][c], F.lit(0.0)).alias(f"sft_{c}") for c in CRITERIA[rubric]]
-    sc.append(F.coalesce(v["model_b_scores"]["total"], F.lit(0.0)).alias("sft_total_score"))
-    gt = F.coalesce(F.col(ground_truth), F.lit(NA)) if ground_truth in df.columns else F.lit(NA)
-    return df.select(
+    sc = []
+    for prefix, side in (("base", "model_a_scores"), ("sft", "model_b_scores")):
+        sc += [v[side][c].alias(f"{prefix}_{c}") for c in CRITERIA[rubric]]
+        sc.append(v[side]["total"].alias(f"{prefix}_total_score"))
+    gt = F.col(ground_truth) if ground_truth in df.columns else F.lit(None).cast("string")
+    flat = df.select(
         F.col(problem_id).alias("problem_id"), F.col(question).alias("question"),
         gt.alias("ground_truth_answer"), F.col(base).alias("base_model_answer"),
-        F.col(tuned).alias("sft_model_answer"),
-        F.coalesce(v["model_a_feedback"], F.lit(NA)).alias("judge_response_base"),
-        F.coalesce(v["model_b_feedback"], F.lit(NA)).alias("judge_response_sft"),
-        *sc,
-        F.coalesce(v["winner"], F.lit(NA)).alias("winner"),
-        F.coalesce(v["reason"], F.lit(NA)).alias("reason"))
+        F.col(tuned).alias("sft_model_answer"), v["model_a_feedback"].alias("judge_response_base"),
+        v["model_b_feedback"].alias("judge_response_sft"), *sc,
+        v["winner"].alias("winner"), v["reason"].alias("reason"))
+    return fill_missing(flat) if fill else flat
+
+
+def fill_missing(flat: DataFrame) -> DataFrame:
+    """The judged table of an unfilled one: missing scores 0, missing texts ``N/A``."""
+    kept = ("problem_id", "question", "base_model_answer", "sft_model_answer")
+    return flat.select(*[c if c in kept else F.coalesce(F.col(c), F.lit(0.0) if t == "double" else F.lit(NA)).alias(c)
+                         for c, t in flat.dtypes])
 
 
 # ---- aggregates (D7-D9) and audit (D10) -----------------------------------------

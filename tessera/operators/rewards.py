@@ -15,13 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
-from pyspark.sql.window import Window
 
 from tessera.functions.numeric import py_float
 from tessera.functions.tags import DEFAULT_TAGS, Tags
 from tessera.functions.text import (_WS, between_tags, col, first_number, occurs_once,
                                     locate_from, nb_number_after, no_spaces, preview, quote_re,
                                     strip)
+from tessera.operators.compare import once
 
 # --- fixed values: reward scores ---------------------------------------------
 # package check_answer verdicts: NO_MATCH -2.0, EXACT 5.0, WHITESPACE 3.5,
@@ -333,18 +333,19 @@ def user_reward_column(fn: Callable, completion: str = "completion", answer: str
 # ---- pairing completions with prompts (J3) ---------------------------------------
 
 def attach_answers(completions: DataFrame, prompts: DataFrame, key: str = "prompt_id",
-                   answer: str = "answer", check_unique: bool = True) -> DataFrame:
-    """Give each completion its prompt's expected answer (1:N inner join).
+                   answer: str = "answer", strict: bool = True) -> DataFrame:
+    """Give each completion its prompt's expected answer (N:1).
 
-    Prompts are one row per key (verified unless ``check_unique=False``);
-    Spark/AQE picks broadcast when that side is small at run time, otherwise
+    A prompt key that occurs twice raises when the query runs, so no row is multiplied. A completion
+    without a prompt raises too; with ``strict=False`` it is left out. Spark/AQE picks broadcast when the prompts are small at run time, otherwise
     a sort-merge join whose skewed partitions AQE splits.
     """
-    p = prompts.select(key, answer)
-    if check_unique:
-        from tessera.operators.compare import require_unique
-        require_unique(p, [key], "prompts")
-    return completions.join(p, on=key, how="inner")
+    one = prompts.groupBy(key).agg(F.first(answer).alias(answer), F.count(F.lit(1)).alias("__t_n"))
+    joined = completions.join(one.where(once(F.col("__t_n"), "prompts")), on=key, how="left" if strict else "inner")
+    if not strict:
+        return joined.drop("__t_n")
+    lost = F.raise_error(F.concat(F.lit("no prompt for completion key "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return joined.where(F.when(F.col("__t_n").isNull(), lost.cast("boolean")).otherwise(True)).drop("__t_n")
 
 
 # ---- group statistics (A9, W3) and debug sampling (W2) ---------------------------
@@ -420,9 +421,3 @@ def debug_sample(df: DataFrame, every: int, key_cols: Sequence[str], completion:
     v = with_answer_verdict(picked, completion, answer, tags, "verdict", "extracted")
     return v.select(*key_cols, "verdict", "extracted", F.col(answer).alias("expected"),
                     preview(completion, 200).alias("preview"))
-
-
-def rank_in_group(df: DataFrame, key: str, order: Sequence[str], out: str = "rank") -> DataFrame:
-    """Row number inside bounded groups (e.g. generations of one prompt)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w))

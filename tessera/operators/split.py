@@ -4,10 +4,9 @@ The exact split (T3) orders rows by ``md5(seed || ':' || key)`` and keeps
 the first ``int(n * ratio)``. Instead of a global sort it finds the boundary
 hash by refining hex prefixes: each round counts rows per next-3-hex-digit
 bucket (at most 4,096 counts reach the driver), keeps the bucket holding
-the boundary and descends, until the bucket is small; the boundary row is
-then ranked inside that bucket only. Membership is a plain predicate
-``(h, key) <= (h_k, key_k)`` — no window over the data, independent of
-partitioning, repeatable.
+the boundary and descends, until the bucket holds one row. Membership is a
+plain predicate ``h <= h_k`` — no window over the data, independent of
+partitioning, repeatable. A key repeated at the boundary raises.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 def shortest_n(df: DataFrame, length: str, key: str, n: int = 10) -> DataFrame:
     """The ``n`` shortest rows (ties by key) -> TakeOrderedAndProject."""
@@ -43,46 +41,39 @@ def _prefix_counts(cand: DataFrame, plen: int) -> list[tuple[str, int]]:
     return sorted((r[0], r[1]) for r in cand.groupBy(pref.alias("_p")).count().collect())
 
 
-def _boundary(cand: DataFrame, counts: list[tuple[str, int]], plen: int, k: int, digits: int,
-              final_rows: int) -> tuple[str, object]:
-    """Descend hex prefixes until the bucket holding the k-th row is small, then rank in it."""
-    remaining = k
+def _boundary(cand: DataFrame, counts: list[tuple[str, int]], plen: int, k: int, digits: int) -> str:
+    """Descend hex prefixes until the bucket holding the k-th row holds that row only."""
     while True:
         below = 0
-        for p, c in counts:
-            if below + c >= remaining:
-                cut, size = p, c
+        for cut, size in counts:
+            if below + size >= k:
                 break
-            below += c
+            below += size
         else:
             raise ValueError("split size exceeds row count")
-        remaining -= below
+        k -= below
         cand = cand.where(F.substring("_h", 1, plen) == F.lit(cut))
-        if size <= final_rows or plen >= 32:
-            break
+        if size == 1:
+            return cand.first()["_h"]
+        if plen == 32:
+            raise ValueError(f"{size} rows share the key at the split boundary: the key must be unique")
         plen = min(plen + digits, 32)
         counts = _prefix_counts(cand, plen)
-    w = Window.orderBy("_h", "_k")  # one small bucket (<= final_rows rows)
-    row = (cand.withColumn("_r", F.row_number().over(w))
-               .where(F.col("_r") == remaining).select("_h", "_k").first())
-    return row[0], row[1]
 
 
 def _hashed(df: DataFrame, key: str, seed: int) -> DataFrame:
-    return df.select(split_hash(key, seed).alias("_h"), F.col(key).alias("_k"))
+    return df.select(split_hash(key, seed).alias("_h"))
 
 
-def split_boundary(df: DataFrame, key: str, k: int, seed: int = 42, digits: int = 3,
-                   final_rows: int = 50_000) -> tuple[str, object] | None:
-    """The k-th smallest ``(md5 hash, key)`` (1-based); None when k <= 0."""
+def split_boundary(df: DataFrame, key: str, k: int, seed: int = 42, digits: int = 3) -> str | None:
+    """The k-th smallest md5 hash of the keys (1-based); None when k <= 0."""
     if k <= 0:
         return None
     cand = _hashed(df, key, seed)
-    return _boundary(cand, _prefix_counts(cand, digits), digits, k, digits, final_rows)
+    return _boundary(cand, _prefix_counts(cand, digits), digits, k, digits)
 
 
-def _membership(df: DataFrame, key: str, train_ratio: float, seed: int, digits: int = 3,
-                final_rows: int = 50_000) -> Column:
+def membership(df: DataFrame, key: str, train_ratio: float, seed: int, digits: int = 3) -> Column:
     """Train predicate for an exact ``int(n * ratio)`` split; the first prefix round
     also yields ``n`` (sum of bucket counts), so no separate count pass."""
     cand = _hashed(df, key, seed)
@@ -93,25 +84,23 @@ def _membership(df: DataFrame, key: str, train_ratio: float, seed: int, digits:
         return F.lit(False)
     if k >= total:
         return F.lit(True)
-    hk, kk = _boundary(cand, counts, digits, k, digits, final_rows)
-    h = split_hash(key, seed)
-    return (h < F.lit(hk)) | ((h == F.lit(hk)) & (F.col(key) <= F.lit(kk)))
+    return split_hash(key, seed) <= F.lit(_boundary(cand, counts, digits, k, digits))
 
 
 def exact_split(df: DataFrame, key: str, train_ratio: float = 0.9, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Seeded split with exactly ``int(n * train_ratio)`` training rows.
 
-    ``key`` must be unique. Row membership is not the reference's shuffle;
+    ``key`` must be unique; rows that share the key at the boundary raise. Row membership is not the reference's shuffle;
     size, determinism and completeness are the contract.
     """
-    in_train = _membership(df, key, train_ratio, seed)
+    in_train = membership(df, key, train_ratio, seed)
     return df.where(in_train), df.where(~in_train)
 
 
 def label_split(df: DataFrame, key: str, train_ratio: float = 0.9, seed: int = 42,
                 out: str = "split") -> DataFrame:
     """T3 as one table with a ``train`` / ``test`` label column."""
-    in_train = _membership(df, key, train_ratio, seed)
+    in_train = membership(df, key, train_ratio, seed)
     return df.withColumn(out, F.when(in_train, F.lit("train")).otherwise(F.lit("test")))
 
 
@@ -123,14 +112,22 @@ def split_summary(labelled: DataFrame, split: str = "split", length: str | None
     return labelled.groupBy(split).agg(*aggs)
 
 
+def numbered_top(df: DataFrame, order: Sequence[str], n: int, out: str = "problem_number") -> DataFrame:
+    """The first ``n`` rows, numbered from 1: a top-n, then its ``n`` rows gathered and unrolled."""
+    top = df.orderBy(*order).limit(n)
+    row = F.struct(*order, *[c for c in df.columns if c not in order])
+    gathered = top.agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    return gathered.select(F.posexplode("_rows").alias("_pos", "_row")).select((F.col("_pos") + 1).cast("bigint").alias(out), "_row.*")
+
+
 def point_lookup(numbered: DataFrame, idx: int, number: str = "problem_number") -> DataFrame:
-    """T4: 0-based index into a numbered set, with a bounds check."""
+    """T4: 0-based index into a numbered set, with a bounds check: a negative index raises at once,
+    one beyond the end when the query runs."""
     if idx < 0:
         raise IndexError(f"Invalid index {idx}")
-    row = numbered.where(F.col(number) == idx + 1)
-    if row.isEmpty():
-        raise IndexError(f"Invalid index {idx}")
-    return row
+    one = numbered.where(F.col(number) == idx + 1).agg(F.first(F.struct("*")).alias("_row"))
+    beyond = F.raise_error(F.lit(f"Invalid index {idx}")).cast("boolean")
+    return one.where(F.when(F.col("_row").isNull(), beyond).otherwise(True)).select("_row.*")
 
 
 def head(df: DataFrame, order: Sequence[str], n: int = 5) -> DataFrame:

@@ -34,6 +34,7 @@ MAX_SEQ = 2048
 TRUNCATE_RATIO = 0.5
 SAMPLE_EVERY = 7
 PLAN = dict(batch_size=1, grad_accum=4, epochs=15)
+REPORT_NAMES, GENERATED = ("base-model", "tuned-model", "judge-model"), "2025-01-01 00:00:00"
 # Values derived from a standard deviation are reported as DECIMAL(24,9).
 DEC = "decimal(24,9)"
 
@@ -376,9 +377,11 @@ def verdict_parse(spark, d):
                     v["reason"].alias("reason"))
 
 
-def _judged(spark, d) -> DataFrame:
-    joined = _with_truth(spark, d).join(_parsed(spark, d), "problem_id", "inner")
-    return J.flatten_verdicts(joined)
+def _judged(spark, d, rubric="3", fill=True) -> DataFrame:
+    """Every problem; one without a reply is an error."""
+    replies = fixture(spark, d, "verdicts" if rubric == "3" else "verdicts_4")
+    parsed = J.parse_verdicts(_with_truth(spark, d).join(replies, "problem_id", "left"), "raw", rubric, "full")
+    return J.flatten_verdicts(parsed, rubric=rubric, fill=fill)
 
 
 @query
@@ -452,16 +455,50 @@ def html_unescape(spark, d):
 
 @query
 def comparison_report(spark, d):
-    """Markdown comparison report lines (rows-only check)."""
+    """Markdown comparison report lines."""
     from tessera.sources.report import comparison_report_lines
-    return comparison_report_lines(_pairs(spark, d), "base-model", "tuned-model")
+    return comparison_report_lines(_pairs(spark, d), *REPORT_NAMES[:2], generated=GENERATED)
 
 
 @query
 def judge_report(spark, d):
-    """Markdown judge report lines (rows-only check)."""
+    """Markdown judge report lines."""
     from tessera.sources.report import judge_report_lines
-    return judge_report_lines(_judged(spark, d), "base-model", "tuned-model", "judge-model")
+    return judge_report_lines(_judged(spark, d, fill=False), *REPORT_NAMES, generated=GENERATED)
+
+
+@query
+def judge_report_4(spark, d):
+    """The report on four criteria."""
+    from tessera.sources.report import judge_report_lines
+    return judge_report_lines(_judged(spark, d, "4", fill=False), *REPORT_NAMES, generated=GENERATED, rubric="4")
+
+
+@query
+def verdict_flatten_4(spark, d):
+    """The judged table on four criteria."""
+    return _judged(spark, d, "4")
+
+
+@query
+def rubric_audit_4(spark, d):
+    """Weighted-total audit on four criteria."""
+    a = J.rubric_audit(_judged(spark, d, "4"), "4")
+    return a.select("problem_id", "base_weighted_total", "base_total_gap", "sft_weighted_total", "sft_total_gap")
+
+
+@query
+def attach_answers(spark, d):
+    """Each line of an order with the order's priority as its expected answer."""
+    prompts = table(spark, d, "orders").select(F.col("o_orderkey").alias("prompt_id"), F.col("o_orderpriority").alias("answer"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("prompt_id"), F.col("l_linenumber").alias("gen_id"))
+    return R.attach_answers(lines, prompts)
+
+
+@query
+def document_head(spark, d):
+    """T5: the first five documents by length."""
+    return S.head(table(spark, d, "documents").select("doc_id", "n_chars"), ["n_chars", "doc_id"], 5)
 
 
 # ---- numbering, window filter, budgets, second rubric, fence dialect, lookup --------
@@ -506,11 +543,10 @@ def verdict_parse_fence(spark, d):
 
 @query
 def point_lookup(spark, d):
-    """T2 + W1 + T4: the fourth of the ten shortest exercises, by index."""
-    _, test = S.shortest_split(_exercise_lengths(spark, d), "approx_length", "doc_id", SHORTEST_N)
-    numbered = C.number_rows(test.select("doc_id", "exercise_number", "approx_length"),
-                             ["approx_length", "doc_id"], "problem_number", partitions=2)
-    return S.point_lookup(numbered, 3).select("problem_number", "doc_id", "exercise_number")
+    """T2 + T4: the fourth of the ten shortest exercises, by index."""
+    shortest = S.numbered_top(_exercise_lengths(spark, d).select("approx_length", "doc_id", "exercise_number"),
+                              ["approx_length", "doc_id"], SHORTEST_N)
+    return S.point_lookup(shortest, 3).select("problem_number", "doc_id", "exercise_number")
 
 
 @query
@@ -521,7 +557,7 @@ def sft_training_set(spark, d):
 
 @query
 def response_cleanup(spark, d):
-    """unescape, backslash collapse, answer recovery (Arrow UDF; rows-only check)."""
+    """unescape, backslash collapse, answer recovery (Arrow UDF for texts with entities)."""
     from tessera.functions.html import clean_responses
     r = clean_responses(fixture(spark, d, "responses"), "response", TG.solution_start, TG.solution_end)
     return r.select("problem_id", "model", "cleaned")

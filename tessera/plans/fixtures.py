@@ -17,7 +17,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 VIEWS: dict[str, str] = {
-    # twelve completion shapes per (prompt, generation)
+    # twelve short completion shapes per (prompt, generation); whole documents (a third of them
+    # generations of one prompt) and whole assistant turns as reasoning, with missing, repeated and
+    # unclosed tags and answers that are zero, not numeric or null
     "completions": """
 select l_orderkey as prompt_id, l_linenumber as gen_id, cast(q as varchar(20)) as answer,
   case v
@@ -35,7 +37,28 @@ select l_orderkey as prompt_id, l_linenumber as gen_id, cast(q as varchar(20)) a
     else '<start_working_out>w<end_working_out><SOLUTION>The answer is '||q||' units</SOLUTION>'
   end as completion
 from (select l_orderkey, l_linenumber, cast(l_quantity as bigint) as q,
-             (l_orderkey*7+l_linenumber)%12 as v from @lineitem@) x""",
+             (l_orderkey*7+l_linenumber)%12 as v from @lineitem@) x
+union all
+select prompt_id, gen_id, answer,
+  case v
+    when 0 then '<start_working_out>'||t||'<end_working_out><SOLUTION>'||a||'</SOLUTION>'
+    when 1 then chr(10)||'<start_working_out>'||chr(10)||t||chr(10)||chr(10)||'<end_working_out>'||chr(10)||'<SOLUTION>'||chr(10)||a||chr(10)||'</SOLUTION>'||chr(10)
+    when 2 then t||'<end_working_out><SOLUTION>'||a||'</SOLUTION>'
+    when 3 then '<start_working_out>'||t||'<end_working_out><SOLUTION>'||a||'</SOLUTION><start_working_out>'||t||'<end_working_out><SOLUTION>9</SOLUTION>'
+    when 4 then t
+    when 5 then '<start_working_out>'||t||'<end_working_out><SOLUTION>The answer is '||a||' units</SOLUTION>'
+    when 6 then '<start_working_out>'||t||'<end_working_out><SOLUTION>'||a
+    else '<start_working_out>'||t||'<end_working_out><SOLUTION>0</SOLUTION>'
+  end as completion
+from (
+  select prompt_id, gen_id, t, a, v,
+    case w when 0 then '0' when 1 then 'about ten' when 2 then cast(null as varchar(20)) else a end as answer
+  from (
+    select case when doc_id%3 = 0 then cast(0 as bigint) else -doc_id end as prompt_id, cast(doc_id as int) as gen_id,
+           text as t, cast(n_chars as varchar(20)) as a, (doc_id*7+1)%8 as v, (doc_id*3+doc_id%11)%7 as w from @documents@
+    union all
+    select -conv_id as prompt_id, cast(turn as int) as gen_id, text as t, cast(turn as varchar(20)) as a,
+           (conv_id+turn)%8 as v, conv_id%7 as w from @conversations@ where role = 'assistant') y) z""",
     # ten answer spellings, half not numeric under the pandas rule
     "sft_raw": """
 select doc_id, text as problem,
@@ -64,6 +87,15 @@ select doc_id as problem_id, model, text as problem,
 from (select doc_id, text, n_chars, 'base' as model, 0 as m from @documents@
       union all
       select doc_id, text, n_chars, 'tuned' as model, 1 as m from @documents@) dm""",
+    # replies for the four criteria: whole, one criterion missing, one total missing, unparsable
+    "verdicts_4": """
+select doc_id as problem_id,
+  case doc_id%5 when 3 then 'no verdict {' else
+  '{"model_a_scores":{"format_adherence":'||a||',"mathematical_correctness":'||b||',"clarity_completeness":'||a||'.5'||
+  case when doc_id%5 = 1 then '' else ',"conciseness":'||b end||case when doc_id%5 = 2 then '' else ',"total":'||a end||'},'||
+  '"model_b_scores":{"format_adherence":'||b||',"mathematical_correctness":'||a||',"clarity_completeness":'||b||',"conciseness":'||a||',"total":'||b||'.25},'||
+  '"model_a_feedback":"fa","winner":"'||case when a > b then 'Model A' when a < b then 'Model B' else 'Tie' end||'"}' end as raw
+from (select doc_id, doc_id%10 as a, (doc_id*3+quality)%10 as b from @labels@) l0""",
     # raw judge replies: plain, fenced, think preamble, prose-wrapped, unparsable, no totals
     "verdicts": """
 select doc_id as problem_id,

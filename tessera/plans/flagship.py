@@ -13,8 +13,8 @@ from tessera.plans.fixtures import fixture
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = R.score(fixture(spark, sf_dir, "completions"), rewards=R.enabled_rewards())
-    # score once: the scored rows are checkpointed (shared checkpoint folder, lineage cut)
+    # score once: the scores, without the texts, are checkpointed (shared checkpoint folder, lineage cut)
     # and read by both the per-prompt statistics and the join back
-    adv = R.group_advantage(scored, "prompt_id", "total", materialize=True)
-    return adv.select("prompt_id", "gen_id", "answer", "reward_format_exact", "reward_format_approx",
-                      "reward_answer", "reward_numbers", "total", "advantage")
+    narrow = scored.select("prompt_id", "gen_id", "answer", "reward_format_exact", "reward_format_approx",
+                           "reward_answer", "reward_numbers", "total")
+    return R.group_advantage(narrow, "prompt_id", "total", materialize=True)

@@ -13,6 +13,9 @@ with many tasks, and returns small driver-side values (counts, budgets).
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ from tessera.operators import judge as J
 from tessera.operators import lengths as L
 from tessera.operators import messages as M
 from tessera.operators import split as S
+from tessera.session import checkpoint_dir
 from tessera.sources import io as IO
 from tessera.sources.report import judge_report_lines, write_report
 
@@ -53,18 +57,21 @@ def rl_set_job(spark: SparkSession, source: str, out: str, fmt: str = "parquet",
     msgs = F.array(M.message("system", F.lit(sp)), M.message("user", F.col("prompt")))
     lengths = L.with_length(df.withColumn("_pt", M.render(msgs, tags, add_generation_prompt=True)),
                             "_pt", "prompt_length", length_fn).drop("_pt")
-    budget = L.sequence_budget(L.percentile_threshold(lengths, "prompt_length", percentile),
-                               max_seq_length).first().asDict()
-    kept = L.percentile_filter(lengths, "prompt_length", percentile)
-    kept = M.rl_messages(kept, sp, prompt="prompt")
+    # written once (tokenizing pass); the threshold, the split and the outputs read the stored lengths
+    stored = f"{checkpoint_dir(spark)}/rl-set-{uuid.uuid4().hex}"
+    lengths.write.parquet(stored)
+    lengths = spark.read.schema(lengths.schema).parquet(stored)
+    budget = L.sequence_budget(L.percentile_threshold(lengths, "prompt_length", percentile), max_seq_length).first().asDict()
+    kept = lengths.where(F.col("prompt_length") <= F.lit(budget["max_prompt_length"]))
+    prompts = M.rl_messages(kept, sp, prompt="prompt")
     if train_ratio is not None:
         if key is None:
             raise ValueError("an exact split needs a unique key column")
-        lab = S.label_split(kept, key, train_ratio, seed, out="_split")
-        lab.where(F.col("_split") == "train").drop("_split").write.mode("overwrite").parquet(f"{out}/train")
-        lab.where(F.col("_split") == "test").drop("_split").write.mode("overwrite").parquet(f"{out}/eval")
+        in_train = S.membership(kept, key, train_ratio, seed)
+        prompts.where(in_train).write.mode("overwrite").parquet(f"{out}/train")
+        prompts.where(~in_train).write.mode("overwrite").parquet(f"{out}/eval")
     else:
-        kept.write.mode("overwrite").parquet(out)
+        prompts.write.mode("overwrite").parquet(out)
     return budget
 
 
@@ -85,13 +92,15 @@ def judge_results_job(spark: SparkSession, prompts: str, raw_verdicts: DataFrame
                       dialect: str = "full") -> dict:
     """Raw judge replies ``(problem_id, raw)`` -> judged table (CSV + Parquet) + report.
 
-    Returns the outcome summary row (counts, averages, margin).
+    A problem without a reply counts as an error. Returns the outcome summary row (counts, averages, margin).
     """
-    parsed = J.parse_verdicts(raw_verdicts, "raw", rubric, dialect)
-    joined = spark.read.parquet(prompts).join(parsed, "problem_id", "inner")
-    judged = J.flatten_verdicts(joined, rubric=rubric)
-    IO.write_judged_table(judged, f"{out}/judged")
-    table = spark.read.parquet(f"{out}/judged")  # written once, reused below
-    IO.write_judged_csv(table, f"{out}/judged_csv")
-    write_report(judge_report_lines(table, base_name, sft_name, judge_name), f"{out}/report")
-    return J.judge_summary(table).first().asDict()
+    replies = spark.read.parquet(prompts).join(raw_verdicts, "problem_id", "left")
+    flat = J.flatten_verdicts(J.parse_verdicts(replies, "raw", rubric, dialect), rubric=rubric, fill=False)
+    IO.write_judged_table(flat, f"{out}/verdicts")
+    flat = spark.read.parquet(f"{out}/verdicts")  # written once, read below
+    IO.write_judged_table(J.fill_missing(flat), f"{out}/judged")
+    judged = spark.read.parquet(f"{out}/judged")
+    IO.write_judged_csv(judged, f"{out}/judged_csv")
+    generated = dt.datetime.now().strftime("%Y-%m-%d %H:%M:%S")
+    write_report(judge_report_lines(flat, base_name, sft_name, judge_name, generated, rubric), f"{out}/report")
+    return J.judge_summary(judged).first().asDict()

@@ -6,10 +6,13 @@ re-spelled with DuckDB/RE2 functions in :mod:`tessera.plans.sqlexpr`.
 
 from __future__ import annotations
 
-from tessera.functions.prompts import JUDGE_PROMPT_3
+from tessera.functions.prompts import JUDGE_PROMPT_3, RUBRIC_WEIGHTS
 from tessera.functions.tags import DEFAULT_TAGS as TG
+from tessera.operators import compare as C
+from tessera.operators.judge import CRITERIA
 from tessera.plans import catalog as K
 from tessera.plans.fixtures import cte, duckdb_view_sql
+from tessera.sources import report as T
 from tessera.plans.sqlexpr import (between, contains, count_occ, is_number, normalize, py_float, q,
                                    residue, strip, sft_assistant, sft_text, sys_user_prompt, tokens)
 
@@ -287,7 +290,13 @@ def _prompt_sql() -> str:
 sql("judge_prompt", _GT + f"select problem_id, {' || '.join(_prompt_sql())} as judge_prompt from g")
 
 _T0 = strip("raw")
-_VP_BODY = f"""verdicts as ({duckdb_view_sql("verdicts")}),
+def _scores(side: str, letter: str, criteria) -> str:
+    got = lambda c: D(f"json_extract(t3, '$.model_{side}_scores.{c}')")
+    return ",\n  ".join([f"{got(c)} as {letter}_{c}" for c in criteria] + [f"coalesce({got('total')}, {D(0.0)}) as {letter}_total"])
+
+
+def vp_body(view: str, criteria) -> str:
+    return f"""verdicts as ({duckdb_view_sql(view)}),
 v0 as (select problem_id, {_T0} as t0 from verdicts),
 v1 as (select problem_id,
   case when instr(t0, '```json') > 0 then split_part(substr(t0, instr(t0, '```json') + 7), '```', 1)
@@ -310,19 +319,16 @@ v6 as (select *,
 pv as (select problem_id, ok,
   case when ok then json_extract_string(t3, '$.winner') else 'Error' end as winner,
   case when ok then json_extract_string(t3, '$.reason')
-       when valid then 'Error during judgment: missing ''winner'' or ''total'''
+       when valid then coalesce(json_extract_string(t3, '$.reason'), 'Error during judgment: missing ''winner'' or ''total''')
        else 'Error during judgment: invalid JSON' end as reason,
-  case when ok then json_extract_string(t3, '$.model_a_feedback') end as fa,
-  case when ok then json_extract_string(t3, '$.model_b_feedback') end as fb,
-  case when ok then {D("json_extract(t3, '$.model_a_scores.correctness')")} end as a_c,
-  case when ok then {D("json_extract(t3, '$.model_a_scores.brevity')")} end as a_b,
-  case when ok then {D("json_extract(t3, '$.model_a_scores.clear_explanation')")} end as a_x,
-  case when ok then {D("json_extract(t3, '$.model_a_scores.total')")} else {D(0.0)} end as a_total,
-  case when ok then {D("json_extract(t3, '$.model_b_scores.correctness')")} end as b_c,
-  case when ok then {D("json_extract(t3, '$.model_b_scores.brevity')")} end as b_b,
-  case when ok then {D("json_extract(t3, '$.model_b_scores.clear_explanation')")} end as b_x,
-  case when ok then {D("json_extract(t3, '$.model_b_scores.total')")} else {D(0.0)} end as b_total
+  json_extract_string(t3, '$.model_a_feedback') as fa,
+  json_extract_string(t3, '$.model_b_feedback') as fb,
+  {_scores("a", "a", criteria)},
+  {_scores("b", "b", criteria)}
   from v6)"""
+
+
+_VP_BODY = vp_body("verdicts", CRITERIA["3"])
 _VP = "with " + _VP_BODY + "\n"
 sql("verdict_parse", _VP + "select problem_id, ok as parsed_ok, winner, a_total, b_total, reason from pv")
 
@@ -331,17 +337,28 @@ select v0.problem_id, case when instr(t0, '<think>') > 0 and instr(t0, '</think>
   then {strip("string_split(t0, '</think>')[-1]")} else t0 end as after_think,
   v4.t1 as fence, v4.t3 as json_text from v0 join v4 on v0.problem_id = v4.problem_id""")
 
-_JD = _GT.rstrip("\n") + ",\n" + _VP_BODY + f""", jd as (
-  select g.problem_id, g.problem as question, coalesce(g.ground_truth, 'N/A') as ground_truth_answer,
+def _judged(rubric: str) -> str:
+    """``ju`` (missing values null, as the report reads them) and ``jd`` (filled) over all problems."""
+    sides = [(p, l, [*CRITERIA[rubric], "total"]) for p, l in (("base", "a"), ("sft", "b"))]
+    name = lambda p, c: f"{p}_total_score" if c == "total" else f"{p}_{c}"
+    raw = ", ".join(f"coalesce(pv.{l}_{c}, {D(0.0)}) as {name(p, c)}" if c == "total" else f"pv.{l}_{c} as {name(p, c)}"
+                    for p, l, cs in sides for c in cs)
+    full = ", ".join(f"coalesce({name(p, c)}, {D(0.0)}) as {name(p, c)}" for p, _, cs in sides for c in cs)
+    return _GT.rstrip("\n") + ",\n" + vp_body("verdicts" if rubric == "3" else "verdicts_4", CRITERIA[rubric]) + f""", ju as (
+  select g.problem_id, g.problem as question, g.ground_truth as ground_truth_answer,
     g.base_response as base_model_answer, g.sft_response as sft_model_answer,
-    coalesce(pv.fa, 'N/A') as judge_response_base, coalesce(pv.fb, 'N/A') as judge_response_sft,
-    coalesce(pv.a_c, {D(0.0)}) as base_correctness, coalesce(pv.a_b, {D(0.0)}) as base_brevity,
-    coalesce(pv.a_x, {D(0.0)}) as base_clear_explanation, coalesce(pv.a_total, {D(0.0)}) as base_total_score,
-    coalesce(pv.b_c, {D(0.0)}) as sft_correctness, coalesce(pv.b_b, {D(0.0)}) as sft_brevity,
-    coalesce(pv.b_x, {D(0.0)}) as sft_clear_explanation, coalesce(pv.b_total, {D(0.0)}) as sft_total_score,
-    coalesce(pv.winner, 'N/A') as winner, coalesce(pv.reason, 'N/A') as reason
-  from g join pv on g.problem_id = pv.problem_id)
+    pv.fa as judge_response_base, pv.fb as judge_response_sft, {raw},
+    coalesce(pv.winner, case when pv.ok is null then 'Error' end) as winner,
+    coalesce(pv.reason, case when pv.ok is null then 'Error during judgment: invalid JSON' end) as reason
+  from g left join pv on g.problem_id = pv.problem_id),
+jd as (
+  select problem_id, question, coalesce(ground_truth_answer, 'N/A') as ground_truth_answer, base_model_answer, sft_model_answer,
+    coalesce(judge_response_base, 'N/A') as judge_response_base, coalesce(judge_response_sft, 'N/A') as judge_response_sft, {full},
+    coalesce(winner, 'N/A') as winner, coalesce(reason, 'N/A') as reason from ju)
 """
+
+
+_JD = _judged("3")
 sql("verdict_flatten", _JD + "select * from jd")
 
 _OUT = f"""cast(count_if(winner = 'Model B') as bigint) as sft_wins, cast(count_if(winner = 'Model A') as bigint) as base_wins,
@@ -441,3 +458,88 @@ sql("length_stats_by_lang", f"""
 with n as (select lang, cast({tokens('text')} as integer) as N from documents)
 select lang, min(N) as min_len, max(N) as max_len, avg(N) as mean_len, cast(median(N) as double) as median_len
 from n group by lang""")
+
+
+# ---- reports, second rubric, pairing ------------------------------------------------
+
+def fill(template: str, **values: str) -> str:
+    """The template's literal pieces and the named SQL expressions, concatenated."""
+    parts = T._PLACEHOLDER.split(template)
+    return " || ".join(q(x) if k % 2 == 0 else f"cast({values[x]} as varchar)" for k, x in enumerate(parts) if k % 2 or x)
+
+
+def lines(*blocks: tuple[int, str, str, str]) -> str:
+    """Report blocks: (block, problem_id, text, from)."""
+    return "\nunion all\n".join(f"select cast({b} as integer) as block, cast({p} as bigint) as problem_id, {t} as text {f}" for b, p, t, f in blocks)
+
+
+def pct(n: str, total: str) -> str:
+    return f"printf('%.1f', {D(n)} / {total} * 100)"
+
+
+def case(key: str, texts: dict[str, str]) -> str:
+    return f"case {key} " + " ".join(f"when {q(k)} then {t}" for k, t in texts.items()) + " end"
+
+
+_BASE, _TUNED, _JUDGE = (q(x) for x in K.REPORT_NAMES)
+
+
+def _side(prefix: str, title: str) -> str:
+    checks = dict(has_reasoning_end=RE, has_solution_start=SS, has_solution_end=SE)
+    return fill(T.CMP_SIDE, title=q(title), response=f"{prefix}_response", status=f"case when {prefix}_ok then 'PASS' else 'FAIL' end",
+                reasoning_end=q(RE), solution_start=q(SS), solution_end=q(SE),
+                **{k: f"case when {contains(f'{prefix}_response', tag)} then 'True' else 'False' end" for k, tag in checks.items()})
+
+
+_OUTCOME = ("case when sft_ok and not base_ok then 'tuned_only' when base_ok and sft_ok then 'both' "
+            "when not base_ok and not sft_ok then 'neither' else 'base_only' end")
+sql("comparison_report", _FC + f""", st as (
+  select count_if(base_ok)::bigint as b, count_if(sft_ok)::bigint as t, count(*) as n, count_if(sft_ok)::bigint - count_if(base_ok)::bigint as i from p)
+""" + lines(
+    (0, "0", fill(T.CMP_HEADER, generated=q(K.GENERATED), base_name=_BASE, sft_name=_TUNED), ""),
+    (1, "problem_id", fill(T.CMP_SECTION, problem_id="problem_id", problem="problem", base_side=f"({_side('base', 'BASE MODEL')})",
+                           sft_side=f"({_side('sft', 'SFT MODEL')})", outcome=case(_OUTCOME, {k: q(v) for k, v in C.OUTCOME_TEXT.items()})), "from p"),
+    (2, "0", fill(T.CMP_SUMMARY, base_correct="b", n="n", base_pct=pct("b", "n"), sft_correct="t", sft_pct=pct("t", "n"), improvement="i",
+                  improvement_pct=pct("i", "n"), finding=case("case when i > 0 then 'improved' when i = 0 then 'equal' else 'decreased' end",
+                                                              {k: f"({fill(v, improvement='i')})" for k, v in C.FINDING_TEXT.items()})), "from st")))
+
+
+def _judge_report(rubric: str) -> str:
+    counts = dict(sft_wins="s", base_wins="b", ties="t", errors="e", total="n", sft_wins_pct=pct("s", "n"), base_wins_pct=pct("b", "n"),
+                  ties_pct=pct("t", "n"), errors_pct=pct("e", "n"), margin="abs(s - b)", margin_pct=pct("abs(s - b)", "n"))
+    finding = "case when s > b then 'tuned' when b > s then 'base' else 'equal' end"
+    choose = lambda texts: case(finding, {k: f"({fill(v, **counts)})" for k, v in texts.items()})
+    cell = lambda c: (f"coalesce(case when {c} = floor({c}) then cast(cast({c} as bigint) as varchar) else cast({c} as varchar) end, 'N/A')")
+    cells = lambda p: "(" + " || ' | ' || ".join(cell(f"{p}_{c}") for c in CRITERIA[rubric]) + ")"
+    na = lambda c: f"coalesce({c}, 'N/A')"
+    total = lambda p: f"printf('%.1f', coalesce({p}_total_score, 0.0))"
+    return _judged(rubric) + """, st as (
+  select count_if(winner = 'Model B')::bigint as s, count_if(winner = 'Model A')::bigint as b, count_if(winner = 'Tie')::bigint as t,
+    count_if(winner = 'Error')::bigint as e, count(*) as n, avg(base_total_score) as avg_a, avg(sft_total_score) as avg_b from jd)
+""" + lines(
+        (0, "0", fill(T.JUDGE_HEADER, title=q(T.JUDGE_TITLE[rubric]), generated=q(K.GENERATED), base_name=_BASE, sft_name=_TUNED, judge_name=_JUDGE), ""),
+        (1, "0", fill(T.JUDGE_SUMMARY, error_row=f"case when e > 0 then {fill(T.JUDGE_ERROR_ROW, **counts)} else '' end", finding=choose(T.JUDGE_FINDING),
+                      avg_base="printf('%.2f', avg_a)", avg_sft="printf('%.2f', avg_b)", difference="printf('%+.2f', avg_b - avg_a)", **counts), "from st"),
+        (2, "problem_id", fill(T.JUDGE_SECTION, problem_id="problem_id", question_preview=f"substr(question, 1, {T.PREVIEW_CHARS})",
+                               table_head=q(T.JUDGE_TABLE_HEAD[rubric]), base_scores=cells("base"), sft_scores=cells("sft"), base_total=total("base"),
+                               sft_total=total("sft"), winner=na("winner"), judge_response_base=na("judge_response_base"),
+                               judge_response_sft=na("judge_response_sft"), reason=na("reason")), "from ju"),
+        (3, "0", choose(T.JUDGE_CONCLUSION), "from st"))
+
+
+sql("judge_report", _judge_report("3"))
+sql("judge_report_4", _judge_report("4"))
+sql("verdict_flatten_4", _judged("4") + "select * from jd")
+
+_WEIGHTED = {p: " + ".join(f"{p}_{c} * {D(w)}" for c, w in RUBRIC_WEIGHTS["4"].items()) for p in ("base", "sft")}
+sql("rubric_audit_4", _judged("4") + "select problem_id, " + ", ".join(
+    f"{w} as {p}_weighted_total, {p}_total_score - ({w}) as {p}_total_gap" for p, w in _WEIGHTED.items()) + " from jd")
+
+sql("attach_answers", """
+select l_orderkey as prompt_id, l_linenumber as gen_id, o_orderpriority as answer from lineitem join orders on l_orderkey = o_orderkey""")
+
+sql("document_head", "select doc_id, n_chars from documents order by n_chars, doc_id limit 5")
+
+# the fixture's entities, the ampersand last
+_UNESCAPED = "replace(replace(replace(response, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+sql("response_cleanup", ORACLE["answer_recovery"].replace("regexp_replace(response,", f"regexp_replace({_UNESCAPED},"))

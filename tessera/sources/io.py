@@ -2,7 +2,7 @@
 
 Readers declare schemas (no inference); writers stay distributed: every
 result set is written by many tasks as Parquet / JSON Lines / CSV parts.
-The reference's single-document JSON is available for bounded tables only.
+One-document comparison JSON is read, not written: that format needs one task.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ FORMAT_CHECK = T.StructType([
 ])
 _MODEL_RESULT = T.StructType([T.StructField("response", T.StringType()),
                               T.StructField("format_check", FORMAT_CHECK)])
+SINGLE_SCHEMA = T.StructType([T.StructField("problem_id", T.LongType()), T.StructField("problem", T.StringType()),
+                              *_MODEL_RESULT.fields])
 COMPARISON_SCHEMA = T.StructType([
     T.StructField("metadata", T.StructType([
         T.StructField("timestamp", T.StringType()), T.StructField("base_model", T.StringType()),
@@ -47,9 +49,6 @@ COMPARISON_SCHEMA = T.StructType([
         T.StructField("improvement", T.LongType())])),
 ])
 
-# Largest table written as one JSON document (that format needs one row).
-SINGLE_DOCUMENT_MAX_ROWS = 100_000
-
 
 def _reader(spark: SparkSession, fmt: str, schema: T.StructType | None = None):
     r = spark.read.format(fmt)
@@ -77,12 +76,13 @@ def load_rl(spark: SparkSession, path: str, config: str | None = None, split: st
 def read_exercises(spark: SparkSession, path: str) -> DataFrame:
     """S3: JSON Lines exercises with an explicit schema and a line order column.
 
-    ``line_no`` orders rows as they appear (file, then position); it backs
-    the last-wins lookup (S4).
+    ``line_no`` orders rows as they appear (file path, block of the file, position); it
+    backs the last-wins lookup (S4). Spark orders its scan partitions by size, so the row
+    number alone is no file order.
     """
     df = spark.read.schema(EXERCISE_SCHEMA).json(path)
-    return (df.withColumn("_file", F.col("_metadata.file_path"))
-              .withColumn("line_no", F.monotonically_increasing_id()))
+    return df.withColumn("line_no", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                             F.monotonically_increasing_id().alias("row")))
 
 
 def read_comparison(spark: SparkSession, path: str) -> DataFrame:
@@ -119,13 +119,12 @@ def read_comparison(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_comparison(pairs: DataFrame, summary: DataFrame, path: str, base_name: str,
-                     sft_name: str, timestamp: str | None = None, single_document: bool = False) -> None:
+                     sft_name: str, timestamp: str | None = None) -> None:
     """Comparison results.
 
-    Default layout is distributed: ``results/`` (JSON Lines, one problem per
+    The layout is distributed: ``results/`` (JSON Lines, one problem per
     line, same nested shape as the reference's ``results[]``), ``metadata/``
-    and ``summary/`` (one row each). ``single_document=True`` writes the
-    reference's one-document JSON and is refused above a row bound.
+    and ``summary/`` (one row each).
     """
     ts = timestamp or _dt.datetime.now().isoformat()
     res = pairs.select(
@@ -136,31 +135,15 @@ def write_comparison(pairs: DataFrame, summary: DataFrame, path: str, base_name:
                  F.col("sft_format_check").alias("format_check")).alias("sft_model"))
     summ = summary.select("base_model_correct", "sft_model_correct", "base_model_accuracy",
                           "sft_model_accuracy", "improvement")
-    if single_document:
-        n = res.limit(SINGLE_DOCUMENT_MAX_ROWS + 1).count()
-        if n > SINGLE_DOCUMENT_MAX_ROWS:
-            raise ValueError("table too large for a single JSON document; use the default layout")
-        b_ok, s_ok = F.col("base_model.format_check.format_ok"), F.col("sft_model.format_check.format_ok")
-        n_all = F.count(F.lit(1))
-        doc = (res.agg(F.sort_array(F.collect_list(F.struct("problem_id", "problem", "base_model",
-                                                            "sft_model"))).alias("results"),
-                       F.struct(F.count_if(b_ok).alias("base_model_correct"),
-                                F.count_if(s_ok).alias("sft_model_correct"),
-                                F.try_divide(F.count_if(b_ok), n_all).alias("base_model_accuracy"),
-                                F.try_divide(F.count_if(s_ok), n_all).alias("sft_model_accuracy"),
-                                (F.count_if(s_ok) - F.count_if(b_ok)).alias("improvement")).alias("summary"))
-                  .select(F.struct(F.lit(ts).alias("timestamp"), F.lit(base_name).alias("base_model"),
-                                   F.lit(sft_name).alias("sft_model"),
-                                   F.size("results").cast("long").alias("num_problems")).alias("metadata"),
-                          "results", "summary"))
-        doc.coalesce(1).write.mode("overwrite").json(path)
-        return
     res.write.mode("overwrite").json(f"{path}/results")
     summ.write.mode("overwrite").json(f"{path}/summary")
-    pairs.sparkSession.createDataFrame(
-        [(ts, base_name, sft_name, pairs.count())],
-        "timestamp string, base_model string, sft_model string, num_problems long") \
-        .write.mode("overwrite").json(f"{path}/metadata")
+    _write_metadata(summary, f"{path}/metadata", timestamp=ts, base_model=base_name, sft_model=sft_name)
+
+
+def _write_metadata(summary: DataFrame, path: str, **values: str | None) -> None:
+    """One row: the values and the number of problems, taken from the summary."""
+    row = summary.select(*[F.lit(v).cast("string").alias(k) for k, v in values.items()], F.col("num_problems").cast("long"))
+    row.write.mode("overwrite").json(path)
 
 
 def write_single_model(results: DataFrame, summary: DataFrame, path: str, model_name: str,
@@ -170,10 +153,14 @@ def write_single_model(results: DataFrame, summary: DataFrame, path: str, model_
     results.select("problem_id", "problem", "response", "format_check") \
         .write.mode("overwrite").json(f"{path}/results")
     summary.write.mode("overwrite").json(f"{path}/summary")
-    results.sparkSession.createDataFrame(
-        [(ts, model_name, model_type, results.count())],
-        "timestamp string, model_name string, model_type string, num_problems long") \
-        .write.mode("overwrite").json(f"{path}/metadata")
+    _write_metadata(summary, f"{path}/metadata", timestamp=ts, model_name=model_name, model_type=model_type)
+
+
+def read_single_model(spark: SparkSession, path: str) -> DataFrame:
+    """S7 back: ``(problem_id, problem, response, format_check, model_name, model_type)``."""
+    rows = spark.read.schema(SINGLE_SCHEMA).json(f"{path.rstrip('/')}/results")
+    one = spark.read.schema("model_name string, model_type string").json(f"{path.rstrip('/')}/metadata").first()  # the layout's one row
+    return rows.withColumns({"model_name": F.lit(one.model_name), "model_type": F.lit(one.model_type)})
 
 
 def write_judged_csv(judged: DataFrame, path: str) -> None:

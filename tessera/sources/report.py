@@ -54,7 +54,7 @@ CMP_SECTION = """## Problem {problem_id}
 {sft_side}
 ### Comparison Result
 
-**{outcome}**
+{outcome}
 
 ---
 """
@@ -68,7 +68,8 @@ CMP_SUMMARY = """## Summary Statistics
 
 {finding}
 """
-JUDGE_HEADER = """# LLM Judge Evaluation Report: Base vs Fine-tuned Model
+JUDGE_TITLE = {"3": "LLM Judge Evaluation Report", "4": "AI Judge Evaluation Report"}
+JUDGE_HEADER = """# {title}: Base vs Fine-tuned Model
 
 **Generated:** {generated}
 
@@ -117,10 +118,9 @@ JUDGE_SECTION = """### Problem {problem_id}
 
 **Scores:**
 
-| Model | Correctness (50%) | Brevity (25%) | Clarity (25%) | **Total** |
-|-------|-------------------|---------------|---------------|--------|
-| Base | {base_correctness} | {base_brevity} | {base_clear_explanation} | **{base_total}** |
-| SFT | {sft_correctness} | {sft_brevity} | {sft_clear_explanation} | **{sft_total}** |
+{table_head}
+| Base | {base_scores} | **{base_total}** |
+| SFT | {sft_scores} | **{sft_total}** |
 
 **Winner:** {winner}
 
@@ -132,6 +132,12 @@ JUDGE_SECTION = """### Problem {problem_id}
 
 ---
 """
+JUDGE_TABLE_HEAD = {
+    "3": "| Model | Correctness (50%) | Brevity (25%) | Clarity (25%) | **Total** |\n"
+         "|-------|-------------------|---------------|---------------|--------|",
+    "4": "| Model | Format | Math | Clarity | Concise | **Total** |\n"
+         "|-------|--------|------|---------|---------|-------|",
+}
 JUDGE_CONCLUSION = {
     "tuned": "## Conclusion\n\nThe fine-tuned model demonstrates clear improvement over the base model, "
              "winning {sft_wins}/{total} comparisons ({sft_wins_pct}%).\n",
@@ -190,11 +196,16 @@ def _row(df: DataFrame, block: int, text: Column, problem_id: Column | None = No
     return df.select(F.lit(block).alias("block"), pid.alias("problem_id"), text.alias("text"))
 
 
+def _header(df: DataFrame, text: Column) -> DataFrame:
+    """Block 0: literals only, one row that reads no input."""
+    return _row(df.sparkSession.range(1), 0, text)
+
+
 def comparison_report_lines(pairs: DataFrame, base_name: str, sft_name: str,
                             tags: Tags = DEFAULT_TAGS, generated: str = "") -> DataFrame:
     """Header, per-problem sections, summary table and finding (blocks 0, 1, 2)."""
     s = C.pair_summary(pairs)
-    head = _row(s, 0, fill(CMP_HEADER, generated=generated, base_name=base_name, sft_name=sft_name))
+    head = _header(pairs, fill(CMP_HEADER, generated=generated, base_name=base_name, sft_name=sft_name))
 
     def side(prefix: str, title: str) -> Column:
         fc = F.col(f"{prefix}_format_check")
@@ -212,7 +223,7 @@ def comparison_report_lines(pairs: DataFrame, base_name: str, sft_name: str,
                                    outcome=outcome), F.col("problem_id"))
     n = F.col("num_problems")
     pct = lambda c: fmt(F.try_divide(F.col(c).cast("double"), n) * 100.0, "0.0")
-    finding = F.create_map(*[x for k, v in C.FINDING_TEXT.items() for x in (F.lit(k), F.lit(v))])[F.col("finding")]
+    finding = _choose(F.col("finding"), C.FINDING_TEXT, improvement=_s("improvement"))
     summary = _row(s, 2, fill(CMP_SUMMARY, base_correct=_s("base_model_correct"), n=_s(n),
                               base_pct=pct("base_model_correct"), sft_correct=_s("sft_model_correct"),
                               sft_pct=pct("sft_model_correct"), improvement=_s("improvement"),
@@ -221,37 +232,50 @@ def comparison_report_lines(pairs: DataFrame, base_name: str, sft_name: str,
 
 
 def judge_report_lines(judged: DataFrame, base_name: str, sft_name: str, judge_name: str,
-                       generated: str = "") -> DataFrame:
-    """Header, summary (outcomes, finding, averages), sections, conclusion (blocks 0-3)."""
-    st = J.judge_summary(judged)
-    head = _row(st, 0, fill(JUDGE_HEADER, generated=generated, base_name=base_name, sft_name=sft_name,
-                            judge_name=judge_name))
+                       generated: str = "", rubric: str = "3") -> DataFrame:
+    """Header, summary (outcomes, finding, averages), sections, conclusion (blocks 0-3).
+
+    ``judged`` is the unfilled judged table (``flatten_verdicts(..., fill=False)``): a missing score
+    prints ``N/A`` and counts 0 in the averages. Store it first; it is read twice.
+    """
+    totals = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("base_total_score", "sft_total_score")]
+    st = J.judge_summary(judged.select("winner", *totals))
+    head = _header(judged, fill(JUDGE_HEADER, title=JUDGE_TITLE[rubric], generated=generated, base_name=base_name,
+                                sft_name=sft_name, judge_name=judge_name))
     p1 = lambda c: fmt(c, "0.0")
     counts = dict(sft_wins=_s("sft_wins"), base_wins=_s("base_wins"), ties=_s("ties"),
                   errors=_s("errors"), total=_s("total_problems"), sft_wins_pct=p1("sft_wins_pct"),
                   base_wins_pct=p1("base_wins_pct"), ties_pct=p1("ties_pct"), errors_pct=p1("errors_pct"),
                   margin=_s("margin"), margin_pct=p1("margin_pct"))
     error_row = F.when(F.col("errors") > 0, fill(JUDGE_ERROR_ROW, **counts)).otherwise(F.lit(""))
-    summary = _row(st, 1, fill(JUDGE_SUMMARY, error_row=error_row,
-                               finding=_choose(F.col("finding"), JUDGE_FINDING, **counts),
-                               avg_base=fmt("avg_base_score", "0.00"), avg_sft=fmt("avg_sft_score", "0.00"),
-                               difference=fmt_signed("score_difference"), **counts))
+    summary = fill(JUDGE_SUMMARY, error_row=error_row,
+                   finding=_choose(F.col("finding"), JUDGE_FINDING, **counts),
+                   avg_base=fmt("avg_base_score", "0.00"), avg_sft=fmt("avg_sft_score", "0.00"),
+                   difference=fmt_signed("score_difference"), **counts)
+    conclusion = _choose(F.col("finding"), JUDGE_CONCLUSION, **counts)
+    blocks = F.array(F.struct(F.lit(1).alias("block"), summary.alias("text")), F.struct(F.lit(3).alias("block"), conclusion.alias("text")))
+    framed = st.select(F.inline(blocks)).select("block", F.lit(0).cast("bigint").alias("problem_id"), "text")
+
     def na(c: str) -> Column:
         # scores print like the JSON values they came from: 8 -> "8", 7.5 -> "7.5"
         v = F.col(c)
         txt = F.when(v == F.floor(v), v.cast("bigint").cast("string")).otherwise(v.cast("string"))
         return F.coalesce(txt, F.lit(J.NA))
+
+    def scores(prefix: str) -> Column:
+        return F.concat_ws(" | ", *[na(f"{prefix}_{c}") for c in J.CRITERIA[rubric]])
+
+    def text_of(c: str) -> Column:
+        return F.coalesce(F.col(c), F.lit(J.NA))
+
     sections = _row(judged, 2, fill(
-        JUDGE_SECTION, problem_id=_s("problem_id"),
-        question_preview=F.substring("question", 1, PREVIEW_CHARS),
-        base_correctness=na("base_correctness"), base_brevity=na("base_brevity"),
-        base_clear_explanation=na("base_clear_explanation"), base_total=fmt("base_total_score", "0.0"),
-        sft_correctness=na("sft_correctness"), sft_brevity=na("sft_brevity"),
-        sft_clear_explanation=na("sft_clear_explanation"), sft_total=fmt("sft_total_score", "0.0"),
-        winner=F.col("winner"), judge_response_base=F.col("judge_response_base"),
-        judge_response_sft=F.col("judge_response_sft"), reason=F.col("reason")), F.col("problem_id"))
-    conclusion = _row(st, 3, _choose(F.col("finding"), JUDGE_CONCLUSION, **counts))
-    return head.unionByName(summary).unionByName(sections).unionByName(conclusion)
+        JUDGE_SECTION, problem_id=_s("problem_id"), question_preview=F.substring("question", 1, PREVIEW_CHARS),
+        table_head=JUDGE_TABLE_HEAD[rubric], base_scores=scores("base"), sft_scores=scores("sft"),
+        base_total=fmt(F.coalesce("base_total_score", F.lit(0.0)), "0.0"),
+        sft_total=fmt(F.coalesce("sft_total_score", F.lit(0.0)), "0.0"),
+        winner=text_of("winner"), judge_response_base=text_of("judge_response_base"),
+        judge_response_sft=text_of("judge_response_sft"), reason=text_of("reason")), F.col("problem_id"))
+    return head.unionByName(framed).unionByName(sections)
 
 
 def write_report(lines: DataFrame, path: str) -> None:

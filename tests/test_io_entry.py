@@ -22,16 +22,19 @@ def _pairs(spark):
 def test_comparison_roundtrip(spark):
     d = tempfile.mkdtemp(prefix="tessera-io-")
     pairs = _pairs(spark)
-    IO.write_comparison(pairs, C.pair_summary(pairs), f"{d}/doc", "base/m-1.5", "tuned", single_document=True)
-    back = IO.read_comparison(spark, f"{d}/doc")
+    side = lambda r, p: {"response": r[f"{p}_response"], "format_check": r[f"{p}_format_check"].asDict()}
+    with open(f"{d}/doc.json", "w") as f:
+        json.dump({"metadata": {"base_model": "base/m-1.5", "sft_model": "tuned"},
+                   "results": [{"problem_id": r.problem_id, "problem": r.problem, "base_model": side(r, "base"), "sft_model": side(r, "sft")}
+                               for r in pairs.collect()]}, f, indent=2)
+    back = IO.read_comparison(spark, f"{d}/doc.json")
     got = sorted((r.problem_id, r.model, r.response, r.format_check.format_ok) for r in back.collect())
     assert got == [(1, "base", "<end_working_out><SOLUTION>1</SOLUTION>", True), (1, "tuned", "x\ny", False),
                    (2, "base", "b", False), (2, "tuned", "<end_working_out><SOLUTION>2</SOLUTION>", True)]
-    doc = json.load(open([os.path.join(f"{d}/doc", f) for f in os.listdir(f"{d}/doc") if f.endswith(".json")][0]))
-    assert doc["metadata"]["num_problems"] == 2 and doc["summary"]["improvement"] == 0
     IO.write_comparison(pairs, C.pair_summary(pairs), f"{d}/dist", "b", "t")
     assert spark.read.json(f"{d}/dist/results").count() == 2
     assert spark.read.json(f"{d}/dist/metadata").first().num_problems == 2
+    assert spark.read.json(f"{d}/dist/summary").first().improvement == 0
     dist = sorted((r.problem_id, r.model, r.response, r.format_check.format_ok) for r in IO.read_comparison(spark, f"{d}/dist").collect())
     assert dist == got
 
@@ -70,6 +73,14 @@ def test_exercises_and_loaders(spark):
     from tessera.operators.judge import last_wins_lookup
     got = {r.exercise_text: r.solution_text for r in last_wins_lookup(ex).collect()}
     assert got == {"a": "s2", "b": "t"}
+    # a later, larger file wins: Spark would number its rows first
+    os.mkdir(f"{d}/two")
+    for name, value, n in (("a.jsonl", "first", 1), ("b.jsonl", "last", 500)):
+        with open(f"{d}/two/{name}", "w") as f:
+            for k in range(n):
+                f.write(json.dumps({"exercise_number": k, "exercise_text": f"q{k}", "solution_text": value}) + "\n")
+    both = {r.exercise_text: r.solution_text for r in last_wins_lookup(IO.read_exercises(spark, f"{d}/two")).collect()}
+    assert set(both.values()) == {"last"} and len(both) == 500
     sft = spark.createDataFrame([("1", "p", "g", "extra")], "expected_answer string, problem string, "
                                                               "generated_solution string, other string")
     sft.write.parquet(f"{d}/sft")
@@ -125,6 +136,9 @@ def test_single_model_and_training_set_writers(spark):
         "problem_id long, problem string, response string"))
     IO.write_single_model(res, C.single_summary(res), f"{d}/single", "org/m", "third_party")
     back = spark.read.json(f"{d}/single/results")
+    read = IO.read_single_model(spark, f"{d}/single")
+    assert {(r.problem_id, r.format_check.format_ok, r.model_name, r.model_type) for r in read.collect()} == \
+        {(1, True, "org/m", "third_party"), (2, False, "org/m", "third_party")}
     assert back.count() == 2 and spark.read.json(f"{d}/single/summary").first().correct_format == 1
     IO.write_training_set(spark.createDataFrame([("t",)], "text string"), f"{d}/train")
     with pytest.raises(ValueError):

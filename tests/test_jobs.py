@@ -41,7 +41,7 @@ def test_judge_jobs(spark, sf):
     d = tempfile.mkdtemp(prefix="tessera-job-")
     res = C.with_format_check(fixture(spark, sf, "responses"))
     pairs = C.pair_models(res)
-    IO.write_comparison(pairs, C.pair_summary(pairs), f"{d}/cmp", "base-m", "tuned-m", single_document=True)
+    IO.write_comparison(pairs, C.pair_summary(pairs), f"{d}/cmp", "base-m", "tuned-m")
     with open(f"{d}/ex.jsonl", "w") as f:
         for r in fixture(spark, sf, "exercises").orderBy("doc_id").collect():
             f.write(json.dumps({"exercise_number": r.exercise_number, "exercise_text": r.exercise_text,
@@ -50,12 +50,15 @@ def test_judge_jobs(spark, sf):
     assert prompts.count() == pairs.count()
     raw = fixture(spark, sf, "verdicts")
     summary = jobs.judge_results_job(spark, f"{d}/prompts", raw, f"{d}/out", "base-m", "tuned-m", "judge")
-    assert summary["total_problems"] == raw.count()
+    assert summary["total_problems"] == prompts.count() > raw.count()  # a problem without a reply is an error
     assert summary["errors"] > 0 and summary["sft_wins"] + summary["base_wins"] + summary["ties"] + summary["errors"] \
         == summary["total_problems"]
     report = "".join(open(os.path.join(f"{d}/out/report", p)).read()
                      for p in sorted(os.listdir(f"{d}/out/report")) if p.startswith("part-"))
-    assert report.startswith("# LLM Judge Evaluation Report") and "## Conclusion" in report
+    assert report.startswith("# LLM Judge Evaluation Report") and "## Conclusion" in report and "| N/A |" in report
+    four = jobs.judge_results_job(spark, f"{d}/prompts", fixture(spark, sf, "verdicts_4"), f"{d}/four", "base-m", "tuned-m", "judge", rubric="4")
+    text = "".join(r.value for r in spark.read.text(f"{d}/four/report").collect())
+    assert four["errors"] > 0 and "# AI Judge Evaluation Report" in text and "| Model | Format | Math | Clarity | Concise |" in text
 
 
 def test_cli_score(spark, sf, capsys):

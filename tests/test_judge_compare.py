@@ -43,6 +43,26 @@ def test_parse_verdicts(spark):
             assert v.model_b_scores.total == 8.5 and got[i].parse_error is None
 
 
+def test_verdict_without_total_keeps_its_fields(spark):
+    raw = json.dumps({**VERDICT, "model_b_scores": {"correctness": 9}})
+    v = J.parse_verdicts(spark.createDataFrame([(1, raw)], "problem_id long, raw string")).first()
+    assert v.verdict.winner == "Error" and v.verdict.model_b_scores.total == 0.0 and v.verdict.model_a_scores.total == 7.25
+    assert v.verdict.model_b_scores.correctness == 9 and v.verdict.model_a_feedback == "ok" and v.verdict.reason == "r"
+    assert v.parse_error == "missing 'winner' or 'total'"
+
+
+def test_json_check_of_the_jvm(spark):
+    j = json.dumps(VERDICT)
+    cases = [(j, True), (j + "x", False), (j + "," + j, False), (f"[{j}]", False), ("{'a':1}", False), ('{"a":01}', False), ('{"a":1,}', False),
+             ("", False), (None, False), ("  " + j + "\n", True), ('{"a":1},"end of the verdict"', False), ('{"a":"]"}', True), ('{"a":1}]', False), ("1", False)]
+    df = spark.createDataFrame(cases, "t string, want boolean").select("*", J.is_json_object(F.col("t")).alias("got"))
+    for r in df.collect():
+        assert r.got == r.want, r.t
+    # refused here, accepted by Python's rules
+    v = J.parse_verdicts(spark.createDataFrame([(j[:-1] + ', "reason": "again"}',)], "raw string")).first()
+    assert v.parse_error is None and v.verdict.winner == "Model B"
+
+
 def test_fence_dialect(spark):
     df = spark.createDataFrame([(1, "```json\n" + json.dumps(VERDICT) + "\n```"), (2, "x {" + json.dumps(VERDICT))],
                                "problem_id long, raw string")
@@ -105,6 +125,18 @@ def test_pairing_and_outcomes(spark):
     assert single == {"base": (1, 3), "tuned": (1, 2)}
 
 
+def test_pairing_starts_no_job(spark, sf):
+    from tessera.plans.catalog import QUERIES
+    group = "pairing-builds"
+    spark.sparkContext.setJobGroup(group, "build only")
+    for name in ("pair_outcome", "judge_prompt", "comparison_report"):
+        QUERIES[name](spark, sf)
+    stages = [s for j in spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+              for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(stages) <= 12  # one schema read for each Parquet table reader, none over rows
+
+
 def test_number_rows_dense_and_ordered(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars").repartition(5)
     got = sorted((r.problem_number, r.n_chars, r.doc_id) for r in
@@ -117,8 +149,8 @@ def test_number_rows_dense_and_ordered(spark, sf):
 def test_pairing_rejects_duplicate_keys(spark):
     rows = [(1, "base", "p", "a"), (1, "base", "p", "b"), (1, "tuned", "p", "c")]
     res = C.with_format_check(spark.createDataFrame(rows, "problem_id long, model string, problem string, response string"))
-    with pytest.raises(ValueError):
-        C.pair_models(res)
+    with pytest.raises(Exception, match="a key occurs 2 times"):
+        C.pair_models(res).collect()
 
 
 def test_number_rows_many_partitions(spark, sf):

@@ -7,7 +7,7 @@ from tessera.plans.catalog import QUERIES
 
 SF01 = "/root/testdata/sf0.01"
 PYTHON_OK = {"html_unescape", "response_cleanup", "verdict_parse", "verdict_flatten", "judge_outcomes", "judge_averages",
-             "judge_margin", "rubric_audit", "judge_report", "verdict_parse_fence"}
+             "judge_margin", "rubric_audit", "judge_report", "verdict_parse_fence", "judge_report_4", "verdict_flatten_4", "rubric_audit_4"}
 
 
 def plan_of(spark, name):

@@ -21,12 +21,22 @@ def test_exact_split_properties(spark, docs, ratio):
 
 
 def test_split_refinement_levels(spark, docs):
-    # a tiny final bucket forces several prefix-refinement rounds
+    # one hex digit a round forces several prefix-refinement rounds
     n = docs.count()
     k = int(n * 0.37)
-    hk, kk = S.split_boundary(docs, "doc_id", k, seed=3, final_rows=2)
-    ranked = sorted((r.h, r.doc_id) for r in docs.select(S.split_hash("doc_id", 3).alias("h"), "doc_id").collect())
-    assert ranked[k - 1] == (hk, kk)
+    ranked = sorted(r.h for r in docs.select(S.split_hash("doc_id", 3).alias("h")).collect())
+    assert ranked[k - 1] == S.split_boundary(docs, "doc_id", k, seed=3, digits=1) == S.split_boundary(docs, "doc_id", k, seed=3)
+
+
+def test_split_on_repeated_keys(spark):
+    with pytest.raises(ValueError, match="share the key"):
+        S.exact_split(spark.createDataFrame([(1,)] * 10, "k long"), "k", 0.5)
+
+
+def test_split_of_a_computed_input(spark, docs):
+    lab = S.label_split(docs.where("n_chars % 2 = 0").selectExpr("doc_id * 2 as k"), "k", 0.7)
+    n = lab.count()
+    assert lab.where("split = 'train'").count() == int(n * 0.7)
 
 
 def test_label_split_and_summary(spark, docs):
@@ -49,7 +59,10 @@ def test_point_lookup(spark, docs):
     from tessera.operators.compare import number_rows
     numbered = number_rows(docs, ["n_chars", "doc_id"], "problem_number", partitions=3)
     assert S.point_lookup(numbered, 0).count() == 1
-    with pytest.raises(IndexError):
-        S.point_lookup(numbered, 10_000)
+    top = S.numbered_top(docs, ["n_chars", "doc_id"], 10)
+    assert [S.point_lookup(top, k).first().doc_id for k in (0, 9)] == [S.point_lookup(numbered, k).first().doc_id for k in (0, 9)]
+    for table, index in ((numbered, 10_000), (top, 10)):
+        with pytest.raises(Exception, match=f"Invalid index {index}"):
+            S.point_lookup(table, index).collect()
     with pytest.raises(IndexError):
         S.point_lookup(numbered, -1)
