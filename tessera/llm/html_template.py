@@ -16,11 +16,11 @@ hold is the main text.
 3. Pages join their host's template (broadcast if Spark finds it small, else a join that splits
    skewed hosts) and are cut into slots in one pass.
 
-A slot belongs to the article if an ``article`` or ``main`` element is open there; pages
-without one use the body. Elements of navigation, headers and footers, asides, forms, scripts,
-styles, and elements whose class, id or role names an advert, a notice, a menu or comments,
-never belong to it. On pages without an article, template text and blocks that are mostly links are
-left out too; inside a marked article nothing else is dropped, for a paragraph may well be on every page.
+The slots of ``main``, or of the ``article`` elements if these hold half of the text, are the result; else
+those of the body that are not mostly links, without template text. Elements of navigation, headers and footers, asides, forms, scripts, styles, and
+elements whose class, id or role names an advert, a notice, a menu or comments, do not belong to it;
+a class name never rules out an element that holds the article, main, or most of the text of a
+page without them. If nothing is left, the rules are dropped one by one: links, template text, class names.
 
 Defined results: a null or empty page has an empty text; a null or unusual url is the host "";
 unclosed and misplaced tags are closed as far as needed; repeated rows are pages like any
@@ -47,16 +47,19 @@ MIN_TEXT_PAGES = 8
 
 #: fixed values: element names of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe svg xmp".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
-                  "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+                  "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul xmp".split())
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 BOILERPLATE = frozenset("head nav header footer aside form menu button select dialog fieldset".split())
 MAIN = frozenset(("article", "main"))
 ROLES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-?bar|menu|nav\w*|breadcrumbs?|header|footer|cookies?|consent|"
                    r"notice|popup|modal|newsletter|subscribe|share|social|related|recommend\w*|comments?|replies|disqus|widget|toolbar|login|search)(?:$|[\s_-])")
+#: class names that tell a comment or teaser from the article: the word begins the name
+ARTICLE_ROLES = re.compile(r"(?:^|\s)(?:ads?|advert\w*|sponsor\w*|promo\w*|teaser|related|recommend\w*|comments?|repl(?:y|ies)|disqus|widget)(?:$|[\s_-])")
 
 PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+DIGITS = re.compile("[0-9]+")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -79,6 +82,8 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
                 yield "open", name, m.group(3)
                 if name in RAW and not m.group(3).endswith("/"):
                     end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                    if name == "xmp":
+                        yield "text", "xmp", page[at:end.start() if end else n]
                     at = end.end() if end else n
                     yield "close", name, ""
 
@@ -88,57 +93,97 @@ def roles_of(attributes: str) -> str:
 
 
 class Walk:
-    """A page as tokens and texts, with the open elements kept as a browser would."""
+    """A page as tokens and texts, with the open elements kept as a browser would.
 
-    def __init__(self, page: str):
-        self.page = page
-
-    def __iter__(self) -> Iterator[tuple[str, str, bool, bool, bool, bool, str]]:
-        """(path, token, is tag, in main, in boilerplate, in link, text) in page order; an empty text ends a block."""
-        stack: list[tuple[str, str, bool, bool]] = []  # name, label, main, boilerplate
-        links = 0
-
-        def path() -> str:
-            return "/".join(s[1] for s in stack)
+    ``items`` are (element, path, token, is tag, in link, text) in page order; of each element,
+    ``marks`` has whether its tag and whether its class names rule it out, ``chars`` its own text.
+    """
 
-        def state() -> tuple[bool, bool]:
-            return (stack[-1][2], stack[-1][3]) if stack else (False, False)
-
-        for kind, name, value in events(self.page):
+    def __init__(self, page: str):
+        self.names, self.parents, self.paths = [""], [-1], [""]
+        self.marks: list[tuple[bool, bool]] = [(False, False)]
+        self.chars = [0]
+        self.items: list[tuple[int, str, str, bool, bool, str]] = []
+        names, paths, add = self.names, self.paths, self.items.append
+        stack, inside, links = [0], 0, 0  # inside: open article and main elements
+
+        def pop() -> str:
+            nonlocal inside
+            name = names[stack.pop()]
+            inside -= name in MAIN
+            return name
+
+        for kind, name, value in events(page):
+            top = stack[-1]
             if kind == "text":
-                text = " ".join(entities.unescape(value).split())
-                main, boiler = state()
-                yield path(), "text:" + text, False, main, boiler, links > 0, entities.unescape(value)
+                text = value if name else entities.unescape(value)
+                words = " ".join(text.split())
+                self.chars[top] += len(words)
+                add((top, paths[top], "text:" + words, False, links > 0, text))
                 continue
             if name == "a":
                 links = max(0, links + (1 if kind == "open" else -1))
-            block = name in BLOCK or name in RAW
-            if not block:
+            if not (name in BLOCK or name in RAW):
                 if name == "br":
-                    yield path(), "", False, *state(), links > 0, " "
+                    add((top, paths[top], "", False, links > 0, " "))
                 else:
-                    yield path(), kind + ":" + name, True, *state(), links > 0, ""
+                    add((top, paths[top], kind + ":" + name, True, links > 0, ""))
                 continue
             if kind == "open":
-                if name in CLOSES_P and any(s[0] == "p" for s in stack):
-                    while stack.pop()[0] != "p":
+                if name in CLOSES_P and any(names[e] == "p" for e in stack):
+                    while pop() != "p":
                         pass
-                if name in ("li", "dt", "dd", "td", "th", "tr") and stack and stack[-1][0] == name:
-                    stack.pop()
-                roles = roles_of(value)
-                main, boiler = state()
-                yield path(), f"open:{name}.{roles}", True, main, boiler, links > 0, ""
+                if name in ("li", "dt", "dd", "td", "th", "tr") and names[stack[-1]] == name:
+                    pop()
+                top, roles = stack[-1], roles_of(value)
+                label = f"{name}.{DIGITS.sub('0', roles)}"  # numbers in ids tell pages, not places
+                add((top, paths[top], "open:" + label, True, links > 0, ""))
                 if name not in VOID:
-                    own = name in BOILERPLATE or name in RAW or bool(roles and name not in ("html", "body") and ROLES.search(roles))
+                    if name == "main" or not roles or name in ("html", "body"):
+                        named = False
+                    elif name == "header" and inside:
+                        named = bool(ROLES.search(roles.replace("header", "")))
+                    else:
+                        named = bool((ARTICLE_ROLES if name == "article" else ROLES).search(roles))
                     # a header of the article itself is not the page's header
-                    if name == "header" and main and not (roles and ROLES.search(roles.replace("header", ""))):
-                        own = False
-                    stack.append((name, f"{name}.{roles}", main or name in MAIN, boiler or own))
+                    tagged = name in BOILERPLATE and not (name == "header" and inside) or name in RAW and name != "xmp"
+                    names.append(name)
+                    self.parents.append(top)
+                    paths.append(f"{paths[top]}/{label}" if paths[top] else label)
+                    self.marks.append((tagged, named))
+                    self.chars.append(0)
+                    stack.append(len(names) - 1)
+                    inside += name in MAIN
             else:
-                if any(s[0] == name for s in stack):
-                    while stack.pop()[0] != name:
+                if any(names[e] == name for e in stack):
+                    while pop() != name:
                         pass
-                yield path(), "close:" + name, True, *state(), links > 0, ""
+                add((stack[-1], paths[stack[-1]], "close:" + name, True, links > 0, ""))
+
+    def areas(self) -> list[tuple[str, bool, bool]]:
+        """("main" | "article" | "", ruled out by a tag, by a class name) of each element."""
+        names, parents, marks = self.names, self.parents, self.marks
+        n = len(names)
+        tagged, chars, mains = [False] * n, [0] * n, [0] * n
+        for e in range(1, n):
+            tagged[e] = tagged[parents[e]] or marks[e][0]
+        for e in range(n - 1, -1, -1):
+            if not tagged[e]:
+                chars[e] += self.chars[e]
+                mains[e] += names[e] in MAIN and not marks[e][1]
+                if e:
+                    chars[parents[e]] += chars[e]
+                    mains[parents[e]] += mains[e]
+        out = [("", False, False)]
+        for e in range(1, n):
+            area, _, named = out[parents[e]]
+            if marks[e][1] and not named:
+                # an element that holds the article, or most of the text of a page without one, is kept
+                named = names[e] == "article" or not (mains[e] or not mains[0] and 2 * chars[e] > chars[0])
+            if names[e] in MAIN and area != "main":
+                area = names[e]
+            out.append((area, tagged[e], named))
+        return out
 
 
 def token_id(path: str, token: str) -> int:
@@ -151,39 +196,49 @@ def is_block_edge(token: str) -> bool:
 
 
 def main_text(page: str | None, template: frozenset | set) -> str:
-    """The blocks of the article's slots, joined by two \\n; without an article, those that are not template text."""
+    """The blocks of the chosen slots, joined by two \n."""
     if not page:
         return ""
-    blocks: list[tuple[str, bool, float]] = []  # text, in main, share of link characters
+    walk = Walk(page)
+    areas = walk.areas()
+    blocks: list[list] = []  # text, area, ruled out by a class name, share of link characters, template text
     parts: list[str] = []
     linked = total = 0
-    in_main = seen_main = False
+    area, named, constant = "", False, False
 
     def close():
         nonlocal parts, linked, total
         text = " ".join("".join(parts).split())
         if text:
-            blocks.append((text, in_main, linked / max(1, total)))
+            blocks.append([text, area, named, linked / max(1, total), constant])
         parts, linked, total = [], 0, 0
 
-    for path, token, tag, main, boiler, link, text in Walk(page):
-        seen_main |= main
+    for element, path, token, tag, link, text in walk.items:
         if tag:
             if is_block_edge(token):
                 close()
             continue
-        if boiler or (not main and not path.startswith("html") and "body" not in path and not path == "" and path.split(".")[0] == "head"):
-            continue
-        if token and not main and token_id(path, token) in template:
+        own, tagged, ruled_out = areas[element]
+        if tagged:
             continue
-        in_main = main
+        of_template = bool(token) and not own and token_id(path, token) in template
+        if constant != of_template:
+            close()
+        constant = of_template
+        area, named = own, ruled_out
         parts.append(text)
         total += len(text)
         linked += len(text) * link
     close()
-    if seen_main:
-        return "\n\n".join(t for t, m, _ in blocks if m)
-    return "\n\n".join(t for t, _, share in blocks if share < 0.5)
+    for names, texts in ((False, False), (False, True), (True, True)):
+        left = [b for b in blocks if (names or not b[2]) and (texts or not b[4])]
+        marked = [b for b in left if b[1]]
+        size = sum(len(b[0]) for b in left)
+        if marked and (any(b[1] == "main" for b in marked) or 2 * sum(len(b[0]) for b in marked) >= size):
+            return "\n\n".join(b[0] for b in marked)
+        if left:
+            return "\n\n".join(b[0] for b in ([b for b in left if b[1] or b[3] < 0.5] or left))
+    return ""
 
 
 def host(url: Column) -> Column:
@@ -198,7 +253,7 @@ def occurrence_vectors(pages: DataFrame) -> DataFrame:
             for name, page, salt in zip(pdf["host"], pdf["html"], pdf["salt"]):
                 own: dict = defaultdict(int)
                 tags = set()
-                for path, token, tag, *_ in Walk(page) if isinstance(page, str) else ():
+                for _, path, token, tag, *_ in Walk(page).items if isinstance(page, str) else ():
                     if token and token != "text:":
                         t = token_id(path, token)
                         own[t] += 1

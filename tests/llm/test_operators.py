@@ -277,6 +277,23 @@ def test_html_extraction(spark):
     assert html_template.extract(none).collect() == []
 
 
+def test_html_class_names_never_drop_the_article():
+    def text(body):
+        return html_template.main_text(f"<html><body>{body}</body></html>", frozenset())
+
+    long = "long words of the page " * 8
+    long = long.strip()
+    for name in ("site-main has-sidebar", "content no-sidebar", "post social", "layout with-header"):
+        assert text(f"<div class='{name}'><article><p>{long}</p></article></div>") == long
+        assert text(f"<article class='{name}'><p>{long}</p></article>") == text(f"<main class='{name}'><p>{long}</p></main>") == long
+        assert text(f"<div class='{name}'><p>{long}</p></div><p>end</p>") == long + "\n\nend"
+    comment = "<article class='comment-body'><p>I disagree</p></article>"
+    assert text(f"<div class='entry-content'><p>{long}</p></div>{comment}") == text(f"<article><p>{long}</p></article><div class='comments'>{comment}</div>") == long
+    assert long in text(f"<div class='entry'><p>{long}</p></div><article><p>Box</p></article>")
+    assert text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><xmp><b>&amp;</xmp></article>") == "So x=1\n\n<b>&amp;"
+    assert text(comment) == "I disagree"
+
+
 def test_secret_scan(spark, tmp_path, empty):
     r = random.Random(6)
     rows = []
