@@ -2,8 +2,8 @@
 
 A token is a tag or a text, told apart by the path of structural elements it stands in. Over
 the pages of one host it has an occurrence vector: how often it occurs on each page. Tokens
-with equal vectors form an equivalence class. A class is valid if it occurs on every page of
-the host and holds a tag; the class with the vector (1, ..., 1) is the outermost one,
+with equal vectors form an equivalence class. A class is valid if it occurs on a share ``SUPPORT``
+of the host's pages with tokens, and on two at least, whatever the host's size; the class with the vector (1, ..., 1) is the outermost one,
 classes with other vectors repeat inside its slots. The valid classes are the host's template:
 their tags bound the slots, their texts are template text. What the slots of the article
 hold is the main text.
@@ -11,8 +11,7 @@ hold is the main text.
 1. Each task sums, for each (host, token), the pages, the occurrences and a fingerprint of the
    vector (the exclusive or of a hash of page and count); partial sums meet in one
    aggregate, so a host with a third of all pages is a row per token and task.
-2. The template of a host is a list of token hashes, bounded by what one page can hold. Hosts with
-   under ``MIN_PAGES`` pages use the template of all pages together.
+2. The template of a host is a list of token hashes, bounded by what a page can hold.
 3. Pages join their host's template (broadcast if Spark finds it small, else a join that splits
    skewed hosts) and are cut into slots in one pass.
 
@@ -42,8 +41,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common as C
 
-MIN_PAGES = 3
-MIN_TEXT_PAGES = 8
+#: share of a host's pages with tokens on which a class has to occur
+SUPPORT = 0.5
 
 #: fixed values: element names of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -246,54 +245,43 @@ def host(url: Column) -> Column:
 
 
 def occurrence_vectors(pages: DataFrame) -> DataFrame:
-    """host, token, is_tag, n_pages (of the token), n_total, once (pages where it occurs once), vector (fingerprint)."""
+    """host, token, n_pages (of the token), vector (fingerprint); the token 0 stands for the pages with tokens."""
+    columns = ["host", "token", "n_pages", "vector"]
+
     def count(batches):
-        sums: dict = defaultdict(lambda: [False, 0, 0, 0, 0])
+        sums: dict = defaultdict(lambda: [0, 0])
         for pdf in batches:
             for name, page, salt in zip(pdf["host"], pdf["html"], pdf["salt"]):
                 own: dict = defaultdict(int)
-                tags = set()
-                for _, path, token, tag, *_ in Walk(page).items if isinstance(page, str) else ():
+                for _, path, token, *_ in Walk(page).items if isinstance(page, str) else ():
                     if token and token != "text:":
-                        t = token_id(path, token)
-                        own[t] += 1
-                        if tag:
-                            tags.add(t)
-                s = sums[name, 0]  # token 0: the pages themselves
-                s[1] += 1
+                        own[token_id(path, token)] += 1
+                if own:
+                    sums[name, 0][0] += 1
                 for t, n in own.items():
                     s = sums[name, t]
-                    s[0] |= t in tags
-                    s[1] += 1
-                    s[2] += n
-                    s[3] += n == 1
-                    s[4] ^= xxhash.xxh64_intdigest(f"{salt}:{n}") >> 1
+                    s[0] += 1
+                    s[1] ^= xxhash.xxh64_intdigest(f"{salt}:{n}") >> 1
             if len(sums) > 200_000:
-                yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["host", "token", "is_tag", "n_pages", "n_total", "once", "vector"])
+                yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=columns)
                 sums.clear()
         if sums:
-            yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["host", "token", "is_tag", "n_pages", "n_total", "once", "vector"])
+            yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=columns)
+
+    rows = pages.mapInPandas(count, "host string, token long, n_pages long, vector long")
+    found = rows.groupBy("host", "token").agg(F.sum("n_pages").alias("n_pages"), F.bit_xor("vector").alias("vector"))
+    return found.where("token = 0 or n_pages >= 2")  # a token of one page is in no template
+
 
-    kinds = "host string, token long, is_tag boolean, n_pages long, n_total long, once long, vector long"
-    rows = pages.mapInPandas(count, kinds)
-    return rows.groupBy("host", "token").agg(F.max("is_tag").alias("is_tag"), F.sum("n_pages").alias("n_pages"), F.sum("n_total").alias("n_total"),
-                                             F.sum("once").alias("once"), F.bit_xor("vector").alias("vector"))
+def enough() -> Column:
+    return F.greatest(F.lit(2.0), F.col("pages") * SUPPORT)
 
 
 def templates(vectors: DataFrame) -> DataFrame:
-    """host, n_pages, template (the token hashes of the valid classes); the host "" with n_pages null is that of all pages."""
-    pooled = vectors.groupBy("token").agg(F.max("is_tag").alias("is_tag"), F.sum("n_pages").alias("n_pages"), F.sum("n_total").alias("n_total"),
-                                          F.sum("once").alias("once"), F.bit_xor("vector").alias("vector")).withColumn("host", F.lit(None).cast("string"))
-    every = vectors.select("host", "token", "is_tag", "n_pages", "n_total", "once", "vector").unionByName(pooled)
-    sizes = every.where("token = 0").select(F.col("host").alias("of"), F.col("n_pages").alias("pages"))
-    on_all = every.where("token <> 0").join(sizes, F.col("host").eqNullSafe(F.col("of"))).where(f"n_pages = pages and pages >= {MIN_PAGES}").drop("of")
-    # a class of equal vectors is valid if a tag is in it; its texts need enough pages to be told from chance
-    classes = on_all.where("is_tag").groupBy("host", "vector").agg(F.count(F.lit(1)).alias("n_tags"))
-    valid = on_all.join(classes.withColumnRenamed("host", "of").withColumnRenamed("vector", "v"),
-                        F.col("host").eqNullSafe(F.col("of")) & (F.col("vector") == F.col("v")))
-    valid = valid.where(f"is_tag or pages >= {MIN_TEXT_PAGES}")
-    found = valid.groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("template"))
-    return sizes.join(found, F.col("of").eqNullSafe(F.col("host")), "left").select(F.col("of").alias("host"), F.col("pages").alias("n_pages"), "template")
+    """of (the host), template (the token hashes of the valid classes)."""
+    sizes = vectors.where("token = 0").select(F.col("host").alias("of"), F.col("n_pages").alias("pages"))
+    valid = vectors.where("token <> 0").join(sizes, F.col("host") == F.col("of")).where(F.col("n_pages") >= enough())
+    return valid.groupBy("of").agg(F.sort_array(F.collect_set("token")).alias("template"))
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
@@ -303,11 +291,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
     salt = F.monotonically_increasing_id()
     scratch = C.Scratch(pages.sparkSession, "html-template")
     vectors = scratch.write(occurrence_vectors(own.select("host", "html", salt.alias("salt"))), "vectors")
-    found = scratch.write(templates(vectors), "templates")
-    pooled = found.where("host is null").select(F.col("template").alias("pooled"))
-    per_host = found.where("host is not null").select(F.col("host").alias("of"), "n_pages", "template")
-    # one row of pooled tokens, bounded by what one page holds
-    per_host = per_host.join(F.broadcast(pooled), F.lit(True), "left").select("of", F.when(F.col("n_pages") >= MIN_PAGES, F.col("template")).otherwise(F.col("pooled")).alias("template"))
+    per_host = scratch.write(templates(vectors), "templates")
     joined = own.join(per_host, F.col("host") == F.col("of"), "left")
 
     @F.pandas_udf("string")

@@ -294,6 +294,20 @@ def test_html_class_names_never_drop_the_article():
     assert text(comment) == "I disagree"
 
 
+def html_texts(spark, pages):
+    rows = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in sorted(html_template.extract(rows).collect(), key=lambda r: r["page_id"])]
+
+
+@pytest.mark.parametrize("size", [2, 3, 12])
+def test_html_template_by_share_of_pages_with_tokens(spark, size):
+    page = "<div><div>Home About Contact</div><p>Own words {0}</p><div>All rights reserved</div></div>"
+    pages = [("https://e.example/", page.format(i)) for i in range(size)] + [("https://e.example/", None), ("https://e.example/", "")]
+    if size > 2:
+        pages.append(("https://e.example/", "<p>odd"))
+    assert html_texts(spark, pages) == [f"Own words {i}" for i in range(size)] + ["", ""] + ["odd"] * (size > 2)
+
+
 def test_secret_scan(spark, tmp_path, empty):
     r = random.Random(6)
     rows = []
