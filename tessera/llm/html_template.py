@@ -1,22 +1,26 @@
-"""HTML extraction by equivalence classes of tokens across a host's pages.
+"""HTML extraction by ordered, nested equivalence classes of tokens across a host's pages.
 
 A token is a tag or a text, told apart by the path of structural elements it stands in. Over
 the pages of one host it has an occurrence vector: how often it occurs on each page. Tokens
-with equal vectors form an equivalence class. A class is valid if it occurs on a share ``SUPPORT``
-of the host's pages with tokens, and on two at least, whatever the host's size; the class with the vector (1, ..., 1) is the outermost one,
-classes with other vectors repeat inside its slots. The valid classes are the host's template:
-their tags bound the slots, their texts are template text. What the slots of the article
-hold is the main text.
+with equal vectors form an equivalence class; the class with the vector (1, ..., 1) is the
+outermost one, classes with other vectors repeat inside its slots. A class is a candidate if it
+occurs on a share ``SUPPORT`` of the host's pages with tokens, and on two at least. The occurrences of
+its tokens have roles: the token of the class before it (the order) and the slot of the class around
+it (the nesting). A role is valid if it is found on as many pages. The occurrences with valid roles
+are the host's template: its block tags bound the slots, inside ``article`` and ``main`` too, and a
+slot that holds template text only is template text. The rule is the same at every host size.
 
 1. Each task sums, for each (host, token), the pages, the occurrences and a fingerprint of the
    vector (the exclusive or of a hash of page and count); partial sums meet in one
    aggregate, so a host with a third of all pages is a row per token and task.
-2. The template of a host is a list of token hashes, bounded by what a page can hold.
-3. Pages join their host's template (broadcast if Spark finds it small, else a join that splits
-   skewed hosts) and are cut into slots in one pass.
-
-The slots of ``main``, or of the ``article`` elements if these hold half of the text, are the result; else
-those of the body that are not mostly links, without template text. Elements of navigation, headers and footers, asides, forms, scripts, styles, and
+2. Pages join their host's candidates; each task counts the pages of each role, and the sums meet in
+   one aggregate again.
+3. Pages join their host's template, lists of hashes bounded by what a page can hold
+   (broadcast if Spark finds it small, else a join that splits skewed hosts), and are cut into slots in one pass.
+
+Tags and class names only choose among the slots that are not template text. Those of ``main``, or of the
+``article`` elements if these hold half of the text, are the result; else those of the body that are not
+mostly links. Elements of navigation, headers and footers, asides, forms, scripts, styles, and
 elements whose class, id or role names an advert, a notice, a menu or comments, do not belong to it;
 a class name never rules out an element that holds the article, main, or most of the text of a
 page without them. If nothing is left, the rules are dropped one by one: links, template text, class names.
@@ -32,8 +36,8 @@ import html as entities
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -194,43 +198,72 @@ def is_block_edge(token: str) -> bool:
     return name in BLOCK or name in RAW
 
 
-def main_text(page: str | None, template: frozenset | set) -> str:
-    """The blocks of the chosen slots, joined by two \n."""
+def roles(walk: Walk, classes: dict[int, int]) -> list[int]:
+    """For each item a hash of its token, the token of its class before it and the slot around it; 0 if it is in no class."""
+    tokens = [token_id(path, token) if token and token != "text:" else None for _, path, token, *_ in walk.items]
+    first, last, latest = {}, {}, {}
+    for t in tokens:
+        if (c := classes.get(t)) is not None:
+            first.setdefault(c, t)
+            last[c] = t
+    spans: list[int] = []  # open classes; a slot is the class and its latest token
+    out = []
+    for t in tokens:
+        if (c := classes.get(t)) is None:
+            out.append(0)
+            continue
+        if t == first[c]:
+            while c in spans:  # the class begins again: what is open in it is over
+                spans.pop()
+            latest.pop(c, None)
+        around = next((d for d in reversed(spans) if d != c), None)
+        out.append((xxhash.xxh64_intdigest(f"{t}:{latest.get(c)}:{around}:{latest.get(around)}") >> 1) or 1)
+        latest[c] = t
+        if t == first[c] and t != last[c]:
+            spans.append(c)
+        elif t == last[c] and c in spans:
+            while spans.pop() != c:
+                pass
+    return out
+
+
+def main_text(page: str | None, classes: dict[int, int], valid: frozenset | set) -> str:
+    """The blocks of the chosen slots, joined by two \n; classes of the host's tokens and their valid roles."""
     if not page:
         return ""
     walk = Walk(page)
     areas = walk.areas()
-    blocks: list[list] = []  # text, area, ruled out by a class name, share of link characters, template text
+    blocks: list[list] = []  # text, area, ruled out by a class name, share of link characters, slot
+    varied: set[int] = set()  # slots with a text that is not template text
     parts: list[str] = []
-    linked = total = 0
-    area, named, constant = "", False, False
+    linked = total = slot = 0
+    area, named = "", False
 
     def close():
         nonlocal parts, linked, total
         text = " ".join("".join(parts).split())
         if text:
-            blocks.append([text, area, named, linked / max(1, total), constant])
+            blocks.append([text, area, named, linked / max(1, total), slot])
         parts, linked, total = [], 0, 0
 
-    for element, path, token, tag, link, text in walk.items:
+    for (element, _, token, tag, link, text), role in zip(walk.items, roles(walk, classes) if valid else repeat(0)):
         if tag:
             if is_block_edge(token):
                 close()
+                slot += role in valid
             continue
         own, tagged, ruled_out = areas[element]
         if tagged:
             continue
-        of_template = bool(token) and not own and token_id(path, token) in template
-        if constant != of_template:
-            close()
-        constant = of_template
+        if token and token != "text:" and role not in valid:
+            varied.add(slot)
         area, named = own, ruled_out
         parts.append(text)
         total += len(text)
         linked += len(text) * link
     close()
-    for names, texts in ((False, False), (False, True), (True, True)):
-        left = [b for b in blocks if (names or not b[2]) and (texts or not b[4])]
+    for names, constant in ((False, False), (False, True), (True, True)):
+        left = [b for b in blocks if (names or not b[2]) and (constant or b[4] in varied)]
         marked = [b for b in left if b[1]]
         size = sum(len(b[0]) for b in left)
         if marked and (any(b[1] == "main" for b in marked) or 2 * sum(len(b[0]) for b in marked) >= size):
@@ -277,11 +310,35 @@ def enough() -> Column:
     return F.greatest(F.lit(2.0), F.col("pages") * SUPPORT)
 
 
-def templates(vectors: DataFrame) -> DataFrame:
-    """of (the host), template (the token hashes of the valid classes)."""
+def candidates(vectors: DataFrame) -> DataFrame:
+    """of (the host), pages, tokens and classes (arrays of equal order) of the classes with enough support."""
     sizes = vectors.where("token = 0").select(F.col("host").alias("of"), F.col("n_pages").alias("pages"))
-    valid = vectors.where("token <> 0").join(sizes, F.col("host") == F.col("of")).where(F.col("n_pages") >= enough())
-    return valid.groupBy("of").agg(F.sort_array(F.collect_set("token")).alias("template"))
+    found = vectors.where("token <> 0").join(sizes, F.col("host") == F.col("of")).where(F.col("n_pages") >= enough())
+    found = found.groupBy("of", "pages").agg(F.sort_array(F.collect_list(F.struct("token", "vector"))).alias("t"))
+    return found.select("of", "pages", F.col("t.token").alias("tokens"), F.col("t.vector").alias("classes"))
+
+
+def templates(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """of (the host), tokens, classes and valid (the roles that enough pages have)."""
+    columns = ["of", "pages", "role", "n"]
+
+    def count(batches):
+        sums: dict = defaultdict(int)
+        for pdf in batches:
+            for name, page, n, tokens, classes in zip(pdf["of"], pdf["html"], pdf["pages"], pdf["tokens"], pdf["classes"]):
+                if isinstance(page, str):
+                    for role in set(roles(Walk(page), dict(zip(tokens.tolist(), classes.tolist())))) - {0}:
+                        sums[name, n, role] += 1
+            if len(sums) > 200_000:
+                yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=columns)
+                sums.clear()
+        if sums:
+            yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=columns)
+
+    joined = pages.join(found, F.col("host") == F.col("of")).select("of", "html", "pages", "tokens", "classes")
+    rows = joined.mapInPandas(count, "of string, pages long, role long, n long")
+    rows = rows.groupBy("of", "pages", "role").agg(F.sum("n").alias("n")).where(F.col("n") >= enough())
+    return found.join(rows.groupBy("of").agg(F.sort_array(F.collect_set("role")).alias("valid")), "of").select("of", "tokens", "classes", "valid")
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
@@ -291,12 +348,14 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", page_id: str
     salt = F.monotonically_increasing_id()
     scratch = C.Scratch(pages.sparkSession, "html-template")
     vectors = scratch.write(occurrence_vectors(own.select("host", "html", salt.alias("salt"))), "vectors")
-    per_host = scratch.write(templates(vectors), "templates")
+    found = scratch.write(candidates(vectors), "candidates")
+    per_host = scratch.write(templates(own.select("host", "html"), found), "templates")
     joined = own.join(per_host, F.col("host") == F.col("of"), "left")
 
     @F.pandas_udf("string")
-    def text_of(pages: pd.Series, tokens: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p if isinstance(p, str) else None, set() if t is None else set(np.asarray(t).tolist())) for p, t in zip(pages, tokens)])
+    def text_of(pages: pd.Series, tokens: pd.Series, classes: pd.Series, valid: pd.Series) -> pd.Series:
+        return pd.Series([main_text(p if isinstance(p, str) else None, {} if t is None else dict(zip(t.tolist(), c.tolist())), set() if t is None else set(v.tolist()))
+                          for p, t, c, v in zip(pages, tokens, classes, valid)])
 
-    out = joined.select("page_id", "url", text_of("html", "template").alias("text"))
+    out = joined.select("page_id", "url", text_of("html", "tokens", "classes", "valid").alias("text"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

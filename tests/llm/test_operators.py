@@ -277,9 +277,32 @@ def test_html_extraction(spark):
     assert html_template.extract(none).collect() == []
 
 
+def html_texts(spark, pages):
+    rows = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in sorted(html_template.extract(rows).collect(), key=lambda r: r["page_id"])]
+
+
+def test_html_template_bounds_slots_inside_the_article(spark):
+    page = "<html><body><article class='post' id='p{0}'><h1>Head {0}</h1><p>Share this story</p><p>Text {0} <b>of</b> us</p>{1}</article></body></html>"
+    texts = html_texts(spark, [(f"https://d.example/{i}", page.format(i, "<p>More</p>" * (i % 3))) for i in range(9)])
+    assert texts == [f"Head {i}\n\nText {i} of us" for i in range(9)]
+
+
+def test_html_roles_tell_order_and_slots():
+    def roles(page):
+        walk = html_template.Walk(page)
+        ids = [html_template.token_id(p, t) for _, p, t, *_ in walk.items]
+        return dict(zip((t for _, _, t, *_ in walk.items), html_template.roles(walk, {t: ids.count(t) for t in ids})))
+
+    page, other = roles("<ul><li>x</li><li>y</li></ul>a<hr>b"), roles("<ul><li>z</li><li>y</li></ul>b<hr>a")
+    assert page["open:ul."] == other["open:ul."] and page["open:li."] != page["close:li"]
+    assert page["text:a"] != other["text:a"] and page["text:b"] != other["text:b"]  # the order of their class differs
+    assert roles("<p>a</p><p>b</p>")["text:b"] != roles("<p>a</p>b<p></p>").get("text:b")  # the slot around it differs
+
+
 def test_html_class_names_never_drop_the_article():
     def text(body):
-        return html_template.main_text(f"<html><body>{body}</body></html>", frozenset())
+        return html_template.main_text(f"<html><body>{body}</body></html>", {}, frozenset())
 
     long = "long words of the page " * 8
     long = long.strip()
@@ -294,11 +317,6 @@ def test_html_class_names_never_drop_the_article():
     assert text(comment) == "I disagree"
 
 
-def html_texts(spark, pages):
-    rows = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
-    return [r["text"] for r in sorted(html_template.extract(rows).collect(), key=lambda r: r["page_id"])]
-
-
 @pytest.mark.parametrize("size", [2, 3, 12])
 def test_html_template_by_share_of_pages_with_tokens(spark, size):
     page = "<div><div>Home About Contact</div><p>Own words {0}</p><div>All rights reserved</div></div>"
