@@ -326,6 +326,26 @@ def test_html_template_by_share_of_pages_with_tokens(spark, size):
     assert html_texts(spark, pages) == [f"Own words {i}" for i in range(size)] + ["", ""] + ["odd"] * (size > 2)
 
 
+def test_secret_candidates_of_any_length_and_characters(spark):
+    letters = "qwertzuiopasdfghjklyxcvb"
+    texts = ['password = "hunter2!" # ok', "db_password: s3c.r3t@x:9$y", f"see {letters} here", 'passphrase = "correct horse battery"', "Server=x;Password=a;b1;Uid=me",
+             '{"api_key":"k.1"}', "secret='it\\'s' end", "Authorization: Bearer ab.cd.ef", "token=0123456789abcdef0123", 'password = ""', "no value: here", "x\ufdd0 pwd=a(b)c, y"]
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = sorted((r["doc_id"], r["position"], r["value"]) for r in secret_forest.candidates(rows).collect())
+    assert found == [(0, 2, "hunter2!"), (1, 1, "s3c.r3t@x:9$y"), (2, 1, letters), (3, 2, "correct horse battery"), (4, 0, "a;b1"), (5, 0, "k.1"), (6, 0, "it\\'s"),
+                     (7, 2, "ab.cd.ef"), (8, 0, "0123456789abcdef0123"), (11, 1, "a(b)c")]
+    long = spark.createDataFrame([(0, "token=" + "a;b.\\" * 50_000 + " \"" + "password='" * 20_000, None)], "doc_id long, text string, source string")
+    assert secret_forest.candidates(long).count() > 0
+
+
+def test_secret_placeholders_are_whole_words(spark):
+    hexa = "0123456789abcdef0123456789abcdef01234567"
+    texts = [f'the latest token="{hexa}"', f'the test token="{hexa}"', f'my_test token="{hexa}"', 'password = "your-password"', "pwd = xxxxxxxx", 'password = "hunter2!"']
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = secret_forest.features(secret_forest.candidates(rows)).withColumn("label", secret_forest.rule_label()).collect()
+    assert [r["label"] for r in sorted(got, key=lambda r: r["doc_id"])] == [1, 0, 0, 0, 0, 1]
+
+
 def test_secret_scan(spark, tmp_path, empty):
     r = random.Random(6)
     rows = []
