@@ -2,8 +2,8 @@
 
 1. *Lexicon*. Of at most ``LABELLED`` labelled documents outside the held-out third, each
    word's document counts in toxic and other documents give smoothed log-odds; the
-   ``LEXICON`` strongest words are the lexicon, the ``FUZZY`` strongest of at least five
-   letters also form the trie.
+   ``LEXICON`` strongest words are the lexicon; all of at least ``MIN_LETTERS`` letters also
+   form the trie.
 2. *Matching*. A word of a text that is not in the lexicon is compiled to a Levenshtein
    automaton of distance 1, which is run along the trie; only the branches that the
    automaton can still accept are followed. One edit leaves
@@ -42,9 +42,8 @@ from tessera.llm import common as C
 
 LABELLED = 16_000
 LEXICON = 4_000
-FUZZY = 400
 MIN_DOCS = 3
-MIN_LETTERS = 5
+MIN_LETTERS = 4
 WINDOW = 6
 MEMORY = 100_000
 THRESHOLD = 0.7
@@ -122,12 +121,12 @@ class Matcher(dict):
     first half, the trie of the reversed terms at the reversed second half.
     """
 
-    def __init__(self, lexicon: dict[str, float], fuzzy: int = FUZZY):
+    def __init__(self, lexicon: dict[str, float]):
         super().__init__()
         self.lexicon = lexicon
-        strong = sorted((t for t in lexicon if len(t) >= MIN_LETTERS), key=lambda t: (-lexicon[t], t))[:fuzzy]
-        self.tries = Trie(strong), Trie(t[::-1] for t in strong)
-        self.starts = {(len(t) + k, t[:len(t) // 2]) for t in strong for k in (-1, 0, 1)}, {(len(t) + k, t[len(t) // 2:][::-1]) for t in strong for k in (-1, 0, 1)}
+        terms = [t for t in lexicon if len(t) >= MIN_LETTERS]
+        self.tries = Trie(terms), Trie(t[::-1] for t in terms)
+        self.starts = {(len(t) + k, t[:len(t) // 2]) for t in terms for k in (-1, 0, 1)}, {(len(t) + k, t[len(t) // 2:][::-1]) for t in terms for k in (-1, 0, 1)}
         self.sizes: tuple[dict, dict] = ({}, {})
         for starts, sizes in zip(self.starts, self.sizes):
             for n, half in sorted(starts):

@@ -208,6 +208,14 @@ def test_levenshtein_trie():
             assert (m[w] is not None) == any(near(w, x) <= 1 for x in terms), w
 
 
+def test_whole_lexicon_is_matched_misspelled():
+    r = random.Random(8)
+    lexicon = {"".join(r.choice("abcdefghij") for _ in range(9)): 3.0 + k for k in range(1000)} | {"scum": 2.0}
+    m = toxicity.Matcher(lexicon)
+    assert all(m["x" + t] and m["x" + t][0] == t for t in lexicon if len(t) == 9)
+    assert m["scvm"] == m["scumm"] == ("scum", 2.0, 1)
+
+
 def test_toxicity_context_and_fit(spark, tmp_path):
     m = toxicity.Matcher({"idiot": 5.0})
     plain, quoted = toxicity.evidence("what an idiot here", m), toxicity.evidence('what "an idiot" here', m)
