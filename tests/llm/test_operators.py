@@ -267,6 +267,27 @@ def test_pieces_parity_and_round_trip(docs):
             assert codec.decode([ids]) == [text]
 
 
+def test_units_that_differ_only_together_are_compared_whole():
+    import sentencepiece
+    other = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
+
+    class Reference:  # differs on texts of several words
+        def encode(self, text):
+            return other.encode(text) + [0] * (" " in text.strip())
+
+    codec = sentencepiece_codec.Codec(PIECE_MODEL)
+    assert [same for _, same, _ in codec.verified(["two words", "single"], Reference())] == [False, True]
+    assert [back for _, _, back in codec.verified(["two words", "single"], Reference())] == [True, True]
+    codec = sentencepiece_codec.Codec(PIECE_MODEL)
+
+    class Lower:  # a normaliser that the reference does not have
+        def normalize_str(self, text):
+            return text.lower()
+
+    codec.normaliser = Lower()
+    assert [(same, back) for _, same, back in codec.verified(["Two", "two"], other)] == [(False, False), (True, True)]
+
+
 PAGE = ("<!DOCTYPE html><html><head><title>T{0}</title><style>p{{}}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/'>Home {0}</a></li></ul></nav>"
         "<div class='ad'>Buy {0}</div><article><h1>Head {0}</h1><p>One &amp; {0}<br>two</p><p>Three  <b>four</b>{0}<div class='comments'><p>Comment {0}</p></div></article>"
         "<aside>Side</aside><footer>&copy; {0}</footer></body></html>")
