@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import (exact_dedup, html_template, jaccard_join, mixing, quality_crf, quality_rules, secret_forest, sentencepiece_codec,
-                         suffix_dedup, toxicity)
+                         source_audit, suffix_dedup, toxicity)
 from tessera.llm.common import table
 
 #: Directory of the public tokenizers' vocabulary files.
@@ -76,6 +76,11 @@ def op10_secret_scan(spark, d):
     return secret_forest.scan(spark, table(spark, d, "documents"))
 
 
+@query
+def op13_source_audit(spark, d):
+    return source_audit.audit(spark, table(spark, d, "documents"))
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(quality_rules.STOP_WORDS)))
 
@@ -147,3 +152,30 @@ ORACLE["op6_mixing"] = f"""
 with {_mixing_sql('documents')}
 select doc_id, size, source_size, target,
   (size * (floor(rate)::bigint + case when coin < rate - floor(rate) then 1 else 0 end))::bigint as taken from mixed"""
+
+ORACLE["op13_source_audit"] = rf"""
+with d as (
+  select row_number() over () as r, translate(coalesce(text, ''), '{source_audit.UPPER}', '{source_audit.LOWER}') as t, coalesce(lang, '') as lang,
+    coalesce(source, '') as source from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(t, '{source_audit.TERM}')) as term from d),
+kept as (select lang, term from w group by lang, term having count(distinct r) >= {source_audit.MIN_DOCS}),
+groups as (select distinct lang, source from d),
+n as (select lang, source, term, count(*) as n from w semi join kept using (lang, term) group by lang, source, term),
+v as (select lang, count(*)::hugeint as v from kept group by lang),
+grid as (
+  select g.lang, g.source, k.term, coalesce(n.n, 0)::hugeint as n, sum(coalesce(n.n, 0)) over (partition by g.lang, g.source)::hugeint as total, v.v
+  from groups g join kept k using (lang) join v using (lang) left join n on n.lang = g.lang and n.source = g.source and n.term = k.term),
+p as (select lang, source, term, n, (1 + ({source_audit.SCALE}::hugeint * (n + {source_audit.ADD})) // (total + {source_audit.ADD} * v))::bigint as p from grid),
+sums as (select lang, term, sum(n)::hugeint as n from grid group by lang, term),
+q as (
+  select lang, term, (1 + ({source_audit.SCALE}::hugeint * (n + {source_audit.ADD})) // (sum(n) over (partition by lang)::hugeint + {source_audit.ADD} * v))::bigint as q
+  from sums join v using (lang)),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(x.value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source left join (
+    select a.lang, a.source, b.source as other, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term group by all) x
+    on x.lang = a.lang and x.source = a.source and x.other = b.source),
+terms as (select p.lang, p.source, 'term' as part, p.term as item, p - q as value from p join q using (lang, term) where p.n > 0 and p > q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (select * from pairs union all select * from terms) u)
+select * from ranked where part = 'pair' or rank <= {source_audit.TOP}"""
