@@ -6,8 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import (exact_dedup, html_template, jaccard_join, mixing, quality_crf, quality_rules, secret_forest, sentencepiece_codec,
-                         source_audit, suffix_dedup, toxicity)
+from tessera.llm import (exact_dedup, html_template, jaccard_join, license_rules, mixing, quality_crf, quality_rules, secret_forest, sentencepiece_codec,
+                         source_audit, spelling_variants, suffix_dedup, toxicity)
 from tessera.llm.common import table
 
 #: Directory of the public tokenizers' vocabulary files.
@@ -76,6 +76,17 @@ def op10_secret_scan(spark, d):
     return secret_forest.scan(spark, table(spark, d, "documents"))
 
 
+@query
+def op11_license_scan(spark, d):
+    found = license_rules.scan(table(spark, d, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query
+def op12_spelling_variants(spark, d):
+    return spelling_variants.variants(spark, table(spark, d, "documents"))
+
+
 @query
 def op13_source_audit(spark, d):
     return source_audit.audit(spark, table(spark, d, "documents"))
@@ -179,3 +190,69 @@ terms as (select p.lang, p.source, 'term' as part, p.term as item, p - q as valu
 ranked as (
   select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (select * from pairs union all select * from terms) u)
 select * from ranked where part = 'pair' or rank <= {source_audit.TOP}"""
+
+ORACLE["op12_spelling_variants"] = rf"""
+with recursive crc_table as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+runs as (select coalesce(cast(doc_id as varchar), '') as id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as run from documents),
+lowered as (select id, translate(run, '{spelling_variants.UPPER}', '{spelling_variants.LOWER}') as run, count(*) as k from runs group by 1, 2),
+bytes as (
+  select *, list_transform(range(length(hex(id || ':' || run)) // 2), lambda i: ('0x' || substr(hex(id || ':' || run), 2 * i + 1, 2))::bigint) as b
+  from lowered where length(run) >= {spelling_variants.MIN_LETTERS}),
+hashed as (
+  select run, k, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as h from bytes, crc_table),
+words as (
+  select case when h % {spelling_variants.DAMAGED} = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, sum(k)::bigint as n
+  from hashed group by 1),
+vocab as materialized (select word, n from words where length(word) >= {spelling_variants.MIN_LETTERS} and n >= {spelling_variants.MIN_COUNT}),
+cut as materialized (
+  select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from vocab) u),
+near as (
+  select a.word, b.word as other, b.n as m from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select c.word, v.word, v.n from cut c join vocab v on c.rest = v.word
+  union select v.word, c.word, c.n from cut c join vocab v on c.rest = v.word),
+best as (select word, count(*) as n_near, first(other order by m desc, other) as top, max(m) as m from near group by word),
+formed as materialized (
+  select v.word, v.n, coalesce(n_near, 0)::bigint as n_near, case when m >= {spelling_variants.RATIO} * v.n then top end as form,
+    case when m >= {spelling_variants.RATIO} * v.n then m end as form_n from vocab v left join best using (word)),
+chain as (
+  select word, word as root, form as next from formed
+  union all select chain.word, formed.word, formed.form from chain join formed on chain.next = formed.word)
+select f.word, f.form, c.root, f.n, f.n_near, f.form_n from formed f join chain c on c.word = f.word and c.next is null"""
+
+
+def _license_sql() -> str:
+    def text(x):
+        return "'" + x.replace("'", "''") + "'"
+
+    rules = ", ".join(f"({k}, {text(r.label)}, {text(license_rules.keyword_form(r.keyword))}, {text(r.pattern)}, {r.priority}, {r.strength}::double, {r.base})"
+                      for k, r in enumerate(license_rules.RULES))
+    reach = " or ".join(f"(priority >= {k} and coalesce(max(case when priority = {k} then start + length end) over w >= start + length, false))"
+                        for k in range(license_rules.LEVELS))
+    return rf"""
+with rules(rule, label, keyword, pattern, priority, strength, base) as (values {rules}),
+folded as (
+  select doc_id, row_number() over () as r,
+    trim(regexp_replace(translate(coalesce(text, ''), '{license_rules.UPPER}', '{license_rules.LOWER}'), '{license_rules.SEPARATORS}', '  ', 'g'), ' ') as t from documents),
+docs as materialized (select doc_id, r, case when t = '' then '' else ' ' || t || ' ' end as t from folded),
+hits as (
+  select r, rules.*, string_split_regex(t, pattern) as parts, regexp_extract_all(t, pattern) as found from docs join rules on contains(t, keyword)
+  where regexp_matches(t, pattern)),
+counted as (
+  select r, rule, label, priority, strength, base, i, (length(parts[i]) - length(replace(parts[i], ' ', ''))) // 2 as gap,
+    (length(found[i]) - length(replace(found[i], ' ', ''))) // 2 as length
+  from (select *, unnest(range(1, len(found) + 1)) as i from hits) u),
+places as (select *, sum(gap + length) over (partition by r, rule order by i) - length as start from counted),
+kept as (
+  select *, not ({reach}) as kept from places
+  window w as (partition by r order by start, start + length desc, rule rows between unbounded preceding and 1 preceding)),
+found as (
+  select r, count_if(base) as n_base, min(case when base then start end) as first_word, max(case when base then start end) as last_word,
+    string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) filter (base or kept) as labels,
+    max(strength) filter (base or kept) as score from kept group by r)
+select doc_id, ((length(t) - length(replace(t, ' ', ''))) // 2)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word,
+  last_word::bigint as last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score
+from docs left join found using (r)"""
+
+
+ORACLE["op11_license_scan"] = _license_sql()
