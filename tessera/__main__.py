@@ -76,7 +76,7 @@ def main(argv: list[str] | None = None) -> int:
         from tessera.operators import rewards as R
         scored = R.score(spark.read.parquet(args.source), args.completion, args.answer, dialect=args.dialect)
         if args.advantage_key:
-            scored = R.group_advantage(scored, args.advantage_key, "total", materialize=True)
+            scored = R.group_advantage(scored, args.advantage_key, "total")
         scored.write.mode("overwrite").parquet(args.out)
         result = {"written": args.out}
     elif args.cmd == "judge-prompts":

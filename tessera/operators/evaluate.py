@@ -40,14 +40,15 @@ def answer_matches(pred, truth) -> Column:
 
 
 def evaluate_rows(df: DataFrame, output: str = "output", truth: str = "ground_truth",
-                  tags: Tags = DEFAULT_TAGS) -> DataFrame:
+                  tags: Tags = DEFAULT_TAGS, solution: str | None = None) -> DataFrame:
     """Per-row format, answer, reasoning presence and reasoning length.
 
     Intermediates (reasoning, solution, normalized forms, numeric residues)
-    are projected in stages so each is computed once per row.
+    are projected in stages so each is computed once per row. ``solution`` names a column that
+    holds the extracted solution already (``rewards.score(..., solution_out=...)``).
     """
     t = F.col(truth)
-    s1 = df.withColumns({"__t_r": extract_reasoning(output, tags), "__t_s": extract_solution(output, tags)})
+    s1 = df.withColumns({"__t_r": extract_reasoning(output, tags), "__t_s": F.col(solution) if solution else extract_solution(output, tags)})
     s1b = s1.withColumns({"__t_pb": normalize_base(F.col("__t_s")), "__t_tb": normalize_base(t)})
     s2 = s1b.withColumns({"__t_pn": collapse_whitespace(F.col("__t_pb")),
                           "__t_tn": collapse_whitespace(F.col("__t_tb")),
@@ -89,17 +90,24 @@ def metrics(rows: DataFrame, reward: str | None = None, by: Sequence[str] = ())
 
 def pair_outputs_truths(outputs: DataFrame, truths: DataFrame, key: str = "id",
                         strict: bool = True) -> DataFrame:
-    """Pair outputs with truths on a key; strict mode raises unless each key is once on both sides.
+    """Pair outputs with truths on a key.
 
-    The check counts the keys of both sides (one aggregate) before the join.
+    Strict mode raises, when the query runs, unless each key is once on both sides. Both sides go through one aggregate on the key,
+    so no job runs while the query is built and each side is read once.
     """
-    if strict:
-        sides = outputs.select(key, F.lit(1).alias("_o"), F.lit(0).alias("_t")).unionAll(
-            truths.select(key, F.lit(0).alias("_o"), F.lit(1).alias("_t")))
-        counts = sides.groupBy(key).agg(F.sum("_o").alias("_o"), F.sum("_t").alias("_t"))
-        if not counts.where("_o <> 1 or _t <> 1").isEmpty():
-            raise ValueError("Outputs and ground truths must have same length")
-    return outputs.join(truths, on=key, how="inner" if strict else "full_outer")
+    if not strict:
+        return outputs.join(truths, on=key, how="full_outer")
+    sides = [(outputs, "_o", [c for c in outputs.columns if c != key]), (truths, "_t", [c for c in truths.columns if c != key])]
+    rows, aggs, out = [], [], []
+    for df, side, names in sides:
+        rows.append(df.select(key, F.lit(side).alias("_side"), *[F.col(c).alias(f"{side}{k}") for k, c in enumerate(names)]))
+        aggs.append(F.count_if(F.col("_side") == side).alias(f"{side}_n"))
+        aggs += [F.first(f"{side}{k}", ignorenulls=True).alias(f"{side}{k}") for k in range(len(names))]
+        out += [F.col(f"{side}{k}").alias(c) for k, c in enumerate(names)]
+    paired = rows[0].unionByName(rows[1], allowMissingColumns=True).groupBy(key).agg(*aggs)
+    odd = F.col(key).isNull() | (F.col("_o_n") != 1) | (F.col("_t_n") != 1)
+    raised = F.raise_error(F.lit("Outputs and ground truths must have same length")).cast("boolean")
+    return paired.where(F.when(odd, raised).otherwise(True)).select(key, *out)
 
 
 # --- fixed values: metric log names and summary text ------------------------------

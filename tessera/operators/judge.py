@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.prompts import RUBRIC_WEIGHTS, judge_prompt
 from tessera.functions.text import after_last_think, brace_slice, col, fence_body, strip
+from tessera.operators.keys import may_hold, membership_map, text_digest
 from tessera.operators.messages import message, render
 from tessera.functions.tags import DEFAULT_TAGS, Tags
 
@@ -70,6 +71,32 @@ def with_ground_truth(results: DataFrame, lookup: DataFrame, text: str = "proble
              .drop("__t_h", "__t_t", "__t_v"))
 
 
+def late_ground_truth(results: DataFrame, exercises: DataFrame, text: str = "problem", key: str = "exercise_text",
+                      value: str = "solution_text", order: str = "line_no", out: str = "ground_truth",
+                      wanted: DataFrame | None = None, digest=text_digest) -> DataFrame:
+    """S4 + J1: last-wins lookup by exact text that groups and joins on a 128-bit digest; texts come late.
+
+    Exercises that no result asks for are left out before any shuffle, by a membership map of fixed size of the results' digests
+    (``wanted``, one text column, may name a cheaper superset of the results' texts). The last line of each digest is found from digests and orders
+    alone; only these lines' texts and values are fetched. A result's text is compared with the fetched one: two
+    texts with one digest raise when the query runs, they are never paired.
+    """
+    asked = results.select(text) if wanted is None else wanted
+    bits = membership_map(asked.select(digest(F.col(asked.columns[0]))[0].alias("h")))
+    names = ["__t_h", *[f"__t_h{i}" for i in range(1, len(digest(F.col(text))))]]
+
+    def keyed(df: DataFrame, c: str) -> DataFrame:
+        return df.withColumns(dict(zip(names, digest(F.col(c)))))
+
+    lines = keyed(exercises.select(F.col(key).alias("__t_t"), F.col(value).alias("__t_v"), F.col(order).alias("__t_o")), "__t_t").where(may_hold(bits, F.col(names[0])))
+    last = lines.groupBy(*names).agg(F.max("__t_o").alias("__t_o"))
+    late = lines.join(last, [*names, "__t_o"]).withColumn("__t_is", F.lit(True))
+    joined = keyed(results, text).join(late, names, "left")
+    differ = F.col("__t_is") & (F.col(text) != F.col("__t_t"))
+    checked = F.when(differ, F.raise_error(F.lit("two texts share a digest; pass a longer digest")).cast("string")).otherwise(F.col("__t_v"))
+    return joined.withColumn(out, F.coalesce(checked, F.lit(GT_NOT_FOUND))).drop(*names, "__t_t", "__t_v", "__t_o", "__t_is")
+
+
 # ---- prompts (D1, D2) -----------------------------------------------------------
 
 def judge_prompts(pairs: DataFrame, problem: str = "problem", ground_truth: str = "ground_truth",

@@ -68,9 +68,14 @@ LENGTH_FUNCTIONS: dict[str, Callable[[Column], Column]] = {
 
 def with_length(df: DataFrame, text: str = "text", out: str = "N",
                 length_fn: Callable | str = "regex_tokens") -> DataFrame:
-    """Add a length column computed from ``text``."""
+    """Add a length column computed from ``text``, once per row.
+
+    The length comes from a generator of one element. Filters on it stay above, so they read the computed
+    column instead of tokenizing again; filters and pruning of the other columns still go below, to the scan.
+    """
     fn = LENGTH_FUNCTIONS[length_fn] if isinstance(length_fn, str) else length_fn
-    return df.withColumn(out, fn(F.col(text)).cast("int"))
+    kept = [F.col(f"`{c}`") for c in df.columns if c != out]
+    return df.select(*kept, F.explode(F.array(fn(F.col(text)).cast("int"))).alias(out))
 
 
 def numeric_answer_filter(df: DataFrame, answer: str = "expected_answer") -> DataFrame:

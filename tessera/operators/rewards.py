@@ -12,8 +12,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import ArrayType
 
 from tessera.functions.numeric import py_float
@@ -273,9 +275,15 @@ def score(df: DataFrame, completion: str = "completion", answer: str = "answer",
           rewards: Sequence[str] = REWARD_ORDER, dialect: str = "package",
           tags: Tags = DEFAULT_TAGS, total: str | None = "total",
           prepend_reasoning_start: bool = False, prefix: str = "reward_",
-          user_rewards: dict[str, Callable] | None = None) -> DataFrame:
+          user_rewards: dict[str, Callable] | None = None, prompt: str | None = None,
+          group: str | Sequence[str] | None = None, extra: Sequence[str] = (),
+          solution_out: str | None = None) -> DataFrame:
     """Add one column per enabled reward and their row-wise sum.
 
+    ``user_rewards`` get the prompts (column ``prompt``) and the ``extra`` columns as keyword arguments; with
+    ``group`` a prompt's completions come in one call (:func:`user_rewards_by_group`), else a batch does.
+    ``solution_out`` keeps the extracted solution as a column.
+
     ``completion`` may be text or the reference's message list (the first
     message's content is scored).
 
@@ -299,11 +307,17 @@ def score(df: DataFrame, completion: str = "completion", answer: str = "answer",
     out_cols = {}
     for r in rewards:
         out_cols[prefix + r] = builders[r](F.col(completion), F.col(answer), tags, ctx)
-    for name, fn in (user_rewards or {}).items():
-        out_cols[prefix + name] = user_reward_column(fn, completion, answer)
+    own = {prefix + name: fn for name, fn in (user_rewards or {}).items()}
+    if not group:
+        out_cols |= {name: user_reward_column(fn, completion, answer, prompt, extra) for name, fn in own.items()}
+    if solution_out:
+        out_cols[solution_out] = ctx["sol"] if "sol" in ctx else solution(completion, tags)
     res = staged.withColumns(out_cols)
+    if group and own:
+        res = user_rewards_by_group(res, own, group, completion, answer, prompt, extra)
     if total:
-        names = list(out_cols)
+        names = [n for n in (*out_cols, *own) if n != solution_out]
+        names = list(dict.fromkeys(names))
         tot = F.col(names[0])
         for n in names[1:]:
             tot = tot + F.col(n)
@@ -311,23 +325,74 @@ def score(df: DataFrame, completion: str = "completion", answer: str = "answer",
     return res.drop(*tmp)
 
 
+def _as_messages(values: Sequence, role: str) -> list[list[dict]]:
+    """Texts as one message of ``role``; message lists as they are."""
+    return [[{"role": m["role"], "content": m["content"]} for m in v] if isinstance(v, (list, tuple)) or hasattr(v, "dtype")
+            else [{"role": role, "content": v}] for v in values]
+
+
+def _call_reward(fn: Callable, prompts: Sequence, completions: Sequence, answers: Sequence, kwargs: dict) -> list:
+    values = fn(prompts=_as_messages(prompts, "user"), completions=_as_messages(completions, "assistant"), answer=list(answers), **kwargs)
+    if len(values) != len(answers):
+        raise ValueError(f"a reward function returned {len(values)} values for {len(answers)} completions")
+    return [None if v is None else float(v) for v in values]
+
+
 def user_reward_column(fn: Callable, completion: str = "completion", answer: str = "answer",
-                       prompt: str | None = None) -> Column:
-    """Wrap ``fn(prompts, completions, answer, **kw) -> list[float]`` as an Arrow UDF.
+                       prompt: str | None = None, extra: Sequence[str] = ()) -> Column:
+    """Wrap ``fn(prompts, completions, answer, **kwargs) -> list[float]`` as an Arrow UDF.
 
-    Completions are handed over in the reference's message-list shape
-    (``[[{"role": "assistant", "content": text}], ...]``), one Arrow batch
+    Prompts and completions are handed over in the reference's message-list shape
+    (``[[{"role": "assistant", "content": text}], ...]``), the ``extra`` columns as lists under their names, one Arrow batch
     per call.
     """
     @F.pandas_udf("double")
-    def _udf(comp: pd.Series, ans: pd.Series, pr: pd.Series) -> pd.Series:
-        completions = [[{"role": "assistant", "content": c}] for c in comp.tolist()]
-        prompts = [[{"role": "user", "content": p}] for p in pr.tolist()]
-        vals = fn(prompts, completions, ans.tolist())
-        return pd.Series(vals, dtype="float64")
+    def _udf(*columns: pd.Series) -> pd.Series:
+        comp, ans, pr, *more = (c.astype(object).where(c.notna(), None).tolist() for c in columns)
+        return pd.Series(_call_reward(fn, pr, comp, ans, dict(zip(extra, more))), dtype="float64")
 
     pcol = F.col(prompt) if prompt else F.lit(None).cast("string")
-    return _udf(F.col(completion), F.col(answer), pcol)
+    return _udf(F.col(completion), F.col(answer), pcol, *[F.col(c) for c in extra])
+
+
+#: completions of one prompt that one call gets at most; a prompt with more of them is split
+GROUP_ROWS = 4096
+
+
+def user_rewards_by_group(df: DataFrame, rewards: dict[str, Callable], group: str | Sequence[str] = "prompt_id",
+                          completion: str = "completion", answer: str = "answer", prompt: str | None = None,
+                          extra: Sequence[str] = (), group_rows: int = GROUP_ROWS) -> DataFrame:
+    """User rewards whose calls get a prompt's completions together, as a trainer hands them over.
+
+    A prompt with more than ``group_rows`` completions is split by a hash of the row into as many calls as it needs,
+    so no group outgrows a task. Its size comes from one count per prompt (map-side combined); only prompts that are split join back.
+    """
+    keys = [group] if isinstance(group, str) else list(group)
+    clash = [n for n in (*rewards, "_salt", "_n") if n in df.columns]
+    if clash:
+        raise ValueError(f"column(s) exist already: {clash}")
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group_rows)
+    renamed = large.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    calls = F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(group_rows))
+    row = F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t])
+    salted = df.join(renamed, same, "left").withColumn("_salt", F.pmod(row, calls)).select(*df.columns, "_salt")
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in rewards]])
+
+    def call(table: pa.Table) -> pa.Table:
+        def values(name):
+            return table.column(name).to_pylist()
+
+        prompts = values(prompt) if prompt else [None] * table.num_rows
+        kwargs = {c: values(c) for c in extra}
+        out = table.drop_columns(["_salt"])
+        for name, fn in rewards.items():
+            out = out.append_column(name, pa.array(_call_reward(fn, prompts, values(completion), values(answer), kwargs), pa.float64()))
+        return out
+
+    return salted.groupBy(*keys, "_salt").applyInArrow(call, schema)
 
 
 # ---- pairing completions with prompts (J3) ---------------------------------------
@@ -364,30 +429,30 @@ def group_stats(df: DataFrame, key: str | Sequence[str] = "prompt_id", reward: s
 
 
 def group_advantage(df: DataFrame, key: str | Sequence[str] = "prompt_id", reward: str = "total",
-                    out: str = "advantage", ddof: int = 0, materialize: bool = False,
-                    eps: float = 0.0) -> DataFrame:
+                    out: str = "advantage", ddof: int = 0, materialize: bool = False, eps: float = 0.0) -> DataFrame:
     """Group-relative advantage ``(r - mean) / std`` per prompt; std 0 -> 0.
 
-    Statistics come from a partial (map-side combined) aggregate joined back
-    on the group key, not from a window: a window would move every row of a
-    hot prompt into one task, while the join's big side is split by AQE's
-    skew handling and the stats side is one row per group.
+    Lazy, and the input is read once: its rows are dealt out by (prompt, input partition) in one exchange, which all three uses share.
+    Small prompts stay together, a hot prompt is split into as many parts as input partitions hold it. Statistics are
+    aggregated from the parts (one row a part, then one a prompt) and go back to the parts, so no task gets all rows of a prompt.
 
     ``eps`` is added to the standard deviation (some GRPO trainers use a
     small constant); with the default 0 a zero spread gives advantage 0.
-
-    ``materialize=True`` first checkpoints ``df`` into ``spark.checkpoint.dir``
-    (lineage cut, survives executor loss) so both branches read the written
-    rows instead of recomputing an expensive input such as scoring.
+    ``materialize=True`` cuts the input's lineage with a checkpoint in the shared folder first, when the query runs.
     """
     if materialize:
         from tessera.session import checkpoint_dir
         checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
+        df = df.checkpoint(eager=False)
     keys = [key] if isinstance(key, str) else list(key)
     std = F.stddev_pop(reward) if ddof == 0 else F.stddev_samp(reward)
-    stats = df.groupBy(*keys).agg(F.avg(reward).alias("__t_mean"), std.alias("__t_std"))
-    joined = df.join(stats, on=keys, how="left")
+    # a struct is never null: joins on it add no filter below the exchange, and a null key is a group like any other
+    rows = df.withColumns({"__t_key": F.struct(*keys), "__t_part": F.spark_partition_id()}).repartition("__t_key", "__t_part")
+    # the uses share the exchange only if they read the same columns: a sum over all of them, which no filter can do without, keeps them
+    whole = F.bit_xor(F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t])).alias("__t_all")
+    stats = rows.groupBy("__t_key").agg(F.avg(reward).alias("__t_mean"), std.alias("__t_std"), whole).where("__t_all is not null").drop("__t_all")
+    parts = rows.groupBy("__t_key", "__t_part").agg(whole).where("__t_all is not null").drop("__t_all").join(stats, on="__t_key")
+    joined = rows.join(parts, on=["__t_key", "__t_part"], how="left").drop("__t_key", "__t_part")
     adv = F.when(F.col(reward).isNull(), F.lit(None).cast("double")) \
            .when(F.coalesce(F.col("__t_std"), F.lit(0.0)) == 0, F.lit(0.0)) \
            .otherwise((F.col(reward) - F.col("__t_mean")) / (F.col("__t_std") + F.lit(eps)))

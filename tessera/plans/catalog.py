@@ -7,6 +7,7 @@ flat (no arrays or structs) and aliased identically on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ from tessera.operators import messages as M
 from tessera.operators import rewards as R
 from tessera.operators import split as S
 from tessera.plans.fixtures import fixture, table
+from tessera.session import checkpoint_dir
+from tessera.sources import io as IO
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +37,7 @@ MAX_SEQ = 2048
 TRUNCATE_RATIO = 0.5
 SAMPLE_EVERY = 7
 PLAN = dict(batch_size=1, grad_accum=4, epochs=15)
+MODELS = ("base", "tuned", "third", "fourth")
 REPORT_NAMES, GENERATED = ("base-model", "tuned-model", "judge-model"), "2025-01-01 00:00:00"
 # Values derived from a standard deviation are reported as DECIMAL(24,9).
 DEC = "decimal(24,9)"
@@ -249,7 +253,7 @@ def reward_group_stats(spark, d):
 def group_advantage(spark, d):
     """Group-relative advantage per completion."""
     s = R.score(_completions(spark, d)).select("prompt_id", "gen_id", "total")
-    a = R.group_advantage(s, "prompt_id", "total", materialize=True)
+    a = R.group_advantage(s, "prompt_id", "total")
     return a.select("prompt_id", "gen_id", "total", F.col("advantage").cast(DEC).alias("advantage"))
 
 
@@ -280,8 +284,8 @@ def debug_sample(spark, d):
 # ---- evaluation ------------------------------------------------------------------
 
 def _eval_rows(spark, d) -> DataFrame:
-    s = R.score(_completions(spark, d))
-    return E.evaluate_rows(s, output="completion", truth="answer", tags=TG)
+    s = R.score(_completions(spark, d), solution_out="_solution")
+    return E.evaluate_rows(s, output="completion", truth="answer", tags=TG, solution="_solution").drop("_solution")
 
 
 @query
@@ -343,10 +347,9 @@ def single_summary(spark, d):
 # ---- judge --------------------------------------------------------------------------
 
 def _with_truth(spark, d) -> DataFrame:
-    ex = fixture(spark, d, "exercises")
-    lookup = J.last_wins_lookup(ex, "exercise_text", "solution_text", "doc_id")
     pairs = _pairs(spark, d).select("problem_id", "problem", "base_response", "sft_response")
-    return J.with_ground_truth(pairs, lookup, "problem")
+    asked = fixture(spark, d, "responses").select("problem")
+    return J.late_ground_truth(pairs, fixture(spark, d, "exercises"), "problem", order="doc_id", wanted=asked)
 
 
 @query
@@ -569,3 +572,122 @@ def length_stats_by_lang(spark, d):
     n = L.with_length(table(spark, d, "documents").select("lang", "text"), "text", "N")
     return L.length_stats(n, "N", by=["lang"]).select(
         "lang", "min_len", "max_len", "mean_len", F.col("median_len").cast("double").alias("median_len"))
+
+
+# ---- any number of models ------------------------------------------------------------
+
+def _responses_4(spark, d) -> DataFrame:
+    return C.with_format_check(fixture(spark, d, "responses_4"), "response", tags=TG)
+
+
+@query
+def pair_matrix(spark, d):
+    """J2 + A5 + C3 over four models: outcome counts, accuracies and finding of each two."""
+    return C.pair_matrix(_responses_4(spark, d), MODELS)
+
+
+@query
+def pair_outcomes_4(spark, d):
+    """J2 + C2 over four models: outcome per problem and two models that both answer it."""
+    return C.pair_outcomes(_responses_4(spark, d), MODELS)
+
+
+# ---- user rewards, message lists, answer hooks, pairing --------------------------------
+
+def brevity(prompts, completions, answer, budget, **kwargs):
+    """A user reward: short completions (``budget`` characters) that hold the answer and do not repeat the prompt."""
+    out = []
+    for p, c, a, b in zip(prompts, completions, answer, budget):
+        text = c[0]["content"]
+        short = 1.0 if len(text) <= b else 0.0
+        out.append(short + (0.5 if a is not None and a in text else 0.0) - (0.25 if p[0]["content"] in text else 0.0))
+    return out
+
+
+@query
+def user_reward(spark, d):
+    """A user reward over prompts, completions, answers and a further column, each prompt's completions in one call."""
+    c = _completions(spark, d).withColumns({"prompt": F.col("prompt_id").cast("string"), "budget": F.col("gen_id") % 10 * 20 + 40})
+    s = R.score(c, rewards=["format_approx"], user_rewards={"brevity": brevity}, prompt="prompt", group="prompt_id", extra=["budget"])
+    return s.select("prompt_id", "gen_id", "reward_brevity", "total")
+
+
+@query
+def message_rewards(spark, d):
+    """F27 + R1-R4: completions as message lists, some empty; the first message counts."""
+    m = F.struct(F.lit("assistant").alias("role"), F.col("completion").alias("content"))
+    more = F.struct(F.lit("user").alias("role"), F.lit("<SOLUTION>0</SOLUTION>").alias("content"))
+    c = _completions(spark, d).withColumn("completion", F.when(F.col("gen_id") % 4 == 3, F.array().cast("array<struct<role:string,content:string>>"))
+                                          .otherwise(F.array(m, more)))
+    s = R.score(c)
+    return s.select("prompt_id", "gen_id", "reward_format_exact", "reward_format_approx", "reward_answer", "reward_numbers")
+
+
+@query
+def hash_answers(spark, d):
+    """P9 + P9b: the solution column renamed, the answer after the first ``####``."""
+    i = F.col("item_id")
+    marked = F.concat(F.lit("Steps of "), i, F.lit(" ####  "), i, F.when(i % 3 == 0, F.lit(" #### tail")).otherwise(F.lit(" ")))
+    b = table(spark, d, "benchmark").select("item_id", F.when(i % 5 == 0, F.lit("no marker")).otherwise(marked).alias("solution"))
+    return M.rename_solution_to_answer(b).select("item_id", TX.answer_hook("answer", "####").alias("answer"))
+
+
+@query
+def output_truth_pairs(spark, d):
+    """Outputs and truths paired strictly on the key."""
+    outputs = fixture(spark, d, "responses").where("model = 'base'").select("problem_id", "response")
+    truths = table(spark, d, "documents").select(F.col("doc_id").alias("problem_id"), F.col("n_chars").cast("string").alias("truth"))
+    return E.pair_outputs_truths(outputs, truths, "problem_id")
+
+
+# ---- written and read back --------------------------------------------------------------
+
+def _folder(spark, name: str) -> str:
+    """A new folder under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+
+
+@query
+def exercise_lines(spark, d):
+    """S3: exercises as JSON Lines in four files; each row with its line number in its file."""
+    path = _folder(spark, "exercises")
+    ex = fixture(spark, d, "exercises").withColumn("part", F.col("doc_id") % 4)
+    ex.repartition("part").sortWithinPartitions("part", "doc_id").write.partitionBy("part").json(path)
+    return IO.read_exercise_lines(spark, path).select("exercise_number", "exercise_text", "solution_text", "line_no")
+
+
+@query
+def comparison_roundtrip(spark, d):
+    """S6 + S5: comparison results written, and read back as one row per problem and model."""
+    path = _folder(spark, "comparison")
+    pairs = _pairs(spark, d)
+    IO.write_comparison(pairs, C.pair_summary(pairs), path, *REPORT_NAMES[:2], timestamp=GENERATED)
+    back = IO.read_comparison(spark, path)
+    return back.select("problem_id", "problem", "model", "model_name", "response", F.col("format_check.format_ok").alias("format_ok"))
+
+
+@query
+def single_model_roundtrip(spark, d):
+    """One model's results written and read back."""
+    path = _folder(spark, "single")
+    own = _responses(spark, d).where("model = 'tuned'")
+    IO.write_single_model(own, C.single_summary(own), path, REPORT_NAMES[1], "tuned", timestamp=GENERATED)
+    back = IO.read_single_model(spark, path)
+    return back.select("problem_id", "problem", "response", F.col("format_check.format_ok").alias("format_ok"), "model_name", "model_type")
+
+
+@query
+def judged_csv_roundtrip(spark, d):
+    """The judged table as quoted CSV with multi-line texts, read back by many tasks."""
+    path = _folder(spark, "judged-csv")
+    judged = _judged(spark, d)
+    IO.write_judged_csv(judged, path)
+    return IO.read_judged_csv(spark, path, judged.schema)
+
+
+@query
+def judged_table_roundtrip(spark, d):
+    """The judged table on four criteria, stored and read back."""
+    path = _folder(spark, "judged")
+    IO.write_judged_table(_judged(spark, d, "4"), path)
+    return spark.read.parquet(path)

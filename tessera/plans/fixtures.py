@@ -87,6 +87,22 @@ select doc_id as problem_id, model, text as problem,
 from (select doc_id, text, n_chars, 'base' as model, 0 as m from @documents@
       union all
       select doc_id, text, n_chars, 'tuned' as model, 1 as m from @documents@) dm""",
+    # four models; the third and fourth answer some problems only
+    "responses_4": """
+select doc_id as problem_id, model, text as problem,
+  case (doc_id*3+m*2)%7
+    when 0 then 'r<end_working_out><SOLUTION>'||n_chars||'</SOLUTION>'
+    when 1 then 'plain text only'
+    when 2 then '<SOLUTION>'||n_chars||'</SOLUTION>'
+    when 3 then cast(null as varchar(20))
+    else '<start_working_out>r<end_working_out><SOLUTION>about '||n_chars||'!</SOLUTION>' end as response
+from (select doc_id, text, n_chars, 'base' as model, 0 as m from @documents@
+      union all
+      select doc_id, text, n_chars, 'tuned' as model, 1 as m from @documents@
+      union all
+      select doc_id, text, n_chars, 'third' as model, 2 as m from @documents@ where doc_id%5 <> 0
+      union all
+      select doc_id, text, n_chars, 'fourth' as model, 3 as m from @documents@ where doc_id%3 = 1) dm""",
     # replies for the four criteria: whole, one criterion missing, one total missing, unparsable
     "verdicts_4": """
 select doc_id as problem_id,

@@ -1,7 +1,7 @@
 """Flagship: score every completion with the four package rewards, sum them,
 and add the group-relative advantage over each prompt's generations.
 
-Scoring is checkpointed once and read twice (statistics, join back)."""
+Scoring runs once; statistics and rows share one exchange of the scores."""
 
 from __future__ import annotations
 
@@ -13,8 +13,7 @@ from tessera.plans.fixtures import fixture
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = R.score(fixture(spark, sf_dir, "completions"), rewards=R.enabled_rewards())
-    # score once: the scores, without the texts, are checkpointed (shared checkpoint folder, lineage cut)
-    # and read by both the per-prompt statistics and the join back
+    # the scores move once, without the texts
     narrow = scored.select("prompt_id", "gen_id", "answer", "reward_format_exact", "reward_format_approx",
                            "reward_answer", "reward_numbers", "total")
-    return R.group_advantage(narrow, "prompt_id", "total", materialize=True)
+    return R.group_advantage(narrow, "prompt_id", "total")

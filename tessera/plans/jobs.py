@@ -79,8 +79,7 @@ def judge_prompts_job(spark: SparkSession, comparison: str, exercises: str, out:
                       rubric: str = "3", as_chat: bool = False, tags: Tags = DEFAULT_TAGS) -> DataFrame:
     """Comparison JSON + exercises JSONL -> judge prompts (one row per problem)."""
     pairs = C.pair_models(IO.read_comparison(spark, comparison), value_cols=("response",))
-    lookup = J.last_wins_lookup(IO.read_exercises(spark, exercises), "exercise_text", "solution_text", "line_no")
-    with_gt = J.with_ground_truth(pairs, lookup, "problem")
+    with_gt = J.late_ground_truth(pairs, IO.read_exercises(spark, exercises), "problem", wanted=IO.read_comparison(spark, comparison).select("problem"))
     prompts = J.judge_prompts(with_gt, rubric=rubric, as_chat=as_chat, tags=tags)
     prompts.select("problem_id", "problem", "ground_truth", "base_response", "sft_response",
                    "judge_prompt").write.mode("overwrite").parquet(out)

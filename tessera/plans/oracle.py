@@ -543,3 +543,59 @@ sql("document_head", "select doc_id, n_chars from documents order by n_chars, do
 # the fixture's entities, the ampersand last
 _UNESCAPED = "replace(replace(replace(response, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 sql("response_cleanup", ORACLE["answer_recovery"].replace("regexp_replace(response,", f"regexp_replace({_UNESCAPED},"))
+
+
+# ---- any number of models ------------------------------------------------------------
+
+_FC4 = cte("responses_4") + f""", fc as (
+  select problem_id, model, list_position({list(K.MODELS)!r}, model) as k,
+    coalesce({contains('response', RE)} and {contains('response', SS)} and {contains('response', SE)}, false) as format_ok from responses_4),
+pr as (
+  select a.problem_id, a.model as base, b.model as tuned, a.format_ok as base_ok, b.format_ok as tuned_ok
+  from fc a join fc b on a.problem_id = b.problem_id and a.k < b.k)
+"""
+sql("pair_outcomes_4", _FC4 + """
+select *, case when tuned_ok and not base_ok then 'tuned_only' when tuned_ok and base_ok then 'both'
+  when not tuned_ok and not base_ok then 'neither' else 'base_only' end as outcome from pr""")
+sql("pair_matrix", _FC4 + f""", c as (
+  select base, tuned, count_if(base_ok and tuned_ok)::bigint as "both", count_if(base_ok and not tuned_ok)::bigint as base_only,
+    count_if(tuned_ok and not base_ok)::bigint as tuned_only, count_if(not base_ok and not tuned_ok)::bigint as neither,
+    count_if(base_ok)::bigint as base_correct, count_if(tuned_ok)::bigint as tuned_correct, count(*) as num_problems from pr group by base, tuned)
+select *, {D('base_correct')} / num_problems as base_accuracy, {D('tuned_correct')} / num_problems as tuned_accuracy, tuned_correct - base_correct as improvement,
+  case when tuned_correct > base_correct then 'improved' when tuned_correct = base_correct then 'equal' else 'decreased' end as finding from c""")
+
+# ---- user rewards, message lists, answer hooks, pairing --------------------------------
+
+sql("user_reward", _RW + f"""
+select prompt_id, gen_id, reward_brevity, reward_format_approx + reward_brevity as total from (
+  select prompt_id, gen_id, reward_format_approx,
+    (case when length(completion) <= gen_id % 10 * 20 + 40 then {D(1.0)} else {D(0.0)} end + case when instr(completion, answer) > 0 then {D(0.5)} else {D(0.0)} end
+     - case when instr(completion, cast(prompt_id as varchar)) > 0 then {D(0.25)} else {D(0.0)} end) as reward_brevity from tot) u""")
+
+sql("message_rewards", _RW + f"""
+select prompt_id, gen_id, case when gen_id % 4 = 3 then {D(0.0)} else reward_format_exact end as reward_format_exact,
+  case when gen_id % 4 = 3 then {D(-3.0)} else reward_format_approx end as reward_format_approx,
+  case when gen_id % 4 = 3 then {D(-2.0)} else reward_answer end as reward_answer,
+  case when gen_id % 4 = 3 then {D(-1.5)} else reward_numbers end as reward_numbers from tot""")
+
+sql("hash_answers", """
+select item_id, case when item_id % 5 <> 0 then cast(item_id as varchar) end as answer from benchmark""")
+
+sql("output_truth_pairs", cte("responses") + """
+select problem_id, response, cast(n_chars as varchar) as truth from responses join documents on problem_id = doc_id where model = 'base'""")
+
+# ---- written and read back --------------------------------------------------------------
+
+sql("exercise_lines", cte("exercises") + """
+select exercise_number, exercise_text, solution_text, row_number() over (partition by doc_id % 4 order by doc_id) as line_no from exercises""")
+
+sql("comparison_roundtrip", _FC + f"""
+select r.problem_id, r.problem, r.model, case r.model when 'base' then {q(K.REPORT_NAMES[0])} else {q(K.REPORT_NAMES[1])} end as model_name, r.response, fc.format_ok
+from responses r join fc on r.problem_id = fc.problem_id and r.model = fc.model""")
+
+sql("single_model_roundtrip", _FC + f"""
+select r.problem_id, r.problem, r.response, fc.format_ok, {q(K.REPORT_NAMES[1])} as model_name, 'tuned' as model_type
+from responses r join fc on r.problem_id = fc.problem_id and r.model = fc.model where r.model = 'tuned'""")
+
+sql("judged_csv_roundtrip", ORACLE["verdict_flatten"])
+sql("judged_table_roundtrip", ORACLE["verdict_flatten_4"])

@@ -48,8 +48,12 @@ def test_grouped_metrics(spark):
 def test_strict_pairing(spark):
     o = spark.createDataFrame([(1, "x"), (2, "y")], "id long, output string")
     t = spark.createDataFrame([(1, "1")], "id long, ground_truth string")
-    with pytest.raises(ValueError):
-        E.pair_outputs_truths(o, t)
+    with pytest.raises(Exception, match="must have same length"):
+        E.pair_outputs_truths(o, t).collect()
+    same = t.unionByName(spark.createDataFrame([(2, None)], "id long, ground_truth string"))
+    assert sorted(tuple(r) for r in E.pair_outputs_truths(o, same).collect()) == [(1, "x", "1"), (2, "y", None)]
+    clash = o.select("id", "output", E.F.lit("z").alias("_side"))
+    assert E.pair_outputs_truths(clash, same).columns == ["id", "output", "_side", "ground_truth"]
     assert E.pair_outputs_truths(o, t, strict=False).count() == 2
 
 

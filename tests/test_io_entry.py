@@ -50,8 +50,8 @@ def test_readers_raise_instead_of_losing_rows(spark):
     with pytest.raises(Exception, match="no results"):
         IO.read_comparison(spark, f"{d}/none").collect()
     twice = spark.createDataFrame([(1, "a"), (1, "b")], "id long, x string")
-    with pytest.raises(ValueError):
-        EV.pair_outputs_truths(twice, twice.withColumnRenamed("x", "y"))
+    with pytest.raises(Exception, match="must have same length"):
+        EV.pair_outputs_truths(twice, twice.withColumnRenamed("x", "y")).collect()
 
 
 def test_csv_and_table_roundtrip(spark):
