@@ -11,7 +11,7 @@ ascent of the conditional likelihood with an L2 penalty, over all lines of these
 documents at once; the recursions run over all documents in step.
 
 Scoring is one narrow pass over whole texts. Lines are \\n-split; lines without a word do
-not count, and a line of over 256 kB counts as several.
+not count. Long lines are measured in blocks whose counts are added up.
 
 Defined results: null, empty and word-less texts have score 0; without labelled documents of
 both kinds every score is 0; repeated rows get equal scores; an empty table gives no
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,9 @@ _KIND[[ord(c) for c in "!?"]] = 5
 _KIND[[ord(c) for c in ".,;:"]] = 6
 
 
+KINDS = range(1, 7)  # lower, upper, digits, symbols, shouts, stops
+
+
 def _line_measures(data: bytes) -> np.ndarray:
     """(lines, N + 1) measures and, last, the length of the lines of a block; the block holds whole texts."""
     buf = np.frombuffer(data, np.uint8)
@@ -65,20 +69,39 @@ def _line_measures(data: bytes) -> np.ndarray:
         s = np.concatenate([[0], np.cumsum(kind == k)])
         return (s[end] - s[start]).astype(float)
 
-    lower, upper, digits, symbols, shouts, stops = (total(k) for k in range(1, 7))
     order = np.lexsort((h, line))
     first = np.ones(len(order), dtype=bool)
     first[1:] = (h[order][1:] != h[order][:-1]) | (line[order][1:] != line[order][:-1])
     distinct = np.bincount(line[order][first], minlength=len(start)).astype(float)
     starts_low = np.bincount(line[kind[at] == 1], minlength=len(start)).astype(float)
     again = np.bincount(line[1:][(h[1:] == h[:-1]) & (line[1:] == line[:-1])], minlength=len(start)).astype(float)
+    return _ratios(*map(total, KINDS), words, distinct, starts_low, again, (end - start).astype(float), H.spans(H.running(buf), start, end))
+
+
+def _ratios(lower, upper, digits, symbols, shouts, stops, words, distinct, starts_low, again, size, whole) -> np.ndarray:
+    """The measures of lines from counts of their characters by kind, of their words, and the hashes of the lines."""
     w, letters = np.maximum(words, 1), np.maximum(lower + upper, 1)
-    whole = H.spans(H.running(buf), start, end)
     out = np.stack([symbols / w, upper / letters, digits / w, shouts / w, (lower + upper) / w, np.log1p(words), 1 - distinct / w,
-                    np.zeros(len(start)), stops / w, starts_low / w, again / w, (end - start).astype(float)], axis=1)
+                    np.zeros(len(words)), stops / w, starts_low / w, again / w, size], axis=1)
     return np.column_stack([out, whole.view(np.float64), words])
 
 
+def _long_line(data: bytes) -> np.ndarray:
+    """The measures of one line that is longer than a block."""
+    counts, starts_low, hashes = np.zeros(len(KINDS)), 0, []
+    for piece in H.pieces(data):
+        buf = np.frombuffer(piece, np.uint8)
+        at, h = H.word_hashes(buf, H.TABLE)
+        kind = _KIND[buf]
+        counts += [(kind == k).sum() for k in KINDS]
+        starts_low += (kind[at] == 1).sum()
+        hashes.append(h)
+    h = np.concatenate(hashes)
+    whole = np.array([xxhash.xxh64_intdigest(data)], dtype=np.uint64)
+    rest = (len(h), len(np.unique(h)), starts_low, (h[1:] == h[:-1]).sum(), len(data))
+    return _ratios(*counts[:, None], *(np.array([x], dtype=float) for x in rest), whole)
+
+
 def documents_lines(texts) -> Iterator[np.ndarray]:
     """The measures (lines with a word, N + 1) of each text; short texts are measured together."""
     group: list[bytes] = []
@@ -95,6 +118,21 @@ def documents_lines(texts) -> Iterator[np.ndarray]:
         rows[first, MEASURES.index("line_repeats")] = 0
         return rows[:, :N + 1]
 
+    def long_text(data: bytes) -> Iterator[np.ndarray]:
+        lines: list[bytes] = []
+        size = 0
+        for line in data.split(b"\n"):
+            if size + len(line) > H.BLOCK and lines:
+                yield _line_measures(b"\n".join(lines))
+                lines, size = [], 0
+            if len(line) > H.BLOCK:
+                yield _long_line(line)
+            else:
+                lines.append(line)
+                size += len(line) + 1
+        if lines:
+            yield _line_measures(b"\n".join(lines))
+
     held = 0
     for t in texts:
         data = t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b""
@@ -102,7 +140,7 @@ def documents_lines(texts) -> Iterator[np.ndarray]:
             yield from map(finish, measured(group))
             group, held = [], 0
         if len(data) > H.BLOCK:
-            yield finish(np.concatenate([x for p in H.pieces(data) for x in measured([p])]))
+            yield finish(np.concatenate([*long_text(data)]))
             continue
         group.append(data)
         held += len(data)
@@ -111,6 +149,8 @@ def documents_lines(texts) -> Iterator[np.ndarray]:
 
 def features(lines: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """(lines, 3 N) feature numbers: of the line, the line before and the line after."""
+    if not len(lines):
+        return np.zeros((0, 3 * N), dtype=np.int64)
     own = np.stack([np.searchsorted(edges[k], lines[:, k], side="right") + k * BINS for k in range(N)], axis=1)
     none = np.full((1, N), PAD)
     before, after = np.vstack([none, own[:-1]]), np.vstack([own[1:], none])
