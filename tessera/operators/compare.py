@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from tessera.functions.tags import DEFAULT_TAGS, Tags
 from tessera.functions.text import col, contains
+from tessera.operators.ranges import Ranges, fresh
 
 # --- fixed values: pair outcome texts (C2) and summary findings (C3) --------
 OUTCOME_TEXT = {
@@ -219,35 +220,7 @@ def number_rows(df: DataFrame, order: Sequence[str], out: str = "problem_number"
     shifted by the rows of all ranges before it. Sample and range counts are scalar subqueries over the order columns only, bounded
     by the number of ranges; the other columns move once. ``order`` should tell rows apart: equal keys share a range and any order.
     """
-    p = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = max(2, p)
-    k, b = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)]), _fresh(df, "_range")
-    keys = df.select(k.alias("k"))
-    n = keys.agg(F.count(F.lit(1)).alias("n")).scalar()
-    # a key is drawn with the chance that gives 20 keys a range; the hash falls in [0, 2 ** 53)
-    drawn = F.shiftrightunsigned(F.xxhash64("k"), 11).cast("double") * n.cast("double") <= F.lit(2.0 ** 53 * 20 * p)
-    sample = keys.where(drawn).agg(F.sort_array(F.collect_list("k")).alias("s"))
-    every = F.floor((F.size("s") + F.lit(p - 1)) / F.lit(p)).cast("int")
-    bounds = sample.select(F.filter("s", lambda x, i: (i + 1) % F.greatest(every, F.lit(1)) == 0).alias("s")).scalar()
-
-    def ranged(frame: DataFrame) -> DataFrame:
-        """A binary search, one narrow projection a step."""
-        placed = frame.withColumn(b, F.lit(0))
-        for step in (1 << i for i in range(p.bit_length() - 1, -1, -1)):
-            further = F.col(b) + step
-            placed = placed.withColumn(b, F.when((further <= F.size(bounds)) & (F.get(bounds, further - 1) < F.col("_k")), further).otherwise(F.col(b)))
-        return placed
-
-    counts = ranged(keys.withColumnRenamed("k", "_k")).groupBy(b).agg(F.count(F.lit(1)).alias("n"))
-    held = counts.agg(F.collect_list(F.struct(F.col(b).alias("r"), "n")).alias("c"), F.max(b).alias("last"))  # one entry a range
-    before = held.select(F.transform(F.sequence(F.lit(0), F.coalesce("last", F.lit(0))), lambda i: F.aggregate(
-        F.filter("c", lambda x: x["r"] < i), F.lit(0).cast("long"), lambda total, x: total + x["n"])).alias("before")).scalar()
-    shift = F.get(before, F.col(b))
+    b = fresh(df, "_range")
+    ranges = Ranges(df, order, partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), b)
     within = F.row_number().over(Window.partitionBy(b).orderBy(*order))
-    return ranged(df.withColumn("_k", k)).drop("_k").withColumn(out, (shift + within).cast("long")).drop(b)
-
-
-def _fresh(df: DataFrame, name: str) -> str:
-    while name in df.columns:
-        name += "_"
-    return name
+    return ranges.place(df).withColumn(out, (ranges.rows_before() + within).cast("long")).drop(b)

@@ -8,14 +8,18 @@ One-document comparison JSON is read, not written: that format needs one task.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from tessera.functions.text import slug
 from tessera.operators.messages import require_columns
+from tessera.session import checkpoint_dir
 
 SFT_COLUMNS = ("expected_answer", "problem", "generated_solution")
 
@@ -142,7 +146,7 @@ def write_comparison(pairs: DataFrame, summary: DataFrame, path: str, base_name:
 
     The layout is distributed: ``results/`` (JSON Lines, one problem per
     line, same nested shape as the reference's ``results[]``), ``metadata/``
-    and ``summary/`` (one row each).
+    and ``summary/`` (one row each). The three replace older ones together (:func:`write_together`).
     """
     ts = timestamp or _dt.datetime.now().isoformat()
     res = pairs.select(
@@ -153,25 +157,57 @@ def write_comparison(pairs: DataFrame, summary: DataFrame, path: str, base_name:
                  F.col("sft_format_check").alias("format_check")).alias("sft_model"))
     summ = summary.select("base_model_correct", "sft_model_correct", "base_model_accuracy",
                           "sft_model_accuracy", "improvement")
-    res.write.mode("overwrite").json(f"{path}/results")
-    summ.write.mode("overwrite").json(f"{path}/summary")
-    _write_metadata(summary, f"{path}/metadata", timestamp=ts, base_model=base_name, sft_model=sft_name)
+    write_together(path, {"results": res, "summary": summ, "metadata": _metadata(summary, timestamp=ts, base_model=base_name, sft_model=sft_name)})
 
 
-def _write_metadata(summary: DataFrame, path: str, **values: str | None) -> None:
+def _metadata(summary: DataFrame, **values: str | None) -> DataFrame:
     """One row: the values and the number of problems, taken from the summary."""
-    row = summary.select(*[F.lit(v).cast("string").alias(k) for k, v in values.items()], F.col("num_problems").cast("long"))
-    row.write.mode("overwrite").json(path)
+    return summary.select(*[F.lit(v).cast("string").alias(k) for k, v in values.items()], F.col("num_problems").cast("long"))
+
+
+def write_together(path: str, tables: dict[str, DataFrame]) -> None:
+    """Write tables as JSON Lines folders under ``path`` that replace older ones together.
+
+    All are written to a staging folder first; only when the last one is complete do they move into place, by renames of the file
+    system that Spark writes to. A run that fails leaves the old folders as they were; a failed move is undone.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    root, run = path.rstrip("/"), uuid.uuid4().hex
+    staged, replaced = f"{root}/_staged-{run}", f"{root}/_replaced-{run}"
+
+    def move(source: str, target: str) -> None:
+        if not fs.rename(Path(source), Path(target)):
+            raise OSError(f"could not move {source} to {target}")
+
+    moved: list[tuple[str, str]] = []
+    try:
+        for name, df in tables.items():
+            df.write.json(f"{staged}/{name}")
+        fs.mkdirs(Path(replaced))
+        for name in tables:
+            if fs.exists(Path(f"{root}/{name}")):
+                move(f"{root}/{name}", f"{replaced}/{name}")
+                moved.append((f"{replaced}/{name}", f"{root}/{name}"))
+        for name in tables:
+            move(f"{staged}/{name}", f"{root}/{name}")
+            moved.append((f"{root}/{name}", f"{staged}/{name}"))
+    except BaseException:
+        for source, target in reversed(moved):
+            fs.rename(Path(source), Path(target))
+        raise
+    finally:
+        for folder in (staged, replaced):
+            fs.delete(Path(folder), True)
 
 
 def write_single_model(results: DataFrame, summary: DataFrame, path: str, model_name: str,
                        model_type: str | None = None, timestamp: str | None = None) -> None:
     """Single-model results (JSON Lines results + one-row metadata/summary)."""
     ts = timestamp or _dt.datetime.now().isoformat()
-    results.select("problem_id", "problem", "response", "format_check") \
-        .write.mode("overwrite").json(f"{path}/results")
-    summary.write.mode("overwrite").json(f"{path}/summary")
-    _write_metadata(summary, f"{path}/metadata", timestamp=ts, model_name=model_name, model_type=model_type)
+    rows = results.select("problem_id", "problem", "response", "format_check")
+    write_together(path, {"results": rows, "summary": summary, "metadata": _metadata(summary, timestamp=ts, model_name=model_name, model_type=model_type)})
 
 
 def read_single_model(spark: SparkSession, path: str) -> DataFrame:
@@ -182,14 +218,77 @@ def read_single_model(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_judged_csv(judged: DataFrame, path: str) -> None:
-    """Judged rows as CSV with header; multi-line text is quoted."""
-    (judged.write.mode("overwrite").option("header", True).option("quoteAll", True)
-           .option("escape", '"').csv(path))
+    """Judged rows as CSV with header; multi-line text is quoted, white space at its ends is kept."""
+    (judged.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("lineSep", "\n")
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, place, record: the records of quoted CSV files with a header each, read by as many tasks as there are splits.
+
+    A line ends a record if the quotation marks up to it are even. Each split counts its marks; the parity of all splits before it
+    (a prefix sum over one number a split) tells its first line whether it stands inside a record. Tasks then join lines in one pass
+    over their splits. What a split boundary cuts (two pieces a split at most) is put together by a window over these pieces.
+    """
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.option("lineSep", "\n").text(path).select(*meta, "value")
+    marks = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    splits = lines.groupBy("file", "block").agg(F.pmod(F.sum(marks), F.lit(2)).alias("odd"))
+    splits = splits.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("block", "odd"))).alias("s"))
+    starts = splits.select("file", F.inline(F.transform("s", lambda x, i: F.struct(x["block"].alias("block"), F.pmod(F.aggregate(
+        F.slice("s", F.lit(1), i), F.lit(0).cast("long"), lambda total, y: total + y["odd"]), F.lit(2)).alias("odd")))))
+    # only splits that begin inside a record: one row of two numbers and a path each
+    inside = starts.where("odd = 1").select("file", "block", F.lit(True).alias("inside"))
+    placed = lines.join(F.broadcast(inside), ["file", "block"], "left").select("file", "block", "value", F.coalesce("inside", F.lit(False)).alias("inside"))
+    columns = ["file", "block", "place", "kind", "record"]
+
+    def joined(batches):
+        state: dict = {"split": None}
+
+        def close(out):
+            if state["split"] is not None and state["held"]:
+                out.append((*state["split"], state["place"], "middle" if state["tail"] else "head", "\n".join(state["held"])))
+
+        for batch in batches:
+            out: list = []
+            for file, block, value, begun in zip(*(c.to_pylist() for c in batch.columns)):
+                if (file, block) != state["split"]:
+                    close(out)
+                    state = {"split": (file, block), "place": 0, "held": [], "open": begun, "tail": begun}
+                state["held"].append(value)
+                if value.count('"') % 2:
+                    state["open"] = not state["open"]
+                if not state["open"]:
+                    out.append((file, block, state["place"], "tail" if state["tail"] else "whole", "\n".join(state["held"])))
+                    state["place"] += 1
+                    state["held"], state["tail"] = [], False
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], columns)
+        out = []
+        close(out)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], columns)
+
+    rows = placed.mapInArrow(joined, "file string, block long, place long, kind string, record string")
+    stored = f"{checkpoint_dir(spark)}/tessera-csv-records-{uuid.uuid4().hex}"
+    rows.write.parquet(stored)
+    rows = spark.read.schema(rows.schema).parquet(stored)
+    order = Window.partitionBy("file").orderBy("block", "place")
+    pieces = rows.where("kind <> 'whole'").withColumn("n", F.count_if(F.col("kind") == "head").over(order))
+    whole = pieces.groupBy("file", "n").agg(F.min(F.struct("block", "place")).alias("first"), F.sort_array(F.collect_list(F.struct("block", "place", "record"))).alias("p"))
+    whole = whole.select("file", "first.*", F.array_join(F.col("p.record"), "\n").alias("record"))
+    return rows.where("kind = 'whole'").drop("kind").unionByName(whole)
 
 
 def read_judged_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-                 .option("escape", '"').csv(path))
+    """S8 back: quoted CSV with headers and multi-line texts, split among tasks (:func:`csv_records`)."""
+    records = csv_records(spark, path).where("(block > 0 or place > 0) and record <> ''")  # each file's first record is its header
+    options = {"escape": "\"", "multiLine": "true", "maxCharsPerColumn": "-1", "emptyValue": "", "nullValue": "\u0000"}
+    return records.select(F.from_csv("record", _ddl(schema), options).alias("r")).select("r.*")
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
 def write_judged_table(judged: DataFrame, path: str) -> None:

@@ -16,6 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ranges import in_order
 from tessera.functions.tags import DEFAULT_TAGS, Tags
 from tessera.operators import compare as C
 from tessera.operators import judge as J
@@ -278,6 +279,10 @@ def judge_report_lines(judged: DataFrame, base_name: str, sft_name: str, judge_n
     return head.unionByName(framed).unionByName(sections)
 
 
-def write_report(lines: DataFrame, path: str) -> None:
-    """Write report blocks in order as text parts (range-sorted, many tasks)."""
-    lines.orderBy("block", "problem_id").select("text").write.mode("overwrite").text(path)
+def write_report(lines: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Write report blocks in order as text parts, by many tasks.
+
+    The ranges come from blocks and problem ids alone, so the sections' texts are made once.
+    """
+    p = partitions or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_order(lines, ["block", "problem_id"], p).select("text").write.mode("overwrite").text(path)
