@@ -449,11 +449,10 @@ def answer_normalize(spark, d):
 
 @query
 def html_unescape(spark, d):
-    """F12 + F15 on raw pages (Arrow UDF; no SQL equivalent)."""
+    """F12 on whole raw pages."""
     from tessera.functions.html import unescape
-    p = table(spark, d, "pages")
-    return p.select("page_id", F.length("html").alias("raw_chars"),
-                    F.length(unescape(F.col("html"))).alias("unescaped_chars"))
+    p = table(spark, d, "pages").select("page_id", "html", unescape("html").alias("text"))
+    return p.select("page_id", F.length("html").alias("raw_chars"), F.length("text").alias("unescaped_chars"), F.md5("text").alias("unescaped_md5"))
 
 
 @query
@@ -560,7 +559,7 @@ def sft_training_set(spark, d):
 
 @query
 def response_cleanup(spark, d):
-    """unescape, backslash collapse, answer recovery (Arrow UDF for texts with entities)."""
+    """unescape, backslash collapse, answer recovery."""
     from tessera.functions.html import clean_responses
     r = clean_responses(fixture(spark, d, "responses"), "response", TG.solution_start, TG.solution_end)
     return r.select("problem_id", "model", "cleaned")

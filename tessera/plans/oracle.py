@@ -6,6 +6,7 @@ re-spelled with DuckDB/RE2 functions in :mod:`tessera.plans.sqlexpr`.
 
 from __future__ import annotations
 
+from tessera.functions import html as H
 from tessera.functions.prompts import JUDGE_PROMPT_3, RUBRIC_WEIGHTS
 from tessera.functions.tags import DEFAULT_TAGS as TG
 from tessera.operators import compare as C
@@ -545,6 +546,43 @@ _UNESCAPED = "replace(replace(replace(response, '&lt;', '<'), '&gt;', '>'), '&am
 sql("response_cleanup", ORACLE["answer_recovery"].replace("regexp_replace(response,", f"regexp_replace({_UNESCAPED},"))
 
 
+# ---- HTML ---------------------------------------------------------------------------
+
+_NAMES = ", ".join(f"({q(k)}, {q(v)})" for k, v in H.html5.items())
+_REPAIRED = ", ".join(f"({k}, {v})" for k, v in H.repaired().items())
+sql("html_unescape", f"""
+with names(name, value) as (values {_NAMES}),
+repaired(cp, other) as (values {_REPAIRED}),
+pieces as (
+  select page_id, unnest(string_split(html, '&')) as p, generate_subscripts(string_split(html, '&'), 1) as i from pages),
+cut as (
+  select page_id, i, p, case when i = 1 then '' else regexp_extract(p, '^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\\t\\n\\f <&#;]{{1,32}};?)', 1) end as ref from pieces),
+refs as (
+  select ref, ref[1] = '#' as numeric, ref[2] in ('x', 'X') as hex,
+    regexp_extract(ref, '^#[xX]0*([0-9a-fA-F]*)', 1) as h, regexp_extract(ref, '^#0*([0-9]*)', 1) as n from (select distinct ref from cut where ref <> '') r),
+points as (
+  select ref, numeric, case when not numeric then 0 when hex then case when length(h) > 8 then 1114112 else ('0x0' || h)::bigint end
+    else case when length(n) > 8 then 1114112 else ('0' || n)::bigint end end as cp from refs),
+heads as (
+  select ref, name, value from (
+    select ref, name, value, row_number() over (partition by ref order by length(name) desc) as k
+    from points join names on not numeric and starts_with(ref, name) and name not like '%;') x where k = 1),
+decoded as (
+  select points.ref, case
+    when numeric and other is not null then chr(other::int)
+    when numeric and (cp between 55296 and 57343 or cp > 1114111) then chr(65533)
+    when numeric and (cp between 1 and 8 or cp = 11 or cp between 14 and 31 or cp = 127 or cp between 64976 and 65007 or cp % 65536 >= 65534) then ''
+    when numeric then chr(cp::int)
+    when names.value is not null then names.value
+    when heads.value is not null then heads.value || substr(points.ref, length(heads.name) + 1)
+    else '&' || points.ref end as text
+  from points left join repaired using (cp) left join names on not numeric and names.name = points.ref left join heads on heads.ref = points.ref),
+joined as (
+  select page_id, string_agg(case when i = 1 then p when ref = '' then '&' || p else text || substr(p, length(ref) + 1) end, '' order by i) as text
+  from cut left join decoded using (ref) group by page_id)
+select page_id, length(html)::int as raw_chars, length(text)::int as unescaped_chars, md5(text) as unescaped_md5 from joined join pages using (page_id)""")
+
+
 # ---- any number of models ------------------------------------------------------------
 
 _FC4 = cte("responses_4") + f""", fc as (

@@ -140,3 +140,23 @@ def test_number_format_matches_python(spark):
                        fmt_signed("v").alias("c"), fmt("v", "0").alias("d")).collect():
         assert r.a == f"{r.v:.1f}" and r.b == f"{r.v:.2f}" and r.d == f"{r.v:.0f}", r
         assert r.c == f"{r.v:+.2f}" or (r.v < 0 and r.c == f"{r.v:.2f}"), r
+
+
+def test_unescape_of_every_name_and_odd_references(spark):
+    """Against the standard library: all names, whole, cut and followed by other text; numbers of all kinds."""
+    import random
+    from html.entities import html5
+    r = random.Random(1)
+    names = list(html5)
+    points = [0, 1, 8, 9, 10, 11, 13, 31, 32, 65, 127, 128, 130, 150, 159, 160, 0xD800, 0xDFFF, 0xFDD0, 0xFFFF, 0xFFFE, 0x1FFFE, 0x10FFFF, 0x110000]
+    odd = ["&", "&&", "&#", "&#x", "&;", "& ", "&<", "&#;", "&#xg;", "&unknown;", "&" + "a" * 40 + ";", "&\n", "&notit;", "&notin;", "&ampamp;", "&😀;", "&#00000000065;", "&#x000041"]
+
+    def piece():
+        return r.choice([lambda: "&" + r.choice(names), lambda: "&" + r.choice(names).rstrip(";") + r.choice(["x", "=", " ", "", "1;", "é"]),
+                         lambda: f"&#{r.choice([*points, r.randrange(0x110000), 10 ** r.randrange(5, 25)])}{r.choice([';', '', 'x'])}",
+                         lambda: f"&#x{r.choice([*points, r.randrange(0x110000), 16 ** r.randrange(5, 20)]):x}{r.choice([';', '', 'z'])}",
+                         lambda: r.choice(odd), lambda: r.choice(["text", "a b", "é", "<b>", "\n"])])()
+
+    rows = [(k, "".join(piece() for _ in range(r.randrange(12)))) for k in range(2000)] + [(10000 + k, "&" + n) for k, n in enumerate(names)] + [(-1, None), (-2, "")]
+    got = {x.k: x.u for x in spark.createDataFrame(rows, "k int, s string").select("k", unescape("s").alias("u")).collect()}
+    assert all(got[k] == (None if s is None else html.unescape(s)) for k, s in rows)

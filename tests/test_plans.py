@@ -8,7 +8,7 @@ from tessera.plans.catalog import QUERIES
 SF01 = "/root/testdata/sf0.01"
 #: windows over ranges or groups only
 WINDOW_OK = {"problem_numbers"}
-PYTHON_OK = {"user_reward", "judged_csv_roundtrip", "judged_table_roundtrip", "html_unescape", "response_cleanup", "verdict_parse", "verdict_flatten", "judge_outcomes", "judge_averages",
+PYTHON_OK = {"user_reward", "judged_csv_roundtrip", "judged_table_roundtrip", "verdict_parse", "verdict_flatten", "judge_outcomes", "judge_averages",
              "judge_margin", "rubric_audit", "judge_report", "verdict_parse_fence", "judge_report_4", "verdict_flatten_4", "rubric_audit_4"}
 
 
