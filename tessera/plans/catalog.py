@@ -690,3 +690,35 @@ def judged_table_roundtrip(spark, d):
     path = _folder(spark, "judged")
     IO.write_judged_table(_judged(spark, d, "4"), path)
     return spark.read.parquet(path)
+
+
+@query
+def sft_source(spark, d):
+    """A stored SFT table with further columns, read as its three."""
+    path = _folder(spark, "sft-source")
+    fixture(spark, d, "sft_raw").write.parquet(path)
+    return IO.load_sft(spark, path)
+
+
+@query
+def rl_source(spark, d):
+    """Prompts stored by config and split; one of each is read."""
+    path = _folder(spark, "rl-source")
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("prompt"), F.concat(F.lit("c"), F.col("item_id") % 2).alias("config"),
+                                            F.when(F.col("item_id") % 3 == 0, "test").otherwise("train").alias("split"))
+    b.write.partitionBy("config", "split").parquet(path)
+    return IO.load_rl(spark, path, config="c1", split="train").select("item_id", "prompt")
+
+
+@query
+def char_window(spark, d):
+    """U4 + P16 + P12: another length function; documents of at most the window's characters."""
+    n = L.with_length(table(spark, d, "documents").select("doc_id", "text"), "text", "N", length_fn="chars")
+    return L.window_filter(n, "N", MAX_SEQ).select("doc_id", "N")
+
+
+@query
+def model_slugs(spark, d):
+    """Names as they stand in output paths, and how many documents each has."""
+    name = F.concat(F.lit("org/"), F.col("source"), F.lit("."), F.col("lang"))
+    return table(spark, d, "documents").groupBy(TX.slug(name).alias("slug")).agg(F.count(F.lit(1)).alias("n"))

@@ -637,3 +637,8 @@ from responses r join fc on r.problem_id = fc.problem_id and r.model = fc.model
 
 sql("judged_csv_roundtrip", ORACLE["verdict_flatten"])
 sql("judged_table_roundtrip", ORACLE["verdict_flatten_4"])
+
+sql("sft_source", cte("sft_raw") + "select expected_answer, problem, generated_solution from sft_raw")
+sql("rl_source", "select item_id, text as prompt from benchmark where item_id % 2 = 1 and item_id % 3 <> 0")
+sql("char_window", f"select doc_id, length(text)::int as N from documents where length(text) <= {K.MAX_SEQ}")
+sql("model_slugs", "select 'org_' || source || '_' || lang as slug, count(*) as n from documents group by 1")
