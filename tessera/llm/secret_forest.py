@@ -10,10 +10,12 @@
    held-out third and scores every candidate; findings under the threshold are removed.
 
 Labelled findings are a table (doc_id, position, label), position being the candidate's word
-number. Without one, the findings that two rules decide are the labelled ones: assigned to a name of
-a credential and varied (true), or digits only without such a name, mostly dictionary words, or with a whole
+number; the forest then sees all features. Without one, the findings that two rules decide are the labelled ones: assigned to a name of
+a credential and varied (true), or digits only without such a name, mostly dictionary words, letters only outside an assignment, or with a whole
 word for placeholders in or next to it (false); the others are scored only. Varied values are long, or have a
-digit or sign besides letters, and are no expressions with brackets.
+digit or sign besides letters, and are no expressions with brackets. These rules read the context, so the forest is
+fitted without the features of it (``CONTEXT``): it learns the shape of values, path and neighbours, and finds
+the values in running text that look like assigned ones. It decides alone, but for placeholders.
 
 One narrow pass over the texts; only candidates are shuffled or written. Nothing runs in Python
 on the executors.
@@ -59,6 +61,9 @@ ASSIGNMENT = (rf"(?i)((?:{CREDENTIALS})[a-z0-9_-]*+[\\\"'`\])]{{0,4}}[ \t]*+(?:=
 FEATURES = ("length", "letter_digit", "digit_letter", "case_changes", "digits", "capitals", "hex", "distinct", "dictionary", "path_depth", "path_test",
             "path_code", "assigned", "credential", "quoted", "placeholder", "previous_length", "next_length")
 
+#: what the rules read; left out where they label
+CONTEXT = ("assigned", "credential", "quoted", "placeholder")
+
 
 def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """doc_id, path, position, value, word and the neighbouring words of each candidate."""
@@ -118,7 +123,8 @@ def rule_label() -> Column:
     named = (c["credential"] == 1) & (c["assigned"] == 1)
     varied = ((c["length"] >= MIN_LENGTH) | F.col("value").rlike("[A-Za-z]") & F.col("value").rlike("[^A-Za-z\\s]")) & ~F.col("value").rlike("[(){}<>\\[\\]]")
     true = named & (c["placeholder"] == 0) & (c["digits"] < 1) & (c["dictionary"] < 0.5) & varied
-    false = (c["digits"] == 1) & ~named | (c["dictionary"] >= 0.5) | (c["placeholder"] == 1)
+    letters = ~named & (c["assigned"] == 0) & ~F.col("value").rlike("[^A-Za-z]")
+    false = (c["digits"] == 1) & ~named | (c["dictionary"] >= 0.5) | (c["placeholder"] == 1) | letters
     return F.when(true, 1).when(false, 0)
 
 
@@ -138,8 +144,10 @@ def scan(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None
     out = ["doc_id", "position", F.col("length").cast("long").alias("length"), F.sha2("value", 256).alias("value_sha256"), "held_out"]
     if kinds["least"] == kinds["most"]:  # none, or of one kind
         return found.select(*out, F.lit(0.5).alias("score")).withColumn("kept", F.col("score") >= threshold)
-    vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    used = [f for f in FEATURES if labelled is not None or f not in CONTEXT]
+    vector = VectorAssembler(inputCols=used, outputCol="features")
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
     model = forest.fit(vector.transform(train))
     scored = model.transform(vector.transform(found)).withColumn("score", vector_to_array("probability")[1])
-    return scored.select(*out, "score").withColumn("kept", F.col("score") >= threshold)
+    allowed = F.lit(True) if labelled is not None else F.col("placeholder") == 0
+    return scored.select(*out, "score", ((F.col("score") >= threshold) & allowed).alias("kept"))
