@@ -209,7 +209,7 @@ NOTICES = [
     ("x11", "advertising", "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software"),
     ("beerware", "beer", "you can buy me a beer in return"),
     ("cc0", "dedicated", "has dedicated the work to the public domain by waiving all of his or her rights"),
-    ("ms-pl", "microsoft", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("ms-pl", "accompanying software", "this license governs use of the accompanying software if you use the software you accept this license"),
     ("gfdl", "documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
     ("json", "good not evil", "the software shall be used for good not evil"),
     ("sspl-1.0", "server side", "under the terms of the server side public license"),
@@ -327,9 +327,12 @@ def keyword_form(keyword: str) -> str:
     return keyword.strip().replace(" ", "  ").join((" " * keyword.startswith(" "), " " * keyword.endswith(" ")))
 
 
+OPTIONAL = re.compile(r"\(\?: \(\?:.*?\) \)\?")
+
+
 def holds_stem(rule: Rule) -> bool:
     """Whether each match of a rule holds ``STEM``: a word that may not be missing begins so."""
-    return f" (?:{STEM}" in rule.pattern
+    return f" (?:{STEM}" in OPTIONAL.sub("", rule.pattern)
 
 
 def places(text: str, rules: list[Rule]) -> Column:
