@@ -408,4 +408,4 @@ def test_pipeline_runs_and_keeps_clean_documents(spark):
     kept = corpus_pipeline.drop_toxic(spark, before, SF)
     assert before.join(labels, "doc_id").count() - kept.join(labels, "doc_id").count() <= 2
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "source", "ids"]
-    assert len([q for q in QUERIES if q.startswith("op")]) == 10
+    assert len([q for q in QUERIES if q.startswith("op")]) == 13
