@@ -13,10 +13,12 @@ from collections.abc import Callable, Sequence
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import ArrayType
+from pyspark.sql.window import Window
 
 from tessera.functions.numeric import py_float
 from tessera.functions.tags import DEFAULT_TAGS, Tags
@@ -359,13 +361,23 @@ def user_reward_column(fn: Callable, completion: str = "completion", answer: str
 GROUP_ROWS = 4096
 
 
+def _plain(values: pa.ChunkedArray) -> list:
+    """``to_pylist``, by way of numpy for the types that it turns into the same objects."""
+    kind = values.type
+    same = pa.types.is_integer(kind) or pa.types.is_float64(kind) or pa.types.is_boolean(kind)
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind) or same and not values.null_count:
+        return values.to_numpy(zero_copy_only=False).tolist()
+    return values.to_pylist()
+
+
 def user_rewards_by_group(df: DataFrame, rewards: dict[str, Callable], group: str | Sequence[str] = "prompt_id",
                           completion: str = "completion", answer: str = "answer", prompt: str | None = None,
                           extra: Sequence[str] = (), group_rows: int = GROUP_ROWS) -> DataFrame:
     """User rewards whose calls get a prompt's completions together, as a trainer hands them over.
 
     A prompt with more than ``group_rows`` completions is split by a hash of the row into as many calls as it needs,
-    so no group outgrows a task. Its size comes from one count per prompt (map-side combined); only prompts that are split join back.
+    so no group outgrows a task. Its size comes from one count per prompt (map-side combined); the prompts that are split, at most one
+    in ``group_rows`` rows, are broadcast to the rows. A task gets many prompts in each Arrow batch and cuts them where a call's first row stands.
     """
     keys = [group] if isinstance(group, str) else list(group)
     clash = [n for n in (*rewards, "_salt", "_n") if n in df.columns]
@@ -378,21 +390,40 @@ def user_rewards_by_group(df: DataFrame, rewards: dict[str, Callable], group: st
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     calls = F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(group_rows))
     row = F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t])
-    salted = df.join(renamed, same, "left").withColumn("_salt", F.pmod(row, calls)).select(*df.columns, "_salt")
+    salted = df.join(F.broadcast(renamed), same, "left").withColumn("_salt", F.pmod(row, calls)).select(*df.columns, "_salt")
+    place = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(F.lit(0)))
+    placed = salted.withColumn("_n", place).drop("_salt")
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in rewards]])
 
-    def call(table: pa.Table) -> pa.Table:
-        def values(name):
-            return table.column(name).to_pylist()
+    def starts(rows: pa.RecordBatch | pa.Table) -> list[int]:
+        return pc.indices_nonzero(pc.equal(rows.column("_n"), 1)).to_pylist()
 
-        prompts = values(prompt) if prompt else [None] * table.num_rows
-        kwargs = {c: values(c) for c in extra}
-        out = table.drop_columns(["_salt"])
+    def scored(table: pa.Table) -> list[pa.RecordBatch]:
+        """Rows of whole calls with their rewards."""
+        begins = starts(table)
+        lists = {c: _plain(table.column(c)) for c in {completion, answer, *extra, *([prompt] if prompt else [])}}
+        lists[None] = [None] * table.num_rows
+        out = table.drop_columns(["_n"])
         for name, fn in rewards.items():
-            out = out.append_column(name, pa.array(_call_reward(fn, prompts, values(completion), values(answer), kwargs), pa.float64()))
-        return out
-
-    return salted.groupBy(*keys, "_salt").applyInArrow(call, schema)
+            values: list = []
+            for a, b in zip(begins, [*begins[1:], table.num_rows]):
+                values += _call_reward(fn, lists[prompt][a:b], lists[completion][a:b], lists[answer][a:b], {c: lists[c][a:b] for c in extra})
+            out = out.append_column(name, pa.array(values, pa.float64()))
+        return out.to_batches()
+
+    def call(batches):
+        held: list[pa.RecordBatch] = []  # the last call's rows so far, the next batch may have more of them
+        for batch in batches:
+            begins = starts(batch)
+            if begins:
+                if held or begins[-1]:
+                    yield from scored(pa.Table.from_batches([*held, batch.slice(0, begins[-1])]))
+                held, batch = [], batch.slice(begins[-1])
+            held.append(batch)
+        if held:
+            yield from scored(pa.Table.from_batches(held))
+
+    return placed.mapInArrow(call, schema)
 
 
 # ---- pairing completions with prompts (J3) ---------------------------------------

@@ -126,6 +126,32 @@ def test_grouped_user_rewards(spark):
     assert R.user_rewards_by_group(df.limit(0), {"r": together}, "prompt_id", prompt="prompt", extra=["tag"]).collect() == []
 
 
+def test_many_prompts_in_a_batch(spark):
+    """Prompts share Arrow batches and are cut at their first rows, also where a prompt goes on in the next batch; keys of several
+    columns, null and not a number; the rows stay where they are for the prompts that are split."""
+    def together(prompts, completions, answer, tag, **kwargs):
+        assert len({p[0]["content"] for p in prompts}) == 1
+        return [len(tag) * 1000.0 + min(tag)] * len(tag)
+
+    sizes = [k % 9 + (40 if k % 50 == 7 else 0) for k in range(200)]
+    rows = [(None if p == 3 else f"p{p}", float("nan") if p == 4 else float(p // 2), f"p{p}", p * 100 + k, f"c{k}", None if k % 2 else "a", {"k": p}) for p, n in enumerate(sizes) for k in range(n)]
+    df = spark.createDataFrame(rows, "name string, half double, prompt string, tag long, completion string, answer string, more map<string,long>").repartition(5)
+    confs = {"spark.sql.execution.arrow.maxRecordsPerBatch": "7", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        out = R.user_rewards_by_group(df, {"r": together, "s": together}, ["name", "half"], prompt="prompt", extra=["tag"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = out.collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "SortMergeJoin" not in plan
+    assert sorted((x.tag, x.completion, x.more["k"]) for x in got) == sorted((x[3], x[4], x[6]["k"]) for x in rows)
+    assert all(x.r == x.s == sizes[x.tag // 100] * 1000 + x.tag // 100 * 100 for x in got)
+
+
 def test_user_rewards_get_kwargs_and_message_lists(spark):
     def fn(prompts, completions, answer, weight, **kwargs):
         return [None if w is None else w * len(c[0]["content"]) + len(p) for p, c, w in zip(prompts, completions, weight)]
