@@ -648,11 +648,11 @@ def _folder(spark, name: str) -> str:
 
 @query
 def exercise_lines(spark, d):
-    """S3: exercises as JSON Lines in four files; each row with its line number in its file."""
+    """S3: exercises as JSON Lines in four files, each a folder of as many parts as tasks write it; each row with its line number in its file."""
     path = _folder(spark, "exercises")
     ex = fixture(spark, d, "exercises").withColumn("part", F.col("doc_id") % 4)
-    ex.repartition("part").sortWithinPartitions("part", "doc_id").write.partitionBy("part").json(path)
-    return IO.read_exercise_lines(spark, path).select("exercise_number", "exercise_text", "solution_text", "line_no")
+    ex.repartitionByRange("part", "doc_id").sortWithinPartitions("part", "doc_id").write.partitionBy("part").json(path)
+    return IO.read_exercise_lines(spark, path, in_parts=True).select("exercise_number", "exercise_text", "solution_text", "line_no")
 
 
 @query

@@ -89,20 +89,22 @@ def read_exercises(spark: SparkSession, path: str) -> DataFrame:
                                              F.monotonically_increasing_id().alias("row")))
 
 
-def read_exercise_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_exercise_lines(spark: SparkSession, path: str, in_parts: bool = False) -> DataFrame:
     """S3: JSON Lines exercises with ``file`` and the true ``line_no`` (from 1, blank lines counted) of each row.
 
-    A two-pass prefix sum: each split counts its lines, the counts before a split in its file (a file has as many counts as splits) are joined back,
+    With ``in_parts`` a folder is one file in parts, as several tasks write it: ``file`` is the folder, lines are numbered
+    through its files in name order.
+
+    A two-pass prefix sum: each split counts its lines, the counts before a split in its file (a file has as many counts as splits) are broadcast back,
     and a line's place in its split is added. No job runs while the query is built, no file is read whole by one task.
     """
-    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    meta = [F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("block")]
     lines = spark.read.text(path).select("value", *meta, F.monotonically_increasing_id().alias("row"))
-    splits = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
-    splits = splits.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("block", "n", "first"))).alias("s"))
-    before = F.transform("s", lambda x, i: F.struct(x["block"].alias("block"), x["first"].alias("first"), F.aggregate(
-        F.slice("s", F.lit(1), i), F.lit(0).cast("long"), lambda total, y: total + y["n"]).alias("before")))
-    starts = splits.select("file", F.inline(before))
-    placed = lines.join(starts, ["file", "block"]).withColumn("line_no", F.col("before") + F.col("row") - F.col("first") + 1)
+    splits = lines.groupBy("part", "block").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    splits = splits.withColumn("file", F.regexp_replace("part", "/[^/]*$", "") if in_parts else F.col("part"))
+    earlier = Window.partitionBy("file").orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    placed = lines.join(F.broadcast(starts), ["part", "block"]).withColumn("line_no", F.col("before") + F.col("row") - F.col("first") + 1)
     record = F.from_json("value", EXERCISE_SCHEMA)
     return placed.where(F.btrim("value") != "").select(record.alias("r"), "file", "line_no").select("r.*", "file", "line_no")
 

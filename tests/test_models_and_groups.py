@@ -1,6 +1,7 @@
 """Any number of models, late lookups, numbering, grouped user rewards, line numbers."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -181,3 +182,39 @@ def test_line_numbers_over_splits_and_blank_lines(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert len(got) == 2700 + 45 and all(x.line_no == int(x.exercise_number) for x in got)
+
+
+def test_exercise_files_in_parts(spark, tmp_path):
+    """No task writes or reads a whole file of exercises, and line numbers run through its parts."""
+    from pathlib import Path
+
+    from tessera.plans.catalog import exercise_lines
+    from tessera.session import checkpoint_dir
+
+    ids = [*range(-7, 3000, 3), 3001, 3001, None, None]
+    random.Random(3).shuffle(ids)
+    rows = [(i, f"t{i}\nx", "s", "en") for i in ids]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    known = set(folder.glob("tessera-exercises-*"))
+    confs = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "3000",
+             "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        out = exercise_lines(spark, str(tmp_path))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = out.collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    (new,) = set(folder.glob("tessera-exercises-*")) - known
+    lines = [len(f.read_text().splitlines()) for f in new.glob("part=*/*.json")]
+    assert sum(lines) == len(ids) and max(lines) < len(ids) / 8
+    assert "SortMergeJoin" not in plan
+    want = []
+    for p in (-3, -2, -1, 0, 1, 2, 3, None):
+        own = sorted(i for i in ids if i is not None and math.fmod(i, 4) == p) if p is not None else [None, None]
+        want += [(f"ex.{i}" if i is not None else None, n) for n, i in enumerate(own, 1)]
+    assert sorted(map(str, want)) == sorted(str((x.exercise_number, x.line_no)) for x in got)
