@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.types import ArrayType
-from pyspark.sql.window import Window
 
 from tessera.functions.numeric import py_float
 from tessera.functions.tags import DEFAULT_TAGS, Tags
@@ -370,6 +369,17 @@ def _plain(values: pa.ChunkedArray) -> list:
     return values.to_pylist()
 
 
+def _changes(values: pa.Array) -> pa.Array:
+    """For each row but the first: whether its value is in another group than the one before; null is with null, NaN with NaN."""
+    a, b = values.slice(0, max(len(values) - 1, 0)), values.slice(1)
+    if pa.types.is_nested(values.type):
+        return pa.array([repr(x) != repr(y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
+    same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a, nan_is_null=True), pc.is_null(b, nan_is_null=True)))
+    if pa.types.is_floating(values.type):
+        same = pc.and_(same, pc.equal(pc.is_null(a), pc.is_null(b)))
+    return pc.invert(same)
+
+
 def user_rewards_by_group(df: DataFrame, rewards: dict[str, Callable], group: str | Sequence[str] = "prompt_id",
                           completion: str = "completion", answer: str = "answer", prompt: str | None = None,
                           extra: Sequence[str] = (), group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -377,10 +387,12 @@ def user_rewards_by_group(df: DataFrame, rewards: dict[str, Callable], group: st
 
     A prompt with more than ``group_rows`` completions is split by a hash of the row into as many calls as it needs,
     so no group outgrows a task. Its size comes from one count per prompt (map-side combined); the prompts that are split, at most one
-    in ``group_rows`` rows, are broadcast to the rows. A task gets many prompts in each Arrow batch and cuts them where a call's first row stands.
+    in ``group_rows`` rows, are broadcast to the rows. These are sorted by key, so that a task gets many prompts in each Arrow batch and cuts them
+    where the key changes.
     """
     keys = [group] if isinstance(group, str) else list(group)
-    clash = [n for n in (*rewards, "_salt", "_n") if n in df.columns]
+    by = [*(f"_k{i}" for i in range(len(keys))), "_salt"]
+    clash = [n for n in (*rewards, *by, "_n") if n in df.columns]
     if clash:
         raise ValueError(f"column(s) exist already: {clash}")
     large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group_rows)
@@ -391,19 +403,22 @@ def user_rewards_by_group(df: DataFrame, rewards: dict[str, Callable], group: st
     calls = F.ceil(F.coalesce("_n", F.lit(1)) / F.lit(group_rows))
     row = F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t])
     salted = df.join(F.broadcast(renamed), same, "left").withColumn("_salt", F.pmod(row, calls)).select(*df.columns, "_salt")
-    place = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(F.lit(0)))
-    placed = salted.withColumn("_n", place).drop("_salt")
+    dealt = salted.withColumns({f"_k{i}": F.col(k) for i, k in enumerate(keys)}).repartition(*by).sortWithinPartitions(*by)
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in rewards]])
 
-    def starts(rows: pa.RecordBatch | pa.Table) -> list[int]:
-        return pc.indices_nonzero(pc.equal(rows.column("_n"), 1)).to_pylist()
+    def cuts(rows: pa.Table) -> list[int]:
+        """Places of the rows that belong to another call than the row before."""
+        other = _changes(rows.column(by[0]).combine_chunks())
+        for c in by[1:]:
+            other = pc.or_(other, _changes(rows.column(c).combine_chunks()))
+        return [i + 1 for i in pc.indices_nonzero(other).to_pylist()]
 
     def scored(table: pa.Table) -> list[pa.RecordBatch]:
         """Rows of whole calls with their rewards."""
-        begins = starts(table)
+        begins = [0, *cuts(table)]
         lists = {c: _plain(table.column(c)) for c in {completion, answer, *extra, *([prompt] if prompt else [])}}
         lists[None] = [None] * table.num_rows
-        out = table.drop_columns(["_n"])
+        out = table.drop_columns(by)
         for name, fn in rewards.items():
             values: list = []
             for a, b in zip(begins, [*begins[1:], table.num_rows]):
@@ -414,16 +429,18 @@ def user_rewards_by_group(df: DataFrame, rewards: dict[str, Callable], group: st
     def call(batches):
         held: list[pa.RecordBatch] = []  # the last call's rows so far, the next batch may have more of them
         for batch in batches:
-            begins = starts(batch)
+            if not batch.num_rows:
+                continue
+            before = [held[-1].slice(held[-1].num_rows - 1)] if held else []
+            begins = [i - len(before) for i in cuts(pa.Table.from_batches([*before, batch]))]
             if begins:
-                if held or begins[-1]:
-                    yield from scored(pa.Table.from_batches([*held, batch.slice(0, begins[-1])]))
+                yield from scored(pa.Table.from_batches([*held, batch.slice(0, begins[-1])]))
                 held, batch = [], batch.slice(begins[-1])
             held.append(batch)
         if held:
             yield from scored(pa.Table.from_batches(held))
 
-    return placed.mapInArrow(call, schema)
+    return dealt.mapInArrow(call, schema)
 
 
 # ---- pairing completions with prompts (J3) ---------------------------------------
