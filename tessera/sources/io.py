@@ -101,9 +101,11 @@ def read_exercise_lines(spark: SparkSession, path: str, in_parts: bool = False)
     meta = [F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("block")]
     lines = spark.read.text(path).select("value", *meta, F.monotonically_increasing_id().alias("row"))
     splits = lines.groupBy("part", "block").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
-    splits = splits.withColumn("file", F.regexp_replace("part", "/[^/]*$", "") if in_parts else F.col("part"))
-    earlier = Window.partitionBy("file").orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    file = F.regexp_replace("part", "/[^/]*$", "") if in_parts else F.col("part")
+    splits = splits.groupBy(file.alias("file")).agg(F.sort_array(F.collect_list(F.struct("part", "block", "n", "first"))).alias("s"))
+    before = F.transform("s", lambda x, i: F.struct(x["part"].alias("part"), x["block"].alias("block"), x["first"].alias("first"), F.aggregate(
+        F.slice("s", F.lit(1), i), F.lit(0).cast("long"), lambda total, y: total + y["n"]).alias("before")))
+    starts = splits.select("file", F.inline(before))
     placed = lines.join(F.broadcast(starts), ["part", "block"]).withColumn("line_no", F.col("before") + F.col("row") - F.col("first") + 1)
     record = F.from_json("value", EXERCISE_SCHEMA)
     return placed.where(F.btrim("value") != "").select(record.alias("r"), "file", "line_no").select("r.*", "file", "line_no")
